@@ -1,4 +1,4 @@
-"""All registered queries of the volumetric engine and their SQL."""
+"""All registered queries of the volumetric engine, each beside its SQL."""
 
 from __future__ import annotations
 
@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from voxloom.plans import image_queries, model_queries, series_queries, table_queries
+
+PARTS = (image_queries, series_queries, model_queries, table_queries)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for part in PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.SQL.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filter, fit and test every voxel's series against one task regressor."""
+    return model_queries.first_level(spark, sf_dir)
