@@ -5,15 +5,17 @@ of their full sets reaches a threshold, and a group is a connected component of
 
 Equal sets become one node first. Every node gets a minwise signature. Independent trees then branch it: at each tree
 node a few coordinates are chosen by a hash of that node, and the document goes to the child named by its minwise token
-at each of them. Tree nodes of at most ``small`` documents are compared exhaustively; larger ones branch again. In every
-tree node, whatever its size, members are also compared with its hub (the member with the smallest hash): a large group of
-near copies hangs together by its hub after linear work. Pairs inside one component found so far need no
-comparison, so the exhaustive step looks at pairs of different components only, and what is still in large nodes at the
-last level goes the same way, members of lesser components against all: no cap drops a pair.
+at each of them. Tree nodes of at most ``small`` documents are compared exhaustively; a larger one branches again, unless
+half of it already resembles one member, where branching no longer separates anything: such a node, and any left after
+the last level, is compared exhaustively too, as pairs of blocks of bounded size. So no cap drops a pair.
 
-Candidates pass a filter on set sizes (exact) and on 128 signature bits (misses a pair at the threshold about once in a
-million); every link is confirmed on full sets. With ``trees`` trees of two coordinates a pair of similarity s is missed
-at the first level with probability (1 - s)^(2 trees): 1e-10 for six trees and s = 0.85.
+The comparison of a tree node uses set sizes (exact) and signature bits (a linked pair fails about once in a million). It
+yields candidate clusters, which hold every linked pair that some tree brought together. Each document's full set
+is then sent to its cluster, or to the block pairs of a large cluster, and links are confirmed on full sets. Both
+steps return the links of a spanning forest only, so a group of n copies costs n rows and not its pairs.
+
+With ``trees`` trees of two coordinates a pair of similarity s is missed at the first level with probability
+(1 - s)^(2 trees): 1e-10 for six trees and s = 0.85.
 
 Defined results: a text that is null or has no words has an empty set and is its own group; with fewer words than a
 shingle the whole sequence is one shingle; rows with equal ids are one node; a null id is kept and belongs to no group.
@@ -112,42 +114,177 @@ def _children(rows: DataFrame, node: Column, branches: int) -> DataFrame:
     return rows.select(F.explode(names).alias("node"), "id", "n", "s0", "s1")
 
 
+def least_equal_bits(threshold: int) -> int:
+    share = (1 + threshold / 100) / 2
+    return int(BITS * share - BIT_SLACK * (BITS * share * (1 - share)) ** 0.5)
+
+
 def _plausible(threshold: int) -> Column:
     """Size filter, exact; and signature bits within BIT_SLACK deviations of what the threshold gives."""
-    share = (1 + threshold / 100) / 2
-    least = int(BITS * share - BIT_SLACK * (BITS * share * (1 - share)) ** 0.5)
     equal = BITS - F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) - F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1")))
     sizes = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * threshold
-    return sizes & (equal >= least)
+    return sizes & (equal >= least_equal_bits(threshold))
+
+
+class Forest:
+    """Union-find over the rows of one block; keeps the links that joined two trees."""
+
+    def __init__(self, n: int):
+        self.up, self.links = list(range(n)), []
+
+    def root(self, k: int) -> int:
+        while self.up[k] != k:
+            self.up[k] = self.up[self.up[k]]
+            k = self.up[k]
+        return k
+
+    def join(self, a: int, b: int) -> None:
+        x, y = self.root(a), self.root(b)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+            self.links.append((a, b))
+
+
+def likely_pairs(n: np.ndarray, bits: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a block that pass the size and bit filters, likeliest first."""
+    if len(n) == 2:
+        i, j = np.array([0]), np.array([1])
+    else:
+        i, j = np.triu_indices(len(n), 1)
+    ok = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * threshold
+    i, j = i[ok], j[ok]
+    equal = BITS - np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+    ok = equal >= least_equal_bits(threshold)
+    i, j, equal = i[ok], j[ok], equal[ok]
+    order = np.argsort(-equal, kind="stable")
+    return i[order], j[order]
+
+
+def blocks_of(batches, keys: int):
+    """The rows of each run of equal leading key columns, as a pyarrow table. Input is sorted by them."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        if rest is not None:
+            t = pa.concat_tables([rest, t])
+        if not len(t):
+            continue
+        new = np.zeros(len(t), bool)
+        new[0] = True
+        for c in range(keys):
+            v = t.column(c).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        starts = np.flatnonzero(new)
+        for s, e in zip(starts[:-1], starts[1:], strict=True):
+            yield t.slice(s, e - s)
+        rest = t.slice(starts[-1]).combine_chunks()
+    if rest is not None:
+        yield rest
+
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+
+def _dealt(rows: DataFrame, group: str, members: str, block: int) -> DataFrame:
+    """Rows with p and q, one copy for each pair of blocks that a row's block is in; sorted within tasks by
+    (group, p, q)."""
+    rows = rows.withColumn("_blocks", F.ceil(F.col(members) / block).cast("int"))
+    own = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
+    rows = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("_blocks") - 1, F.lit(0)))))
+    # with more than one block, a block meets itself in its pairs with the others
+    rows = rows.filter((F.col("_blocks") == 1) | (F.col("_own") != F.col("_other")))
+    rows = rows.withColumns({"p": F.least("_own", "_other"), "q": F.greatest("_own", "_other")})
+    return rows.repartition(group, "p", "q").sortWithinPartitions(group, "p", "q", "id")
+
+
+def likely_links(leaves: DataFrame, threshold: int, block: int = 512) -> DataFrame:
+    """Spanning links (a, b) of likely pairs in each tree node. ``leaves``: node, members, id, n, s0, s1."""
 
-
-def _sets(docs: DataFrame, ids: DataFrame, key: str, text: str, words: int, broadcast_rows: int) -> DataFrame:
-    """(id, set array<long>) of the documents in ``ids``. Their ids are broadcast while few, else joined by shuffle."""
-    few = ids.count() <= broadcast_rows
+    def run(batches):
+        found: list[tuple[int, int]] = []
+        for t in blocks_of(batches, 3):
+            if len(t) > 1:
+                ids = t.column("id").to_numpy()
+                bits = np.stack([t.column("s0").to_numpy(), t.column("s1").to_numpy()], 1)
+                forest = Forest(len(ids))
+                for i, j in zip(*(x.tolist() for x in likely_pairs(t.column("n").to_numpy(), bits, threshold)), strict=True):
+                    forest.join(i, j)
+                found += [(int(ids[i]), int(ids[j])) for i, j in forest.links if ids[i] != ids[j]]
+            if len(found) > 50_000:
+                yield _links(found)
+                found = []
+        yield _links(found)
+
+    dealt = _dealt(leaves, "node", "members", block).select("node", "p", "q", "id", "n", "s0", "s1")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def shared_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the pairs (i, j): by incidence matrices in column slices when there are many."""
+    if len(i) < 64:
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)], np.int64)
+    used = np.unique(np.concatenate([i, j]))
+    at = np.zeros(len(sets), np.int64)
+    at[used] = np.arange(len(used))
+    row = np.repeat(np.arange(len(used)), [len(sets[k]) for k in used])
+    _, column, count = np.unique(np.concatenate([sets[k] for k in used]), return_inverse=True, return_counts=True)
+    keep = count[column] > 1  # shingles of one document only add nothing
+    row, column = row[keep], column[keep]
+    _, column = np.unique(column, return_inverse=True)
+    width = int(column.max()) + 1 if len(column) else 0
+    out = np.zeros((len(used), len(used)), np.float64)
+    for s in range(0, width, 8192):
+        part = (column >= s) & (column < s + 8192)
+        m = np.zeros((len(used), min(8192, width - s)), np.float32)
+        m[row[part], column[part] - s] = 1
+        out += m @ m.T
+    return out[at[i], at[j]].astype(np.int64)
+
+
+def confirmed(docs: DataFrame, members: DataFrame, key: str, text: str, words: int, threshold: int, block: int = 128, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Spanning links (a, b) of pairs whose full sets reach the threshold, within each cluster.
+
+    ``members``: id, cluster, members. Texts of the clustered documents are found through their ids, which are broadcast
+    while they are few and joined by shuffle beyond that."""
+    few = members.count() <= broadcast_rows
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    chosen = rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    chosen = rows.join(F.broadcast(members) if few else members, "id").select("cluster", "members", "id", "text")
 
-    def run(batches):
+    def shingled(batches):
         shingler = Shingler(words)
         for b in batches:
-            sets = [shingler(t) for t in b.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["id", "set"])
+            sets = [shingler(t) for t in b.column("text").to_pylist()]
+            bits = np.array([signature(x)[1] for x in sets], np.int64).reshape(-1, 2)
+            packed = pa.array([x.tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("cluster"), b.column("members"), b.column("id"), pa.array(bits[:, 0]), pa.array(bits[:, 1]), packed], ["cluster", "members", "id", "s0", "s1", "body"])
 
-    return written(chosen.mapInArrow(run, "id long, set array<bigint>"))
+    sets = chosen.mapInArrow(shingled, "cluster long, members long, id long, s0 long, s1 long, body binary")
 
-
-def confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str, words: int, threshold: int, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold. A document in many pairs is split over salted copies."""
-    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), key, text, words, broadcast_rows)
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("parts"))
-    dealt = written(pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts")).select("a", "part", "b"))
-    left = dealt.select("a", "part").distinct().join(sets.select(F.col("id").alias("a"), F.col("set").alias("of_a")), "a")
-    right = dealt.join(sets.select(F.col("id").alias("b"), F.col("set").alias("of_b")), "b")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    enough = 100 * shared >= threshold * (F.size("of_a") + F.size("of_b") - shared)
-    return right.join(left, ["a", "part"]).filter(enough).select("a", "b").distinct()
+    def run(batches):
+        for t in blocks_of(batches, 3):
+            ids = t.column("id").to_numpy()
+            full = [np.frombuffer(x, np.uint64) for x in t.column("body").to_pylist()]
+            n = np.array([len(x) for x in full])
+            bits = np.stack([t.column("s0").to_numpy(), t.column("s1").to_numpy()], 1)
+            forest = Forest(len(ids))
+            i, j = likely_pairs(n, bits, threshold) if len(ids) > 1 else (np.zeros(0, int), np.zeros(0, int))
+            ok = (n[i] > 0) & (n[j] > 0)
+            i, j = i[ok], j[ok]
+            step = 256
+            while len(i):  # pairs whose ends have met need no count
+                head, (i, j) = (i[:step], j[:step]), (i[step:], j[step:])
+                shared = shared_counts(full, *head)
+                for a, b, both in zip(*(x.tolist() for x in head), shared.tolist(), strict=True):
+                    if 100 * both >= threshold * (int(n[a]) + int(n[b]) - both):
+                        forest.join(a, b)
+                roots = np.array([forest.root(k) for k in range(len(ids))])
+                apart = roots[i] != roots[j]
+                i, j = i[apart], j[apart]
+                step = 8192
+            yield _links([(int(ids[a]), int(ids[b])) for a, b in forest.links if ids[a] != ids[b]])
+
+    return _dealt(sets, "cluster", "members", block).select("cluster", "p", "q", "id", "s0", "s1", "body").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -165,7 +302,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: int = 80, trees: int = 6, branches: int = 2, small: int = 24, levels: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: int = 80, trees: int = 6, branches: int = 2, small: int = 64, levels: int = 5) -> DataFrame:
     """(id, n_shingles, component): ``component`` is the smallest id of the document's group. ``threshold`` in percent."""
     all_rows = written(signatures(docs, key, text, words))
     rows = all_rows.filter((F.col("n") > 0) & F.col("id").isNotNull())
@@ -174,40 +311,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     # the trees, level by level: who is in which node; tokens stay in `classes` and are joined where a node branches
     roots = classes.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(trees)])))
-    at = written(_children(roots, F.xxhash64(F.lit("root"), "tree"), branches))
-    hub_pairs, groups = [], []
+    at = _children(roots, F.xxhash64(F.lit("root"), "tree"), branches)
+    leaves = []
     for level in range(1, levels + 1):
+        at = written(at)
         counts = at.groupBy("node").agg(F.count("*").alias("members"), F.min(F.xxhash64("id")).alias("least")).filter(F.col("members") > 1)
         known = written(at.join(counts, "node"))
-        hub = known.filter(F.xxhash64("id") == F.col("least")).select("node", F.struct("id", "n", "s0", "s1").alias("a"))
-        near = known.select("node", F.struct("id", "n", "s0", "s1").alias("b")).join(hub, "node").filter((F.col("a.id") != F.col("b.id")) & _plausible(threshold))
-        hub_pairs.append(near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
-        done = F.lit(True) if level == levels else F.col("members") <= small
-        groups.append(known.filter(done).select("node", "id", "n", "s0", "s1"))
-        deeper = known.filter(~done).select("node", "id")
-        if not deeper.limit(1).count():
+        large = known.filter(F.col("members") > small)
+        if level == levels or not large.limit(1).count():
+            leaves.append(known)
             break
-        at = written(_children(deeper.join(classes, "id").withColumnRenamed("node", "up"), F.col("up"), branches))
-    pairs = written(_union(hub_pairs).distinct())
-    links = written(confirmed(docs, pairs, key, text, words, threshold))
-    labels = components(links)
-
-    # what hubs did not settle: pairs of different components in a node, members outside its largest component against all
-    kept = written(_union(groups))
-    named = kept.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    per_label = named.groupBy("node", "label").agg(F.count("*").alias("n_label"))
-    top = per_label.groupBy("node").agg(F.max(F.struct("n_label", "label")).alias("top"), F.count("*").alias("labels")).filter(F.col("labels") > 1)
-    open_rows = written(named.join(top.select("node", F.col("top.label").alias("main")), "node"))
-    a = open_rows.filter(F.col("label") != F.col("main")).alias("a")
-    b = open_rows.alias("b")
-    other = (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.main")) | (F.col("a.id") < F.col("b.id")))
-    crossing = a.join(b, (F.col("a.node") == F.col("b.node")) & other & _plausible(threshold)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    crossing = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    crossing = written(crossing.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    if crossing.limit(1).count():
-        more = written(confirmed(docs, crossing, key, text, words, threshold))
-        if more.limit(1).count():
-            labels = components(links.union(more))
+        one = large.filter(F.xxhash64("id") == F.col("least")).select("node", F.struct("id", "n", "s0", "s1").alias("a"))
+        alike = large.select("node", "members", F.struct("id", "n", "s0", "s1").alias("b")).join(one, "node").filter(_plausible(threshold))
+        alike = alike.groupBy("node").agg(F.count("*").alias("alike"), F.first("members").alias("members")).filter(2 * F.col("alike") >= F.col("members")).select("node")
+        alike = written(alike)
+        leaves += [known.filter(F.col("members") <= small), large.join(alike, "node", "left_semi")]
+        at = _children(large.join(alike, "node", "left_anti").select(F.col("node").alias("up"), "id").join(classes, "id"), F.col("up"), branches)
+    wanted = ("node", "members", "id", "n", "s0", "s1")
+    likely = written(_union([x.select(*wanted) for x in leaves]).transform(lambda d: likely_links(d, threshold)))
+
+    clusters = components(likely)
+    sizes = clusters.groupBy("label").agg(F.count("*").alias("members"))
+    members = written(clusters.join(sizes, "label").select("id", F.col("label").alias("cluster"), "members"))
+    labels = components(written(confirmed(docs, members, key, text, words, threshold)))
 
     grouped = classes.select("same", F.col("id").alias("first")).join(labels.withColumnRenamed("id", "first"), "first", "left").select("same", F.coalesce("label", "first").alias("label"))
     by_set = rows.select("id", "n", "same").join(grouped, "same").select("id", F.col("n").alias("n_shingles"), F.col("label").alias("component"))
