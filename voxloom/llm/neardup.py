@@ -153,10 +153,10 @@ def likely_pairs(n: np.ndarray, bits: np.ndarray, threshold: int) -> tuple[np.nd
         i, j = np.triu_indices(len(n), 1)
     ok = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * threshold
     i, j = i[ok], j[ok]
-    equal = BITS - np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
-    ok = equal >= least_equal_bits(threshold)
-    i, j, equal = i[ok], j[ok], equal[ok]
-    order = np.argsort(-equal, kind="stable")
+    differ = np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)).sum(1, dtype=np.int64)  # of an int64 numpy counts the absolute value's bits
+    ok = BITS - differ >= least_equal_bits(threshold)
+    i, j, differ = i[ok], j[ok], differ[ok]
+    order = np.argsort(differ, kind="stable")
     return i[order], j[order]
 
 
