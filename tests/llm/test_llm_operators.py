@@ -369,8 +369,8 @@ def brute_groups(rows, width, threshold):
     return {i: root(i) for i in sets}
 
 
-@pytest.mark.parametrize("small,levels", [(64, 5), (3, 3), (2, 1)])
-def test_near_duplicates_equal_brute_force(spark, small, levels):
+@pytest.mark.parametrize("small,levels,node_block,set_block", [(64, 5, 512, 128), (3, 3, 4, 3), (2, 1, 3, 8)])
+def test_near_duplicates_equal_brute_force(spark, small, levels, node_block, set_block):
     rng = random.Random(8)
     words = [f"w{k}" for k in range(400)]
     base = [[rng.choice(words) for _ in range(80)] for _ in range(6)]
@@ -382,10 +382,16 @@ def test_near_duplicates_equal_brute_force(spark, small, levels):
                 t[rng.randrange(len(t))] = rng.choice(words)
         rows.append((i, " ".join(t).upper() if i % 7 == 0 else " ".join(t)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.id: r.component for r in neardup.near_duplicates(docs, words=3, threshold=85, small=small, levels=levels).collect()}
+    got = {r.id: r.component for r in neardup.near_duplicates(docs, words=3, threshold=85, small=small, levels=levels, node_block=node_block, set_block=set_block).collect()}
     assert got == brute_groups(rows, 3, 85)
 
 
+def test_main_part_of_a_cluster():
+    masks, n = np.array([0b0011, 0b0110, 0b1000, 0b10000]), np.array([2, 2, 3, 1])
+    assert neardup._main_part(masks, n) == 0b0111
+    assert neardup._main_part(masks[:0], n[:0]) == 0
+
+
 def test_near_duplicates_odd_rows(odd, empty):
     got = sorted((r.id, r.component) for r in neardup.near_duplicates(odd).collect())
     assert got == [(1, 1), (2, 2), (3, 3), (4, 1), (5, 5), (6, 6), (7, 7), (7, 7), (8, 8)]

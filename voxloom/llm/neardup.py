@@ -5,14 +5,16 @@ of their full sets reaches a threshold, and a group is a connected component of
 
 Equal sets become one node first. Every node gets a minwise signature. Independent trees then branch it: at each tree
 node a few coordinates are chosen by a hash of that node, and the document goes to the child named by its minwise token
-at each of them. Tree nodes of at most ``small`` documents are compared exhaustively; a larger one branches again, unless
-half of it already resembles one member, where branching no longer separates anything: such a node, and any left after
-the last level, is compared exhaustively too, as pairs of blocks of bounded size. So no cap drops a pair.
+at each of them. Tree nodes of at most ``small`` documents are compared exhaustively. In a larger one every member is
+held against one of them, the hub; if most resemble it, branching no longer separates anything: they are linked to
+the hub, and only the others are compared with all. Any other large node branches again; one that is left after the last
+level is treated like the former. All such comparisons run in cells of bounded size, so no cap drops a pair.
 
 The comparison of a tree node uses set sizes (exact) and signature bits (a linked pair fails about once in a million). It
-yields candidate clusters, which hold every linked pair that some tree brought together. Each document's full set
-is then sent to its cluster, or to the block pairs of a large cluster, and links are confirmed on full sets. Both
-steps return the links of a spanning forest only, so a group of n copies costs n rows and not its pairs.
+yields candidate clusters, which hold every linked pair that some tree brought together. Links are then confirmed on
+full sets in the same way: small clusters exhaustively; in a large one all members against a few hubs, then those
+that are still apart from its main part against all others. Both steps return the links of a spanning forest only, so
+a group of n copies costs about n comparisons and rows, not its pairs.
 
 With ``trees`` trees of two coordinates a pair of similarity s is missed at the first level with probability
 (1 - s)^(2 trees): 1e-10 for six trees and s = 0.85.
@@ -26,6 +28,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -36,6 +39,10 @@ from voxloom.llm.common import written
 COORDINATES, BITS = 64, 128
 #: Least share of equal signature bits: a similarity s gives (1 + s) / 2 on average. Five deviations below.
 BIT_SLACK = 5.0
+#: Members of a large cluster that all others are held against first.
+HUBS = 8
+#: What a member of a tree node carries into the comparison.
+CELL = ("node", "members", "id", "n", "s0", "s1")
 _RNG = np.random.default_rng(20_240_229)
 _MULTIPLY = _RNG.integers(1, 2**63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, BITS, dtype=np.uint64)
@@ -120,9 +127,10 @@ def least_equal_bits(threshold: int) -> int:
 
 
 def _plausible(threshold: int) -> Column:
-    """Size filter, exact; and signature bits within BIT_SLACK deviations of what the threshold gives."""
-    equal = BITS - F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) - F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1")))
-    sizes = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * threshold
+    """Of a member and the hub of its node: size filter, exact; and signature bits within BIT_SLACK deviations of what
+    the threshold gives."""
+    equal = BITS - F.bit_count(F.col("s0").bitwiseXOR(F.col("h0"))) - F.bit_count(F.col("s1").bitwiseXOR(F.col("h1")))
+    sizes = F.least("n", "hn") * 100 >= F.greatest("n", "hn") * threshold
     return sizes & (equal >= least_equal_bits(threshold))
 
 
@@ -186,38 +194,51 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
 
-def _dealt(rows: DataFrame, group: str, members: str, block: int) -> DataFrame:
-    """Rows with p and q, one copy for each pair of blocks that a row's block is in; sorted within tasks by
-    (group, p, q)."""
-    rows = rows.withColumn("_blocks", F.ceil(F.col(members) / block).cast("int"))
-    own = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
-    rows = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("_blocks") - 1, F.lit(0)))))
-    # with more than one block, a block meets itself in its pairs with the others
-    rows = rows.filter((F.col("_blocks") == 1) | (F.col("_own") != F.col("_other")))
-    rows = rows.withColumns({"p": F.least("_own", "_other"), "q": F.greatest("_own", "_other")})
-    return rows.repartition(group, "p", "q").sortWithinPartitions(group, "p", "q", "id")
+def in_cells(rows: DataFrame, block: int) -> DataFrame:
+    """Rows in cells (p, q) of bounded size within their group; ``rows`` has id, members, apart and rest.
+
+    A group of at most ``block`` members is one cell of rows with side 0, to be compared with each other. In a larger
+    one the ``rest`` rows that are ``apart`` from the group's main part meet all rows: an apart row is on side 0 of its
+    block p for every q, and every row is on side 1 of its block q for every p."""
+    small = F.col("members") <= block
+    p_of = F.pmod(F.xxhash64("id", F.lit(2)), F.greatest(F.ceil(F.col("rest") / block), F.lit(1))).cast("int")
+    q_of = F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("members") / block)).cast("int")
+    up_to = lambda n: F.sequence(F.lit(0), (F.ceil(n / block) - 1).cast("int"))
+    cell = lambda p, q, side: F.struct(p.alias("p"), q.alias("q"), F.lit(side).alias("side"))
+    zero = F.lit(0)
+    as_main = F.transform(up_to(F.col("rest")), lambda p: cell(p, q_of, 1))
+    as_apart = F.when(F.col("apart"), F.transform(up_to(F.col("members")), lambda q: cell(p_of, q, 0))).otherwise(F.slice(as_main, 1, 0))
+    cells = F.when(small, F.array(cell(zero, zero, 0))).otherwise(F.concat(as_main, as_apart))
+    return rows.filter(small | (F.col("rest") > 0)).withColumn("_cell", F.explode(cells)).select("*", "_cell.*").drop("_cell")
+
+
+def _to_compare(i: np.ndarray, j: np.ndarray, side: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which pairs of a cell's rows are to be compared."""
+    return (ids[i] != ids[j]) & ((side[i] != side[j]) if side.any() else True)
 
 
 def likely_links(leaves: DataFrame, threshold: int, block: int = 512) -> DataFrame:
-    """Spanning links (a, b) of likely pairs in each tree node. ``leaves``: node, members, id, n, s0, s1."""
+    """Spanning links (a, b) of likely pairs in each tree node. ``leaves``: node, members, rest, apart, id, n, s0, s1."""
 
     def run(batches):
         found: list[tuple[int, int]] = []
         for t in blocks_of(batches, 3):
             if len(t) > 1:
-                ids = t.column("id").to_numpy()
+                ids, side = t.column("id").to_numpy(), t.column("side").to_numpy()
                 bits = np.stack([t.column("s0").to_numpy(), t.column("s1").to_numpy()], 1)
                 forest = Forest(len(ids))
-                for i, j in zip(*(x.tolist() for x in likely_pairs(t.column("n").to_numpy(), bits, threshold)), strict=True):
-                    forest.join(i, j)
-                found += [(int(ids[i]), int(ids[j])) for i, j in forest.links if ids[i] != ids[j]]
+                i, j = likely_pairs(t.column("n").to_numpy(), bits, threshold)
+                ok = _to_compare(i, j, side, ids)
+                for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+                    forest.join(a, b)
+                found += [(int(ids[a]), int(ids[b])) for a, b in forest.links]
             if len(found) > 50_000:
                 yield _links(found)
                 found = []
         yield _links(found)
 
-    dealt = _dealt(leaves, "node", "members", block).select("node", "p", "q", "id", "n", "s0", "s1")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    cells = in_cells(leaves, block).select("node", "p", "q", "id", "side", "n", "s0", "s1")
+    return cells.repartition("node", "p", "q").sortWithinPartitions("node", "p", "q", "id", "side").mapInArrow(run, "a long, b long")
 
 
 def shared_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -242,49 +263,125 @@ def shared_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.nd
     return out[at[i], at[j]].astype(np.int64)
 
 
-def confirmed(docs: DataFrame, members: DataFrame, key: str, text: str, words: int, threshold: int, block: int = 128, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Spanning links (a, b) of pairs whose full sets reach the threshold, within each cluster.
+def _linked(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: int) -> np.ndarray:
+    """Whether the pairs (i, j) of full sets reach the threshold."""
+    n = np.array([len(x) for x in sets])
+    both = shared_counts(sets, i, j)
+    return 100 * both >= threshold * (n[i] + n[j] - both)
 
-    ``members``: id, cluster, members. Texts of the clustered documents are found through their ids, which are broadcast
-    while they are few and joined by shuffle beyond that."""
-    few = members.count() <= broadcast_rows
+
+def _members_with_text(docs: DataFrame, members: DataFrame, key: str, text: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """``members`` with their texts: found through the ids, broadcast while they are few, joined by shuffle beyond."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    chosen = rows.join(F.broadcast(members) if few else members, "id").select("cluster", "members", "id", "text")
+    few = members.count() <= broadcast_rows
+    return rows.join(F.broadcast(members) if few else members, "id")
+
 
-    def shingled(batches):
+def linked_to_hubs(docs: DataFrame, large: DataFrame, key: str, text: str, words: int, threshold: int, salt: int = 1024) -> DataFrame:
+    """(a, b, cluster, slot): the links between large clusters' members and their hubs, of which each cluster has up
+    to HUBS. A cluster's members are dealt out in parts of about ``salt`` rows; every part gets the hubs."""
+    slot = F.pmod(F.xxhash64("id", F.lit(4)), F.lit(HUBS)).cast("int")
+    hubs = large.groupBy("cluster", slot.alias("slot")).agg(F.min(F.struct("id", "members")).alias("hub")).select("cluster", "slot", "hub.id", "hub.members")
+    parts = F.ceil(F.col("members") / salt).cast("int")
+    asked = hubs.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    # a hub is a member, too; the slot marks the copy that the others are held against
+    own = large.select("cluster", F.lit(None).cast("int").alias("slot"), "id", F.pmod(F.xxhash64("id", F.lit(5)), parts).cast("int").alias("part"))
+    rows = _members_with_text(docs, own.unionByName(asked.drop("members")), key, text)
+    rows = rows.select("cluster", "part", "slot", "id", "text").repartition("cluster", "part").sortWithinPartitions("cluster", "part", F.col("slot").asc_nulls_last(), "id")
+
+    def run(batches):
         shingler = Shingler(words)
+        now, hubs = None, []
         for b in batches:
-            sets = [shingler(t) for t in b.column("text").to_pylist()]
-            bits = np.array([signature(x)[1] for x in sets], np.int64).reshape(-1, 2)
-            packed = pa.array([x.tobytes() for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("cluster"), b.column("members"), b.column("id"), pa.array(bits[:, 0]), pa.array(bits[:, 1]), packed], ["cluster", "members", "id", "s0", "s1", "body"])
+            out: list[list] = [[], [], [], []]
+            for cluster, part, slot, i, t in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                if (cluster, part) != now:
+                    now, hubs = (cluster, part), []
+                own = shingler(t)
+                if slot is not None:
+                    hubs.append((i, slot, own))
+                    continue
+                for hub, at, other in hubs:
+                    if hub == i or (100 * min(len(own), len(other)) >= threshold * max(len(own), len(other)) and _linked([own, other], np.array([0]), np.array([1]), threshold)[0]):
+                        for column, v in zip(out, (hub, i, cluster, at), strict=True):
+                            column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["a", "b", "cluster", "slot"])
+
+    return rows.mapInArrow(run, "a long, b long, cluster long, slot int")
+
+
+def _main_part(masks: np.ndarray, counts: np.ndarray) -> int:
+    """The hubs of the largest part of a cluster, as a bit mask; masks are the sets of hubs that members are linked to."""
+    parts: list[tuple[int, int]] = []
+    for mask, n in zip(masks.tolist(), counts.tolist(), strict=True):
+        for other in [p for p in parts if p[0] & mask]:
+            parts.remove(other)
+            mask, n = mask | other[0], n + other[1]
+        parts.append((mask, n))
+    return max(parts, key=lambda x: (x[1], x[0]))[0] if parts else 0
+
+
+def apart_from_main(large: DataFrame, links: DataFrame) -> DataFrame:
+    """``large`` with apart (not known to be in its cluster's main part) and rest (how many of the cluster are)."""
+    mask = F.bit_or(F.expr("shiftleft(1, slot)")).cast("int")
+    masks = written(links.groupBy("cluster", F.col("b").alias("id")).agg(mask.alias("mask")))
+    # at most 2^HUBS - 1 different masks in a cluster
+    kinds = masks.groupBy("cluster", "mask").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("mask", "n"))).alias("kinds"))
+
+    @F.pandas_udf("int")
+    def main(kinds: pd.Series) -> pd.Series:
+        return pd.Series([_main_part(np.array([k["mask"] for k in ks]), np.array([k["n"] for k in ks])) for ks in kinds], dtype="int32")
+
+    mains = written(kinds.select("cluster", main("kinds").alias("main")))
+    known = masks.join(mains, "cluster").filter(F.col("mask").bitwiseAND(F.col("main")) > 0).select("cluster", "id", F.lit(False).alias("apart"))
+    marked = written(large.join(known, ["cluster", "id"], "left").withColumn("apart", F.coalesce("apart", F.lit(True))))
+    return marked.join(marked.groupBy("cluster").agg(F.count_if("apart").alias("rest")), "cluster")
+
+
+def confirmed(docs: DataFrame, members: DataFrame, key: str, text: str, words: int, threshold: int, block: int = 128) -> DataFrame:
+    """Spanning links (a, b) of pairs whose full sets reach the threshold, within each cluster.
 
-    sets = chosen.mapInArrow(shingled, "cluster long, members long, id long, s0 long, s1 long, body binary")
+    ``members``: id, cluster, members, n, s0, s1. In a cluster of more than ``block``, every member is first held
+    against a few hubs; only members that this leaves apart from the main part are then compared with all others."""
+    small = members.filter(F.col("members") <= block)
+    small = small.select("*", F.lit(True).alias("apart"), F.col("members").alias("rest"))
+    large = members.filter(F.col("members") > block)
+    stars = None
+    todo = small
+    if large.limit(1).count():
+        stars = written(linked_to_hubs(docs, large.select("cluster", "id", "members"), key, text, words, threshold))
+        todo = small.unionByName(apart_from_main(large, stars).filter(F.col("rest") > 0))
 
     def run(batches):
+        shingler = Shingler(words)
         for t in blocks_of(batches, 3):
-            ids = t.column("id").to_numpy()
-            full = [np.frombuffer(x, np.uint64) for x in t.column("body").to_pylist()]
-            n = np.array([len(x) for x in full])
+            ids, side = t.column("id").to_numpy(), t.column("side").to_numpy()
+            n = t.column("n").to_numpy()
             bits = np.stack([t.column("s0").to_numpy(), t.column("s1").to_numpy()], 1)
-            forest = Forest(len(ids))
             i, j = likely_pairs(n, bits, threshold) if len(ids) > 1 else (np.zeros(0, int), np.zeros(0, int))
-            ok = (n[i] > 0) & (n[j] > 0)
+            ok = _to_compare(i, j, side, ids)
             i, j = i[ok], j[ok]
+            used = np.unique(np.concatenate([i, j]))
+            full = [np.zeros(0, np.uint64)] * len(ids)
+            for k in used.tolist():
+                full[k] = shingler(t.column("text")[k].as_py())
+            forest = Forest(len(ids))
             step = 256
             while len(i):  # pairs whose ends have met need no count
                 head, (i, j) = (i[:step], j[:step]), (i[step:], j[step:])
-                shared = shared_counts(full, *head)
-                for a, b, both in zip(*(x.tolist() for x in head), shared.tolist(), strict=True):
-                    if 100 * both >= threshold * (int(n[a]) + int(n[b]) - both):
-                        forest.join(a, b)
+                yes = _linked(full, *head, threshold)
+                for a, b in zip(head[0][yes].tolist(), head[1][yes].tolist(), strict=True):
+                    forest.join(a, b)
                 roots = np.array([forest.root(k) for k in range(len(ids))])
-                apart = roots[i] != roots[j]
-                i, j = i[apart], j[apart]
+                unmet = roots[i] != roots[j]
+                i, j = i[unmet], j[unmet]
                 step = 8192
-            yield _links([(int(ids[a]), int(ids[b])) for a, b in forest.links if ids[a] != ids[b]])
+            yield _links([(int(ids[a]), int(ids[b])) for a, b in forest.links])
 
-    return _dealt(sets, "cluster", "members", block).select("cluster", "p", "q", "id", "s0", "s1", "body").mapInArrow(run, "a long, b long").distinct()
+    rows = _members_with_text(docs, written(in_cells(todo, block).select("cluster", "p", "q", "id", "side", "n", "s0", "s1")), key, text)
+    rows = rows.select("cluster", "p", "q", "id", "side", "n", "s0", "s1", "text").repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "id", "side")
+    found = rows.mapInArrow(run, "a long, b long")
+    return found if stars is None else found.union(stars.filter(F.col("a") != F.col("b")).select("a", "b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -302,7 +399,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: int = 80, trees: int = 6, branches: int = 2, small: int = 64, levels: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: int = 80, trees: int = 6, branches: int = 2, small: int = 64, levels: int = 5, node_block: int = 512, set_block: int = 128) -> DataFrame:
     """(id, n_shingles, component): ``component`` is the smallest id of the document's group. ``threshold`` in percent."""
     all_rows = written(signatures(docs, key, text, words))
     rows = all_rows.filter((F.col("n") > 0) & F.col("id").isNotNull())
@@ -312,28 +409,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     # the trees, level by level: who is in which node; tokens stay in `classes` and are joined where a node branches
     roots = classes.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(trees)])))
     at = _children(roots, F.xxhash64(F.lit("root"), "tree"), branches)
-    leaves = []
+    leaves, stars = [], []
     for level in range(1, levels + 1):
         at = written(at)
-        counts = at.groupBy("node").agg(F.count("*").alias("members"), F.min(F.xxhash64("id")).alias("least")).filter(F.col("members") > 1)
-        known = written(at.join(counts, "node"))
+        counts = at.groupBy("node").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("id"), "id", "n", "s0", "s1")).alias("a")).filter(F.col("members") > 1)
+        known = written(at.join(counts.select("node", "members", "a.id", "a.n", "a.s0", "a.s1").withColumnsRenamed({"id": "h", "n": "hn", "s0": "h0", "s1": "h1"}), "node"))
+        leaves.append(known.filter(F.col("members") <= small).select(*CELL, F.lit(True).alias("apart"), F.col("members").alias("rest")))
         large = known.filter(F.col("members") > small)
-        if level == levels or not large.limit(1).count():
-            leaves.append(known)
+        if not large.limit(1).count():
             break
-        one = large.filter(F.xxhash64("id") == F.col("least")).select("node", F.struct("id", "n", "s0", "s1").alias("a"))
-        alike = large.select("node", "members", F.struct("id", "n", "s0", "s1").alias("b")).join(one, "node").filter(_plausible(threshold))
-        alike = alike.groupBy("node").agg(F.count("*").alias("alike"), F.first("members").alias("members")).filter(2 * F.col("alike") >= F.col("members")).select("node")
-        alike = written(alike)
-        leaves += [known.filter(F.col("members") <= small), large.join(alike, "node", "left_semi")]
-        at = _children(large.join(alike, "node", "left_anti").select(F.col("node").alias("up"), "id").join(classes, "id"), F.col("up"), branches)
-    wanted = ("node", "members", "id", "n", "s0", "s1")
-    likely = written(_union([x.select(*wanted) for x in leaves]).transform(lambda d: likely_links(d, threshold)))
-
-    clusters = components(likely)
+        # every member of a large node is held against one of them, the hub
+        marked = large.withColumn("apart", ~_plausible(threshold))
+        rest = written(marked.groupBy("node").agg(F.count_if("apart").alias("rest"), F.first("members").alias("_all")))
+        last = level == levels
+        stay = rest.filter(F.lit(last) | (2 * F.col("rest") <= F.col("_all"))).select("node", "rest")
+        marked = marked.join(stay, "node", "left")
+        stars.append(marked.filter(F.col("rest").isNotNull() & ~F.col("apart") & (F.col("id") != F.col("h"))).select(F.col("h").alias("a"), F.col("id").alias("b")))
+        leaves.append(marked.filter(F.col("rest") > 0).select(*CELL, "apart", "rest"))
+        if last:
+            break
+        at = _children(marked.filter(F.col("rest").isNull()).select(F.col("node").alias("up"), "id").join(classes, "id"), F.col("up"), branches)
+    likely = _union([likely_links(_union(leaves), threshold, node_block), *stars]).distinct()
+
+    clusters = components(written(likely))
     sizes = clusters.groupBy("label").agg(F.count("*").alias("members"))
-    members = written(clusters.join(sizes, "label").select("id", F.col("label").alias("cluster"), "members"))
-    labels = components(written(confirmed(docs, members, key, text, words, threshold)))
+    members = clusters.join(sizes, "label").join(classes.select("id", "n", "s0", "s1"), "id")
+    members = written(members.select("id", F.col("label").alias("cluster"), "members", "n", "s0", "s1"))
+    labels = components(written(confirmed(docs, members, key, text, words, threshold, set_block).distinct()))
 
     grouped = classes.select("same", F.col("id").alias("first")).join(labels.withColumnRenamed("id", "first"), "first", "left").select("same", F.coalesce("label", "first").alias("label"))
     by_set = rows.select("id", "n", "same").join(grouped, "same").select("id", F.col("n").alias("n_shingles"), F.col("label").alias("component"))
