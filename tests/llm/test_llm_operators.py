@@ -237,7 +237,8 @@ def test_lattice_marginal_equals_all_segmentations():
 @pytest.mark.parametrize("common", [0, 3, 1000])
 def test_lm_scores_equal_brute_force(spark, common):
     texts = [(1, "The cat the DOG"), (2, "cat unseenword"), (3, None), (4, "  a\tb\n"), (5, "cat é cat"), (5, "cat é cat")]
-    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("learn", F.col("doc_id") != 2).withColumn("word", F.lit(1))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("learn", F.col("doc_id") != 2).withColumn("word", F.lit(1)).withColumn("n_known", F.col("text"))
+    docs = docs.withColumn("copy", F.col("text"))
     got = lmscore.score(docs, "learn", VOCABULARY, common=common).toPandas()
     assert len(got) == len(texts)
     words = lambda t: [w.decode() for w in lmscore.tokens(t)]
@@ -249,7 +250,7 @@ def test_lm_scores_equal_brute_force(spark, common):
     lat = Marginals(Vocabulary(VOCABULARY))
     prior = lambda w: float(lat.log_probability([SPACE + w if w != " " else SPACE])[0])
     for r in got.itertuples():
-        ws = [*words(r.text), " "]
+        ws = [*words(r.copy), " "]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(w in count for w in ws), n)
         assert r.base_score == pytest.approx(sum(math.log10((count.get(w, 0) + 1) / (n + v + 1)) for w in ws))
         assert r.lm_score == pytest.approx(sum(math.log10((count.get(w, 0) + once * math.exp(prior(w))) / (n + once)) for w in ws))

@@ -24,12 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxloom.llm.common import written
 from voxloom.llm.lattice import LITERAL, SPACE, Marginals, Vocabulary
 
 #: The closing token; no word has white space, so none equals it.
 END = b" "
+NAMES = ("row", "word", "times", "base", "model", "known")
 _LATTICES: dict[str, Marginals] = {}
 
 
@@ -80,8 +82,14 @@ def with_prior(counts: DataFrame, path: str) -> DataFrame:
     return counts.mapInArrow(run, "word binary, c long, prior double")
 
 
+#: Longer words never enter the broadcast table of common words, which bounds its bytes.
+LONGEST_COMMON = 64
+RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "lm_score")
+
+
 def score(docs: DataFrame, training: str, path: str, text: str = "text", common: int = 150_000) -> DataFrame:
-    """``docs`` with n_tokens, n_known, train_tokens, base_score (add-one unigram) and lm_score, both in log10.
+    """The columns of ``docs`` but the text, with n_tokens, n_known, train_tokens, base_score (add-one unigram) and
+    lm_score, both in log10; columns of ``docs`` with these names are replaced.
 
     ``training``: a boolean column, true for the documents to learn from."""
     spark = docs.sparkSession
@@ -89,18 +97,20 @@ def score(docs: DataFrame, training: str, path: str, text: str = "text", common:
     n, v, once = words.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1)), F.count(F.when(F.col("c") == 1, 1))).first()
     n, a = n or 0, max(1, once)
     base_divisor, model_divisor = math.log10(n + v + 1), math.log10(n + a)
-    top = words.orderBy(F.col("c").desc(), "word").limit(common).toPandas()
+    top = words.filter(F.length("word") <= LONGEST_COMMON).orderBy(F.col("c").desc(), "word").limit(common).toPandas()
     c, prior = top.c.to_numpy(float), top.prior.to_numpy(float)
     with np.errstate(divide="ignore"):
         model = np.where(c > 0, np.log10(c + a * np.exp(prior)), math.log10(a) + prior / math.log(10))
     table = spark.sparkContext.broadcast(({w: k for k, w in enumerate(map(bytes, top.word))}, np.stack([np.log10(c + 1), model, (c > 0).astype(float)], 1) if len(c) else np.zeros((0, 3))))
+    carried = [name for name in docs.columns if name != text and name not in RESULTS]
 
     def split(batches):
-        """Per document one row with the sums over its common words, and one row for each other word."""
+        """Per document one row with its other columns and the sums over its common words, and one for each other word."""
         index, values = table.value
         for b in batches:
+            at_row: list[int | None] = []
             out: list[list] = [[] for _ in range(6)]
-            for row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for r, (row, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 count = Counter(tokens(t))
                 total = sum(count.values()) + 1
                 count[END] += 1
@@ -110,31 +120,38 @@ def score(docs: DataFrame, training: str, path: str, text: str = "text", common:
                 hit = k >= 0
                 sums = times[hit] @ values[k[hit]] if hit.any() else (0.0, 0.0, 0.0)
                 rest = [(w, m) for (w, m), j in zip(count.items(), at, strict=True) if j < 0]
+                at_row += [r, *[None] * len(rest)]
                 out[0] += [row] * (len(rest) + 1)
-                out[1] += [None, *(w for w, _ in rest)]
+                # no word holds white space, so a document's own row meets none; its number spreads such rows evenly
+                out[1] += [b"  %d" % row, *(w for w, _ in rest)]
                 out[2] += [total, *(m for _, m in rest)]
                 for column, x in zip(out[3:], sums, strict=True):
                     column += [float(x), *[None] * len(rest)]
             kinds = (pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["row", "word", "times", "base", "model", "known"])
-
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    parts = numbered.select("_row", text).mapInArrow(split, "row long, word binary, times long, base double, model double, known double")
+            where = pa.array(at_row, pa.int64())
+            own = [b.column(k).take(where) for k in range(2, b.num_columns)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(out, kinds, strict=True)), *own], [*NAMES, *(f"_{k}" for k in range(len(own)))])
+
+    named = [F.col(name).alias(f"_{k}") for k, name in enumerate(carried)]
+    # numbered where the rows are split, so the number is made once
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("text"), *named)
+    fields = [T.StructField(name, kind) for name, kind in zip(NAMES, (T.LongType(), T.BinaryType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.DoubleType()), strict=True)]
+    parts = rows.mapInArrow(split, T.StructType([*fields, *(T.StructField(f"_{k}", docs.schema[name].dataType) for k, name in enumerate(carried))]))
     joined = parts.join(words, "word", "left")
-    seen = F.col("word").isNotNull()
+    whole = F.col("base").isNotNull()
     of_word = F.when(F.col("c") > 0, F.log10(F.col("c") + F.lit(float(a)) * F.exp("prior"))).otherwise(F.lit(math.log10(a)) + F.col("prior") / math.log(10))
     sums = joined.groupBy("row").agg(
-        F.sum(F.when(~seen, F.col("times"))).alias("n_tokens"),
-        F.sum(F.when(seen, F.when(F.col("c") > 0, F.col("times")).otherwise(0)).otherwise(F.col("known").cast("long"))).cast("long").alias("n_known"),
-        F.sum(F.when(seen, F.col("times") * F.log10(F.col("c") + 1)).otherwise(F.col("base"))).alias("base"),
-        F.sum(F.when(seen, F.col("times") * of_word).otherwise(F.col("model"))).alias("model"),
+        F.first(F.when(whole, F.struct(F.lit(0).alias("_"), *(f"_{k}" for k in range(len(carried))))), ignorenulls=True).alias("own"),
+        F.sum(F.when(whole, F.col("times"))).alias("n_tokens"),
+        F.sum(F.when(whole, F.col("known").cast("long")).otherwise(F.when(F.col("c") > 0, F.col("times")).otherwise(0))).cast("long").alias("n_known"),
+        F.sum(F.when(whole, F.col("base")).otherwise(F.col("times") * F.log10(F.col("c") + 1))).alias("base"),
+        F.sum(F.when(whole, F.col("model")).otherwise(F.col("times") * of_word)).alias("model"),
     )
-    scored = sums.select(
-        F.col("row").alias("_row"),
+    return sums.select(
+        *(F.col(f"own._{k}").alias(name) for k, name in enumerate(carried)),
         "n_tokens",
         "n_known",
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * base_divisor).alias("base_score"),
         (F.col("model") - F.col("n_tokens") * model_divisor).alias("lm_score"),
     )
-    return numbered.join(scored, "_row").drop("_row")

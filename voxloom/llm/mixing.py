@@ -27,6 +27,8 @@ from voxloom.llm.common import written
 
 #: Halvings of the exponent's interval in one pass, and passes.
 HALVINGS, PASSES = 4, 8
+#: Blocks that are summed up in one go.
+RUN = 1024
 
 
 def token_count(text: Column) -> Column:
@@ -96,14 +98,18 @@ def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
         )
     )
     block = F.floor(F.col("_spread") * F.coalesce("_blocks", F.lit(1))).cast("long").alias("_block")
-    # tokens of a source's earlier blocks: a running sum over its block totals, not over its documents
-    before = Window.partitionBy("_source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    # tokens of a source's earlier blocks: running sums over its runs of blocks, then within each run, so that no
+    # task holds a whole source however many blocks it has
     blocks = small.join(quota, "_source", "left").select("_source", block, "_tokens").groupBy("_source", "_block").agg(F.sum("_tokens").alias("_in"))
-    blocks = written(blocks.select("_source", "_block", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_earlier")))
+    blocks = written(blocks.withColumn("_run", F.floor(F.col("_block") / RUN)))
+    earlier = lambda *keys, by: F.coalesce(F.sum("_in").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = blocks.groupBy("_source", "_run").agg(F.sum("_in").alias("_in")).select("_source", "_run", earlier("_source", by="_run").alias("_before"))
+    inside = blocks.select("_source", "_run", "_block", earlier("_source", "_run", by="_block").alias("_earlier"))
+    blocks = written(inside.join(runs, ["_source", "_run"]).select("_source", "_block", (F.col("_before") + F.col("_earlier")).alias("_earlier")))
 
-    rows = docs.select("*", name.alias("_source"), spread.alias("_spread"), token_count(F.col(text)).alias("_tokens"))
+    rows = docs.select("*", name.alias("_source"), spread.alias("_spread"), token_count(F.col(text)).alias("_tokens"), F.xxhash64(text).alias("_tie"))
     rows = rows.join(quota, "_source", "left").withColumn("_block", block)
-    within = Window.partitionBy("_source", "_block").orderBy("_spread", key, text).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("_source", "_block").orderBy("_spread", key, "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_upto", F.sum("_tokens").over(within)).join(blocks, ["_source", "_block"])
     start = F.col("_earlier") + F.col("_upto") - F.col("_tokens")
     # copy c of a document starts at c * all + start in its source's stream and is in while that is within the quota
