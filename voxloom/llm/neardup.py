@@ -381,22 +381,42 @@ def confirmed(docs: DataFrame, members: DataFrame, key: str, text: str, words: i
     rows = _members_with_text(docs, written(in_cells(todo, block).select("cluster", "p", "q", "id", "side", "n", "s0", "s1")), key, text)
     rows = rows.select("cluster", "p", "q", "id", "side", "n", "s0", "s1", "text").repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "id", "side")
     found = rows.mapInArrow(run, "a long, b long")
-    return found if stars is None else found.union(stars.filter(F.col("a") != F.col("b")).select("a", "b"))
+    if stars is None:
+        return found
+    # of the links to hubs those of a spanning forest: a member to its first hub, and hubs that share a member
+    of_member = stars.groupBy("b").agg(F.sort_array(F.collect_set("a")).alias("hubs"))
+    chain = F.transform(F.sequence(F.lit(1), F.size("hubs") - 1), lambda k: F.struct(F.element_at("hubs", k).alias("a"), F.element_at("hubs", k + 1).alias("b")))
+    chains = of_member.select("hubs").distinct().filter(F.size("hubs") > 1).select(F.explode(chain).alias("x")).select("x.a", "x.b")
+    return found.union(of_member.select(F.col("hubs")[0].alias("a"), "b")).union(chains)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, label) for every id in ``links`` (a, b): the smallest id of its component. Labels fall to the least
-    neighbouring label and then jump to their label's label, until nothing changes."""
-    both = written(links.union(links.select("b", "a")).toDF("id", "to").distinct())
-    labels = written(both.groupBy("id").agg(F.min("to").alias("low")).select("id", F.least("id", "low").alias("label")))
-    while True:
-        near = both.join(labels.withColumnsRenamed({"id": "to", "label": "near"}), "to").groupBy("id").agg(F.min("near").alias("near"))
-        low = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("low"))
-        jump = labels.withColumnsRenamed({"id": "low", "label": "jump"})
-        after = written(low.join(jump, "low").select("id", F.col("label").alias("was"), F.least("low", "jump").alias("label")))
-        labels = after.select("id", "label")
-        if not after.filter(F.col("was") != F.col("label")).limit(1).count():
-            return labels
+    """(id, label) for every id in ``links`` (a, b): the smallest id of its component.
+
+    In every round each id hooks on to its neighbour of highest degree (ties by a hash of the round) if that comes before
+    itself, takes that one's hook in turn, and the links are contracted to what still leads from one label to another:
+    a star is done in one round, and any other shape shrinks to a share of itself."""
+    ends = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    links = written(links.filter("a != b").select(*ends("a", "b")).distinct())
+    labels, turn = None, 0
+    while links.limit(1).count():
+        turn += 1
+        rank = lambda x, degree, turn=turn: F.struct((-F.col(degree)).alias("d"), F.xxhash64(F.lit(turn), x).alias("h"), F.col(x).alias("id"))
+        both = links.union(links.select("b", "a")).toDF("id", "to")
+        degrees = both.groupBy("to").agg(F.count("*").alias("degree"))
+        near = both.join(degrees, "to").groupBy("id").agg(F.min(rank("to", "degree")).alias("low"), F.count("*").alias("own"))
+        hook = written(near.select("id", F.least("low", rank("id", "own"))["id"].alias("up")))
+        step = written(hook.join(hook.select(F.col("id").alias("up"), F.col("up").alias("label")), "up").select("id", "label"))
+        of = lambda end: step.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label"))  # noqa: E731, B023
+        links = written(links.join(of("a"), "a").join(of("b"), "b").filter("a_label != b_label").select(*ends("a_label", "b_label")).distinct())
+        if labels is not None:
+            further = step.select(F.col("id").alias("label"), F.col("label").alias("_next"))
+            step = written(labels.join(further, "label", "left").select("id", F.coalesce("_next", "label").alias("label")))
+        labels = step
+    if labels is None:
+        return links.select(F.col("a").alias("id"), F.col("b").alias("label"))
+    least = labels.groupBy("label").agg(F.min("id").alias("least"))
+    return labels.join(least, "label").select("id", F.least("id", "least").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: int = 80, trees: int = 6, branches: int = 2, small: int = 64, levels: int = 5, node_block: int = 512, set_block: int = 128) -> DataFrame:
@@ -415,11 +435,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         counts = at.groupBy("node").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("id"), "id", "n", "s0", "s1")).alias("a")).filter(F.col("members") > 1)
         known = written(at.join(counts.select("node", "members", "a.id", "a.n", "a.s0", "a.s1").withColumnsRenamed({"id": "h", "n": "hn", "s0": "h0", "s1": "h1"}), "node"))
         leaves.append(known.filter(F.col("members") <= small).select(*CELL, F.lit(True).alias("apart"), F.col("members").alias("rest")))
-        large = known.filter(F.col("members") > small)
-        if not large.limit(1).count():
-            break
         # every member of a large node is held against one of them, the hub
-        marked = large.withColumn("apart", ~_plausible(threshold))
+        marked = written(known.filter(F.col("members") > small).withColumn("apart", ~_plausible(threshold)))
+        if not marked.limit(1).count():
+            break
         rest = written(marked.groupBy("node").agg(F.count_if("apart").alias("rest"), F.first("members").alias("_all")))
         last = level == levels
         stay = rest.filter(F.lit(last) | (2 * F.col("rest") <= F.col("_all"))).select("node", "rest")
