@@ -82,6 +82,20 @@ def with_prior(counts: DataFrame, path: str) -> DataFrame:
     return counts.mapInArrow(run, "word binary, c long, prior double")
 
 
+def _common(words: DataFrame, most: int) -> DataFrame:
+    """The most frequent words, at most ``most``: those from a count on, which a histogram of the counts' logarithms
+    gives (a bounded number of rows, whatever the number of words)."""
+    level = F.when(F.col("c") > 0, F.floor(16 * F.log2("c"))).otherwise(-1)
+    short = words.filter(F.length("word") <= LONGEST_COMMON).withColumn("_level", level)
+    total, least = 0, None
+    for row in short.groupBy("_level").count().orderBy(F.col("_level").desc()).collect():
+        total += row["count"]
+        if total > most:
+            break
+        least = row["_level"]
+    return short.filter(F.col("_level") >= least if least is not None else F.lit(False)).drop("_level")
+
+
 #: Longer words never enter the broadcast table of common words, which bounds its bytes.
 LONGEST_COMMON = 64
 RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "lm_score")
@@ -97,7 +111,7 @@ def score(docs: DataFrame, training: str, path: str, text: str = "text", common:
     n, v, once = words.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1)), F.count(F.when(F.col("c") == 1, 1))).first()
     n, a = n or 0, max(1, once)
     base_divisor, model_divisor = math.log10(n + v + 1), math.log10(n + a)
-    top = words.filter(F.length("word") <= LONGEST_COMMON).orderBy(F.col("c").desc(), "word").limit(common).toPandas()
+    top = _common(words, common).toPandas()
     c, prior = top.c.to_numpy(float), top.prior.to_numpy(float)
     with np.errstate(divide="ignore"):
         model = np.where(c > 0, np.log10(c + a * np.exp(prior)), math.log10(a) + prior / math.log(10))
