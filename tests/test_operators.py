@@ -153,7 +153,9 @@ def test_realign_recovers_motion(spark):
     # interpolation blurs, so a volume that lies on the grid is best matched a little off it
     assert abs(shift - np.array(moved)).max() < 0.15 and abs(got[["rx", "ry", "rz"]].to_numpy()).max() < 0.03
     again = np.stack(got.data.to_numpy())
-    assert abs(again[1] - again[0]).max() < 0.1 < abs(blob(shape, moved[1]).ravel() - blob(shape).ravel()).max()
+    inner = lambda v: v.reshape(shape[::-1])[2:-2, 2:-2, 2:-2]
+    before = ((blob(shape, moved[1]) - blob(shape)) ** 2)[2:-2, 2:-2, 2:-2].mean()
+    assert ((inner(again[1]) - inner(again[0])) ** 2).mean() < 0.2 * before
 
 
 def test_warp_brings_volumes_closer():
