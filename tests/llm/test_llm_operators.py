@@ -75,7 +75,7 @@ def test_language_words_then_shorter_grams(spark):
     score = langid.Scorer(model)
     assert score("the river")[0] == "en" and score("la rivière")[0] == "fr"
     assert score("rivièrement")[0] == "fr"  # unseen: decided by its n-grams
-    assert "zq" not in model.words and langid.Model(["a"], {}, {"z": np.array([1.0])}, np.zeros(1)).row("zq").tolist() == [1.0]
+    assert "zq" not in model.words and langid.Model(["a"], ({}, np.zeros((0, 1))), ({"z": 0}, np.array([[1.0]])), np.zeros(1)).row("zq").tolist() == [1.0]
 
 
 def test_language_odd_rows(odd, empty):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import bounded_sample
+from voxloom.llm.common import bounded_sample, written
 
 UNDETERMINED = "und"
 LONGEST_GRAM = 5
@@ -41,26 +41,27 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies per language; words and n-grams share the layout: a dict from the string to a row."""
+    """Log frequencies per language: a matrix for the words and one for the n-grams, with a dict from string to row."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], pieces: dict[str, np.ndarray], prior: np.ndarray):
-        self.langs, self.words, self.pieces, self.prior = langs, words, pieces, prior
+    def __init__(self, langs: list[str], words: tuple[dict[str, int], np.ndarray], pieces: tuple[dict[str, int], np.ndarray], prior: np.ndarray):
+        self.langs, self.prior = langs, prior
+        (self.words, self.word_logs), (self.pieces, self.piece_logs) = words, pieces
 
     def row(self, word: str) -> np.ndarray:
-        got = self.words.get(word)
-        if got is not None:
-            return got
+        at = self.words.get(word)
+        if at is not None:
+            return self.word_logs[at]
         for n in range(min(LONGEST_GRAM, len(word) + 2), 0, -1):
-            known = [r for g in grams(word, n) if (r := self.pieces.get(g)) is not None]
+            known = [k for g in grams(word, n) if (k := self.pieces.get(g)) is not None]
             if known:
-                return np.mean(known, axis=0)
+                return self.piece_logs[known].mean(0)
         return np.zeros(len(self.langs))
 
 
 class Scorer:
     """A model with a bounded memo of the rows of words, one for each Python worker."""
 
-    def __init__(self, model: Model, memo: int = 300_000):
+    def __init__(self, model: Model, memo: int = 100_000):
         self.model, self.memo = model, memo
         self.clear()
 
@@ -113,13 +114,13 @@ def _counts(batches, pieces: bool):
             elif item:
                 for w, c in Counter(_WORD.findall(item.lower())).items():
                     acc[lang, w] += c
-            if len(acc) > 200_000:
+            if len(acc) > 50_000:
                 yield flush(acc)
                 acc.clear()
     yield flush(acc)
 
 
-def _table(counts: DataFrame, most: int, langs: list[str]) -> dict[str, np.ndarray]:
+def _table(counts: DataFrame, most: int, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
     """Log frequencies of the ``most`` commonest items, add-half smoothed."""
     per_item = counts.groupBy("item").pivot("lang", langs).agg(F.sum("n"))
     lang_cols = [F.coalesce(F.col(f"`{lang}`"), F.lit(0)).alias(f"n{k}") for k, lang in enumerate(langs)]
@@ -128,7 +129,7 @@ def _table(counts: DataFrame, most: int, langs: list[str]) -> dict[str, np.ndarr
     top = per_item.orderBy(total.desc(), "item").limit(most).toPandas()
     n = top[[f"n{k}" for k in range(len(langs))]].to_numpy(float)
     logs = np.log((n + 0.5) / (n.sum(0) + 0.5 * max(1, len(n))))
-    return dict(zip(top["item"], logs, strict=True))
+    return {x: k for k, x in enumerate(top["item"])}, logs
 
 
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = 20_000, max_words: int = 60_000, max_grams: int = 60_000, seed: int = 7) -> Model:
@@ -138,15 +139,11 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     prior = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(prior)
     if not langs:
-        return Model([], {}, {}, np.zeros(0))
+        return Model([], ({}, np.zeros((0, 0))), ({}, np.zeros((0, 0))), np.zeros(0))
     schema = "lang string, item string, n long"
-    words = rows.mapInArrow(lambda b: _counts(b, False), schema).groupBy("lang", "item").agg(F.sum("n").alias("n")).persist()
-    try:
-        known = _table(words, max_words, langs)
-        pieces = words.mapInArrow(lambda b: _counts(b, True), schema).groupBy("lang", "item").agg(F.sum("n").alias("n"))
-        return Model(langs, known, _table(pieces, max_grams, langs), np.log([prior[x] / sum(prior.values()) for x in langs]))
-    finally:
-        words.unpersist()
+    words = written(rows.mapInArrow(lambda b: _counts(b, False), schema).groupBy("lang", "item").agg(F.sum("n").alias("n")))
+    pieces = written(words.mapInArrow(lambda b: _counts(b, True), schema).groupBy("lang", "item").agg(F.sum("n").alias("n")))
+    return Model(langs, _table(words, max_words, langs), _table(pieces, max_grams, langs), np.log([prior[x] / sum(prior.values()) for x in langs]))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

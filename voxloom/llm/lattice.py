@@ -157,7 +157,7 @@ class Lattice:
         return self.fallback_bytes(points) * self.scores[self.vocabulary.byte_ids[0]]
 
 
-def blocks(words: list[str], most: int = 1 << 21):
+def blocks(words: list[str], most: int = 1 << 19):
     """Words in blocks of bounded size, each by falling length and of similar lengths: their indices, a matrix of code
     points (position x word) and the lengths."""
     length = np.fromiter(map(len, words), np.int64, len(words))

@@ -49,7 +49,7 @@ def words_of(text: str, line_feed: bool) -> list[str]:
 class Encoder:
     """Encodes words with a memo bounded to two generations; one encoder for each Python worker."""
 
-    def __init__(self, path: str, memo: int = 150_000, block: int = 512):
+    def __init__(self, path: str, memo: int = 60_000, block: int = 512):
         self.vocabulary = Vocabulary(path)
         self.best = BestPaths(self.vocabulary)
         self.memo, self.block = memo, block
