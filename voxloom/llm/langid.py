@@ -17,7 +17,6 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -151,10 +150,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     scorers: list[Scorer] = []
 
-    @F.pandas_udf("lang string, score double")
-    def best(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("lang string, score double")
+    def best(texts: pa.Array) -> pa.Array:
         if not scorers:
             scorers.append(Scorer(shared.value))
-        return pd.DataFrame([scorers[0](t) for t in texts], columns=["lang", "score"])
+        # small slices keep what a worker holds small
+        found = [scorers[0](t) for at in range(0, len(texts), 256) for t in texts.slice(at, 256).to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang", "score"])
 
     return docs.withColumn("_lang", best(F.col(text))).withColumns({"lang_pred": F.col("_lang.lang"), "lang_score": F.col("_lang.score")}).drop("_lang")

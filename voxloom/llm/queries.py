@@ -66,7 +66,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded_digests(docs: DataFrame) -> DataFrame:
     """doc_id, counts, the ids' digest, the path's score, and whether decoding gives the text back."""
-    coded = spm.decode(spm.encode(docs, VOCABULARY), VOCABULARY)
+    coded = spm.encode(docs, VOCABULARY, decoded="decoded")
     return coded.select(
         "doc_id",
         F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),

@@ -49,7 +49,7 @@ def words_of(text: str, line_feed: bool) -> list[str]:
 class Encoder:
     """Encodes words with a memo bounded to two generations; one encoder for each Python worker."""
 
-    def __init__(self, path: str, memo: int = 60_000, block: int = 512):
+    def __init__(self, path: str, memo: int = 40_000, block: int = 256):
         self.vocabulary = Vocabulary(path)
         self.best = BestPaths(self.vocabulary)
         self.memo, self.block = memo, block
@@ -279,26 +279,36 @@ def encode_giants(texts: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     return whole.select("digest", F.flatten(F.col("parts.ids")).alias("ids"), F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["score"]).alias("score"))
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """``docs`` with ``ids`` (array of int) and ``piece_score`` (sum of their scores)."""
+def encode(docs: DataFrame, path: str, text: str = "text", giant: int = GIANT, chunk: int = CHUNK, decoded: str | None = None) -> DataFrame:
+    """``docs`` with ``ids`` (array of int) and ``piece_score`` (sum of their scores); with ``decoded``, also a column of
+    that name with the text that the ids stand for, found in the same pass."""
     size = F.length(F.coalesce(F.col(text), F.lit("")))
     small, large = docs.filter(size <= giant), docs.filter(size > giant)
 
     names = docs.columns
 
+    more = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("piece_score", T.DoubleType())]
+    more += [T.StructField(decoded, T.StringType())] if decoded else []
+
     def run(batches):
+        own = encoder(path)
         for b in batches:
-            got = encoder(path).encode(b.column(names.index(text)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, _id_lists(got), pa.array(map(encoder(path).score, got), pa.float64())], names=[*b.schema.names, "ids", "piece_score"])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("piece_score", T.DoubleType())])
+            for at in range(0, b.num_rows, own.block):  # small slices keep what a worker holds small
+                part = b.slice(at, own.block)
+                got = own.encode(part.column(names.index(text)).to_pylist())
+                out = [_id_lists(got), pa.array(map(own.score, got), pa.float64())]
+                if decoded:
+                    out.append(pa.array([own.decode(np.frombuffer(x, np.int32)) for x in got], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *out], names=[*b.schema.names, *(f.name for f in more)])
+
+    schema = T.StructType([*docs.schema.fields, *more])
     plain = small.mapInArrow(run, schema)
     digest = F.sha2(F.col(text), 256).alias("digest")
     distinct = large.select(digest, F.col(text).alias("text")).dropDuplicates(["digest"])
     solved = encode_giants(distinct, path, chunk)
     keyed = large.withColumn("_digest", F.sha2(F.col(text), 256))
     joined = keyed.join(solved.withColumnsRenamed({"digest": "_digest", "score": "piece_score"}), "_digest").select(*names, "ids", "piece_score")
-    return plain.unionByName(joined)
+    return plain.unionByName(decode(joined, path, to=decoded) if decoded else joined)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
