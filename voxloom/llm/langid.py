@@ -46,15 +46,30 @@ class Model:
         self.langs, self.prior = langs, prior
         (self.words, self.word_logs), (self.pieces, self.piece_logs) = words, pieces
 
-    def row(self, word: str) -> np.ndarray:
-        at = self.words.get(word)
-        if at is not None:
-            return self.word_logs[at]
+    def known_grams(self, word: str) -> list[int]:
+        """Rows of the longest n-grams of an unseen word of which any is known."""
+        get = self.pieces.get
         for n in range(min(LONGEST_GRAM, len(word) + 2), 0, -1):
-            known = [k for g in grams(word, n) if (k := self.pieces.get(g)) is not None]
+            known = [k for g in grams(word, n) if (k := get(g)) is not None]
             if known:
-                return self.piece_logs[known].mean(0)
-        return np.zeros(len(self.langs))
+                return known
+        return []
+
+    def row(self, word: str) -> np.ndarray:
+        return self.rows([word])[0]
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """One row for each word; those that back off are averaged together."""
+        out = np.zeros((len(words), len(self.langs)))
+        whole = [self.words.get(w, -1) for w in words]
+        seen = np.array(whole) >= 0
+        out[seen] = self.word_logs[np.array(whole)[seen]]
+        backed = [(r, k) for r, w in enumerate(words) if whole[r] < 0 and (k := self.known_grams(w))]
+        if backed:
+            n = np.array([len(k) for _, k in backed])
+            sums = np.add.reduceat(self.piece_logs[[g for _, k in backed for g in k]], np.cumsum(n) - n)
+            out[[r for r, _ in backed]] = sums / n[:, None]
+        return out
 
 
 class Scorer:
@@ -68,12 +83,12 @@ class Scorer:
         self.index: dict[str, int] = {}
         self.rows = np.zeros((1024, max(1, len(self.model.langs))))
 
-    def at(self, word: str) -> int:
-        k = self.index[word] = len(self.index)
-        if k == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[k] = self.model.row(word)
-        return k
+    def learn(self, words: list[str]) -> None:
+        first, end = len(self.index), len(self.index) + len(words)
+        self.index.update(zip(words, range(first, end), strict=True))
+        if end > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(end - len(self.rows), len(self.rows)), self.rows.shape[1]))])
+        self.rows[first:end] = self.model.rows(words)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         m = self.model
@@ -82,8 +97,9 @@ class Scorer:
         if len(self.index) > self.memo:
             self.clear()
         words = Counter(_WORD.findall(text.lower()))
-        get = self.index.get
-        at = [k if (k := get(w)) is not None else self.at(w) for w in words]
+        if new := [w for w in words if w not in self.index]:
+            self.learn(new)
+        at = list(map(self.index.__getitem__, words))
         n = np.fromiter(words.values(), float, len(words))
         total = (self.rows[at] * n[:, None]).sum(0)
         seen = n.sum()

@@ -57,7 +57,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct shingle hashes of a text; word hashes are kept in a bounded memo."""
 
-    def __init__(self, words: int, memo: int = 400_000):
+    def __init__(self, words: int, memo: int = 100_000):
         self.words, self.memo, self.known = words, memo, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -93,7 +93,7 @@ def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
     def run(batches):
         shingler = Shingler(words)
-        for b in batches:
+        for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             out: list[list] = [[], [], [], [], []]
             for t in b.column(1).to_pylist():
                 x = shingler(t)
