@@ -419,7 +419,7 @@ def components(links: DataFrame) -> DataFrame:
     return labels.join(least, "label").select("id", F.least("id", "least").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: int = 80, trees: int = 6, branches: int = 2, small: int = 64, levels: int = 5, node_block: int = 512, set_block: int = 128) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: int = 80, trees: int = 6, branches: int = 2, small: int = 64, levels: int = 3, node_block: int = 1024, set_block: int = 128) -> DataFrame:
     """(id, n_shingles, component): ``component`` is the smallest id of the document's group. ``threshold`` in percent."""
     all_rows = written(signatures(docs, key, text, words))
     rows = all_rows.filter((F.col("n") > 0) & F.col("id").isNotNull())
