@@ -437,3 +437,17 @@ def test_long_conversation(spark):
     rows = [(1, t, "assistant" if t % 2 else "user", f"t{t}") for t in range(100)]
     got = chat.format_paths(chat.linear_nodes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
     assert [s.strip() for s in got.formatted.split("</turn>")[:-1]] == [f"### {r}: {t}" for _, _, r, t in rows]
+
+
+@pytest.mark.parametrize("turns", [3, 5, 300])
+@pytest.mark.parametrize("beside", [False, True])
+def test_conversation_with_most_of_the_nodes(spark, turns, beside):
+    rows = [(1, t, "user", f"t{t}") for t in range(turns)] + [(-7, t, "user", "x") for t in range(2)] * beside
+    got = chat.format_paths(chat.linear_nodes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert {r.tree_id: r.formatted.count("</turn>") for r in got} == {1: turns} | ({-7: 2} if beside else {})
+
+
+def test_leaf_into_cycle_beside_long_conversation(spark):
+    rows = [(1, t, t - 1, "user", "x", 0.0) for t in range(5)] + [(2, 1, 2, "user", "x", 0.0), (2, 2, 1, "user", "x", 0.0), (2, 3, 2, "user", "x", 0.0)]
+    got = chat.format_paths(spark.createDataFrame(rows, NODES)).collect()
+    assert [(r.tree_id, r.formatted.count("</turn>")) for r in got] == [(1, 5)]

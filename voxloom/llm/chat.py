@@ -62,11 +62,11 @@ def branches(nodes: DataFrame, best: int = 1) -> DataFrame:
     here = ids.select("tree_id", F.col("node_id").alias("parent_id"))
     hops = [written(ids.join(here, ["tree_id", "parent_id"]).select("tree_id", "node_id", F.col("parent_id").alias("up")))]
     nodes_in_all = ids.count()
-    while (left := hops[-1].limit(1).count()) and 2 ** len(hops) <= nodes_in_all:
+    while (left := hops[-1].limit(1).count()) and 2 ** (len(hops) - 1) < nodes_in_all:
         again = hops[-1].select("tree_id", F.col("node_id").alias("up"), F.col("up").alias("_to"))
         hops.append(written(hops[-1].join(again, ["tree_id", "up"]).select("tree_id", "node_id", F.col("_to").alias("up"))))
     leaves = ids.join(hops[0].select("tree_id", F.col("up").alias("node_id")).distinct(), ["tree_id", "node_id"], "left_anti")
-    if left:  # only a path that runs into a cycle is longer than the number of nodes
+    if left:  # the last hop jumps as many replies as there are nodes or more: only a path that runs into a cycle has it
         leaves = leaves.join(hops[-1].select("tree_id", "node_id"), ["tree_id", "node_id"], "left_anti")
     paths = leaves.select("tree_id", F.col("node_id").alias("leaf_id"), "node_id", F.lit(0).cast("long").alias("distance"))
     for k, hop in enumerate(hops):
