@@ -181,6 +181,20 @@ def test_judge_adds_spans_and_redacts(spark):
     assert texts[0] == rows[0][1]
 
 
+def test_judge_adds_spans_that_no_base_rule_finds(spark):
+    rng = random.Random(3)
+    number = lambda: f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    word = lambda: "".join(rng.choices("aeinrst", k=5))
+    kinds = (lambda: f"call me on phone +1 {number()} now", lambda: f"contact me by mail {word()}.{rng.randint(1, 99)}@{word()}{rng.randint(1, 9)}.example.com now", lambda: f"version token {rng.randint(10**7, 10**8)} of it", lambda: f"{word()} {word()} {word()} {word()} {word()}")
+    docs = spark.createDataFrame([(i, kinds[i % 4](), None, None) for i in range(4000)], DOCS)
+    judge = pii.train(docs)
+    planted = {"you reach me by mail name (at) host (dot) org now": "you reach me by mail [EMAIL] now", "call me on phone 555-123-4567 now": "call me on phone [PHONE] now"}
+    clean = ["version token 12345678 of it", "look at the dot matrix of it", "we are here since 2024-01-15 or so", 'token = "a95f8013a8e106335957369e74af1c8"']
+    rows = spark.createDataFrame([(i, t, None, None) for i, t in enumerate([*planted, *clean])], DOCS)
+    assert not any(r.pii_base for r in pii.find(rows, judge).collect())
+    assert [r.text for r in pii.redact(rows, judge).orderBy("doc_id").collect()] == [*planted.values(), *clean]
+
+
 def test_pii_odd_rows(odd, empty):
     judge = pii.train(odd)
     assert pii.find(odd, judge).count() == len(ODD)
