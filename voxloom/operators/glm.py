@@ -33,9 +33,15 @@ def task_regressor(onsets: Sequence[float], durations: Sequence[float], scans: i
     box = np.zeros(len(t))
     for o, d in zip(onsets, durations, strict=True):
         box += (t >= o * tr) & (t < (o + d) * tr)
+    return convolved(box, scans, tr)
+
+
+def convolved(box: np.ndarray, scans: int, tr: float) -> np.ndarray:
+    """A course in micro time convolved with the canonical response, sampled within every scan."""
+    dt = tr / MICRO
     h = hrf(np.arange(int(round(32 / dt)) + 1) * dt)
-    full = np.convolve(box, h)[: len(t)] * dt
-    return full[np.minimum(np.arange(scans) * MICRO + MICRO_ONSET - 1, len(t) - 1)]
+    full = np.convolve(box, h)[: len(box)] * dt
+    return full[np.minimum(np.arange(scans) * MICRO + MICRO_ONSET - 1, len(box) - 1)]
 
 
 def design(conditions: dict[str, tuple[Sequence[float], Sequence[float]]], scans: int, tr: float, motion: np.ndarray | None = None, cutoff: float | None = None) -> tuple[np.ndarray, list[str]]:

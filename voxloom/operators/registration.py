@@ -159,9 +159,35 @@ def pull(volumes: np.ndarray, u: np.ndarray) -> np.ndarray:
     return trilinear(volumes, points).reshape(len(volumes), nz, ny, nx)
 
 
-def warp(moving: np.ndarray, fixed: np.ndarray, iterations: int = 40, rate: float = 0.2, regular: float = 0.1) -> np.ndarray:
-    """Displacement that carries ``moving`` onto ``fixed``: descent on squared differences with a smoothing term."""
+def pooled(volumes: np.ndarray, k: int) -> np.ndarray:
+    """Means of blocks of k x k x k voxels; voxels beyond the last whole block are left out."""
+    n, *size = volumes.shape
+    nz, ny, nx = (a // k for a in size)
+    return volumes[:, : nz * k, : ny * k, : nx * k].reshape(n, nz, k, ny, k, nx, k).mean((2, 4, 6))
+
+
+def refined(volumes: np.ndarray, k: int, size: tuple[int, int, int]) -> np.ndarray:
+    """Block means brought back to the fine grid of ``size``, block centres to block centres."""
+    nz, ny, nx = size
+    points = np.clip((grid((nx, ny, nz)) + 0.5) / k - 0.5, 0, np.array(volumes.shape[:0:-1]) - 1)
+    return trilinear(volumes, points).reshape(len(volumes), nz, ny, nx)
+
+
+def warp(moving: np.ndarray, fixed: np.ndarray, iterations: int = 40, rate: float = 0.2, regular: float = 0.1, coarse: tuple[int, ...] = (3, 3, 6)) -> np.ndarray:
+    """Displacement that carries ``moving`` onto ``fixed``: descent on squared differences with a smoothing term.
+
+    From coarse to fine: ``coarse`` are the iterations on grids of 1/8, 1/4, 1/2 (if three), ``iterations`` those on the
+    full one. Grids of less than two voxels along an axis are left out, as they have no slopes."""
     v = np.zeros((3, *fixed.shape))
+    for level, count in enumerate(coarse):
+        k = 2 ** (len(coarse) - level)
+        if min(fixed.shape) // k >= 2:
+            start = pooled(v, k) / k
+            v = v + k * refined(_descend(start.copy(), pooled(moving[None], k)[0], pooled(fixed[None], k)[0], count, rate, regular) - start, k, fixed.shape)
+    return integrate(_descend(v, moving, fixed, iterations, rate, regular), 6)
+
+
+def _descend(v: np.ndarray, moving: np.ndarray, fixed: np.ndarray, iterations: int, rate: float, regular: float) -> np.ndarray:
     scale = max(1e-12, float(np.abs(np.gradient(moving)).max()) ** 2)
     for _ in range(iterations):
         u = integrate(v, 4)
@@ -169,7 +195,7 @@ def warp(moving: np.ndarray, fixed: np.ndarray, iterations: int = 40, rate: floa
         slope = np.stack([np.gradient(warped, axis=a) for a in (2, 1, 0)])
         smooth = np.stack([_laplace(c) for c in v])
         v -= rate * ((warped - fixed) * slope / scale - regular * smooth)
-    return integrate(v, 6)
+    return v
 
 
 def _laplace(c: np.ndarray) -> np.ndarray:

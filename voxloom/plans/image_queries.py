@@ -248,14 +248,14 @@ def _reference() -> np.ndarray:
 @query()
 def coreg_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every volume against one reference by mutual information."""
-    got = registration.per_volume(image(spark, sf_dir), SHAPE, _reference(), lambda v, fixed: registration.coregister(v, fixed, 8), "p")
+    got = registration.per_volume(image(spark, sf_dir), SHAPE, _reference(), registration.coregister, "p")
     return got.select("t", F.transform("p", lambda v: F.round(v, 6)).alias("p"))
 
 
 @query()
 def svf_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every volume onto one reference by a stationary velocity field: the mean displacement."""
-    got = registration.per_volume(image(spark, sf_dir), SHAPE, _reference(), lambda v, fixed: registration.warp(v, fixed, 6), "u")
+    got = registration.per_volume(image(spark, sf_dir), SHAPE, _reference(), registration.warp, "u")
     return got.select("t", F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + F.abs(x)) / F.size("u"), 6).alias("mean_shift"))
 
 

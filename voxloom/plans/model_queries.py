@@ -134,7 +134,7 @@ def mrf_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixture_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three classes of the lower half of line item quantities by k-means and EM."""
     rows = table(spark, sf_dir, "lineitem").filter(F.col("l_quantity").isNotNull()).select("l_quantity")
-    found = segment.mixture(rows, "l_quantity", 3, iterations=15)
+    found = segment.mixture(rows, "l_quantity", 3)
     return spark.createDataFrame([(k, *map(float, c)) for k, c in enumerate(found)], "k int, share double, mean double, sd double")
 
 

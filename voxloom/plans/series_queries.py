@@ -123,8 +123,15 @@ def hrf_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def design_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns of the default design, as (scan, col, name, value)."""
-    x, names = glm.design({"Task": ((0, 30, 60, 90, 120), (15,) * 5)}, 150, 2.0, cutoff=128.0)
+    """Columns of the design of one event type over all hours, as (scan, col, name, value). An hour stands for a scan of
+    2 s, as a response is over long before an hour of true time."""
+    events, n = _onsets(spark, sf_dir)
+    micro = events.select((F.col("onset") * glm.MICRO).alias("onset"), (F.col("duration") * glm.MICRO).alias("duration"))
+    rows = glm.boxcar(spark.range(n * glm.MICRO).withColumnRenamed("id", "scan"), micro).filter("hits > 0").collect()  # a value per step
+    box = np.zeros(n * glm.MICRO)
+    box[[r["scan"] for r in rows]] = [r["hits"] for r in rows]
+    x, names = glm.design({}, n, 2.0, cutoff=128.0)
+    x, names = np.column_stack([glm.convolved(box, n, 2.0), x]), ["Task", *names]
     rows = [(int(s), int(c), names[c], float(np.round(x[s, c], 6))) for s in range(x.shape[0]) for c in range(x.shape[1])]
     return spark.createDataFrame(rows, "scan int, col int, name string, value double")
 
