@@ -202,6 +202,12 @@ def test_pii_odd_rows(odd, empty):
     assert pii.find(empty, pii.train(empty)).count() == 0
 
 
+def test_mixing_keeps_the_last_short_documents_of_a_huge_source(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "token_count", lambda c: F.when(c == "huge", F.lit(10**10)).otherwise(F.lit(1)).cast("long"))
+    docs = spark.createDataFrame([(i, "huge" if i == 0 else f"w{i}", "en", "a") for i in range(9)], DOCS)
+    assert sorted(r.doc_id for r in mixing.mixed(docs, repeats=5.0).collect()) == list(range(9))
+
+
 # --- quality ---------------------------------------------------------------------------------------------------------
 def test_quality_learns_an_interaction():
     rng = np.random.default_rng(0)

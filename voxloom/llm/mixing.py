@@ -88,12 +88,13 @@ def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
     weighted = sources.withColumn("weight", power / F.lit(z))
     if budget is None:  # the smallest that uses every source once
         budget = weighted.agg(F.max(F.col("tokens") / F.col("weight"))).first()[0] or 1.0
+    quota = F.col("weight") * F.lit(float(budget))
     quota = written(
         weighted.select(
             F.col("source").alias("_source"),
             F.col("tokens").alias("_all"),
             F.col("weight").alias("mix_weight"),
-            (F.col("weight") * F.lit(float(budget)) * (1 - 1e-9)).alias("_quota"),
+            (quota - F.least(quota * 1e-9, F.lit(0.5))).alias("_quota"),  # rounding gives no extra copy, and no document is lost
             F.ceil(F.col("docs") / block_docs).alias("_blocks"),
         )
     )
