@@ -361,6 +361,16 @@ def test_damaged_chunk_fails(spark, tmp_path):
         media.read(spark, f"file://{tmp_path}/b").collect()
 
 
+def test_missing_chunk_of_a_short_payload_fails(spark, tmp_path):
+    media.store(spark.createDataFrame([(1, "abc"), (2, "def")], "doc_id long, text string"), f"file://{tmp_path}/a")
+    assert media.read(spark, f"file://{tmp_path}/a").count() == 2
+    for name in ("media", "rows", "chunks"):
+        df = spark.read.parquet(f"file://{tmp_path}/a/{name}")
+        (df.orderBy("digest").limit(1) if name == "chunks" else df).write.parquet(f"file://{tmp_path}/b/{name}")
+    with pytest.raises(Exception, match="missing chunk"):
+        media.read(spark, f"file://{tmp_path}/b").collect()
+
+
 def test_cuts_follow_content():
     rng = random.Random(9)
     data = bytes(rng.randrange(256) for _ in range(400_000))

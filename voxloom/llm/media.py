@@ -199,7 +199,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     ordered = longer.join(chunks.filter("part").select("digest", "body"), "digest", "left").repartition("media").sortWithinPartitions("media", "seq")
     facts = short.unionByName(ordered.select("media", "of", "seq", "digest", "body").mapInArrow(rebuilt, FACTS))
-    return rows.select("key", "n_bytes", F.lower(F.hex("media")).alias("payload_sha256")).join(facts, "payload_sha256")
+    known = rows.select("key", "n_bytes", F.lower(F.hex("media")).alias("payload_sha256")).join(facts.withColumn("_found", F.lit(True)), "payload_sha256", "left")
+    lost = F.raise_error(F.concat(F.lit("missing chunk or payload "), F.coalesce("payload_sha256", F.lit("null")))).cast("boolean")
+    return known.filter(F.coalesce("_found", lost)).drop("_found")
 
 
 def payloads(spark: SparkSession, path: str) -> DataFrame:
