@@ -4,11 +4,14 @@ A known word adds its log frequency in every language. An unseen word backs off
 that are known (five characters, then four, ... then one) and adds their mean log frequency. The document's language is
 the one with the highest sum.
 
-The tables are fitted on a bounded sample of labelled rows (``max_rows``) and hold at most ``max_words`` words and
-``max_grams`` n-grams, so the broadcast model has a fixed size bound. Every document is then scored over its whole text.
-
-Defined results: text that is null or has no letter gives ``und`` with score 0; equal sums go to the language that sorts
-first; with no labelled rows at all everything is ``und``. Other columns are carried along untouched.
+The tables are fitted on a bounded sample of labelled rows: about ``max_rows`` in proportion, but ``least_rows`` of every
+language that has as many, so that a rare one can be predicted beside millions of others. They hold at most
+``max_words`` words and ``max_grams`` n-grams, so the broadcast model has a fixed size bound; priors count all labelled rows.
+Every document is then scored over its whole text.
+
+Defined results: text that is null or has no letter (Unicode category L) gives ``und`` with score 0; equal sums go to the
+language that sorts first; with no labelled rows at all everything is ``und``. Columns named ``lang_pred`` and ``lang_score``
+are replaced; all others are carried along untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,16 +24,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import bounded_sample, written
+from voxloom.llm.common import quoted, trimmed, unused, written
 
 UNDETERMINED = "und"
 LONGEST_GRAM = 5
+#: Runs of letters and number signs; a word is one that has a letter.
 _WORD = re.compile(r"[^\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
 #: Evidence beyond so many words doesn't sharpen the score further, which keeps it from being 1 for any long text.
 EVIDENCE_WORDS = 20
 
 
+def words_of(text: str) -> list[str]:
+    """The lower-cased words of a text. Characters such as a half or a raised two are numbers and no letters."""
+    found = _WORD.findall(text.lower())
+    return [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
+
+
 def grams(word: str, n: int) -> list[str]:
     """The n-grams of a word with its ends marked; single characters are taken without the marks."""
     if n == 1:
@@ -92,11 +101,11 @@ class Scorer:
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         m = self.model
-        if not text or not m.langs or not _LETTER.search(text):
+        words = Counter(words_of(text)) if text and m.langs else None
+        if not words:
             return UNDETERMINED, 0.0
         if len(self.index) > self.memo:
             self.clear()
-        words = Counter(_WORD.findall(text.lower()))
         if new := [w for w in words if w not in self.index]:
             self.learn(new)
         at = list(map(self.index.__getitem__, words))
@@ -127,7 +136,7 @@ def _counts(batches, pieces: bool):
                     for g in grams(item, size):
                         acc[lang, g] += n
             elif item:
-                for w, c in Counter(_WORD.findall(item.lower())).items():
+                for w, c in Counter(words_of(item)).items():
                     acc[lang, w] += c
             if len(acc) > 50_000:
                 yield flush(acc)
@@ -137,27 +146,37 @@ def _counts(batches, pieces: bool):
 
 def _table(counts: DataFrame, most: int, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
     """Log frequencies of the ``most`` commonest items, add-half smoothed."""
-    per_item = counts.groupBy("item").pivot("lang", langs).agg(F.sum("n"))
-    lang_cols = [F.coalesce(F.col(f"`{lang}`"), F.lit(0)).alias(f"n{k}") for k, lang in enumerate(langs)]
-    per_item = per_item.select("item", *lang_cols)
-    total = sum(F.col(f"n{k}") for k in range(len(langs)))
-    top = per_item.orderBy(total.desc(), "item").limit(most).toPandas()
-    n = top[[f"n{k}" for k in range(len(langs))]].to_numpy(float)
-    logs = np.log((n + 0.5) / (n.sum(0) + 0.5 * max(1, len(n))))
-    return {x: k for k, x in enumerate(top["item"])}, logs
-
-
-def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = 20_000, max_words: int = 60_000, max_grams: int = 60_000, seed: int = 7) -> Model:
-    """Fit the tables on about ``max_rows`` of the rows whose text and language are not null."""
-    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key, F.col(lang).alias("lang"), F.col(text).alias("item"), F.lit(1).cast("long").alias("n"))
-    rows = bounded_sample(rows, [key, "item"], max_rows, seed).select("lang", "item", "n")
-    prior = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    per_item = counts.groupBy("item").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("of"))  # a struct per language
+    top = per_item.orderBy(F.col("total").desc(), "item").limit(most).select("item", F.explode("of").alias("of")).select("item", "of.lang", "of.n").toPandas()
+    items = {x: k for k, x in enumerate(dict.fromkeys(top["item"]))}
+    n = np.zeros((len(items), len(langs)))
+    n[top["item"].map(items).to_numpy(int), top["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy(int)] = top["n"].to_numpy(float)
+    return items, np.log((n + 0.5) / (n.sum(0) + 0.5 * max(1, len(n))))
+
+
+def sampled(rows: DataFrame, per_lang: dict[str, int], max_rows: int, least_rows: int, seed: int) -> DataFrame:
+    """The rows (lang, key, item) that the tables are fitted on, picked by a hash of key and text: the same ones however the
+    table is partitioned, about ``max_rows`` plus ``least_rows`` a language at most."""
+    total = sum(per_lang.values())
+    if total <= max_rows:
+        return rows
+    steps = 1 << 30
+    shares = [(x, int(steps * min(1.0, max(max_rows / total, least_rows / n)))) for x, n in per_lang.items()]
+    shares = rows.sparkSession.createDataFrame(shares, "lang string, share long")
+    return rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64(F.lit(seed), "key", "item"), F.lit(steps)) < F.col("share")).drop("share")
+
+
+def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = 20_000, least_rows: int = 500, max_words: int = 60_000, max_grams: int = 60_000, seed: int = 7) -> Model:
+    """Fit the tables on a sample of the rows whose text and language are not null."""
+    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(key).alias("key"), F.col(text).cast("string").alias("item"))
+    prior = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
     langs = sorted(prior)
     if not langs:
         return Model([], ({}, np.zeros((0, 0))), ({}, np.zeros((0, 0))), np.zeros(0))
+    rows = sampled(rows, prior, max_rows, least_rows, seed).select("lang", "item", F.lit(1).cast("long").alias("n"))
     schema = "lang string, item string, n long"
-    words = written(rows.mapInArrow(lambda b: _counts(b, False), schema).groupBy("lang", "item").agg(F.sum("n").alias("n")))
-    pieces = written(words.mapInArrow(lambda b: _counts(b, True), schema).groupBy("lang", "item").agg(F.sum("n").alias("n")))
+    words = written(rows.mapInArrow(lambda b: trimmed(_counts(b, False)), schema).groupBy("lang", "item").agg(F.sum("n").alias("n")))
+    pieces = written(words.mapInArrow(lambda b: trimmed(_counts(b, True)), schema).groupBy("lang", "item").agg(F.sum("n").alias("n")))
     return Model(langs, _table(words, max_words, langs), _table(pieces, max_grams, langs), np.log([prior[x] / sum(prior.values()) for x in langs]))
 
 
@@ -174,4 +193,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         found = [scorers[0](t) for at in range(0, len(texts), 256) for t in texts.slice(at, 256).to_pylist()]
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang", "score"])
 
-    return docs.withColumn("_lang", best(F.col(text))).withColumns({"lang_pred": F.col("_lang.lang"), "lang_score": F.col("_lang.score")}).drop("_lang")
+    # marked as not deterministic, or a filter on the prediction would run the whole model a second time
+    once = best.asNondeterministic()
+    name = unused(docs, "_lang")
+    kept = [quoted(c) for c in docs.columns if c.lower() not in ("lang_pred", "lang_score")]
+    found = docs.withColumn(name, once(F.col(text).cast("string")))
+    return found.select(*kept, F.col(f"{name}.lang").alias("lang_pred"), F.col(f"{name}.score").alias("lang_score"))
