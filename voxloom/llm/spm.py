@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.llm.common import written
+from voxloom.llm.common import quoted, trimmed, written
 from voxloom.llm.lattice import LITERAL, SPACE, BestPaths, Vocabulary
 
 GIANT, CHUNK = 32_768, 16_384
@@ -253,7 +253,7 @@ def encode_giants(texts: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.string(), pa.int32(), pa.binary(), pa.binary()))], ["digest", "k", "before", "body"])
 
     plain = lambda x: x.decode("utf-8", "surrogatepass")
-    chunks = written(texts.select("digest", "text").mapInArrow(pieces, "digest string, k int, before binary, body binary").repartition("digest", "k"))
+    chunks = written(texts.select("digest", "text").mapInArrow(lambda b: trimmed(pieces(b)), "digest string, k int, before binary, body binary").repartition("digest", "k"))
 
     def matrices(batches):
         for b in batches:
@@ -265,7 +265,8 @@ def encode_giants(texts: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
         found = scan([np.frombuffer(m, np.float64).reshape(longest, longest) for m in group.column("m").to_pylist()])
         return pa.table({"digest": group.column("digest"), "k": group.column("k"), "entry": pa.array([s[0] for s in found], pa.int32()), "leave": pa.array([s[1] for s in found], pa.int32())})
 
-    through = chunks.mapInArrow(matrices, "digest string, k int, m binary").groupBy("digest").applyInArrow(states, "digest string, k int, entry int, leave int")
+    # the states are small; written, they don't leave a second Python worker beside that of the next step
+    through = written(chunks.mapInArrow(lambda b: trimmed(matrices(b)), "digest string, k int, m binary").groupBy("digest").applyInArrow(states, "digest string, k int, entry int, leave int"))
 
     def traced(batches):
         for b in batches:
@@ -273,7 +274,7 @@ def encode_giants(texts: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
             scores = [encoder(path).score(r) for r in rows]
             yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("k"), _id_lists(rows), pa.array(scores, pa.float64())], ["digest", "k", "ids", "score"])
 
-    parts = chunks.join(through, ["digest", "k"]).mapInArrow(traced, f"digest string, k int, {_ENCODED}")
+    parts = chunks.join(through, ["digest", "k"]).mapInArrow(lambda b: trimmed(traced(b)), f"digest string, k int, {_ENCODED}")
     # the result holds a document's ids in one row, so this group is no larger than its output
     whole = parts.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("k", "ids", "score"))).alias("parts"))
     return whole.select("digest", F.flatten(F.col("parts.ids")).alias("ids"), F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["score"]).alias("score"))
@@ -281,8 +282,12 @@ def encode_giants(texts: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
 
 def encode(docs: DataFrame, path: str, text: str = "text", giant: int = GIANT, chunk: int = CHUNK, decoded: str | None = None) -> DataFrame:
     """``docs`` with ``ids`` (array of int) and ``piece_score`` (sum of their scores); with ``decoded``, also a column of
-    that name with the text that the ids stand for, found in the same pass."""
-    size = F.length(F.coalesce(F.col(text), F.lit("")))
+    that name with the text that the ids stand for, found in the same pass. Input columns of these names are replaced."""
+    made = {"ids", "piece_score", *([decoded.lower()] if decoded else [])}
+    if text.lower() in made:
+        raise ValueError(f"the text column can't be named {text}")
+    docs = docs.select(*[quoted(c) for c in docs.columns if c.lower() not in made])
+    size = F.length(F.coalesce(quoted(text), F.lit("")))
     small, large = docs.filter(size <= giant), docs.filter(size > giant)
 
     names = docs.columns
@@ -302,12 +307,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", giant: int = GIANT, c
                 yield pa.RecordBatch.from_arrays([*part.columns, *out], names=[*b.schema.names, *(f.name for f in more)])
 
     schema = T.StructType([*docs.schema.fields, *more])
-    plain = small.mapInArrow(run, schema)
-    digest = F.sha2(F.col(text), 256).alias("digest")
-    distinct = large.select(digest, F.col(text).alias("text")).dropDuplicates(["digest"])
+    plain = small.mapInArrow(lambda b: trimmed(run(b)), schema)
+    distinct = large.select(F.sha2(quoted(text), 256).alias("digest"), quoted(text).alias("text")).dropDuplicates(["digest"])
     solved = encode_giants(distinct, path, chunk)
-    keyed = large.withColumn("_digest", F.sha2(F.col(text), 256))
-    joined = keyed.join(solved.withColumnsRenamed({"digest": "_digest", "score": "piece_score"}), "_digest").select(*names, "ids", "piece_score")
+    joined = large.select(F.struct(*map(quoted, names)).alias("row"), F.sha2(quoted(text), 256).alias("digest")).join(solved, "digest")
+    joined = joined.select(*[F.col("row").getField(c).alias(c) for c in names], "ids", F.col("score").alias("piece_score"))
     return plain.unionByName(decode(joined, path, to=decoded) if decoded else joined)
 
 
