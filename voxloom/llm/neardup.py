@@ -10,14 +10,15 @@ held against one of them, the hub; if most resemble it, branching no longer sepa
 the hub, and only the others are compared with all. Any other large node branches again; one that is left after the last
 level is treated like the former. All such comparisons run in cells of bounded size, so no cap drops a pair.
 
-The comparison of a tree node uses set sizes (exact) and signature bits (a linked pair fails about once in a million). It
-yields candidate clusters, which hold every linked pair that some tree brought together. Links are then confirmed on
-full sets in the same way: small clusters exhaustively; in a large one all members against a few hubs, then those
+The comparison of a tree node uses set sizes (exact) and signature bits; a pair at the threshold fails these with a
+probability under 2e-9, a more similar one less often (``bits_lost`` gives the figure). It yields candidate clusters,
+which hold every other linked pair that some tree brought together. Links are then confirmed on full sets and set sizes
+alone, bits only put the comparisons in order, and in the same way: small clusters exhaustively; in a large one all members against a few hubs, then those
 that are still apart from its main part against all others. Both steps return the links of a spanning forest only, so
 a group of n copies costs about n comparisons and rows, not its pairs.
 
-With ``trees`` trees of two coordinates a pair of similarity s is missed at the first level with probability
-(1 - s)^(2 trees): 1e-10 for six trees and s = 0.85.
+With ``trees`` trees of two coordinates each, all different, a pair of similarity s is missed at the first level with
+probability (1 - s)^(2 trees): 1e-10 for six trees and s = 0.85, 4e-9 for s = 0.8.
 
 Defined results: a text that is null or has no words has an empty set and is its own group; with fewer words than a
 shingle the whole sequence is one shingle; rows with equal ids are one node; a null id is kept and belongs to no group.
@@ -26,6 +27,7 @@ shingle the whole sequence is one shingle; rows with equal ids are one node; a n
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -34,11 +36,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import written
+from voxloom.llm.common import trimmed, written
 
 COORDINATES, BITS = 64, 128
-#: Least share of equal signature bits: a similarity s gives (1 + s) / 2 on average. Five deviations below.
-BIT_SLACK = 5.0
+#: Least share of equal signature bits: a similarity s gives (1 + s) / 2 on average. So many deviations below.
+BIT_SLACK = 7.0
 #: Members of a large cluster that all others are held against first.
 HUBS = 8
 #: What a member of a tree node carries into the comparison.
@@ -105,18 +107,19 @@ def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], ["id", "n", "same", "tokens", "s0", "s1"])
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n long, same binary, tokens binary, s0 long, s1 long")
+    return rows.mapInArrow(lambda b: trimmed(run(b)), "id long, n long, same binary, tokens binary, s0 long, s1 long")
 
 
 def _token(at: Column) -> Column:
     return F.substring(F.col("tokens"), 4 * at + 1, F.lit(4))
 
 
-def _children(rows: DataFrame, node: Column, branches: int) -> DataFrame:
-    """Each row at ``branches`` children of ``node``: coordinates chosen by a hash of it, named by the tokens there."""
+def _children(rows: DataFrame, node: Column, branches: int, pick: Column | None = None) -> DataFrame:
+    """Each row at ``branches`` children of ``node``, named by the tokens at chosen coordinates: by ``pick``, or by a hash
+    of the node."""
     # distinct coordinates: one in each of `branches` equal strips
     strip = COORDINATES // branches
-    picks = [F.pmod(F.xxhash64(node, F.lit(j)), F.lit(strip)).cast("int") + j * strip for j in range(branches)]
+    picks = [F.pmod(F.xxhash64(node, F.lit(j)) if pick is None else pick, F.lit(strip)).cast("int") + j * strip for j in range(branches)]
     names = F.array(*[F.xxhash64(node, p, _token(p)) for p in picks])
     return rows.select(F.explode(names).alias("node"), "id", "n", "s0", "s1")
 
@@ -126,6 +129,12 @@ def least_equal_bits(threshold: int) -> int:
     return int(BITS * share - BIT_SLACK * (BITS * share * (1 - share)) ** 0.5)
 
 
+def bits_lost(threshold: int) -> float:
+    """Probability that a pair exactly at the threshold has fewer equal bits than asked for."""
+    share = (1 + threshold / 100) / 2
+    return sum(math.comb(BITS, k) * share**k * (1 - share) ** (BITS - k) for k in range(least_equal_bits(threshold)))
+
+
 def _plausible(threshold: int) -> Column:
     """Of a member and the hub of its node: size filter, exact; and signature bits within BIT_SLACK deviations of what
     the threshold gives."""
@@ -153,8 +162,8 @@ class Forest:
             self.links.append((a, b))
 
 
-def likely_pairs(n: np.ndarray, bits: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of a block that pass the size and bit filters, likeliest first."""
+def likely_pairs(n: np.ndarray, bits: np.ndarray, threshold: int, least_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a block that pass the size filter and have ``least_bits`` equal bits, likeliest first."""
     if len(n) == 2:
         i, j = np.array([0]), np.array([1])
     else:
@@ -162,7 +171,7 @@ def likely_pairs(n: np.ndarray, bits: np.ndarray, threshold: int) -> tuple[np.nd
     ok = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * threshold
     i, j = i[ok], j[ok]
     differ = np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)).sum(1, dtype=np.int64)  # of an int64 numpy counts the absolute value's bits
-    ok = BITS - differ >= least_equal_bits(threshold)
+    ok = BITS - differ >= least_bits
     i, j, differ = i[ok], j[ok], differ[ok]
     order = np.argsort(differ, kind="stable")
     return i[order], j[order]
@@ -227,7 +236,7 @@ def likely_links(leaves: DataFrame, threshold: int, block: int = 512) -> DataFra
                 ids, side = t.column("id").to_numpy(), t.column("side").to_numpy()
                 bits = np.stack([t.column("s0").to_numpy(), t.column("s1").to_numpy()], 1)
                 forest = Forest(len(ids))
-                i, j = likely_pairs(t.column("n").to_numpy(), bits, threshold)
+                i, j = likely_pairs(t.column("n").to_numpy(), bits, threshold, least_equal_bits(threshold))
                 ok = _to_compare(i, j, side, ids)
                 for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
                     forest.join(a, b)
@@ -238,7 +247,7 @@ def likely_links(leaves: DataFrame, threshold: int, block: int = 512) -> DataFra
         yield _links(found)
 
     cells = in_cells(leaves, block).select("node", "p", "q", "id", "side", "n", "s0", "s1")
-    return cells.repartition("node", "p", "q").sortWithinPartitions("node", "p", "q", "id", "side").mapInArrow(run, "a long, b long")
+    return cells.repartition("node", "p", "q").sortWithinPartitions("node", "p", "q", "id", "side").mapInArrow(lambda b: trimmed(run(b)), "a long, b long")
 
 
 def shared_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -270,10 +279,12 @@ def _linked(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: int
     return 100 * both >= threshold * (n[i] + n[j] - both)
 
 
-def _members_with_text(docs: DataFrame, members: DataFrame, key: str, text: str, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """``members`` with their texts: found through the ids, broadcast while they are few, joined by shuffle beyond."""
+def _members_with_text(docs: DataFrame, members: DataFrame, key: str, text: str, broadcast_bytes: int = 24_000_000) -> DataFrame:
+    """``members`` with their texts: found through the ids, broadcast while they are small, joined by shuffle beyond.
+
+    Rows have whole numbers only, so their number bounds their bytes: 8 a column and about 48 for the row and its key."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    few = members.count() <= broadcast_rows
+    few = members.count() * (8 * len(members.columns) + 48) <= broadcast_bytes
     return rows.join(F.broadcast(members) if few else members, "id")
 
 
@@ -307,7 +318,7 @@ def linked_to_hubs(docs: DataFrame, large: DataFrame, key: str, text: str, words
                             column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["a", "b", "cluster", "slot"])
 
-    return rows.mapInArrow(run, "a long, b long, cluster long, slot int")
+    return rows.mapInArrow(lambda b: trimmed(run(b)), "a long, b long, cluster long, slot int")
 
 
 def _main_part(masks: np.ndarray, counts: np.ndarray) -> int:
@@ -358,7 +369,7 @@ def confirmed(docs: DataFrame, members: DataFrame, key: str, text: str, words: i
             ids, side = t.column("id").to_numpy(), t.column("side").to_numpy()
             n = t.column("n").to_numpy()
             bits = np.stack([t.column("s0").to_numpy(), t.column("s1").to_numpy()], 1)
-            i, j = likely_pairs(n, bits, threshold) if len(ids) > 1 else (np.zeros(0, int), np.zeros(0, int))
+            i, j = likely_pairs(n, bits, threshold, 0) if len(ids) > 1 else (np.zeros(0, int), np.zeros(0, int))
             ok = _to_compare(i, j, side, ids)
             i, j = i[ok], j[ok]
             used = np.unique(np.concatenate([i, j]))
@@ -380,7 +391,7 @@ def confirmed(docs: DataFrame, members: DataFrame, key: str, text: str, words: i
 
     rows = _members_with_text(docs, written(in_cells(todo, block).select("cluster", "p", "q", "id", "side", "n", "s0", "s1")), key, text)
     rows = rows.select("cluster", "p", "q", "id", "side", "n", "s0", "s1", "text").repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "id", "side")
-    found = rows.mapInArrow(run, "a long, b long")
+    found = rows.mapInArrow(lambda b: trimmed(run(b)), "a long, b long")
     if stars is None:
         return found
     # of the links to hubs those of a spanning forest: a member to its first hub, and hubs that share a member
@@ -428,7 +439,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     # the trees, level by level: who is in which node; tokens stay in `classes` and are joined where a node branches
     roots = classes.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(trees)])))
-    at = _children(roots, F.xxhash64(F.lit("root"), "tree"), branches)
+    if trees > COORDINATES // branches:
+        raise ValueError("more trees than coordinates")
+    at = _children(roots, F.xxhash64(F.lit("root"), "tree"), branches, F.col("tree"))
     leaves, stars = [], []
     for level in range(1, levels + 1):
         at = written(at)
