@@ -1,14 +1,18 @@
 """Media columns stored as content-defined chunks.
 
-A media value is an 8-bit mono wave: a 44-byte RIFF header and the payload as samples. The payload is cut where a
-rolling gear hash of its last 16 bytes has its low bits clear, so equal passages give equal chunks wherever they stand.
-Chunks are named by their SHA-256, deduplicated by digest over the whole table, compressed and written to a chunk
-store; a manifest keeps the ordered digests of every distinct payload. Reading back joins manifest and store, rebuilds
-each payload in order, verifies it against its digest, and only then computes features.
-
-Defined results: null text is an empty payload before padding; equal texts share one stored payload; payloads of any
-length are handled chunk by chunk when stored and one payload at a time when read. A chunk that is missing or damaged
-fails the read.
+A media value is an 8-bit mono wave: a 44-byte RIFF header and the payload as samples. The wave's bytes, header included,
+are cut where a rolling gear hash of their last 16 bytes has its low bits clear, so equal passages give equal chunks
+wherever they stand. Chunks are named by digest, and digests alone decide what is kept: they are counted and joined over
+the whole table before any bytes move. Then the bytes of each distinct wave move once. Chunks that no other wave has
+stay together as one row of the store, next to each other; a chunk that several waves share is a row of its own, written
+by one of them. A list per wave keeps its chunks in order.
+
+A wave whose chunks are all its own is read and verified where it lies. Others fetch their shared chunks by a join, are
+put together in order and verified by digest; only then features are computed. Rows are compressed with a dictionary of
+common passages, fitted on at most about ``SAMPLE`` texts and kept in the store.
+
+Defined results: null text is an empty payload before padding; equal texts share one stored wave; waves of any length are
+handled one at a time; no rows, an empty store. A chunk that is missing or damaged fails the read.
 """
 
 from __future__ import annotations
@@ -21,12 +25,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxloom.llm.common import bounded_sample, trimmed, written
+
 WINDOW = 16
-LEAST, MEAN_BITS, MOST = 8 * 1024, 15, 128 * 1024
+LEAST, MEAN_BITS, MOST = 512, 11, 16 * 1024
 LEVEL = 9
+#: Texts that the compression dictionary is fitted on, the bytes of each that count, and the dictionary's size.
+SAMPLE, SAMPLE_BYTES, DICTIONARY = 4_000, 8_192, 64 * 1024
+#: A chunk or wave with more than 1/HOT_SHARE of all uses, and more than HOT_LEAST, is joined by broadcast: at most
+#: HOT_SHARE rows of at most MOST bytes.
+HOT_SHARE, HOT_LEAST = 1_000, 1_000
 SAMPLE_RATE = 8000
 #: The gear table: a fixed mixing rule, not random numbers.
 GEAR = np.array([int.from_bytes(hashlib.sha256(bytes([k])).digest()[:4], "little") for k in range(256)], np.uint32)
@@ -80,139 +92,230 @@ def describe(payload: bytes) -> str:
     return f"n={len(x)};min={x.min()};max={x.max()};sum={int(x.sum(dtype=np.int64))};energy={int((d * d).sum())};crossings={crossings}"
 
 
-def _facts(payload: bytes) -> tuple:
-    header = wave_header(len(payload))
-    media = hashlib.sha256(header)
-    media.update(payload)
-    return hashlib.sha256(payload).hexdigest(), len(payload), zlib.crc32(payload[-32:]), len(header) + len(payload), media.hexdigest(), describe(payload)
+def digest(data: bytes) -> bytes:
+    """A chunk's name: the first half of its SHA-256."""
+    return hashlib.sha256(data).digest()[:16]
+
+
+def wave(payload: bytes) -> bytes:
+    return wave_header(len(payload)) + payload
+
+
+def _facts(media: bytes) -> tuple:
+    payload = media[len(wave_header(0)) :]
+    return hashlib.sha256(payload).hexdigest(), len(payload), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), describe(payload)
 
 
 FACTS = "payload_sha256 string, payload_bytes long, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+#: ``shared`` is 0 or 1, and the folder that a row lies in.
+CHUNKS = "digest binary, shared int, media binary, of int, uses long, seqs array<int>, sizes array<int>, body binary"
+_KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary())}
 
 
-def _rows(columns: list, schema: str) -> pa.RecordBatch:
-    types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+def _rows(rows: list[tuple], schema: str, first: pa.Array | None = None) -> pa.RecordBatch:
+    """Rows of tuples as a batch; ``first``: a column to be put in front."""
     fields = [x.split() for x in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns or [[] for _ in fields], fields, strict=True)], [n for n, _ in fields])
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    arrays = [pa.array(c, _KINDS[t]) for c, (_, t) in zip(columns, fields, strict=True)]
+    return pa.RecordBatch.from_arrays([first, *arrays] if first is not None else arrays, [*(["key"] if first is not None else []), *(n for n, _ in fields)])
+
+
+def _slices(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
+    """Small slices, as rows may be long."""
+    return (b.slice(at, size) for b in batches for at in range(0, b.num_rows, size))
+
+
+def dictionary(docs: DataFrame, key: str, text: str) -> bytes:
+    """Common passages of a bounded sample; empty where there is too little to learn from."""
+    sample = bounded_sample(docs.select(key, text).filter(F.col(text).isNotNull()), [key, text], SAMPLE, 3)
+    texts = [r[0].encode("utf-8")[:SAMPLE_BYTES] for r in sample.select(F.substring(text, 1, SAMPLE_BYTES)).limit(2 * SAMPLE).collect()]
+    try:
+        return zstandard.train_dictionary(DICTIONARY, texts).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def _codec(words: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    known = zstandard.ZstdCompressionDict(words) if words else None
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=known), zstandard.ZstdDecompressor(dict_data=known)
 
 
 def store(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", unit: int = 576) -> None:
-    """Write ``path``/chunks (digest, part, body), ``path``/media (media, seq, digest, of) and ``path``/rows (key, media)."""
-    texts = docs.select(F.col(text).cast("string").alias("text"))
-
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[bytes, bool]] = set()
-        squeeze = zstandard.ZstdCompressor(level=LEVEL)
-        for b in batches:
-            out: list[list] = [[], [], []]
-            for t in b.column(0).to_pylist():
-                payload, at = padded(t, unit)[1], 0
-                ends = cuts(payload)
-                part = len(ends) > 1
-                for end in ends:
-                    piece = payload[at:end]
-                    at, digest = end, hashlib.sha256(piece).digest()
-                    if (digest, part) not in seen:  # copies within a task don't reach the shuffle
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        seen.add((digest, part))
-                        for column, v in zip(out, (digest, part, squeeze.compress(piece)), strict=True):
-                            column.append(v)
-            yield _rows(out, "digest binary, part boolean, body binary")
-
-    found = texts.mapInArrow(chunks, "digest binary, part boolean, body binary").repartition("digest")
-    # ``part``: the chunk belongs to a payload of several, so readers must bring it to the others
-    once = found.groupBy("digest").agg(F.max("part").alias("part"), F.first("body").alias("body"))
-    once.write.option("compression", "none").parquet(f"{path}/chunks")
+    """Write ``path``/chunks, ``path``/media (media, seq, digest, of, own, copies: a row per chunk of each distinct wave),
+    ``path``/rows (key, media, n_bytes) and ``path``/dictionary."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    words = dictionary(docs, "key", "text")
+    spark.createDataFrame([(words,)], "words binary").coalesce(1).write.parquet(f"{path}/dictionary")
+    shared_words = spark.sparkContext.broadcast(words)
 
     def lists(batches):
-        for b in batches:
-            out: list[list] = [[], [], [], []]
+        for b in _slices(batches):
+            out = []
             for t in b.column(1).to_pylist():
                 n, payload = padded(t, unit)
-                digests, at = [], 0
-                for end in cuts(payload):
-                    digests.append(hashlib.sha256(payload[at:end]).digest())
+                whole, at, names = wave(payload), 0, []
+                for end in cuts(whole):
+                    names.append(digest(whole[at:end]))
                     at = end
-                for column, v in zip(out, (hashlib.sha256(payload).digest(), n, len(digests), digests), strict=True):
-                    column.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.binary()))],
-                ["key", "media", "n_bytes", "of", "digests"],
-            )
-
-    kind = docs.schema[key].dataType.simpleString()
-    listed = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(lists, f"key {kind}, media binary, n_bytes long, of int, digests array<binary>")
-    listed.write.parquet(f"{path}/rows")
-    rows = docs.sparkSession.read.parquet(f"{path}/rows")
-    once = rows.groupBy("media", "of").agg(F.first("digests").alias("digests"))
-    once.select("media", "of", F.posexplode("digests").alias("seq", "digest")).write.parquet(f"{path}/media")
+                out.append((hashlib.sha256(whole).digest(), n, names))
+            yield _rows(out, "media binary, n_bytes long, digests array<binary>", b.column(0))
 
-
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Every stored row with the facts of its payload as read back: key, n_bytes and the FACTS columns.
-
-    A payload of one chunk is read where its chunk lies. The chunks of a longer one are brought together, in order.
-    Digests are verified on the way: of each chunk, and of each rebuilt payload.
-    """
-    chunks, media, rows = (spark.read.parquet(f"{path}/{name}") for name in ("chunks", "media", "rows"))
-
-    def unpack(digest: bytes, body: bytes) -> bytes:
-        raw = zstandard.ZstdDecompressor().decompress(body)
-        if hashlib.sha256(raw).digest() != digest:
-            raise ValueError(f"damaged chunk {digest.hex()}")
+    kind = docs.schema["key"].dataType.simpleString()
+    listed = docs.mapInArrow(lambda b: trimmed(lists(b)), f"key {kind}, media binary, n_bytes long, digests array<binary>")
+    listed.write.parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
+
+    # who has which chunk: digests only
+    once = written(rows.groupBy("media").agg(F.first("digests").alias("digests"), F.count("*").alias("copies")))
+    uses = once.select("media", F.posexplode("digests").alias("seq", "digest")).groupBy("digest").agg(F.count("*").alias("uses"), F.min(F.struct("media", "seq")).alias("at"))
+    own = F.sort_array(F.collect_list(F.when(F.col("uses") == 1, F.col("at.seq"))))
+    lent = F.sort_array(F.collect_list(F.when(F.col("uses") > 1, F.struct("at.seq", "uses"))))
+    plan = written(uses.groupBy("at.media").agg(own.alias("own"), lent.alias("lent")))
+    chunk_rows = once.join(plan.select("media", "own"), "media", "left").select("media", "own", "copies", F.size("digests").alias("of"), F.posexplode("digests").alias("seq", "digest"))
+    chunk_rows.select("media", "seq", "digest", "of", F.coalesce(F.array_contains("own", F.col("seq")), F.lit(False)).alias("own"), "copies").write.parquet(f"{path}/media")
+
+    # each wave's bytes move to its plan, which sorts before them
+    def bodies(batches):
+        squeeze, seen = _codec(shared_words.value)[0], set()
+        for b in _slices(batches):
+            out = []
+            for t in b.column(0).to_pylist():
+                whole = wave(padded(t, unit)[1])
+                name = hashlib.sha256(whole).digest()
+                if name not in seen:  # copies within a task don't reach the shuffle
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    seen.add(name)
+                    out.append((name, squeeze.compress(whole)))
+            yield _rows(out, "media binary, body binary")
+
+    def chosen(batches):
+        squeeze, unpack = _codec(shared_words.value)
+        now, plan = None, None
+        for b in _slices(batches):
+            out = []
+            for name, mine, lend, body in zip(*(b.column(k).to_pylist() for k in ("media", "own", "lent", "body")), strict=True):
+                if body is None:
+                    now, plan = name, (mine, lend)
+                elif name == now and plan is not None:
+                    whole = unpack.decompress(body)
+                    ends = cuts(whole)
+                    piece = lambda k, whole=whole, ends=ends: whole[ends[k - 1] if k else 0 : ends[k]]
+                    if plan[0]:
+                        parts = [piece(k) for k in plan[0]]
+                        joined = b"".join(parts)
+                        out.append((digest(joined), 0, name, len(ends), 1, plan[0], [len(p) for p in parts], squeeze.compress(joined)))
+                    for x in plan[1]:
+                        p = piece(x["seq"])
+                        out.append((digest(p), 1, None, None, x["uses"], None, None, squeeze.compress(p)))
+                    plan = None  # further copies of this wave have nothing to add
+            yield _rows(out, CHUNKS)
+
+    moving = docs.select("text").mapInArrow(lambda b: trimmed(bodies(b)), "media binary, body binary")
+    both = plan.withColumn("body", F.lit(None).cast("binary")).unionByName(moving, allowMissingColumns=True)
+    both = both.repartition("media").sortWithinPartitions("media", F.col("body").isNotNull())
+    both.mapInArrow(lambda b: trimmed(chosen(b)), CHUNKS).write.option("compression", "none").partitionBy("shared").parquet(f"{path}/chunks")
+
+
+def _hot(counts: DataFrame, n: str, total: int) -> DataFrame:
+    return counts.filter(F.col(n) > max(HOT_LEAST, total // HOT_SHARE))
+
+
+def _waves(spark: SparkSession, path: str, results, schema: str) -> DataFrame:
+    """``results`` of every distinct wave (its bytes, verified), after its name: (media, ...schema)."""
+    chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
+    media = spark.read.parquet(f"{path}/media")
+    try:
+        known = b"".join(bytes(r.words) for r in spark.read.parquet(f"{path}/dictionary").collect())
+    except AnalysisException:  # a store without one; where its rows need it, they count as damaged
+        known = b""
+    words = spark.sparkContext.broadcast(known)
+    schema = f"media binary, {schema}"
+
+    def unpacked(unpack, name: bytes, body: bytes) -> bytes:
+        try:
+            raw = unpack.decompress(body)
+        except zstandard.ZstdError:
+            raw = b""
+        if digest(raw) != name:
+            raise ValueError(f"damaged chunk {name.hex()}")
         return raw
 
-    single = media.filter(F.col("of") == 1).select("digest").distinct()
-    longer = media.filter(F.col("of") > 1)
+    def whole(name: bytes, raw: bytes) -> tuple:
+        if hashlib.sha256(raw).digest() != name:
+            raise ValueError(f"wave {name.hex()} isn't what was stored")
+        return name, *results(raw)
 
     def alone(batches):
-        for b in batches:
-            facts = [_facts(unpack(d, z)) for d, z in zip(b.column("digest").to_pylist(), b.column("body").to_pylist(), strict=True)]
-            yield _rows([list(c) for c in zip(*facts, strict=True)], FACTS)
-
-    # facts are cheap next to moving bytes: they are computed for every chunk in place, then only those of
-    # chunks that are a whole payload are kept
-    short = chunks.mapInArrow(alone, FACTS).join(single.select(F.lower(F.hex("digest")).alias("payload_sha256")), "payload_sha256", "left_semi")
+        unpack = _codec(words.value)[1]
+        for b in _slices(batches):
+            yield _rows([whole(m, unpacked(unpack, d, z)) for m, d, z in zip(*(b.column(k).to_pylist() for k in ("media", "digest", "body")), strict=True)], schema)
 
     def rebuilt(batches):
-        now, parts, expected = None, [], 0
-        for b in batches:
+        unpack = _codec(words.value)[1]
+        now, of, parts = None, 0, {}
+
+        def done():
+            lost = [k for k in range(of) if k not in parts]
+            if lost:
+                raise ValueError(f"missing chunk {lost[0]} of {now.hex()}")
+            return whole(now, b"".join(parts[k] for k in range(of)))
+
+        for b in _slices(batches):
             out = []
-            for m, of, seq, d, z in zip(*(b.column(k).to_pylist() for k in ("media", "of", "seq", "digest", "body")), strict=True):
+            for m, n, seq, seqs, sizes, d, z in zip(*(b.column(k).to_pylist() for k in ("media", "of", "seq", "seqs", "sizes", "digest", "body")), strict=True):
                 if m != now:
-                    if now is not None:
-                        out.append(whole(now, parts, expected))
-                    now, parts, expected = m, [], of
-                if z is None or seq != len(parts):
+                    out += [done()] if now is not None else []
+                    now, of, parts = m, n, {}
+                if z is None:
                     raise ValueError(f"missing chunk {seq} of {m.hex()}")
-                parts.append(unpack(d, z))
-            yield _rows([list(c) for c in zip(*out, strict=True)], FACTS)
+                raw = unpacked(unpack, d, z)
+                if seqs is None:
+                    parts[seq] = raw
+                    continue
+                at = 0
+                for k, size in zip(seqs, sizes, strict=True):
+                    parts[k] = raw[at : at + size]
+                    at += size
+            yield _rows(out, schema)
         if now is not None:
-            yield _rows([list(c) for c in zip(whole(now, parts, expected), strict=True)], FACTS)
+            yield _rows([done()], schema)
+
+    packs, pool = chunks.filter("shared = 0"), chunks.filter("shared = 1").select("digest", "uses", "body")
+    complete = F.size("seqs") == F.col("of")
+    short = packs.filter(complete).select("media", "digest", "body").mapInArrow(lambda b: trimmed(alone(b)), schema)
+    asked = media.filter(~F.col("own")).select("media", "of", "seq", "digest")
+    hot = written(_hot(pool, "uses", media.count()).select("digest", "body"))
+    names = F.broadcast(hot.select("digest"))
+    fetched = asked.join(F.broadcast(hot), "digest").unionByName(asked.join(names, "digest", "left_anti").join(pool.join(names, "digest", "left_anti").select("digest", "body"), "digest", "left"))
+    parts = fetched.unionByName(packs.filter(~complete).select("media", "of", "seqs", "sizes", "digest", "body"), allowMissingColumns=True)
+    ordered = parts.select("media", "of", "seq", "seqs", "sizes", "digest", "body").repartition("media").sortWithinPartitions("media", F.col("seq").asc_nulls_first())
+    return short.unionByName(ordered.mapInArrow(lambda b: trimmed(rebuilt(b)), schema))
+
+
+def _of_rows(spark: SparkSession, path: str, found: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Every stored row with what was found for its wave; a row whose wave is nowhere fails the read."""
+    rows, media = spark.read.parquet(f"{path}/rows").select("key", "media", "n_bytes"), spark.read.parquet(f"{path}/media")
+    hot = written(_hot(media.filter("seq = 0"), "copies", rows.count()).select("media"))
+    few = F.broadcast(hot)
+    found = found.withColumn("_found", F.lit(True))
+    known = rows.join(few, "media", "left_semi").join(F.broadcast(found.join(few, "media", "left_semi")), "media", "left")
+    known = known.unionByName(rows.join(few, "media", "left_anti").join(found.join(few, "media", "left_anti"), "media", "left"))
+    lost = F.raise_error(F.concat(F.lit("missing chunk or wave "), F.hex("media"))).cast("boolean")
+    return known.filter(F.coalesce("_found", lost)).select("key", "n_bytes", *columns)
 
-    def whole(m: bytes, parts: list[bytes], expected: int) -> tuple:
-        facts = _facts(b"".join(parts))
-        if len(parts) != expected or facts[0] != m.hex():
-            raise ValueError(f"payload {m.hex()} isn't what was stored")
-        return facts
 
-    ordered = longer.join(chunks.filter("part").select("digest", "body"), "digest", "left").repartition("media").sortWithinPartitions("media", "seq")
-    facts = short.unionByName(ordered.select("media", "of", "seq", "digest", "body").mapInArrow(rebuilt, FACTS))
-    known = rows.select("key", "n_bytes", F.lower(F.hex("media")).alias("payload_sha256")).join(facts.withColumn("_found", F.lit(True)), "payload_sha256", "left")
-    lost = F.raise_error(F.concat(F.lit("missing chunk or payload "), F.coalesce("payload_sha256", F.lit("null")))).cast("boolean")
-    return known.filter(F.coalesce("_found", lost)).drop("_found")
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Every stored row with the facts of its wave as read back: key, n_bytes and the FACTS columns."""
+    facts = written(_waves(spark, path, _facts, FACTS))
+    return _of_rows(spark, path, facts, tuple(x.split()[0] for x in FACTS.split(", ")))
 
 
 def payloads(spark: SparkSession, path: str) -> DataFrame:
-    """(key, payload): the stored bytes of every row, rebuilt from the chunk lists. For export; moves all bytes."""
-    chunks, rows = spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/rows")
-    parts = rows.select("key", "media", F.posexplode("digests").alias("seq", "digest")).join(chunks.select("digest", "body"), "digest")
-
-    def joined(group: pa.Table) -> pa.Table:
-        group = group.sort_by("seq")
-        body = b"".join(zstandard.ZstdDecompressor().decompress(z) for z in group.column("body").to_pylist())
-        return pa.table({"media": group.column("media").slice(0, 1), "payload": pa.array([body], pa.binary())})
-
-    once = parts.select("media", "seq", "body").dropDuplicates(["media", "seq"]).groupBy("media").applyInArrow(joined, "media binary, payload binary")
-    return rows.select("key", "media").join(once, "media").select("key", "payload")
+    """(key, payload): the stored bytes of every row, rebuilt and verified. For export; moves all bytes."""
+    start = len(wave_header(0))
+    found = _waves(spark, path, lambda raw: (raw[start:],), "payload binary")
+    rows = spark.read.parquet(f"{path}/rows").select("key", "media").join(found, "media", "left")
+    lost = F.raise_error(F.concat(F.lit("missing chunk or wave "), F.hex("media"))).cast("binary")
+    return rows.select("key", F.coalesce("payload", lost).alias("payload"))
