@@ -2,8 +2,12 @@
 
 Candidates are dealt into shards of bounded size; each shard builds a ball tree (equal vectors are one point there) and
 is stored as one row. Queries travel in blocks. A node with centre c and radius r can't score above q.c + |q| r: nodes
-are visited by falling bound and dropped once the bound can't beat the query's current k-th score. Every block first
-searches one shard; the k-th scores it finds are joined to the block and prune the search of all others.
+are visited by falling bound and dropped once the bound can't beat the query's current k-th score.
+
+The current k-th scores are shared between shards in three waves. Every block first searches one shard. Then the bounds
+of all shards' roots are held against the block's k-th scores, blocks of queries against blocks of roots, and only pairs
+that may still add something go on: first those with the highest bounds, and the rest after another look at the
+scores that these gave. A tree travels to a task once, before up to ``TOGETHER`` blocks that ask it.
 
 Scores are integers: vectors are arrays of long. Defined results: a vector that is null or holds a null takes no part;
 vectors of different lengths never meet; ties go to the smaller id; a candidate with the query's id is its own row and is
@@ -24,6 +28,8 @@ from pyspark.sql.window import Window
 from voxloom.llm.common import written
 
 SHARD, LEAF, BLOCK = 8192, 64, 512
+#: Blocks that ask one copy of a tree; shards of the second wave; roots that are held against a block at once.
+TOGETHER, NEAREST, ROOTS = 64, 4, 1024
 EXACT = 2.0**52
 HITS = "query long, rank int, id long, score long"
 
@@ -126,40 +132,107 @@ def search(candidates: DataFrame, queries: DataFrame, key: str, vector: str, k:
     cut = points.withColumn("dim", F.size("v")).filter(F.col("dim") > 0).withColumn("shard", F.pmod(F.xxhash64("id"), of[F.col("dim")]).cast("int"))
 
     def build(group: pa.Table) -> pa.Table:
-        v = group.column("v").combine_chunks()
         dim = group.column("dim")[0].as_py()
-        tree = BallTree(group.column("id").to_numpy(), v.flatten().to_numpy().reshape(len(v), dim), k)
-        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([group.column("shard")[0].as_py()], pa.int32()), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+        tree = BallTree(group.column("id").to_numpy(), _vectors(group.column("v").combine_chunks(), dim), k)
+        one = lambda v, kind: pa.array([v], kind)
+        return pa.table(
+            {
+                "dim": one(dim, pa.int32()), "shard": one(group.column("shard")[0].as_py(), pa.int32()), "tree": one(pickle.dumps(tree), pa.binary()),
+                "centre": one(tree.centre[0].tolist(), pa.list_(pa.float64())), "radius": one(float(tree.radius[0]), pa.float64()),
+            }
+        )
 
-    trees = written(cut.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, tree binary"))
+    trees = written(cut.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, tree binary, centre array<double>, radius double"))
 
     blocks = asked.withColumn("dim", F.size("v")).join(F.broadcast(trees.select("dim").distinct()), "dim")
     n = asked.count()
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(-(-n // block) or 1)).cast("int"))
     # a block is bounded by construction; its vectors stay together
-    blocks = blocks.groupBy("dim", "block").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("q"))
-    blocks = written(blocks.withColumn("shards", of[F.col("dim")].cast("int")).withColumn("home", F.pmod("block", "shards").cast("int")))
+    blocks = written(blocks.groupBy("dim", "block").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("q")))
+    home = blocks.select("dim", "block", F.pmod("block", of[F.col("dim")]).cast("int").alias("shard"))
+    none = blocks.withColumn("floor", F.lit(None).cast("array<struct<query:bigint,score:bigint>>"))
+    hits = written(visited(home, none, trees, k))
+    if max(shards.values()) > 1:
+        done = home
+        for most in (NEAREST, None):
+            floors = with_floors(blocks, hits, k)
+            pairs = written(promising(floors, trees).join(done, ["dim", "block", "shard"], "left_anti"))
+            if most is not None:  # the shards of one block
+                turn = F.row_number().over(Window.partitionBy("dim", "block").orderBy(F.col("bound").desc(), "shard"))
+                pairs = written(pairs.withColumn("_turn", turn).filter(F.col("_turn") <= most).drop("_turn"))
+                done = done.union(pairs.select("dim", "block", "shard"))
+            hits = hits.unionByName(written(visited(pairs.select("dim", "block", "shard"), floors, trees, k)))
+    return best_of(hits, k).select("query", "rank", "id", "score")
+
+
+def _vectors(v: pa.ListArray, dim: int) -> np.ndarray:
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), dim)
+
+
+def best_of(hits: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")  # limited to k per task before the shuffle
+    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def with_floors(blocks: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+    """Blocks with ``floor``: the k-th score of each of their queries that has one so far."""
+    kth = best_of(hits, k).filter(F.col("rank") == k).select("query", "score")
+    floors = kth.join(blocks.select("block", "dim", F.explode("q.id").alias("query")), "query").groupBy("dim", "block").agg(F.collect_list(F.struct("query", "score")).alias("floor"))
+    return written(blocks.join(floors, ["dim", "block"], "left"))
+
+
+def _asked(q: pa.Array, floor: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, vectors and floors of one block's queries."""
+    ids = q.field("id").to_numpy(zero_copy_only=False)
+    v = q.field("v")
+    known = dict(zip(floor.field("query").to_pylist(), floor.field("score").to_pylist(), strict=True)) if floor is not None else {}
+    return ids, _vectors(v, len(v[0])), np.array([known.get(i, -math.inf) for i in ids.tolist()], float)
+
+
+def _block(column: pa.Array, at: int) -> pa.Array | None:
+    return column[at].values if column[at].is_valid else None
+
+
+def promising(blocks: DataFrame, trees: DataFrame) -> DataFrame:
+    """(dim, block, shard, bound): pairs where the bound of the shard's root reaches the floor of one of the block's queries;
+    ``bound``: the greatest excess over a floor. Roots come in groups of bounded size, which meet every block."""
+    root = F.struct("shard", "centre", "radius")
+    roots = trees.groupBy("dim", F.floor(F.col("shard") / ROOTS).alias("group")).agg(F.collect_list(root).alias("roots"))
+
+    def bounds(batches):
+        for b in (whole.slice(at, 1) for whole in batches for at in range(whole.num_rows)):
+            dim = b.column("dim")[0].as_py()
+            ids, q, floor = _asked(b.column("q")[0].values, _block(b.column("floor"), 0))
+            r = b.column("roots")[0].values
+            centre, radius, shard = _vectors(r.field("centre"), dim), r.field("radius").to_numpy(), r.field("shard").to_numpy()
+            q = q.astype(float)
+            bound = q @ centre.T + np.sqrt((q**2).sum(1))[:, None] * (1 + 1e-9) * radius[None, :]
+            over = (bound + np.abs(bound) * 1e-9 - floor[:, None]).max(0)
+            good = over >= 0
+            n = int(good.sum())
+            same = lambda name, b=b, n=n: pa.array([b.column(name)[0].as_py()] * n, pa.int32())
+            yield pa.RecordBatch.from_arrays([same("dim"), same("block"), pa.array(shard[good], pa.int32()), pa.array(over[good], pa.float64())], ["dim", "block", "shard", "bound"])
+
+    return blocks.join(roots, "dim").select("dim", "block", "q", "floor", "roots").mapInArrow(bounds, "dim int, block int, shard int, bound double")
+
+
+def visited(pairs: DataFrame, blocks: DataFrame, trees: DataFrame, k: int) -> DataFrame:
+    """Hits of each (dim, block, shard): at most k for each query."""
+    pairs = pairs.withColumn("part", F.floor(F.col("block") / TOGETHER).cast("int"))
+    told = pairs.select("dim", "shard", "part").distinct().join(trees.select("dim", "shard", "tree"), ["dim", "shard"])
+    asked = pairs.join(blocks.select("dim", "block", "q", "floor"), ["dim", "block"])
+    both = told.withColumn("block", F.lit(-1)).unionByName(asked, allowMissingColumns=True)
+    both = both.repartition("dim", "shard", "part").sortWithinPartitions("dim", "shard", "part", "block")  # the tree first
 
     def visit(batches):
-        for b in batches:
-            rows: list[tuple] = []
-            floors = b.column("floor").to_pylist()
-            for tree, ask, known in zip(b.column("tree").to_pylist(), b.column("q").to_pylist(), floors, strict=True):
-                tree = pickle.loads(tree)
-                ids = np.array([x["id"] for x in ask])
-                known = dict((x["query"], x["score"]) for x in known or ())
-                floor = np.array([known.get(i, -math.inf) for i in ids], float)
-                for i, found in zip(ids, tree.search(ids, np.array([x["v"] for x in ask]), floor, k), strict=True):
-                    rows += [(int(i), r + 1, c, s) for r, (s, c) in enumerate(found)]
+        tree = None
+        for b in (whole.slice(at, 1) for whole in batches for at in range(whole.num_rows)):
+            if b.column("tree")[0].is_valid:
+                tree = pickle.loads(b.column("tree")[0].as_py())
+                continue
+            ids, q, floor = _asked(b.column("q")[0].values, _block(b.column("floor"), 0))
+            rows = [(int(i), r + 1, c, s) for i, found in zip(ids, tree.search(ids, q, floor, k), strict=True) for r, (s, c) in enumerate(found)]
             columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["query", "rank", "id", "score"])
 
-    none = F.lit(None).cast("array<struct<query:bigint,score:bigint>>").alias("floor")
-    home = blocks.withColumnRenamed("home", "shard").join(trees, ["dim", "shard"])
-    first = written(home.select("tree", "q", none).mapInArrow(visit, HITS))
-    kth = first.filter(F.col("rank") == k).select("query", "score")
-    floors = kth.join(blocks.select("block", "dim", F.explode("q.id").alias("query")), "query").groupBy("dim", "block").agg(F.collect_list(F.struct("query", "score")).alias("floor"))
-    others = blocks.join(floors, ["dim", "block"], "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).filter(F.col("shard") != F.col("home"))
-    rest = others.join(trees, ["dim", "shard"]).select("tree", "q", "floor").mapInArrow(visit, HITS)
-    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")  # limited to k per task before the shuffle
-    return first.unionByName(rest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", "rank", "id", "score")
+    return both.select("tree", "q", "floor").mapInArrow(visit, HITS)
