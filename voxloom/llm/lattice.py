@@ -62,7 +62,8 @@ class Vocabulary:
         self.line_feed_stands_alone = not any("\n" in p for p in self.pieces)
 
     def zipf(self) -> np.ndarray:
-        """Log probabilities from the scores, read as ranks: 1 / (rank + 3), with one last rank shared by all bytes."""
+        """Unigram log probabilities of all pieces, which add up to 1. The file's scores are ranks and no probabilities of
+        their own: a piece of rank r gets a weight of 1 / (r + 3), and one last rank is shared by all bytes."""
         used = self.scores > -np.inf
         weight = np.zeros(len(self.scores))
         weight[used] = 1.0 / (3.0 - self.scores[used])

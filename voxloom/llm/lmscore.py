@@ -3,12 +3,14 @@
 Every word has a marginal probability under an existing vocabulary: its scores weight all segmentations, and a forward
 recursion in log space adds them up. That distribution over spellings is the prior of a word model learned from the
 training documents: P(word) = (c + a L(word)) / (N + a), with c the word's training count, N all training tokens, L the
-lattice marginal and a the number of words seen once (the Good-Turing mass of the unseen). In lattice terms each word
+lattice marginal and a the number of words seen once (the Good-Turing mass of the unseen). Piece probabilities add up to 1
+over those that start a word (A) and those that don't (B), and a word is one of the former and any number of the latter,
+so L adds up to A / (1 - B) = 1 over all words: P is a probability. In lattice terms each word
 has an arc of its own, learned from the corpus, beside its subword arcs, and the document's probability is the sum over
 all paths; no arc crosses white space, so it is the product over words and the closing token.
 
 Counts cover all training documents and grow with them: partial counts in each task, one shuffle by word. Words among
-the ``common`` most frequent (a bounded table, broadcast) are scored where the text is read; the other words of a
+the ``common`` most frequent (a table bounded in words and bytes, broadcast) are scored where the text is read; the other words of a
 document are joined with the counts by word.
 
 Defined results: null text is empty and has the closing token only; without training documents N is 0, a is 1 and the
@@ -82,22 +84,24 @@ def with_prior(counts: DataFrame, path: str) -> DataFrame:
     return counts.mapInArrow(run, "word binary, c long, prior double")
 
 
+#: Bounds of the broadcast table of common words: bytes in all, and of one word.
+COMMON_BYTES, LONGEST_COMMON = 8_000_000, 65_536
+
+
 def _common(words: DataFrame, most: int) -> DataFrame:
-    """The most frequent words, at most ``most``: those from a count on, which a histogram of the counts' logarithms
-    gives (a bounded number of rows, whatever the number of words)."""
+    """The most frequent words, at most ``most`` and COMMON_BYTES: those from a count on, which a histogram of the counts'
+    logarithms gives (a bounded number of rows, whatever the number of words)."""
     level = F.when(F.col("c") > 0, F.floor(16 * F.log2("c"))).otherwise(-1)
     short = words.filter(F.length("word") <= LONGEST_COMMON).withColumn("_level", level)
-    total, least = 0, None
-    for row in short.groupBy("_level").count().orderBy(F.col("_level").desc()).collect():
-        total += row["count"]
-        if total > most:
+    total, size, least = 0, 0, None
+    for row in short.groupBy("_level").agg(F.count("*").alias("n"), F.sum(F.length("word")).alias("size")).orderBy(F.col("_level").desc()).collect():
+        total, size = total + row["n"], size + row["size"]
+        if total > most or size > COMMON_BYTES:
             break
         least = row["_level"]
     return short.filter(F.col("_level") >= least if least is not None else F.lit(False)).drop("_level")
 
 
-#: Longer words never enter the broadcast table of common words, which bounds its bytes.
-LONGEST_COMMON = 64
 RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "lm_score")
 
 
