@@ -88,6 +88,66 @@ def test_language_odd_rows(odd, empty):
     assert langid.predict(empty, langid.train(odd)).count() == 0
 
 
+def test_numbers_are_no_letters(spark):
+    assert langid.words_of("½ ² ① 12 _") == [] and langid.words_of("A½b ²") == ["a½b"]
+    model = langid.train(spark.createDataFrame([(1, EN, "en", "a"), (2, "½ ²", "en", "a")], DOCS))
+    assert langid.Scorer(model)("½ ²") == ("und", 0.0) and langid.Scorer(model)("é")[0] == "en"
+
+
+def test_language_names_and_columns_that_clash(spark):
+    rows = [(i, EN if i % 2 else FR, "item" if i % 2 else "a`b", "s") for i in range(8)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"_lang": F.lit(1), "lang_pred": F.lit("old"), "a.b`c": F.lit(2)})
+    got = langid.predict(docs, langid.train(docs))
+    assert got.columns == ["doc_id", "text", "lang", "source", "_lang", "a.b`c", "lang_pred", "lang_score"]
+    assert all(r.lang_pred == r.lang and r._lang == 1 for r in got.collect())
+
+
+def test_a_rare_language_stays_in_a_small_sample(spark):
+    rows = [(i, EN, "en", "s") for i in range(600)] + [(1000 + i, FR, "fr", "s") for i in range(3)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = langid.train(docs, max_rows=20, least_rows=5)
+    assert model.langs == ["en", "fr"] and np.exp(model.prior) == pytest.approx([600 / 603, 3 / 603])
+    assert langid.Scorer(model)("la rivière")[0] == "fr"
+    found = langid.sampled(docs.select("lang", F.col("doc_id").alias("key"), F.col("text").alias("item")), {"en": 600, "fr": 3}, 20, 5, 7).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in found}["fr"] == 3 and {r.lang: r["count"] for r in found}["en"] < 60
+
+
+def test_language_scores_equal_brute_force(spark):
+    rng = random.Random(8)
+    make = {"en": "river house road the and of walks".split(), "fr": "rivière maison chemin le la et marche".split(), "de": "fluss haus weg der die und geht".split()}
+    texts = [(i, " ".join(rng.choice(make[x]) + rng.choice(["", "", "s", "n"]) for _ in range(1 + i % 9)), x, "s") for i, x in enumerate(rng.choices(list(make), k=120))]
+    learn, asked = texts[:80], [t for _, t, _, _ in texts[80:]] + ["Riverside 12", "xq", "le the"]
+    words, pieces = {}, {}
+    for _, t, x, _ in learn:
+        for w in t.split():
+            words.setdefault(w, {}).setdefault(x, []).append(1)
+            for n in range(1, 6):
+                for g in list(w) if n == 1 else [f"<{w}>"[k : k + n] for k in range(len(w) + 3 - n)]:
+                    pieces.setdefault(g, {}).setdefault(x, []).append(1)
+    langs = sorted(make)
+    total = lambda table, x: sum(len(v.get(x, ())) for v in table.values())
+    log = lambda table, item, x: math.log((len(table[item].get(x, ())) + 0.5) / (total(table, x) + 0.5 * len(table)))
+
+    def of_word(w, x):
+        if w in words:
+            return log(words, w, x)
+        for n in range(5, 0, -1):
+            known = [g for g in (list(w) if n == 1 else [f"<{w}>"[k : k + n] for k in range(len(w) + 3 - n)]) if g in pieces]
+            if known:
+                return sum(log(pieces, g, x) for g in known) / len(known)
+        return 0.0
+
+    scorer = langid.Scorer(langid.train(spark.createDataFrame(learn, DOCS)))
+    for t in asked:
+        ws = re.findall("[a-zè]+", t.lower())
+        prior = {x: math.log(sum(r[2] == x for r in learn) / len(learn)) for x in langs}
+        sums = {x: sum(of_word(w, x) for w in ws) for x in langs}
+        best = max(langs, key=lambda x: prior[x] + sums[x])
+        z = {x: prior[x] + sums[x] * min(len(ws), 20) / len(ws) for x in langs}
+        p = math.exp(z[best]) / sum(math.exp(v) for v in z.values())
+        assert scorer(t)[0] == best and scorer(t)[1] == pytest.approx(p)
+
+
 # --- mixing ---------------------------------------------------------------------------------------------------------
 def mixing_docs(spark):
     rows = [(i, "w " * (1 + i % 5), "en", "big" if i % 10 else f"s{i % 30}") for i in range(600)]
@@ -123,6 +183,39 @@ def test_mixing_entropy_target_and_budget(spark):
         assert quota - 6 <= g.mix_tokens.sum() <= quota + 6
 
 
+def test_every_copy_has_the_whole_source_in_a_new_order(spark):
+    docs = mixing_docs(spark)
+    got = mixing.mixture(docs, repeats=3.0, block_docs=16).toPandas()
+    sizes = {r.source: r.t for r in docs.groupBy("source").agg(F.sum(mixing.token_count(F.col("text"))).alias("t")).collect()}
+    weight = got.groupby("source").mix_weight.first()
+    budget = max(sizes[s] / weight[s] for s in sizes)
+    orders = []
+    for s, g in got.groupby("source"):
+        quota = weight[s] * budget
+        g = g.sort_values("mix_place", kind="stable")
+        # brute force: end to end, every document starts where the one before it ended
+        assert (g.mix_place * quota).tolist() == pytest.approx((g.mix_tokens.cumsum() - g.mix_tokens).tolist(), abs=1e-3)
+        assert quota - 1e-3 <= g.mix_tokens.sum() < quota + g.mix_tokens.max()
+        for c in range(int(quota // sizes[s])):
+            one = g[g.mix_copy == c]
+            assert sorted(one.doc_id) == sorted(r.doc_id for r in docs.filter(F.col("source") == s).collect())
+            if len(one) > 10:
+                orders.append((s, one.doc_id.tolist()))
+    again = [(a, b) for k, (s, a) in enumerate(orders) for t, b in orders[k + 1 :] if s == t]
+    assert again and all(a != b for a, b in again)
+    place = {c: {i: k for k, i in enumerate(c)} for c in map(tuple, again[0])}
+    blocks = [[next(iter(place))[k] for k in range(n, n + 5)] for n in (0, 10)]
+    other = place[tuple(again[0][1])]
+    assert any(max(other[i] for i in b) - min(other[i] for i in b) > 5 for b in blocks)  # within blocks, too
+
+
+def test_mixing_columns_that_clash(spark):
+    docs = mixing_docs(spark).withColumns({"_tokens": F.lit("a"), "_source": F.lit("b"), "mix_copy": F.lit("old"), "x.y": F.lit(3)})
+    got = mixing.mixture(docs, repeats=2.0)
+    assert got.columns == ["doc_id", "text", "lang", "source", "_tokens", "_source", "x.y", *mixing.MIX]
+    assert {(r._tokens, r._source, r["x.y"]) for r in got.collect()} == {("a", "b", 3)}
+
+
 def test_mixing_odd_rows(odd, empty):
     got = mixing.mixed(odd, repeats=1.5)
     assert got.columns == odd.columns
@@ -195,6 +288,12 @@ def test_judge_adds_spans_that_no_base_rule_finds(spark):
     assert [r.text for r in pii.redact(rows, judge).orderBy("doc_id").collect()] == [*planted.values(), *clean]
 
 
+def test_pii_columns_that_clash(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.cd")], "doc_id long, text string").withColumns({"_pii": F.lit(5), "pii_spans": F.lit("old"), "a.b": F.lit(1)})
+    got = pii.find(docs, pii.Judge(None, {}))
+    assert got.columns == ["doc_id", "text", "_pii", "a.b", "pii_base", "pii_spans"] and got.first()._pii == 5
+
+
 def test_pii_odd_rows(odd, empty):
     judge = pii.train(odd)
     assert pii.find(odd, judge).count() == len(ODD)
@@ -217,6 +316,22 @@ def test_quality_learns_an_interaction():
     assert ((model.score(x[3000:]) > 0.5) == (y[3000:] > 0.5)).mean() > 0.9
 
 
+def test_quality_score_is_the_sum_of_its_tables():
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(500, 4)), 1)
+    model = quality.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float), cycles=15, pair_cycles=15, pairs=3)
+    for row, got in zip(x[:60], model.score(x[:60]), strict=True):
+        at = [sum(v >= e for e in edges) for v, edges in zip(row, model.edges, strict=True)]
+        z = model.base + sum(t[k] for t, k in zip(model.tables, at, strict=True)) + sum(t[ci[at[i]]][cj[at[j]]] for (i, j, ci, cj), t in model.pairs)
+        assert got == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_quality_takes_one_text_of_a_repeated_key(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1), (3, 7)], "doc_id long, quality int")
+    assert quality.score(docs, quality.train(docs, labels)).count() == 4
+
+
 def test_quality_on_texts(spark, odd, empty):
     good, bad = "The river runs. It is wide, and calm. ", "BUY!! NOW!! BUY!! NOW!! "
     docs = spark.createDataFrame([(i, (good if i % 3 else bad) * (1 + i % 7), "en", "a") for i in range(300)], DOCS)
@@ -254,6 +369,16 @@ def test_lattice_marginal_equals_all_segmentations():
         assert m.log_probability([word])[0] == pytest.approx(math.log(total), rel=1e-9)
 
 
+def test_the_prior_of_words_is_a_probability():
+    v = Vocabulary(VOCABULARY)
+    p = np.exp(v.zipf())
+    assert p.sum() == pytest.approx(1)
+    starts = np.array([k for piece, k in v.pieces.items() if piece.startswith(SPACE)])
+    a = p[starts].sum()
+    b = p.sum() - a
+    assert 0 < a < 1 and a / (1 - b) <= 1 + 1e-9  # the sum over all words
+
+
 @pytest.mark.parametrize("common", [0, 3, 1000])
 def test_lm_scores_equal_brute_force(spark, common):
     texts = [(1, "The cat the DOG"), (2, "cat unseenword"), (3, None), (4, "  a\tb\n"), (5, "cat é cat"), (5, "cat é cat")]
@@ -318,6 +443,12 @@ def test_scan_is_associative():
     assert np.allclose(spm.combine(spm.combine(a, b), c), spm.combine(a, spm.combine(b, c)))
 
 
+def test_pieces_columns_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a b", "x"), (2, "c " * 20_000, "y")], "doc_id long, text string, ids string").withColumn("piece_score", F.lit("z"))
+    got = spm.encode(docs, VOCABULARY, decoded="back")
+    assert got.columns == ["doc_id", "text", "ids", "piece_score", "back"] and got.filter("back = text").count() == 2
+
+
 def test_pieces_odd_rows(odd, empty):
     got = spm.decode(spm.encode(odd, VOCABULARY), VOCABULARY)
     assert got.count() == len(ODD)
@@ -350,6 +481,28 @@ def test_media_store_and_read(spark, odd, tmp_path):
     assert back == {media.padded(t, 576)[1] for _, t in texts}
 
 
+@pytest.mark.parametrize("hot", [2, 1000])
+def test_media_chunks_are_shared_across_documents(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(media, "HOT_LEAST", hot)
+    monkeypatch.setattr(media, "HOT_SHARE", 10**9)
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    common = text(24_000)
+    docs = [(k, text(50 + 37 * k) + common + text(700)) for k in range(12)] + [(20, common), (21, common), (22, text(3_000))]
+    path = f"file://{tmp_path}/store"
+    media.store(spark.createDataFrame(docs, "doc_id long, text string"), path)
+    chunks = spark.read.schema(media.CHUNKS).parquet(f"{path}/chunks")
+    assert chunks.filter("shared = 1").count() >= 3
+    kept = sum(sum(r.sizes) for r in chunks.filter("shared = 0").collect())
+    whole = sum(len(media.wave(media.padded(t, 576)[1])) for _, t in docs)
+    assert kept < whole / 3  # the common passage is stored apart, once
+    got = {r.key: r for r in media.read(spark, path).collect()}
+    for k, t in docs:
+        stored = media.wave(media.padded(t, 576)[1])
+        assert got[k].media_sha256 == hashlib.sha256(stored).hexdigest() and got[k].media_bytes == len(stored)
+    assert {r.key: bytes(r.payload) for r in media.payloads(spark, path).collect()} == {k: media.padded(t, 576)[1] for k, t in docs}
+
+
 def test_damaged_chunk_fails(spark, tmp_path):
     media.store(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), f"file://{tmp_path}/a")
     for name in ("media", "rows", "chunks"):
