@@ -34,33 +34,40 @@ def normal_p(t: Column, tails: int = 2) -> Column:
     return 1 - erf(F.abs(t) / math.sqrt(2)) if tails == 2 else (1 - erf(t / math.sqrt(2))) / 2
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function."""
-    tiny, c, d = 1e-300, 1.0, 1.0 - (a + b) * x / (a + 1)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
+def _beta_fraction(a: float, b: float, x: np.ndarray) -> np.ndarray:
+    """Continued fraction of the incomplete beta function, for all x at once."""
+    kept = lambda v: np.where(np.abs(v) > 1e-300, v, 1e-300)
+    c, d = np.ones_like(x), 1.0 / kept(1.0 - (a + b) * x / (a + 1))
+    h = d.copy()
     for m in range(1, 300):
         for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d, c = 1.0 + top * d, 1.0 + top / c
-            d, c = 1.0 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            d, c = 1.0 / kept(1.0 + top * d), kept(1.0 + top / c)
             h *= d * c
-        if abs(d * c - 1) < 1e-15:
+        if (np.abs(d * c - 1) < 1e-15).all():
             break
     return h
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
+def incomplete_beta(a: float, b: float, x) -> np.ndarray:
     """Regularised incomplete beta function."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
+    x = np.asarray(x, float)
+    out = (x >= 1).astype(float)
+    inside = (x > 0) & (x < 1)
+    u = x[inside]
+    front = np.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * np.log(u) + b * np.log1p(-u))
+    low = u < (a + 1) / (a + b + 2)
+    part = np.empty_like(u)
+    part[low] = front[low] * _beta_fraction(a, b, u[low]) / a
+    part[~low] = 1 - front[~low] * _beta_fraction(b, a, 1 - u[~low]) / b
+    out[inside] = part
+    return out
 
 
 def t_p(t: np.ndarray, df: float, tails: int = 2) -> np.ndarray:
     """Exact tail probability of Student's t."""
-    two = np.array([incomplete_beta(df / 2, 0.5, df / (df + x * x)) if math.isfinite(x) else math.nan if math.isnan(x) else 0.0 for x in np.ravel(t)]).reshape(np.shape(t))
-    return two if tails == 2 else np.where(np.asarray(t) > 0, two / 2, 1 - two / 2)
+    t = np.asarray(t, float)
+    two = np.where(np.isnan(t), np.nan, incomplete_beta(df / 2, 0.5, np.where(np.isnan(t), 0.0, df / (df + np.square(t)))))
+    return two if tails == 2 else np.where(t > 0, two / 2, 1 - two / 2)
 
 
 def gamma_pdf(x: Column, shape: int, rate: float = 1.0) -> Column:

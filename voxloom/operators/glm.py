@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxloom.functions.scalar import hrf, t_p
+from voxloom.operators.layout import lists, map_arrays, matrix
 from voxloom.operators.temporal import dct_basis
 from voxloom.session import settled
 
@@ -97,10 +98,10 @@ def ols(rows: DataFrame, x: np.ndarray, contrasts: dict[str, Sequence[float]], r
 
     def run(batches):
         for b in batches:
-            y = np.array(b.column(series).to_pylist(), float).reshape(b.num_rows, len(x))
+            y = matrix(b.column(series)).reshape(b.num_rows, len(x))
             beta = y @ pinv.T
             sigma2 = np.maximum(((y - beta @ x.T) ** 2).sum(1) / df, 1e-12)
-            out = [pa.array(list(beta), pa.list_(pa.float64())), pa.array(sigma2)]
+            out = [lists(beta), pa.array(sigma2)]
             for c in cs.values():
                 con = beta @ c
                 t = con / np.sqrt(np.maximum(sigma2 * (c @ cov @ c), 1e-12))
@@ -121,7 +122,7 @@ def f_statistic(rows: DataFrame, x: np.ndarray, hypothesis: np.ndarray, series:
     def f(values):
         import pandas as pd
 
-        y = np.stack(values.to_numpy())
+        y = np.stack(values.to_numpy()).astype(float)
         beta = y @ pinv.T
         h = beta @ hypothesis.T
         return pd.Series(np.einsum("ij,jk,ik->i", h, middle, h) / k / np.maximum(((y - beta @ x.T) ** 2).sum(1) / df, 1e-12))
@@ -129,6 +130,66 @@ def f_statistic(rows: DataFrame, x: np.ndarray, hypothesis: np.ndarray, series:
     return rows.withColumn("f", f(F.col(series)))
 
 
+def whitener(v: np.ndarray) -> np.ndarray:
+    """V^(-1/2) of a covariance over scans."""
+    w, u = np.linalg.eigh(v)
+    return (u / np.sqrt(np.maximum(w, 1e-12 * w.max()))) @ u.T
+
+
+def effective_df(x: np.ndarray, v: np.ndarray, removed: int = 0) -> float:
+    """tr(RV)^2 / tr(RVRV): the degrees of freedom of residuals whose scans covary as V."""
+    rv = (np.eye(len(x)) - x @ np.linalg.pinv(x)) @ v
+    return float(np.trace(rv) ** 2 / np.sum(rv * rv.T)) - removed
+
+
+def wls(rows: DataFrame, x: np.ndarray, v: np.ndarray, contrasts: dict[str, Sequence[float]], series: str = "series", tails: int = 2) -> DataFrame:
+    """``ols`` after both sides are whitened by the covariance V over scans, which all voxels share."""
+    w = whitener(v)
+    return ols(map_arrays(rows, series, lambda y: y @ w.T), w @ x, contrasts, series=series, tails=tails)
+
+
+def informative(jacobian: np.ndarray, quality: float = 0.9, share: float = 0.1) -> np.ndarray:
+    """Indices of the samples that carry a fit: the least informative tenth goes again and again, while the determinant of
+    the normal equations keeps ``quality`` of its first value."""
+    keep = np.arange(len(jacobian))
+    whole = np.linalg.det(jacobian.T @ jacobian)
+    while len(keep) > 2 * jacobian.shape[1]:
+        j = jacobian[keep]
+        weight = np.einsum("ij,jk,ik->i", j, np.linalg.pinv(j.T @ j), j)  # leverage
+        fewer = np.sort(keep[np.argsort(weight, kind="stable")[max(1, int(len(keep) * share)) :]])
+        if np.linalg.det(jacobian[fewer].T @ jacobian[fewer]) < quality * whole:
+            break
+        keep = fewer
+    return keep
+
+
+def sessions(designs: Sequence[tuple[np.ndarray, list[str]]]) -> tuple[np.ndarray, list[str]]:
+    """The designs of several sessions as one: blocks along the diagonal, names numbered by session."""
+    x = np.zeros((sum(len(d) for d, _ in designs), sum(d.shape[1] for d, _ in designs)))
+    names, row, col = [], 0, 0
+    for k, (d, own) in enumerate(designs):
+        x[row : row + len(d), col : col + d.shape[1]] = d
+        names += [f"s{k + 1}:{n}" for n in own]
+        row, col = row + len(d), col + d.shape[1]
+    return x, names
+
+
+def mean_corrected(x: np.ndarray) -> np.ndarray:
+    return x - x.mean(0)
+
+
+def orthogonal_contrasts(c: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Contrasts (rows) made independent of those before them, as their estimates covary; collinear ones are dropped."""
+    pinv = np.linalg.pinv(x)
+    cov, out = pinv @ pinv.T, []
+    for row in np.asarray(c, float):
+        for o in out:
+            row = row - (row @ cov @ o) / (o @ cov @ o) * o
+        if row @ cov @ row > 1e-12:
+            out.append(row)
+    return np.array(out)
+
+
 def two_regressors(rows: DataFrame, by: Sequence[str], y: Column, x1: Column, x2: Column) -> DataFrame:
     """Least squares of y on 1, x1, x2 for every group, from one pass of centred moments; null where x1 and x2 are
     collinear in a group."""

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from voxloom.operators.layout import Shape
+from voxloom.operators.layout import Shape, lists, matrix
 from voxloom.operators.spatial import grid, rigid, trilinear
 
 LIMITS = np.array([20, 20, 20, 0.35, 0.35, 0.35])
@@ -73,7 +73,7 @@ def realign(blocks: DataFrame, shape: Shape, by: str, scan: str = "t", voxel: tu
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by(scan)
-        v = np.array(group.column("data").to_pylist(), float).reshape(-1, nz, ny, nx)
+        v = matrix(group.column("data")).reshape(-1, nz, ny, nx)
         p = np.zeros((len(v), 6))
         target = v[0]
         for turn in range(passes):
@@ -82,7 +82,7 @@ def realign(blocks: DataFrame, shape: Shape, by: str, scan: str = "t", voxel: tu
             out = np.stack([reslice(a, q) for a, q in zip(v, p, strict=True)])
             target = out.mean(0)
         mm = p * np.array([*voxel, 1, 1, 1])
-        return pa.table({by: group.column(by), scan: group.column(scan), **{n: pa.array(mm[:, k]) for k, n in enumerate(("tx", "ty", "tz", "rx", "ry", "rz"))}, "data": pa.array(list(out.reshape(len(v), -1)), pa.list_(pa.float64()))})
+        return pa.table({by: group.column(by), scan: group.column(scan), **{n: pa.array(mm[:, k]) for k, n in enumerate(("tx", "ty", "tz", "rx", "ry", "rz"))}, "data": lists(out.reshape(len(v), -1))})
 
     kinds = {c: blocks.schema[c].dataType.simpleString() for c in (by, scan)}
     columns = ", ".join(f"{n} double" for n in ("tx", "ty", "tz", "rx", "ry", "rz"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -19,8 +20,8 @@ def drop_scans(rows: DataFrame, n: int, scan: str = "t") -> DataFrame:
 
 def percentile_mask(means: DataFrame, percent: float, value: str = "mean") -> DataFrame:
     """Voxels whose mean lies strictly above the percentile."""
-    cut = means.agg(F.percentile(value, F.lit(percent / 100))).first()[0]
-    return means.filter(F.col(value) > F.lit(cut))
+    cut = percentile(means, [], value, percent, "linear").first()
+    return means.filter(F.col(value) > F.lit(cut["percentile"] if cut else None))
 
 
 def global_mask(means: DataFrame, fraction: float = 0.5, value: str = "mean") -> DataFrame:
@@ -29,25 +30,58 @@ def global_mask(means: DataFrame, fraction: float = 0.5, value: str = "mean") ->
     return means.filter(F.col(value) > F.lit(min(1.0, max(0.0, fraction)) * (level or 0.0)))
 
 
-def hazen(rows: DataFrame, by: Sequence[str], value: str, percent: float, buckets: int = 256) -> DataFrame:
-    """(by, hazen): the exact percentile by the midpoint rule, for groups of any size.
+def _place(rule: str, percent: float, n: Column) -> Column:
+    """The rank, from 1, that a percentile stands at: by the midpoint rule or the linear one."""
+    at = n * (percent / 100) + 0.5 if rule == "midpoint" else (n - 1) * (percent / 100) + 1
+    return F.least(F.greatest(at, F.lit(1.0)), n.cast("double"))
 
-    Approximate cut points deal each group over buckets; only the buckets that hold the wanted ranks are sorted."""
-    rows = rows.filter(F.col(value).isNotNull()).select(*by, value)
-    cuts = rows.groupBy(*by).agg(F.percentile_approx(value, [k / buckets for k in range(1, buckets)], 1000).alias("_cuts"))
-    cuts = settled(cuts)
-    dealt = rows.join(F.broadcast(cuts) if cuts.count() <= 1000 else cuts, list(by))
-    dealt = dealt.withColumn("_b", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(value)))).drop("_cuts")
-    counts = dealt.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy("_b")
-    counts = counts.withColumn("_upto", F.sum("_n").over(w)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
-    place = F.least(F.greatest(F.col("_all") * (percent / 100) + 0.5, F.lit(1.0)), F.col("_all").cast("double"))
-    counts = counts.withColumn("_place", place).withColumn("_low", F.floor("_place")).withColumn("_high", F.least(F.col("_low") + 1, F.col("_all")))
-    wanted = counts.filter((F.col("_upto") >= F.col("_low")) & (F.col("_upto") - F.col("_n") < F.col("_high")))
-    rank = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(value)) + F.col("_upto") - F.col("_n")
-    near = dealt.join(wanted, [*by, "_b"]).withColumn("_rank", rank).filter(F.col("_rank").isin(F.col("_low"), F.col("_high")))
-    ends = near.groupBy(*by).agg(F.max(F.when(F.col("_rank") == F.col("_low"), F.col(value))).alias("_a"), F.max(F.when(F.col("_rank") == F.col("_high"), F.col(value))).alias("_z"), F.first("_place").alias("_p"), F.first("_low").alias("_l"))
-    return ends.select(*by, (F.col("_a") + (F.col("_p") - F.col("_l")) * (F.col("_z") - F.col("_a"))).alias("hazen"))
+
+def _with_state(rows: DataFrame, state: DataFrame, keys: list[str], groups: int) -> DataFrame:
+    return rows.join(F.broadcast(state) if groups <= 10_000 else state, keys)
+
+
+def percentile(rows: DataFrame, by: Sequence[str], value: str, percent: float, rule: str = "midpoint", few: int = 100_000, cuts: int = 1000) -> DataFrame:
+    """(by, percentile): exact percentiles of groups of any size, without sorting them; nulls and NaN take no part.
+
+    Every pass cuts a group at approximate quantiles and keeps the stretch around the wanted rank, a few thousandths of its
+    rows; counting what lies below keeps the ranks exact. Only the last stretch, ``few`` rows or one value, is ordered."""
+    keys = [*by, "_g"]
+    rows = rows.select(*by, F.lit(0).alias("_g"), F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    state = rows.groupBy(*keys).agg(F.count("*").alias("_all"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    state = settled(state.withColumns({"_below": F.lit(0).cast("long"), "_inside": F.col("_all")}))
+    groups, inside = state.count(), rows
+    for turn in range(8):
+        if not state.filter((F.col("_inside") > few) & (F.col("_lo") < F.col("_hi"))).limit(1).count():
+            break
+        found = _with_state(rows, state, keys, groups).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        at = found.groupBy(*keys).agg(F.percentile_approx("_v", [k / cuts for k in range(cuts + 1)], 10 * cuts).alias("_cuts"))
+        share = (_place(rule, percent, F.col("_all")) - F.col("_below")) / F.col("_inside") * cuts
+        low, high = F.greatest(F.floor(share) - 2, F.lit(0)), F.least(F.ceil(share) + 2, F.lit(cuts))
+        asked = state.join(at, keys).select(*keys, "_all", F.get("_cuts", low.cast("int")).alias("_a"), F.get("_cuts", high.cast("int")).alias("_z"), "_lo", "_hi", "_below", "_inside")
+        asked = settled(asked)
+        counts = _with_state(rows, asked.select(*keys, "_a", "_z"), keys, groups).groupBy(*keys).agg(F.count_if(F.col("_v") < F.col("_a")).alias("_under"), F.count_if(F.col("_v").between(F.col("_a"), F.col("_z"))).alias("_in"))
+        place = _place(rule, percent, F.col("_all"))
+        # a stretch that misses a wanted rank isn't taken
+        good = (F.col("_under") < F.floor(place)) & (F.col("_under") + F.col("_in") >= F.least(F.floor(place) + 1, F.col("_all")))
+        new = {"_lo": "_a", "_hi": "_z", "_below": "_under", "_inside": "_in"}
+        state = settled(asked.join(counts, keys).select(*keys, "_all", *[F.when(good, F.col(n)).otherwise(F.col(o)).alias(o) for o, n in new.items()]))
+    else:
+        turn = 8
+    if turn:
+        inside = _with_state(rows, state.select(*keys, "_lo", "_hi"), keys, groups).filter(F.col("_v").between(F.col("_lo"), F.col("_hi"))).select(*keys, "_v")
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_v"))
+    counts = inside.groupBy(*keys, "_v").agg(F.count("*").alias("_n")).withColumn("_upto", upto)
+    counts = _with_state(counts, state.select(*keys, "_all", "_below"), keys, groups)
+    place = _place(rule, percent, F.col("_all"))
+    holds = lambda rank: (F.col("_below") + F.col("_upto") >= rank) & (F.col("_below") + F.col("_upto") - F.col("_n") < rank)
+    low, high = F.floor(place), F.least(F.floor(place) + 1, F.col("_all"))
+    ends = counts.groupBy(*keys).agg(F.max(F.when(holds(low), F.col("_v"))).alias("_a"), F.max(F.when(holds(high), F.col("_v"))).alias("_z"), F.first(place - low).alias("_f"))
+    return ends.select(*by, (F.col("_a") + F.col("_f") * (F.col("_z") - F.col("_a"))).alias("percentile"))
+
+
+def hazen(rows: DataFrame, by: Sequence[str], value: str, percent: float) -> DataFrame:
+    """(by, hazen): the exact percentile by the midpoint rule."""
+    return percentile(rows, by, value, percent).withColumnRenamed("percentile", "hazen")
 
 
 def nearest_index(value: Column, points: Sequence[float]) -> Column:
@@ -103,18 +137,42 @@ def joint_histogram(pairs: DataFrame, by: Sequence[str], a: str, b: str) -> Data
     return pairs.groupBy(*by, a, b).agg(F.count("*").alias("n"))
 
 
-def information(histogram: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
-    """(by, h_a, h_b, h_ab, mi, nmi, ecc) in nats. The marginals come from the histogram, not from the pairs."""
+def smoothed_histogram(histogram: DataFrame, by: Sequence[str], a: str, b: str, taps: Sequence[float], bins: int) -> DataFrame:
+    """The histogram with each count spread over its neighbours along both axes; what falls off the ends is lost."""
+    r = len(taps) // 2
+    steps = F.array(*[F.struct(F.lit(i - r).alias("i"), F.lit(j - r).alias("j"), F.lit(float(u * v)).alias("w")) for i, u in enumerate(taps) for j, v in enumerate(taps)])
+    spread = histogram.select(*by, a, b, "n", F.explode(steps).alias("s")).select(*by, (F.col(a) + F.col("s.i")).alias(a), (F.col(b) + F.col("s.j")).alias(b), (F.col("n") * F.col("s.w")).alias("n"))
+    return spread.filter(F.col(a).between(0, bins - 1) & F.col(b).between(0, bins - 1)).groupBy(*by, a, b).agg(F.sum("n").alias("n"))
+
+
+def information(histogram: DataFrame, by: Sequence[str], a: str, b: str, base: float = math.e) -> DataFrame:
+    """(by, h_a, h_b, h_ab, mi, nmi, ecc, ncc), in nats unless another base is given. The marginals come from the histogram,
+    not from the pairs; ncc is the correlation of the bin numbers."""
     both = settled(histogram)
 
     def entropy(keys, name):
-        n = both.groupBy(*by, *keys).agg(F.sum("n").alias("n"))
+        n = both.groupBy(*by, *keys).agg(F.sum("n").alias("n")).filter(F.col("n") > 0)
         # H = ln N - sum(n ln n) / N
-        return n.groupBy(*by).agg((F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias(name))
+        return n.groupBy(*by).agg(((F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")) / math.log(base)).alias(name))
 
-    h = entropy([a], "h_a").join(entropy([b], "h_b"), list(by)).join(entropy([a, b], "h_ab"), list(by))
+    mean = lambda c: F.sum(F.col("n") * c) / F.sum("n")
+    x, y = F.col(a), F.col(b)
+    vx, vy = mean(x * x) - mean(x) * mean(x), mean(y * y) - mean(y) * mean(y)
+    moments = both.groupBy(*by).agg(F.when((vx > 0) & (vy > 0), (mean(x * y) - mean(x) * mean(y)) / F.sqrt(vx * vy)).alias("ncc"))
+    h = entropy([a], "h_a").join(entropy([b], "h_b"), list(by)).join(entropy([a, b], "h_ab"), list(by)).join(moments, list(by))
     ha, hb, hab = F.col("h_a"), F.col("h_b"), F.col("h_ab")
-    return h.select(*by, "h_a", "h_b", "h_ab", (ha + hb - hab).alias("mi"), F.when(hab > 0, (ha + hb) / hab).alias("nmi"), F.when(ha + hb > 0, 2 - 2 * hab / (ha + hb)).alias("ecc"))
+    return h.select(*by, "h_a", "h_b", "h_ab", (ha + hb - hab).alias("mi"), F.when(hab > 0, (ha + hb) / hab).alias("nmi"), F.when(ha + hb > 0, 2 - 2 * hab / (ha + hb)).alias("ecc"), "ncc")
+
+
+def focused_similarity(pairs: DataFrame, by: Sequence[str], a: str, gold: str, percent: float = 70, least: int = 1000) -> DataFrame:
+    """(by, r, n): correlation where either side is as large as a percentile of the gold's magnitudes; where that leaves
+    under ``least`` pairs, of all of them."""
+    cuts = percentile(pairs.select(*by, F.abs(gold).alias("_m")), by, "_m", percent, "linear")
+    marked = pairs.join(cuts, list(by)).withColumn("_hit", F.greatest(F.abs(a), F.abs(gold)) >= F.col("percentile"))
+    hit = F.col("_hit")
+    g = marked.groupBy(*by).agg(F.count_if(hit).alias("_n"), F.corr(F.when(hit, F.col(a)), F.when(hit, F.col(gold))).alias("_r"), F.corr(a, gold).alias("_all"), F.count("*").alias("_rows"))
+    few = F.col("_n") < least
+    return g.select(*by, F.when(few, F.col("_all")).otherwise(F.col("_r")).alias("r"), F.when(few, F.col("_rows")).otherwise(F.col("_n")).alias("n"))
 
 
 def similarity(pairs: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:

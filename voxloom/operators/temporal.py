@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.operators.relational import percentile
+
 
 def fourier_shift(dt: float, tr: float, pad: str | None = None):
     """Delay every series by ``dt`` seconds: x(t) becomes x(t - dt). Without padding the ends wrap around; ``ramp``
@@ -25,11 +27,16 @@ def fourier_shift(dt: float, tr: float, pad: str | None = None):
     return kernel
 
 
-def dct_basis(n: int, tr: float, cutoff: float) -> np.ndarray:
-    """n x k orthonormal DCT-II columns of periods over ``cutoff`` seconds, without the constant."""
+def dct_basis(n: int, tr: float, cutoff: float, legacy: bool = False) -> np.ndarray:
+    """n x k orthonormal DCT-II columns of periods over ``cutoff`` seconds, without the constant. ``legacy``: plain cosines
+    without the half-sample offset, which are neither normal nor orthogonal."""
     k = int(2 * n * tr / cutoff + 1)
     t = np.arange(n)
-    return np.stack([math.sqrt(2 / n) * np.cos(np.pi * (2 * t + 1) * j / (2 * n)) for j in range(1, k)], 1) if k > 1 else np.zeros((n, 0))
+    if k < 2:
+        return np.zeros((n, 0))
+    if legacy:
+        return np.stack([np.cos(np.pi * t * j / n) for j in range(1, k)], 1)
+    return np.stack([math.sqrt(2 / n) * np.cos(np.pi * (2 * t + 1) * j / (2 * n)) for j in range(1, k)], 1)
 
 
 def high_pass(n: int, tr: float, cutoff: float):
@@ -48,8 +55,8 @@ def lag1(series: Column) -> Column:
 
 def global_rho(rows: DataFrame, series: str = "series") -> float:
     """The median lag-1 autocorrelation over all voxels, kept within [-0.5, 0.95]."""
-    rho = rows.select(F.median(lag1(F.col(series)))).first()[0] or 0.0
-    return max(-0.5, min(0.95, rho))
+    found = percentile(rows.select(lag1(F.col(series)).alias("rho")), [], "rho", 50, "linear").first()
+    return max(-0.5, min(0.95, found["percentile"] if found else 0.0))
 
 
 def whiten(series: Column, rho: float) -> Column:

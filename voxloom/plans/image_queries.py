@@ -259,13 +259,14 @@ def svf_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("t", F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + F.abs(x)) / F.size("u"), 6).alias("mean_shift"))
 
 
-@query()
+@query(f"""WITH {IMAGE_SQL}, g AS (SELECT k, k * 0.75 AS p FROM (SELECT unnest(range(0, 5)) AS k)), q AS (SELECT t, y, x, z, x + y * 0.25 AS px FROM vox WHERE z = 0),
+a AS (SELECT q.t, g.k AS z, q.y, q.x, px, p, least(floor(px), 2) AS lx, least(floor(p), 2) AS lz FROM q CROSS JOIN g), c(dx, dz) AS (VALUES (0, 0), (1, 0), (0, 1), (1, 1))
+SELECT a.t, CAST(a.z AS INTEGER) AS z, a.y, a.x, round(CASE WHEN px > 3 THEN 0 ELSE sum(s.v * CASE dx WHEN 1 THEN px - lx ELSE 1 - (px - lx) END * CASE dz WHEN 1 THEN p - lz ELSE 1 - (p - lz) END) END, 5) + 0 AS v
+FROM a CROSS JOIN c JOIN vox s ON s.t = a.t AND s.y = a.y AND s.z = lz + dz AND s.x = least(lx, 2) + dx GROUP BY a.t, a.z, a.y, a.x, px""")
 def normalise_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Onto the standard grid through a constant displacement of one template voxel along x."""
+    """Onto the standard grid through a displacement along x that grows by a quarter voxel a row."""
     shape, affine = registration.standard_grid((-4.5, -4.5, -6.0), (4.5, 4.5, 6.0), 3.0)
     field = np.zeros((3, 4, 4, 4))
-    field[0] = 1.0
+    field[0] = 0.25 * np.arange(4.0)[None, :, None]
     rows = layout.map_arrays(image(spark, sf_dir), "data", lambda flat: np.stack([registration.normalise(v, AFFINE, field, AFFINE, shape, affine).ravel() for v in flat.reshape(-1, 4, 4, 4)]))
-    return layout.voxels(rows, shape).select(*AT, F.round("v", 5).alias("v"))
-
-
+    return layout.voxels(rows, shape).select(*AT, (F.round("v", 5) + 0).alias("v"))

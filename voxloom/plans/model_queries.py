@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.functions.scalar import erf_sql, normal_p
-from voxloom.operators import glm, layout, relational, segment, temporal
-from voxloom.plans.series_queries import CUTOFF, TR, _onsets
-from voxloom.plans.views import IMAGE_SQL, bold, image_voxels, table
+from voxloom.operators import firstlevel, glm, relational, segment, temporal
+from voxloom.plans.series_queries import BASIS_SQL, CUTOFF, RHO_SQL, TASK_SQL, TR, _onsets
+from voxloom.plans.views import BOLD_SQL, IMAGE_SQL, bold, image_voxels, table
+from voxloom.session import settled
 
 QUERIES, SQL = {}, {}
 
@@ -132,26 +133,86 @@ def mrf_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mixture_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three classes of the lower half of line item quantities by k-means and EM."""
+    """Three classes of all line item quantities by k-means and EM."""
     rows = table(spark, sf_dir, "lineitem").filter(F.col("l_quantity").isNotNull()).select("l_quantity")
     found = segment.mixture(rows, "l_quantity", 3)
     return spark.createDataFrame([(k, *map(float, c)) for k, c in enumerate(found)], "k int, share double, mean double, sd double")
 
 
-@query()
+_FIRST = f"""{BOLD_SQL}, {BASIS_SQL}, m AS (SELECT voxel, avg(y) AS mean FROM bold GROUP BY voxel), keep AS (SELECT voxel FROM m WHERE mean > 0.5 * (SELECT avg(mean) FROM m WHERE mean > 0)),
+o AS (SELECT floor(epoch(ts) / 60) / 60 - (SELECT floor(min(epoch(ts)) / 3600) FROM events) AS s FROM events WHERE {TASK_SQL}),
+box AS MATERIALIZED (SELECT scan, count(*) AS hits FROM (SELECT unnest(range(CAST(ceil(s) AS BIGINT), CAST(ceil(s + 1.5) AS BIGINT))) AS scan FROM o) GROUP BY scan),
+d AS MATERIALIZED (SELECT scans.scan, CAST(coalesce(hits, 0) AS DOUBLE) AS task FROM scans LEFT JOIN box ON box.scan = scans.scan),
+dc AS (SELECT k, sum(task * b) AS c FROM d JOIN b ON b.scan = d.scan GROUP BY k), df AS (SELECT b.scan, sum(c * b) AS f FROM b JOIN dc ON dc.k = b.k GROUP BY b.scan),
+yc AS MATERIALIZED (SELECT voxel, k, sum(y * b) AS c FROM bold JOIN keep USING (voxel) JOIN b USING (scan) GROUP BY voxel, k), yf AS (SELECT yc.voxel, b.scan, sum(yc.c * b.b) AS f FROM yc JOIN b USING (k) GROUP BY yc.voxel, b.scan),
+y AS MATERIALIZED (SELECT voxel, scan, y - f AS y, lag(y - f) OVER (PARTITION BY voxel ORDER BY scan) AS p FROM bold JOIN yf USING (voxel, scan)),
+r AS MATERIALIZED (SELECT greatest(-0.5, least(0.95, median(rho))) AS rho FROM (SELECT sum(y * p) / (sum(p * p) + 2.220446049250313e-16) AS rho FROM y WHERE p IS NOT NULL GROUP BY voxel)),
+x AS (SELECT d.scan, task - f AS task, lag(task - f) OVER (ORDER BY d.scan) AS p FROM d JOIN df ON df.scan = d.scan),
+wx AS MATERIALIZED (SELECT scan, CASE WHEN p IS NULL THEN task * sqrt(1 - rho * rho) ELSE task - rho * p END AS a, CASE WHEN p IS NULL THEN sqrt(1 - rho * rho) ELSE 1 - rho END AS o FROM x CROSS JOIN r),
+wy AS (SELECT voxel, scan, CASE WHEN p IS NULL THEN y * sqrt(1 - rho * rho) ELSE y - rho * p END AS y FROM y CROSS JOIN r),
+s AS (SELECT voxel, sum(a * a) AS aa, sum(a * o) AS ao, sum(o * o) AS oo, sum(a * y) AS ay, sum(o * y) AS oy, sum(y * y) AS yy, count(*) - 2 - (SELECT count(DISTINCT k) FROM b) AS df FROM wy JOIN wx USING (scan) GROUP BY voxel),
+e AS (SELECT *, (oo * ay - ao * oy) / (aa * oo - ao * ao) AS con, (aa * oy - ao * ay) / (aa * oo - ao * ao) AS c0, oo / (aa * oo - ao * ao) AS v FROM s),
+t AS (SELECT voxel, df, con, con / sqrt(greatest(greatest((yy - con * ay - c0 * oy) / df, 1e-12) * v, 1e-12)) AS t FROM e),
+q AS (SELECT unnest(range(0, 401)) AS i), g AS (SELECT t.voxel, sum(CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * power(cos(atan(abs(t) / sqrt(df)) * i / 400.0), df - 1)) * atan(any_value(abs(t)) / sqrt(any_value(df))) / 1200.0 AS a FROM t CROSS JOIN q GROUP BY t.voxel)"""
+
+
+@query(f"""WITH {_FIRST} SELECT t.voxel, round(con, 4) + 0 AS con_task, round(t, 4) + 0 AS t_task, round(1 - 2 * g.a * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(pi()), 5) + 0 AS p_task FROM t JOIN g ON g.voxel = t.voxel""")
 def first_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filter, whiten, fit and test: every voxel's hourly series on the response to one event type."""
+    """Mask, filter, whiten, fit and test: every voxel's hourly series on the response to one event type."""
+    rows, n = bold(spark, sf_dir)
+    events, _ = _onsets(spark, sf_dir)
+    hits = {r["scan"]: r["hits"] for r in glm.boxcar(spark.range(n).withColumnRenamed("id", "scan"), events).collect()}  # a value per scan
+    x = np.stack([np.array([hits.get(k, 0) for k in range(n)], float), np.ones(n)], 1)
+    got = firstlevel.fit(rows, ["voxel"], x, ["task", "constant"], ["task"], {"task": {"task": 1.0}}, TR, CUTOFF).rows
+    digits = {"con_task": 4, "t_task": 4, "p_task": 5}
+    return got.select("voxel", *[(F.round(c, d) + 0).alias(c) for c, d in digits.items()])
+
+
+@query(f"""WITH {BOLD_SQL}, o AS (SELECT floor(epoch(ts) / 60) / 60 - (SELECT floor(min(epoch(ts)) / 3600) FROM events) AS s FROM events WHERE {TASK_SQL}),
+box AS MATERIALIZED (SELECT scan, count(*) AS hits FROM (SELECT unnest(range(CAST(ceil(s) AS BIGINT), CAST(ceil(s + 1.5) AS BIGINT))) AS scan FROM o) GROUP BY scan),
+d AS MATERIALIZED (SELECT scans.scan, CAST(coalesce(hits, 0) AS DOUBLE) AS task FROM scans LEFT JOIN box ON box.scan = scans.scan),
+s AS (SELECT voxel, count(*) AS n, var_pop(task) AS sxx, var_pop(y) AS syy, covar_pop(task, y) AS sxy FROM bold JOIN d USING (scan) GROUP BY voxel)
+SELECT voxel, round(sxy * sxy / sxx / greatest((syy - sxy * sxy / sxx) * n / (n - 2), 1e-12) * n, 4) + 0 AS f FROM s""")
+def f_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F of one regressor over a constant."""
     rows, n = bold(spark, sf_dir)
     events, _ = _onsets(spark, sf_dir)
     hits = {r["scan"]: r["hits"] for r in glm.boxcar(spark.range(n).withColumnRenamed("id", "scan"), events).collect()}  # a value per scan
-    task = np.array([hits.get(k, 0) for k in range(n)], float)
-    basis = temporal.dct_basis(n, TR, CUTOFF)
-    filtered = layout.map_arrays(rows, "series", temporal.high_pass(n, TR, CUTOFF))
-    rho = temporal.global_rho(filtered)
-    white = filtered.withColumn("series", temporal.whiten(F.col("series"), rho))
-    x = np.stack([task, np.ones(n)], 1)
-    x -= basis @ (basis.T @ x)
-    if abs(rho) >= 1e-4:
-        x = np.concatenate([x[:1] * np.sqrt(1 - rho * rho), x[1:] - rho * x[:-1]])
-    got = glm.ols(white, x, {"task": (1.0,)}, removed=basis.shape[1])
-    return got.select("voxel", *[F.round(c, 6).alias(c) for c in ("con_task", "t_task", "p_task")])
+    x = np.stack([np.array([hits.get(k, 0) for k in range(n)], float), np.ones(n)], 1)
+    return glm.f_statistic(rows, x, np.array([[1.0, 0.0]])).select("voxel", (F.round("f", 4) + 0).alias("f"))
+
+
+@query(f"""WITH {_SLOPE}, a AS (SELECT l_suppkey, t, atan(abs(t) / sqrt(6.0)) AS h, atan(abs(t) / sqrt(5.0)) AS o FROM s)
+SELECT l_suppkey, round(1 - sin(h) * (1 + cos(h) ** 2 / 2 + 3 * cos(h) ** 4 / 8), 8) + 0 AS p6, round(1 - 2 / pi() * (o + sin(o) * (cos(o) + 2 * cos(o) ** 3 / 3)), 8) + 0 AS p5 FROM a""")
+def t_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact tails of t with an even and an odd number of degrees of freedom, where sums of cosines give them, too."""
+    import pandas as pd
+
+    from voxloom.functions.scalar import t_p
+
+    def tail(df: int):
+        return F.pandas_udf(lambda t: pd.Series(t_p(t.to_numpy(float), df)), "double")
+
+    return _slopes(spark, sf_dir).select("l_suppkey", (F.round(tail(6)("t"), 8) + 0).alias("p6"), (F.round(tail(5)("t"), 8) + 0).alias("p5"))
+
+
+@query(f"""WITH {BOLD_SQL}, {RHO_SQL}, g AS MATERIALIZED (SELECT greatest(-0.5, least(0.95, median(rho))) AS rho FROM r),
+l AS (SELECT voxel, scan, y, lag(y) OVER (PARTITION BY voxel ORDER BY scan) AS p FROM bold),
+w AS (SELECT voxel, CASE WHEN p IS NULL THEN y * sqrt(1 - rho * rho) ELSE y - rho * p END AS y, CASE WHEN p IS NULL THEN sqrt(1 - rho * rho) ELSE 1 - rho END AS o FROM l CROSS JOIN g)
+SELECT voxel, round(sum(o * y) / sum(o * o), 4) + 0 AS mean FROM w GROUP BY voxel""")
+def weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted least squares of a constant under first-order autocorrelation that all voxels share."""
+    rows, n = bold(spark, sf_dir)
+    rows = settled(rows)
+    rho = temporal.global_rho(rows)
+    k = np.arange(n)
+    v = rho ** np.abs(k[:, None] - k[None, :]) / (1 - rho * rho)
+    got = glm.wls(rows, np.ones((n, 1)), v, {"mean": (1.0,)})
+    return got.select("voxel", (F.round("con_mean", 4) + 0).alias("mean"))
+
+
+@query("""WITH l AS (SELECT l_suppkey, round(avg(l_quantity), 4) AS mean, count(*) AS n FROM lineitem GROUP BY l_suppkey) SELECT l_suppkey, mean, n FROM l""")
+def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results as a table that is written and read again."""
+    got = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.round(F.avg("l_quantity"), 4).alias("mean"), F.count("*").alias("n"))
+    return settled(got)

@@ -57,10 +57,10 @@ def latest_artefact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("latest"), newest.alias("o_orderkey"))
 
 
-@query("""SELECT CASE WHEN p_type LIKE '%BRASS%' THEN 'mosaic' WHEN p_type LIKE '%STEEL%' THEN 'standard' WHEN p_size < 5 THEN 'guff' ELSE 'multiframe' END AS class, count(*) AS n FROM part GROUP BY 1""")
+@query("""SELECT CASE WHEN p_type LIKE '%PROMO%' THEN 'mosaic' WHEN p_type LIKE '%STANDARD%' THEN 'standard' WHEN p_type LIKE '%SMALL%' THEN 'tomographic' WHEN p_type LIKE '%LARGE%' THEN 'spectroscopy' WHEN p_size < 5 THEN 'guff' ELSE 'multiframe' END AS class, count(*) AS n FROM part GROUP BY 1""")
 def header_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each header in the first class that it fits."""
-    kind = F.when(F.col("p_type").contains("BRASS"), "mosaic").when(F.col("p_type").contains("STEEL"), "standard").when(F.col("p_size") < 5, "guff").otherwise("multiframe")
+    kind = F.when(F.col("p_type").contains("PROMO"), "mosaic").when(F.col("p_type").contains("STANDARD"), "standard").when(F.col("p_type").contains("SMALL"), "tomographic").when(F.col("p_type").contains("LARGE"), "spectroscopy").when(F.col("p_size") < 5, "guff").otherwise("multiframe")
     return table(spark, sf_dir, "part").groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
 
 

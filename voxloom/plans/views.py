@@ -53,9 +53,10 @@ def bold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
 
 BOLD_SQL = """ev AS (
   SELECT *, CAST(floor(epoch(ts) / 3600) - (SELECT floor(min(epoch(ts)) / 3600) FROM events) AS BIGINT) AS scan FROM events WHERE ts IS NOT NULL
-), scans AS (SELECT unnest(range(0, (SELECT max(scan) + 1 FROM ev))) AS scan),
-bold AS (
-  SELECT u.voxel, s.scan, coalesce(sum(e.value), 0) AS y
+), scans AS MATERIALIZED (SELECT unnest(range(0, (SELECT max(scan) + 1 FROM ev))) AS scan),
+es AS (SELECT user_id, scan, sum(value) AS y FROM ev GROUP BY user_id, scan),
+bold AS MATERIALIZED (
+  SELECT u.voxel, s.scan, coalesce(e.y, 0) AS y
   FROM (SELECT DISTINCT user_id AS voxel FROM ev WHERE user_id IS NOT NULL) u CROSS JOIN scans s
-  LEFT JOIN ev e ON e.user_id = u.voxel AND e.scan = s.scan GROUP BY 1, 2
+  LEFT JOIN es e ON e.user_id = u.voxel AND e.scan = s.scan
 )"""

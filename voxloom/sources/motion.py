@@ -24,9 +24,14 @@ def write(motion: DataFrame, path: str) -> None:
     rows.select("subject", F.concat_ws("\t", *[F.format_string("%.8f", n) for n in NAMES]).alias("value")).write.partitionBy("subject").text(path)
 
 
-def aligned(motion: DataFrame, scans: DataFrame, scan: str = "t") -> DataFrame:
-    """Motion joined to the scans one to one; another number of rows is an error."""
-    a, b = motion.count(), scans.count()
-    if a != b:
-        raise ValueError(f"{a} rows of motion for {b} scans")
-    return scans.join(motion, scan)
+def aligned(motion: DataFrame, scans: DataFrame, on: str | list[str] = "t") -> DataFrame:
+    """Scans with their motion, one to one: a scan without a row of motion, a row without a scan, or a key that occurs twice
+    is an error."""
+    keys = [on] if isinstance(on, str) else list(on)
+    a = motion.withColumn("_m", F.count("*").over(Window.partitionBy(*keys)))
+    b = scans.withColumn("_s", F.count("*").over(Window.partitionBy(*keys)))
+    both = b.join(a, keys, "full")
+    one = F.coalesce((F.col("_m") == 1) & (F.col("_s") == 1), F.lit(False))
+    if both.filter(~one).limit(1).count():
+        raise ValueError("motion and scans don't match one to one")
+    return both.drop("_m", "_s")
