@@ -148,14 +148,18 @@ def wls(rows: DataFrame, x: np.ndarray, v: np.ndarray, contrasts: dict[str, Sequ
     return ols(map_arrays(rows, series, lambda y: y @ w.T), w @ x, contrasts, series=series, tails=tails)
 
 
+def leverage(x: np.ndarray) -> np.ndarray:
+    """How much each row of a design informs its fit: the diagonal of the hat matrix."""
+    return np.einsum("ij,jk,ik->i", x, np.linalg.pinv(x.T @ x), x)
+
+
 def informative(jacobian: np.ndarray, quality: float = 0.9, share: float = 0.1) -> np.ndarray:
     """Indices of the samples that carry a fit: the least informative tenth goes again and again, while the determinant of
     the normal equations keeps ``quality`` of its first value."""
     keep = np.arange(len(jacobian))
     whole = np.linalg.det(jacobian.T @ jacobian)
     while len(keep) > 2 * jacobian.shape[1]:
-        j = jacobian[keep]
-        weight = np.einsum("ij,jk,ik->i", j, np.linalg.pinv(j.T @ j), j)  # leverage
+        weight = leverage(jacobian[keep])
         fewer = np.sort(keep[np.argsort(weight, kind="stable")[max(1, int(len(keep) * share)) :]])
         if np.linalg.det(jacobian[fewer].T @ jacobian[fewer]) < quality * whole:
             break

@@ -43,6 +43,13 @@ def product(left: Column | np.ndarray, right: Column | np.ndarray) -> Column:
     return F.array(*[sum((at(left, i, k) * at(right, k, j) for k in range(1, 4)), at(left, i, 0) * at(right, 0, j)) for i in range(4) for j in range(4)])
 
 
+def rigid(p: list[Column]) -> Column:
+    """The affine of (tx, ty, tz, rx, ry, rz): turns about x, then y, then z, then the shift."""
+    tx, ty, tz, rx, ry, rz = p
+    cx, sx, cy, sy, cz, sz = F.cos(rx), F.sin(rx), F.cos(ry), F.sin(ry), F.cos(rz), F.sin(rz)
+    return affine_column([[cz * cy, cz * sy * sx - sz * cx, cz * sy * cx + sz * sx, tx], [sz * cy, sz * sy * sx + cz * cx, sz * sy * cx - cz * sx, ty], [-sy, cy * sx, cy * cx, tz]])
+
+
 def with_origin(affine: Column, dim: list[Column], point: list[Column]) -> Column:
     """The affine with another shift, which puts the voxel ``point`` (from 1) at 0 mm; a point outside of the volume is
     replaced by the middle. Voxel values stay as they are."""

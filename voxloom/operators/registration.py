@@ -1,7 +1,7 @@
 """Registration: rigid realignment, mutual-information coregistration, deformable warps, normalisation.
 
-One volume (or one run, or one subject) is one unit of work, handled as numpy arrays inside a Spark task; runs and
-subjects are independent rows or groups. All coordinates count from 0; rigid parameters are in mm and radians.
+One volume is one unit of work, handled as numpy arrays inside a Spark task; what a run has in common, its target and its
+mean, moves between passes by joins and aggregations. All coordinates count from 0; rigid parameters are in mm and radians.
 """
 
 from __future__ import annotations
@@ -9,9 +9,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from voxloom.operators.layout import Shape, lists, matrix
 from voxloom.operators.spatial import grid, rigid, trilinear
+from voxloom.session import settled
 
 LIMITS = np.array([20, 20, 20, 0.35, 0.35, 0.35])
 STEP = np.array([0.5, 0.5, 0.5, 0.01, 0.01, 0.01])
@@ -68,25 +70,62 @@ def reslice(volume: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 def realign(blocks: DataFrame, shape: Shape, by: str, scan: str = "t", voxel: tuple[float, float, float] = (1, 1, 1), passes: int = 2, sep: int = 1) -> DataFrame:
     """(by, scan, tx..rz, data): motion of every scan against its run's first scan, then against the mean of the
-    realigned scans, and the resliced volume. One run is one group: its scans start from each other's estimates."""
-    nx, ny, nz = shape
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by(scan)
-        v = matrix(group.column("data")).reshape(-1, nz, ny, nx)
-        p = np.zeros((len(v), 6))
-        target = v[0]
-        for turn in range(passes):
-            for k in range(len(v)):
-                p[k] = estimate(target, v[k], p[k - 1] if k and not turn else p[k], sep)
-            out = np.stack([reslice(a, q) for a, q in zip(v, p, strict=True)])
-            target = out.mean(0)
-        mm = p * np.array([*voxel, 1, 1, 1])
-        return pa.table({by: group.column(by), scan: group.column(scan), **{n: pa.array(mm[:, k]) for k, n in enumerate(("tx", "ty", "tz", "rx", "ry", "rz"))}, "data": lists(out.reshape(len(v), -1))})
+    realigned scans, and the resliced volume.
 
+    Scans are rows of their own in every pass, so a run spreads over as many tasks as it has scans; only the run's target,
+    one volume, is joined to them. A later pass starts from the estimates of the one before it."""
+    nx, ny, nz = shape
     kinds = {c: blocks.schema[c].dataType.simpleString() for c in (by, scan)}
-    columns = ", ".join(f"{n} double" for n in ("tx", "ty", "tz", "rx", "ry", "rz"))
-    return blocks.select(by, scan, "data").groupBy(by).applyInArrow(run, f"{by} {kinds[by]}, {scan} {kinds[scan]}, {columns}, data array<double>")
+    rows = blocks.select(by, scan, "data").filter(F.col("data").isNotNull()).withColumn("p", F.array(*[F.lit(0.0)] * 6))
+    first = rows.groupBy(by).agg(F.min(scan).alias(scan))
+    target = rows.join(first, [by, scan]).dropDuplicates([by]).select(by, F.col("data").alias("target"))
+
+    def fitted(batches):
+        for b in batches:
+            v, fixed, start = (matrix(b.column(c)) for c in ("data", "target", "p"))
+            v, fixed = v.reshape(-1, nz, ny, nx), fixed.reshape(-1, nz, ny, nx)
+            p = np.array([estimate(f, a, s, sep) for f, a, s in zip(fixed, v, start, strict=True)]).reshape(-1, 6)
+            out = np.array([reslice(a, q) for a, q in zip(v, p, strict=True)]).reshape(len(v), nx * ny * nz)
+            yield pa.RecordBatch.from_arrays([b.column(by), b.column(scan), b.column("data"), lists(p), lists(out)], [by, scan, "data", "p", "moved"])
+
+    for turn in range(passes):
+        rows = settled(rows.join(target, by).select(by, scan, "data", "p", "target").mapInArrow(fitted, f"`{by}` {kinds[by]}, `{scan}` {kinds[scan]}, data array<double>, p array<double>, moved array<double>"))
+        if turn + 1 < passes:
+            target = mean_volume(rows, by, "moved", kinds[by]).withColumnRenamed("mean", "target")
+            rows = rows.drop("moved")
+    size = [*voxel, 1.0, 1.0, 1.0]
+    return rows.select(by, scan, *[(F.col("p")[k] * float(size[k])).alias(n) for k, n in enumerate(("tx", "ty", "tz", "rx", "ry", "rz"))], F.col("moved").alias("data"))
+
+
+def mean_volume(rows: DataFrame, by: str, data: str, kind: str) -> DataFrame:
+    """(by, mean): the mean volume of every group. Tasks add up what they have of a group first, so one volume for each
+    task and group moves, and not its scans."""
+
+    def sums(batches):
+        held: dict = {}
+
+        def told(keys):
+            n, totals = zip(*held.values(), strict=True)
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), keys), pa.array(n, pa.int64()), lists(np.array(totals))], [by, "n", "total"])
+            held.clear()
+            return out
+
+        for b in batches:
+            keys = b.column(by).type
+            for k, row in zip(b.column(by).to_pylist(), matrix(b.column(data)), strict=True):
+                n, total = held.get(k, (0, 0.0))
+                held[k] = n + 1, total + row
+            if len(held) > 64:
+                yield told(keys)
+        if held:
+            yield told(keys)
+
+    def mean(group: pa.Table) -> pa.Table:
+        total = matrix(group.column("total")).sum(0) / sum(group.column("n").to_pylist())
+        return pa.table({by: group.column(by).slice(0, 1), "mean": lists(total[None, :])})
+
+    parts = rows.select(by, data).mapInArrow(sums, f"`{by}` {kind}, n long, total array<double>")
+    return parts.groupBy(by).applyInArrow(mean, f"`{by}` {kind}, mean array<double>")
 
 
 def checked_motion(blocks: DataFrame, shape: Shape, data: str = "data", least: float = 1e-6) -> DataFrame:

@@ -131,12 +131,33 @@ def mrf_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("t", "z", "y", "x", F.round("w1", 5).alias("w1"))
 
 
-@query()
+_NEAR = "CASE WHEN abs(v - c0) <= abs(v - c1) AND abs(v - c0) <= abs(v - c2) THEN 0 WHEN abs(v - c1) <= abs(v - c2) THEN 1 ELSE 2 END"
+_STATE = ", ".join(f"w{k}, m{k}, s{k}" for k in range(3))
+_SETTLED = "abs(ll - last) <= 1e-4 * abs(ll)"
+
+
+def _each(of) -> str:
+    return ", ".join(of(k) for k in range(3))
+
+
+@query(f"""WITH RECURSIVE hist AS MATERIALIZED (SELECT l_quantity AS v, count(*) AS n FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY l_quantity),
+km AS (SELECT 0 AS i, min(v) AS c0, (min(v) + max(v)) / 2 AS c1, max(v) AS c2, false AS done FROM hist
+  UNION ALL SELECT i + 1, n0, n1, n2, n0 = c0 AND n1 = c1 AND n2 = c2 FROM (SELECT i, c0, c1, c2, {_each(lambda k: f"coalesce(sum(v * n) FILTER (k = {k}) / sum(n) FILTER (k = {k}), c{k}) AS n{k}")}
+    FROM (SELECT km.*, v, n, {_NEAR} AS k FROM km CROSS JOIN hist WHERE NOT done AND i < 100) GROUP BY i, c0, c1, c2)),
+c AS (SELECT c0, c1, c2 FROM km ORDER BY i DESC LIMIT 1), st AS (SELECT {_NEAR} AS k, v, n FROM c CROSS JOIN hist),
+sk AS (SELECT k, sum(n) AS n, sqrt((sum(n * v * v) - sum(n * v) ** 2 / sum(n)) / (sum(n) - 1)) + 1e-3 AS sd FROM st GROUP BY k),
+em AS (SELECT 0 AS i, CAST('-inf' AS DOUBLE) AS last, false AS done, {_each(lambda k: f"(SELECT n FROM sk WHERE k = {k}) / (SELECT sum(n) FROM hist) AS w{k}, c{k} AS m{k}, (SELECT sd FROM sk WHERE k = {k}) AS s{k}")} FROM c
+  UNION ALL SELECT i + 1, ll, {_SETTLED}, {_each(lambda k: f"CASE WHEN {_SETTLED} THEN w{k} ELSE a{k} / total END, CASE WHEN {_SETTLED} THEN m{k} ELSE x{k} / a{k} END, CASE WHEN {_SETTLED} THEN s{k} ELSE sqrt(greatest(q{k} / a{k}, 0)) + 1e-3 END")}
+  FROM (SELECT i, last, {_STATE}, sum(n) AS total, sum(n * ln(j)) AS ll, {_each(lambda k: f"sum(n * j{k} / j) AS a{k}, sum(n * j{k} / j * v) AS x{k}, sum(n * j{k} / j * (v - m{k}) ** 2) AS q{k}")}
+    FROM (SELECT *, j0 + j1 + j2 AS j FROM (SELECT em.*, v, n, {_each(lambda k: f"w{k} * greatest(exp(-0.5 * ((v - m{k}) / s{k}) ** 2) / (s{k} * sqrt(2 * pi())), 1e-300) AS j{k}")} FROM em CROSS JOIN hist WHERE NOT done AND i < 100)) GROUP BY i, last, {_STATE})),
+f AS (SELECT * FROM em ORDER BY i DESC LIMIT 1), u AS ({" UNION ALL ".join(f"SELECT w{k} AS share, m{k} AS mean, s{k} AS sd FROM f" for k in range(3))})
+SELECT CAST(row_number() OVER (ORDER BY mean) - 1 AS INTEGER) AS k, round(share, 5) AS share, round(mean, 4) AS mean, round(sd, 4) AS sd FROM u""")
 def mixture_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three classes of all line item quantities by k-means and EM."""
     rows = table(spark, sf_dir, "lineitem").filter(F.col("l_quantity").isNotNull()).select("l_quantity")
     found = segment.mixture(rows, "l_quantity", 3)
-    return spark.createDataFrame([(k, *map(float, c)) for k, c in enumerate(found)], "k int, share double, mean double, sd double")
+    got = spark.createDataFrame([(k, *map(float, c)) for k, c in enumerate(found)], "k int, share double, mean double, sd double")
+    return got.select("k", F.round("share", 5).alias("share"), F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"))
 
 
 _FIRST = f"""{BOLD_SQL}, {BASIS_SQL}, m AS (SELECT voxel, avg(y) AS mean FROM bold GROUP BY voxel), keep AS (SELECT voxel FROM m WHERE mean > 0.5 * (SELECT avg(mean) FROM m WHERE mean > 0)),

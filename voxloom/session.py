@@ -18,8 +18,12 @@ def session(name: str = "voxloom", master: str | None = None, **conf: str) -> Sp
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, or a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/voxloom-scratch"
+    """A fresh folder under ``spark.checkpoint.dir``; a local one only where that is unset and there is one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/voxloom-scratch"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

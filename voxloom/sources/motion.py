@@ -10,8 +10,11 @@ NAMES = ("tx", "ty", "tz", "rx", "ry", "rz")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(subject, t, tx .. rz); a file per subject, named after it. Any white space separates the numbers."""
-    lines = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"rp_([^/]*)\.txt$", 1).alias("subject"), "value")
+    """(subject, t, tx .. rz); a file per subject, named after it, or in a folder named subject=... as ``write`` leaves it.
+    Any white space separates the numbers."""
+    lines = spark.read.text(path, wholetext=True)
+    name = F.col("subject").cast("string") if "subject" in lines.columns else F.regexp_extract(F.input_file_name(), r"rp_([^/]*)\.txt$", 1)
+    lines = lines.select(name.alias("subject"), "value")
     rows = lines.select("subject", F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda s: F.trim(s) != "")).alias("t", "line"))
     cells = F.split(F.trim("line"), r"\s+")
     return rows.select("subject", "t", *[F.get(cells, F.lit(k)).cast("double").alias(n) for k, n in enumerate(NAMES)])
