@@ -63,3 +63,31 @@ def test_motion_files(spark, tmp_path):
     assert motion.aligned(moved, moved.select("t")).count() == 5
     with pytest.raises(ValueError):
         motion.aligned(moved, moved.select("t").limit(3))
+
+
+def test_written_files_pairs_and_analyze_headers(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(f"s{k}", t, 3, 2, 2, [1.0, 2.0, 3.0], np.eye(4).ravel().tolist(), 16, "d", False, rng.normal(size=12).tolist()) for k in range(2) for t in range(3)]
+    df = spark.createDataFrame(rows, nifti.SCHEMA)
+    told = {r.image_id: r for r in nifti.write(df, f"file://{tmp_path}/out").collect()}
+    assert set(told) == {"s0", "s1"} and all(r.bytes == 352 + 4 * 36 for r in told.values())
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["s0.nii", "s1.nii"]
+    back = {(r.image_id.rpartition("/")[2], r.t): r.data for r in nifti.read(spark, f"file://{tmp_path}/out").collect()}
+    assert all(np.allclose(back[f"{r[0]}.nii", r[1]], r[-1], atol=1e-6) for r in rows)
+
+    values = np.arange(12.0)
+    raw = bytearray(nifti.encode(values, (3, 2, 2), np.eye(4), (2.0, 2.0, 4.0))[:348])
+    struct.pack_into("<f", raw, 108, 0.0)
+    raw[252:263] = b"\0" + struct.pack("<5h", 2, 3, 1, 0, 0)
+    raw[344:348] = b"\0\0\0\0"
+    (tmp_path / "pair").mkdir()
+    for name, origin in (("a", (2, 3, 1)), ("b", (0, 0, 0))):
+        raw[253:259] = struct.pack("<3h", *origin)
+        (tmp_path / f"pair/{name}.hdr").write_bytes(bytes(raw))
+        (tmp_path / f"pair/{name}.img").write_bytes(values.astype("<f4").tobytes())
+    (tmp_path / "pair/lonely.hdr").write_bytes(bytes(raw))
+    got = {r.image_id.rpartition("/")[2]: r for r in nifti.read_pairs(spark, f"file://{tmp_path}/pair").collect()}
+    assert set(got) == {"a.hdr", "b.hdr"} and all(r.data == values.tolist() and not r.short for r in got.values())
+    placed = np.reshape(got["a.hdr"].affine, (4, 4))
+    assert np.allclose(placed @ [2, 2, 0, 1], [0, 0, 0, 1]) and placed[0, 0] == -2  # voxel (2, 3, 1) from 1, x counted from its right end
+    assert np.allclose(np.reshape(got["b.hdr"].affine, (4, 4)), np.diag([2.0, 2, 4, 1]))

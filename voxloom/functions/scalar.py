@@ -50,7 +50,7 @@ def _beta_fraction(a: float, b: float, x: np.ndarray) -> np.ndarray:
 
 def incomplete_beta(a: float, b: float, x) -> np.ndarray:
     """Regularised incomplete beta function."""
-    x = np.asarray(x, float)
+    shape, x = np.shape(x), np.atleast_1d(np.asarray(x, float))
     out = (x >= 1).astype(float)
     inside = (x > 0) & (x < 1)
     u = x[inside]
@@ -60,7 +60,7 @@ def incomplete_beta(a: float, b: float, x) -> np.ndarray:
     part[low] = front[low] * _beta_fraction(a, b, u[low]) / a
     part[~low] = 1 - front[~low] * _beta_fraction(b, a, 1 - u[~low]) / b
     out[inside] = part
-    return out
+    return out.reshape(shape)
 
 
 def t_p(t: np.ndarray, df: float, tails: int = 2) -> np.ndarray:

@@ -79,9 +79,9 @@ def percentile(rows: DataFrame, by: Sequence[str], value: str, percent: float, r
     return ends.select(*by, (F.col("_a") + F.col("_f") * (F.col("_z") - F.col("_a"))).alias("percentile"))
 
 
-def hazen(rows: DataFrame, by: Sequence[str], value: str, percent: float) -> DataFrame:
-    """(by, hazen): the exact percentile by the midpoint rule."""
-    return percentile(rows, by, value, percent).withColumnRenamed("percentile", "hazen")
+def hazen(rows: DataFrame, by: Sequence[str], value: str, percent: float, buckets: int = 1000) -> DataFrame:
+    """(by, hazen): the exact percentile by the midpoint rule, narrowed down by ``buckets`` cuts a pass."""
+    return percentile(rows, by, value, percent, cuts=buckets).withColumnRenamed("percentile", "hazen")
 
 
 def nearest_index(value: Column, points: Sequence[float]) -> Column:
