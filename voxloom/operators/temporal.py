@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.operators.relational import percentile
+from voxloom.session import settled
 
 
 def fourier_shift(dt: float, tr: float, pad: str | None = None):
@@ -55,7 +56,8 @@ def lag1(series: Column) -> Column:
 
 def global_rho(rows: DataFrame, series: str = "series") -> float:
     """The median lag-1 autocorrelation over all voxels, kept within [-0.5, 0.95]."""
-    found = percentile(rows.select(lag1(F.col(series)).alias("rho")), [], "rho", 50, "linear").first()
+    rhos = settled(rows.select(lag1(F.col(series)).alias("rho")))  # read several times
+    found = percentile(rhos, [], "rho", 50, "linear").first()
     return max(-0.5, min(0.95, found["percentile"] if found else 0.0))
 
 

@@ -181,6 +181,7 @@ q AS (SELECT unnest(range(0, 401)) AS i), g AS (SELECT t.voxel, sum(CASE WHEN i
 def first_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mask, filter, whiten, fit and test: every voxel's hourly series on the response to one event type."""
     rows, n = bold(spark, sf_dir)
+    rows = settled(rows)  # read twice: for the mask, and to be filtered
     events, _ = _onsets(spark, sf_dir)
     hits = {r["scan"]: r["hits"] for r in glm.boxcar(spark.range(n).withColumnRenamed("id", "scan"), events).collect()}  # a value per scan
     x = np.stack([np.array([hits.get(k, 0) for k in range(n)], float), np.ones(n)], 1)
