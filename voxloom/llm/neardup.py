@@ -38,13 +38,17 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.common import trimmed, written
 
+#: Minwise hashes in all, and those of which the tokens are kept for branching; of all of them two bits are kept.
 COORDINATES, BITS = 64, 128
-#: Least share of equal signature bits: a similarity s gives (1 + s) / 2 on average. So many deviations below.
-BIT_SLACK = 7.0
+#: The bits in two planes of two words each.
+PLANES = ("s0", "s1", "s2", "s3")
+#: Least number of hashes with equal bits: a similarity s gives a share of s + (1 - s) / 4 on average. So many deviations
+#: below.
+BIT_SLACK = 6.0
 #: Members of a large cluster that all others are held against first.
 HUBS = 8
 #: What a member of a tree node carries into the comparison.
-CELL = ("node", "members", "id", "n", "s0", "s1")
+CELL = ("node", "members", "id", "n", *PLANES)
 _RNG = np.random.default_rng(20_240_229)
 _MULTIPLY = _RNG.integers(1, 2**63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, BITS, dtype=np.uint64)
@@ -77,8 +81,8 @@ class Shingler:
         return np.unique(out)
 
 
-def signature(shingles: np.ndarray) -> tuple[bytes, tuple[int, int]]:
-    """COORDINATES minwise tokens (4 bytes each) and BITS low bits as two signed longs."""
+def signature(shingles: np.ndarray) -> tuple[bytes, tuple[int, ...]]:
+    """COORDINATES minwise tokens (4 bytes each), and two bits of each of the BITS hashes as PLANES of signed longs."""
     low = np.full(BITS, np.iinfo(np.uint64).max, np.uint64)
     for s in range(0, len(shingles), 4096):  # blocks keep memory flat for very long texts
         block = shingles[s : s + 4096]
@@ -86,28 +90,28 @@ def signature(shingles: np.ndarray) -> tuple[bytes, tuple[int, int]]:
             part = block[:, None] * _MULTIPLY[None, f : f + 32] + _ADD[None, f : f + 32]
             low[f : f + 32] = np.minimum(low[f : f + 32], part.min(0))
     mixed = _mixed(low)
-    bits = np.packbits((mixed >> np.uint64(40)).astype(np.uint8) & 1)
+    bits = np.packbits(np.concatenate([mixed >> np.uint64(40), mixed >> np.uint64(41)]).astype(np.uint8) & 1)
     return (mixed[:COORDINATES] >> np.uint64(32)).astype(np.uint32).tobytes(), tuple(np.frombuffer(bits.tobytes(), np.int64).tolist())
 
 
 def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(id, n, same, tokens, s0, s1): set size, fingerprint of the full set, signature; one row per document."""
+    """(id, n, same, tokens, PLANES): set size, fingerprint of the full set, signature; one row per document."""
 
     def run(batches):
         shingler = Shingler(words)
         for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in range(3 + len(PLANES))]
             for t in b.column(1).to_pylist():
                 x = shingler(t)
                 tokens, bits = signature(x)
                 same = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
                 for column, v in zip(out, (len(x), same, tokens, *bits), strict=True):
                     column.append(v)
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], ["id", "n", "same", "tokens", "s0", "s1"])
+            kinds = (pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * len(PLANES))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], ["id", "n", "same", "tokens", *PLANES])
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(lambda b: trimmed(run(b)), "id long, n long, same binary, tokens binary, s0 long, s1 long")
+    return rows.mapInArrow(lambda b: trimmed(run(b)), "id long, n long, same binary, tokens binary, " + ", ".join(f"{p} long" for p in PLANES))
 
 
 def _token(at: Column) -> Column:
@@ -121,24 +125,29 @@ def _children(rows: DataFrame, node: Column, branches: int, pick: Column | None
     strip = COORDINATES // branches
     picks = [F.pmod(F.xxhash64(node, F.lit(j)) if pick is None else pick, F.lit(strip)).cast("int") + j * strip for j in range(branches)]
     names = F.array(*[F.xxhash64(node, p, _token(p)) for p in picks])
-    return rows.select(F.explode(names).alias("node"), "id", "n", "s0", "s1")
+    return rows.select(F.explode(names).alias("node"), "id", "n", *PLANES)
+
+
+def _equal_share(threshold: int) -> float:
+    return threshold / 100 + (1 - threshold / 100) / 4
 
 
 def least_equal_bits(threshold: int) -> int:
-    share = (1 + threshold / 100) / 2
+    share = _equal_share(threshold)
     return int(BITS * share - BIT_SLACK * (BITS * share * (1 - share)) ** 0.5)
 
 
 def bits_lost(threshold: int) -> float:
     """Probability that a pair exactly at the threshold has fewer equal bits than asked for."""
-    share = (1 + threshold / 100) / 2
+    share = _equal_share(threshold)
     return sum(math.comb(BITS, k) * share**k * (1 - share) ** (BITS - k) for k in range(least_equal_bits(threshold)))
 
 
 def _plausible(threshold: int) -> Column:
     """Of a member and the hub of its node: size filter, exact; and signature bits within BIT_SLACK deviations of what
     the threshold gives."""
-    equal = BITS - F.bit_count(F.col("s0").bitwiseXOR(F.col("h0"))) - F.bit_count(F.col("s1").bitwiseXOR(F.col("h1")))
+    differ = lambda k: F.col(f"s{k}").bitwiseXOR(F.col(f"h{k}"))
+    equal = BITS - F.bit_count(differ(0).bitwiseOR(differ(2))) - F.bit_count(differ(1).bitwiseOR(differ(3)))
     sizes = F.least("n", "hn") * 100 >= F.greatest("n", "hn") * threshold
     return sizes & (equal >= least_equal_bits(threshold))
 
@@ -170,7 +179,8 @@ def likely_pairs(n: np.ndarray, bits: np.ndarray, threshold: int, least_bits: in
         i, j = np.triu_indices(len(n), 1)
     ok = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * threshold
     i, j = i[ok], j[ok]
-    differ = np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)).sum(1, dtype=np.int64)  # of an int64 numpy counts the absolute value's bits
+    x = bits[i] ^ bits[j]
+    differ = np.bitwise_count((x[:, :2] | x[:, 2:]).view(np.uint64)).sum(1, dtype=np.int64)  # of an int64 numpy counts the absolute value's bits
     ok = BITS - differ >= least_bits
     i, j, differ = i[ok], j[ok], differ[ok]
     order = np.argsort(differ, kind="stable")
@@ -227,14 +237,14 @@ def _to_compare(i: np.ndarray, j: np.ndarray, side: np.ndarray, ids: np.ndarray)
 
 
 def likely_links(leaves: DataFrame, threshold: int, block: int = 512) -> DataFrame:
-    """Spanning links (a, b) of likely pairs in each tree node. ``leaves``: node, members, rest, apart, id, n, s0, s1."""
+    """Spanning links (a, b) of likely pairs in each tree node. ``leaves``: node, members, rest, apart, id, n, PLANES."""
 
     def run(batches):
         found: list[tuple[int, int]] = []
         for t in blocks_of(batches, 3):
             if len(t) > 1:
                 ids, side = t.column("id").to_numpy(), t.column("side").to_numpy()
-                bits = np.stack([t.column("s0").to_numpy(), t.column("s1").to_numpy()], 1)
+                bits = np.stack([t.column(c).to_numpy() for c in PLANES], 1)
                 forest = Forest(len(ids))
                 i, j = likely_pairs(t.column("n").to_numpy(), bits, threshold, least_equal_bits(threshold))
                 ok = _to_compare(i, j, side, ids)
@@ -246,7 +256,7 @@ def likely_links(leaves: DataFrame, threshold: int, block: int = 512) -> DataFra
                 found = []
         yield _links(found)
 
-    cells = in_cells(leaves, block).select("node", "p", "q", "id", "side", "n", "s0", "s1")
+    cells = in_cells(leaves, block).select("node", "p", "q", "id", "side", "n", *PLANES)
     return cells.repartition("node", "p", "q").sortWithinPartitions("node", "p", "q", "id", "side").mapInArrow(lambda b: trimmed(run(b)), "a long, b long")
 
 
@@ -352,7 +362,7 @@ def apart_from_main(large: DataFrame, links: DataFrame) -> DataFrame:
 def confirmed(docs: DataFrame, members: DataFrame, key: str, text: str, words: int, threshold: int, block: int = 128) -> DataFrame:
     """Spanning links (a, b) of pairs whose full sets reach the threshold, within each cluster.
 
-    ``members``: id, cluster, members, n, s0, s1. In a cluster of more than ``block``, every member is first held
+    ``members``: id, cluster, members, n, PLANES. In a cluster of more than ``block``, every member is first held
     against a few hubs; only members that this leaves apart from the main part are then compared with all others."""
     small = members.filter(F.col("members") <= block)
     small = small.select("*", F.lit(True).alias("apart"), F.col("members").alias("rest"))
@@ -368,7 +378,7 @@ def confirmed(docs: DataFrame, members: DataFrame, key: str, text: str, words: i
         for t in blocks_of(batches, 3):
             ids, side = t.column("id").to_numpy(), t.column("side").to_numpy()
             n = t.column("n").to_numpy()
-            bits = np.stack([t.column("s0").to_numpy(), t.column("s1").to_numpy()], 1)
+            bits = np.stack([t.column(c).to_numpy() for c in PLANES], 1)
             i, j = likely_pairs(n, bits, threshold, 0) if len(ids) > 1 else (np.zeros(0, int), np.zeros(0, int))
             ok = _to_compare(i, j, side, ids)
             i, j = i[ok], j[ok]
@@ -389,8 +399,8 @@ def confirmed(docs: DataFrame, members: DataFrame, key: str, text: str, words: i
                 step = 8192
             yield _links([(int(ids[a]), int(ids[b])) for a, b in forest.links])
 
-    rows = _members_with_text(docs, written(in_cells(todo, block).select("cluster", "p", "q", "id", "side", "n", "s0", "s1")), key, text)
-    rows = rows.select("cluster", "p", "q", "id", "side", "n", "s0", "s1", "text").repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "id", "side")
+    rows = _members_with_text(docs, written(in_cells(todo, block).select("cluster", "p", "q", "id", "side", "n", *PLANES)), key, text)
+    rows = rows.select("cluster", "p", "q", "id", "side", "n", *PLANES, "text").repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "id", "side")
     found = rows.mapInArrow(lambda b: trimmed(run(b)), "a long, b long")
     if stars is None:
         return found
@@ -434,7 +444,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     """(id, n_shingles, component): ``component`` is the smallest id of the document's group. ``threshold`` in percent."""
     all_rows = written(signatures(docs, key, text, words))
     rows = all_rows.filter((F.col("n") > 0) & F.col("id").isNotNull())
-    first = F.min(F.struct("id", "n", "tokens", "s0", "s1")).alias("first")
+    first = F.min(F.struct("id", "n", "tokens", *PLANES)).alias("first")
     classes = written(rows.groupBy("same").agg(first).select("same", "first.*"))
 
     # the trees, level by level: who is in which node; tokens stay in `classes` and are joined where a node branches
@@ -445,8 +455,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     leaves, stars = [], []
     for level in range(1, levels + 1):
         at = written(at)
-        counts = at.groupBy("node").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("id"), "id", "n", "s0", "s1")).alias("a")).filter(F.col("members") > 1)
-        known = written(at.join(counts.select("node", "members", "a.id", "a.n", "a.s0", "a.s1").withColumnsRenamed({"id": "h", "n": "hn", "s0": "h0", "s1": "h1"}), "node"))
+        counts = at.groupBy("node").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("id"), "id", "n", *PLANES)).alias("a")).filter(F.col("members") > 1)
+        known = written(at.join(counts.select("node", "members", "a.id", "a.n", *(f"a.{p}" for p in PLANES)).withColumnsRenamed({"id": "h", "n": "hn"} | {p: p.replace("s", "h") for p in PLANES}), "node"))
         leaves.append(known.filter(F.col("members") <= small).select(*CELL, F.lit(True).alias("apart"), F.col("members").alias("rest")))
         # every member of a large node is held against one of them, the hub
         marked = written(known.filter(F.col("members") > small).withColumn("apart", ~_plausible(threshold)))
@@ -465,8 +475,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     clusters = components(written(likely))
     sizes = clusters.groupBy("label").agg(F.count("*").alias("members"))
-    members = clusters.join(sizes, "label").join(classes.select("id", "n", "s0", "s1"), "id")
-    members = written(members.select("id", F.col("label").alias("cluster"), "members", "n", "s0", "s1"))
+    members = clusters.join(sizes, "label").join(classes.select("id", "n", *PLANES), "id")
+    members = written(members.select("id", F.col("label").alias("cluster"), "members", "n", *PLANES))
     labels = components(written(confirmed(docs, members, key, text, words, threshold, set_block).distinct()))
 
     grouped = classes.select("same", F.col("id").alias("first")).join(labels.withColumnRenamed("id", "first"), "first", "left").select("same", F.coalesce("label", "first").alias("label"))
