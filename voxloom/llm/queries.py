@@ -42,7 +42,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(docs, pii.train(docs))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("pii_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined("pii_base"), 256).alias("base_sha256"), joined("pii_spans").alias("spans"))
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined("pii_base"), 256).alias("base_sha256"), joined("pii_spans").alias("spans"), F.size("pii_spans").cast("long").alias("n_spans"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
