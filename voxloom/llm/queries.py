@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import chat, langid, lmscore, media, mixing, neardup, pii, quality, spm, topk
+from voxloom.llm import chat, langid, lmscore, media, mixing, neardup, negatives, packing, pii, quality, repair, spm, topk
 from voxloom.llm.common import remainder, scratch_dir, written
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,6 +111,24 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.filter(F.col("embedding").isNotNull() & finite).select("vec_id", moved.alias("label"), F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("v"))
+    return negatives.mine(rows, F.col("id") % 50 == 0)
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixed = repair.repaired(repair.damaged(table(spark, sf_dir, "conversations")))
+    return fixed.withColumn("repaired_sha256", F.sha2("repaired", 256)).drop("repaired")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), WORDS)
+    return pieces.select("doc_id", "start", "length", F.crc32("piece_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -117,7 +136,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_exact_topk, op2_language_id, op3_mixing, op4_pii, op5_quality, op6_lm_scoring, op7_sentencepiece, op8_media, op9_near_duplicates, op10_chat, pipeline)
+    own = (op1_exact_topk, op2_language_id, op3_mixing, op4_pii, op5_quality, op6_lm_scoring, op7_sentencepiece, op8_media, op9_near_duplicates, op10_chat, op11_hard_negatives, op12_repair, op13_packing, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -173,8 +192,93 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND vec_id IS NOT NULL AND label IS NOT NULL
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(CAST(a.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id AND len(a.e) = len(c.e)
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.vec_id AS negative_id, positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+
+def _edit(candidate: str, letters: str, cost: int | str) -> str:
+    """A candidate of the fold as text: nine digits of cost, then the edits; so the least text is the best."""
+    return f"(lpad(CAST(CAST(left({candidate}, 9) AS INTEGER) + {cost} AS VARCHAR), 9, '0') || substr({candidate}, 10) || '{letters}')"
+
+
+def _keep(candidate: str, role: str, edit: str | None) -> str:
+    more = "CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END"
+    kept = f"CASE WHEN coalesce(fault, '') NOT IN ('blank', 'duplicate') AND left(role, 1) = '{role}' THEN {_edit(candidate, 'K', more)} END"
+    other = f", CASE WHEN coalesce(fault, '') NOT IN ('blank', 'duplicate') THEN {_edit(candidate, edit, '3 + ' + more)} END" if edit else ""
+    return f"least({kept}{other})" if other else kept
+
+
+CLOSED = f"""n, s, least(u, {_edit("n", "I", 3)}, {_edit("s", "I", 3)}, {_edit("a", "I", 3)}) AS u,
+  least(a, {_edit("u", "J", 3)}, {_edit("n", "IJ", 6)}, {_edit("s", "IJ", 6)}) AS a"""
+
+OP12_SQL = rf"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(flatten(list_transform(range(1, length(key) + 1), lambda i: [CAST(ord(substr(key, i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END, 4294967295), 4294967295) % 20 AS kind
+  FROM (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations)
+), d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM k WHERE kind <> 0
+), f AS (
+  SELECT conv_id, turn, role, text, row_number() OVER w AS place,
+    CASE WHEN lag(role) OVER w IS NOT NULL AND left(lag(role) OVER w, 1) || left(role, 1) NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END AS illegal,
+    CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 THEN 'duplicate'
+      WHEN last NOT IN ('.', '!', '?') THEN 'truncated' END AS fault
+  FROM (SELECT *, regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS last FROM d)
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
+), fold AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS place, '000000000' AS n, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS u, CAST(NULL AS VARCHAR) AS a
+  FROM conversations
+  UNION ALL
+  SELECT c.conv_id, f.place, {_edit("n", "D", 4)}, least({_edit("s", "D", 4)}, {_keep("n", "s", None)}),
+    least({_edit("u", "D", 4)}, {_keep("least(n, s, a)", "u", "R")}), least({_edit("a", "D", 4)}, {_keep("u", "a", "S")})
+  FROM (SELECT conv_id, place, {CLOSED} FROM fold) c JOIN f ON f.conv_id IS NOT DISTINCT FROM c.conv_id AND f.place = c.place + 1
+), best AS (
+  SELECT conv_id, least(n, a) AS best FROM (SELECT conv_id, place, {CLOSED} FROM fold)
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY place DESC) = 1
+), turns AS (
+  SELECT conv_id, list(role ORDER BY place) AS roles, list(text ORDER BY place) AS texts,
+    coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, sum(illegal) AS illegal
+  FROM f GROUP BY conv_id
+), e AS (
+  SELECT b.conv_id, t.*, CAST(left(best, 9) AS BIGINT) AS cost, substr(best, 10) AS edits,
+    list_transform(range(1, len(t.roles) + 1), lambda i: regexp_extract_all(substr(best, 10), '[IJ]*[DKRS]')[i]) AS steps
+  FROM best b LEFT JOIN turns t ON t.conv_id IS NOT DISTINCT FROM b.conv_id
+)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, cost, translate(edits, 'JS', 'IR') AS audit,
+  sha256(regexp_replace(
+    coalesce(array_to_string(list_transform(range(1, len(roles) + 1), lambda i:
+      replace(replace(regexp_extract(steps[i], '^[IJ]*'), 'I', 'user:' || chr(10)), 'J', 'assistant:' || chr(10))
+      || CASE right(steps[i], 1) WHEN 'D' THEN '' WHEN 'K' THEN roles[i] || ':' || texts[i] || chr(10) WHEN 'R' THEN 'user:' || texts[i] || chr(10)
+        ELSE 'assistant:' || texts[i] || chr(10) END), ''), '')
+    || replace(replace(regexp_extract(edits, '[IJ]*$'), 'I', 'user:' || chr(10)), 'J', 'assistant:' || chr(10)), '
+\z', '')) AS repaired_sha256
+FROM e
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Queries that SQL can express over whole tables; the others are tested against brute force, round trips or
     held-out accuracy."""
-    return {"op1_exact_topk": OP1_SQL, "op9_near_duplicates": OP9_SQL, "op10_chat": OP10_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op9_near_duplicates": OP9_SQL, "op10_chat": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_repair": OP12_SQL}
