@@ -19,7 +19,6 @@ empty table gives no rows. A single document must fit in a task's memory, and so
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,51 +30,95 @@ from voxloom.llm.common import quoted, trimmed, written
 
 WINDOW, SHARD_TOKENS = 4096, 2**20
 K1, B = 1.2, 0.75
-#: Characters that are tokenised together, and texts that a worker remembers the ids of.
-TOGETHER, REMEMBERED = 4_000_000, 400_000
+#: Characters that are tokenised together, and words that a worker remembers the ids of.
+TOGETHER, REMEMBERED = 8_000_000, 800_000
+#: Postings of tokens that more than this share of a shard's documents hold lie as dense rows.
+DENSE = 1 / 8
 PIECE = "`start` long, `length` long, doc_tokens long, sequence_id long, `offset` long, piece_ids binary"
-#: White space ends a word; full stops and commas behind a letter or digit at its end are a word of their own.
-WORDS = re.compile(r"[^ \t\n\r]*[^\W_](?=[.,]*(?:[ \t\n\r]|\Z))|[^ \t\n\r]+")
+LATIN = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþœšž"
+SPACES, ANY_CASE = re.compile(r"[^ \t\n\r]+"), re.compile(f"[{LATIN}{LATIN.upper()}ß]+")
+#: Arrow splits texts at these, too, the tokenizer doesn't.
+NO_SPACES = "[\x1c-\x1f]"
 
 
 class Words:
-    """Ids of texts as bytes (uint32, little-endian), put together from remembered words.
+    """Ids of texts, put together from remembered words.
 
     White space never lies inside a token of this kind of vocabulary (normaliser and splitter drop it), so the ids of a
-    text are those of its words. Words of plain Latin letters go to the model itself, others through the whole tokenizer."""
+    text are those of its words, and full stops and commas behind a word's last letter are a word of their own. Words of
+    plain Latin letters go to the model itself, as the splitter would write them; others through the whole tokenizer.
+    Splitting, counting and putting together are done on whole columns."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(vocabulary)
-        self.model, self.split = self.whole.model, self.whole.pre_tokenizer
+        self.model = self.whole.model
+        self.kind = id_kind(self.whole.get_vocab_size())
+        self.letters = {ord(c): "".join(p for p, _ in self.whole.pre_tokenizer.pre_tokenize_str(c)) for c in LATIN + "ß"}
         self.known: dict[str, bytes] = {}
-        self.shown: dict[str, str] = {}
-
-    def letter(self, c: str) -> str:
-        """How the splitter writes the letter's bytes."""
-        if c not in self.shown:
-            self.shown[c] = "".join(p for p, _ in self.split.pre_tokenize_str(c))
-        return self.shown[c]
 
     def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        plain = [w for w in words if w.isalpha() and max(w) < "ɐ" and w == w.lower() and unicodedata.is_normalized("NFC", w)]
-        for w in plain:
-            self.known[w] = np.array([t.id for t in self.model.tokenize(w if w.isascii() else "".join(map(self.letter, w)))], "<u4").tobytes()
-        rest = [w for w in words if w not in self.known]
-        for w, e in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        # lower case first gives fewer words; only where it means the same as in the tokenizer
-        split = [WORDS.findall(t.lower() if t and t.isascii() else t or "") for t in texts]
-        new = set().union(*split)
+        """Remembers words that aren't known."""
+        if not words:
+            return
+        lower = [w.lower() if ANY_CASE.fullmatch(w) else None for w in words]
+        tokenize, letters = self.model.tokenize, self.letters
+        ids = [None if x is None else [t.id for t in tokenize(x if x.isascii() else x.translate(letters))] for x in lower]
+        rest = [k for k, x in enumerate(lower) if x is None]
+        for k, e in zip(rest, self.whole.encode_batch_fast([words[k] for k in rest], add_special_tokens=False), strict=True):
+            ids[k] = e.ids
+        raw = np.array([i for x in ids for i in x], self.kind).tobytes()
+        ends = (np.cumsum([len(x) for x in ids]) * self.kind.itemsize).tolist()
+        self.known.update(zip(words, (raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+
+    def ids(self, texts: pa.StringArray, end_id: int | None = None) -> pa.BinaryArray:
+        """The stored ids of each text, with ``end_id`` behind them; a null text counts as empty."""
+        import pyarrow.compute as pc
+
+        texts = texts.fill_null("")
+        if pc.any(pc.match_substring_regex(texts, NO_SPACES)).as_py():
+            split = pa.array([SPACES.findall(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+        else:
+            split = pc.utf8_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        # a word without the stops at its end, and those
+        stopped = pc.match_substring_regex(words, r"[\p{L}\p{N}][.,]+$")
+        base = pc.if_else(stopped, pc.utf8_rtrim(words, ".,"), words)
+        tail = pc.if_else(stopped, pc.replace_substring_regex(words, r"^.*[^.,]", ""), "")
+        both = pa.concat_arrays([base, tail]).dictionary_encode()
+        names = both.dictionary.to_pylist()
+        new = [w for w in names if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-        self.learn([w for w in new if w not in self.known])
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+            self.known, new = {}, names
+        self.learn(new)
+        found = [self.known[w] for w in names]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        store, first = np.frombuffer(b"".join(found), self.kind), np.cumsum(size) - size
+        # words from their two parts, then texts from their words
+        part = both.indices.to_numpy(zero_copy_only=False).reshape(2, -1).T.ravel()
+        store, ends = gathered(store, first[part], size[part])
+        first, size = ends[:-1:2], ends[2::2] - ends[:-1:2]
+        values, ends = gathered(store, first[codes], size[codes])
+        at = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        if end_id is not None:
+            rows = np.arange(len(texts))
+            out = np.full(len(values) + len(rows), end_id, self.kind)
+            out[np.arange(len(values)) + np.repeat(rows, np.diff(at))] = values
+            values, at = out, at + np.arange(len(at))
+        return pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((at * self.kind.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def gathered(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``values`` that begin at ``first``, one after the other, and where each ends, with 0 before."""
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return values[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])], ends
+
+
+def id_kind(size: int) -> np.dtype:
+    """How stored ids of a vocabulary of ``size`` look."""
+    return np.dtype("<u2" if size <= 2**16 else "<u4")
 
 
 _words: dict[str, Words] = {}
@@ -93,7 +136,6 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
 def tokenised(docs: DataFrame, vocabulary: str, end_id: int, key: str, text: str) -> DataFrame:
     """(key, ids binary, uid): the ids of every whole text and the end id, stored; ``uid`` tells rows apart."""
     kind = docs.schema[key].dataType.simpleString()
-    end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches):
         import os
@@ -101,41 +143,35 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int, key: str, text: str
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words = _words[vocabulary] = _words.get(vocabulary) or Words(vocabulary)  # kept between tasks
         for b in (s for whole in batches for s in slices(whole, "text")):
-            ids = [i + end for i in words.ids(b.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([narrow(i) for i in ids], pa.binary())], ["key", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), words.ids(b.column("text"), end_id)], ["key", "ids"])
 
     rows = docs.select(quoted(key).alias("key"), quoted(text).cast("string").alias("text"))
     coded = rows.mapInArrow(lambda batches: trimmed(encode(batches)), f"key {kind}, ids binary")
     return written(coded.withColumn("uid", F.monotonically_increasing_id()))
 
 
-def narrow(ids: bytes) -> bytes:
-    """The ids in three bytes each, least first; a vocabulary has under 2^24 of them."""
-    return np.frombuffer(ids, np.uint8).reshape(-1, 4)[:, :3].tobytes()
-
-
-def wide(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of stored rows, one after the other, and where each row begins, with the end last."""
-    buffers = column.to_pylist()
-    lengths = np.array([len(x) // 3 for x in buffers], np.int64)
-    out = np.zeros((int(lengths.sum()), 4), np.uint8)
-    out[:, :3] = np.frombuffer(b"".join(buffers), np.uint8).reshape(-1, 3)
-    return out.view("<u4").ravel(), np.concatenate([[0], np.cumsum(lengths)])
+def flat(column: pa.BinaryArray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of stored rows, one after the other, and where each row begins, with the end last; no copy."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw.view(kind), (at - at[0]) // kind.itemsize
 
 
 class Statistics:
     """Counts over all documents. ``df[t]``: documents that hold token t."""
 
-    def __init__(self, tokens: DataFrame):
+    def __init__(self, tokens: DataFrame, size: int):
+        self.kind = kind = id_kind(size)
+
         def counts(batches):
-            df, n, total = np.zeros(0, np.int64), 0, 0
+            df, n, total = np.zeros(size, np.int64), 0, 0
             for b in batches:
-                ids, at = wide(b.column("ids"))
-                rows = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                terms = np.unique(rows << 24 | ids) & 0xFFFFFF
-                if len(terms):
-                    df = df.copy() if len(df) > terms.max() else np.concatenate([df, np.zeros(terms.max() + 1 - len(df), np.int64)])
-                    np.add.at(df, terms, 1)
+                ids, at = flat(b.column("ids"), kind)
+                for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    own = np.sort(ids[lo:hi], kind="stable")  # by radix for two bytes
+                    df[own[np.flatnonzero(own[1:] != own[:-1])]] += 1
+                    df[own[-1]] += 1
                 n, total = n + len(at) - 1, total + len(ids)
             held = np.flatnonzero(df)
             yield pa.RecordBatch.from_arrays([pa.array([*held, -1, -2], pa.int64()), pa.array([*df[held], n, total], pa.int64())], ["term", "n"])
@@ -143,7 +179,7 @@ class Statistics:
         # a row a token of the vocabulary at most, from each task and at the driver
         rows = dict(tokens.select("ids").mapInArrow(counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect())
         self.n, self.total = rows.pop(-1, 0), rows.pop(-2, 0)
-        self.df = np.zeros(max(rows, default=0) + 1, np.int64)
+        self.df = np.zeros(size, np.int64)
         self.df[list(rows)] = list(rows.values())
         self.idf = np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
         self.average = self.total / max(1, self.n)
@@ -162,12 +198,12 @@ def priorities(stats: Statistics, shard_tokens: int) -> np.ndarray:
 def dealt(tokens: DataFrame, stats: Statistics, shard_tokens: int) -> DataFrame:
     """``tokens`` with ``shard``. The table of shards has a row a token of the vocabulary at most."""
     rank = priorities(stats, shard_tokens)
-    named = np.argsort(rank)
+    named, kind_of_ids = np.argsort(rank), stats.kind
 
     def names(batches):
         for b in batches:
-            ids, at = wide(b.column("ids"))
-            best = np.maximum.reduceat(rank[ids], at[:-1]) if len(ids) else np.zeros(0, np.int64)
+            ids, at = flat(b.column("ids"), kind_of_ids)
+            best = np.maximum.reduceat(rank[ids], at[:-1]) if len(ids) else np.zeros(0, np.int64)  # no row is empty
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "ids", "uid")), pa.array(named[best], pa.int64()), pa.array(np.diff(at), pa.int64())], ["key", "ids", "uid", "term", "n"])
 
     kind = tokens.schema["key"].dataType.simpleString()
@@ -189,25 +225,39 @@ def dealt(tokens: DataFrame, stats: Statistics, shard_tokens: int) -> DataFrame:
 
 
 class Index:
-    """Inverted index of one shard with BM25 weights."""
+    """Inverted index of one shard with BM25 weights. The postings of a frequent token are a dense row over all documents;
+    all dense rows together are at most 1 / ``DENSE`` times as large as the shard."""
 
     def __init__(self, ids: np.ndarray, at: np.ndarray, stats: Statistics):
         self.lengths = np.diff(at)
-        rows = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        pairs, counts = np.unique(ids.astype(np.int64) << 32 | rows, return_counts=True)
-        terms, self.docs = pairs >> 32, pairs & 0xFFFFFFFF
+        n = len(self.lengths)
+        order = np.argsort(ids, kind="stable")  # by token, then in the order of documents
+        terms, docs = ids[order], np.repeat(np.arange(n, dtype=np.int32), self.lengths)[order]
+        new = np.ones(len(terms), bool)
+        new[1:] = (terms[1:] != terms[:-1]) | (docs[1:] != docs[:-1])
+        start = np.flatnonzero(new)
+        counts = np.diff(np.append(start, len(terms)))
+        terms, self.docs = terms[start].astype(np.int64), docs[start]
         scale = counts + K1 * (1 - B + B * self.lengths[self.docs] / max(1.0, stats.average))
         self.weights = stats.idf[terms] * counts * (K1 + 1) / scale
         self.terms, self.first = np.unique(terms, return_index=True)
-        self.last = np.append(self.first[1:], len(pairs))
+        self.size = np.diff(np.append(self.first, len(terms)))
+        often = np.flatnonzero(self.size > n * DENSE)
+        self.row = np.full(len(self.terms), -1)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), n))
+        for k, t in enumerate(often):
+            own = slice(self.first[t], self.first[t] + self.size[t])
+            self.dense[k, self.docs[own]] = self.weights[own]
 
     def scores(self, query: np.ndarray) -> np.ndarray:
-        """BM25 of every document against the distinct tokens of ``query``."""
-        out = np.zeros(len(self.lengths))
-        for k in np.searchsorted(self.terms, np.unique(query)):
-            lo, hi = self.first[k], self.last[k]
-            out[self.docs[lo:hi]] += self.weights[lo:hi]  # a document is in a posting once
-        return out
+        """BM25 of every document against the distinct tokens of ``query``, which is one of the shard's documents."""
+        asked = np.searchsorted(self.terms, np.unique(query))
+        rows = self.row[asked]
+        rare = asked[rows < 0]
+        size = self.size[rare]
+        at = np.repeat(self.first[rare] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return self.dense[rows[rows >= 0]].sum(0) + np.bincount(self.docs[at], self.weights[at], len(self.lengths))
 
 
 def windows(ids: np.ndarray, at: np.ndarray, stats: Statistics, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
@@ -283,17 +333,19 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, key: str = "doc_id",
     """A row a piece: (``key``, start, length, doc_tokens, sequence_id, offset, piece_ids). ``piece_ids`` are the ids as
     unsigned little-endian 32-bit numbers, ``start`` the document's ids before them, ``offset`` the piece's place in its
     sequence. ``sequences`` puts the pieces together."""
+    from tokenizers import Tokenizer
+
     tokens = tokenised(docs, vocabulary, end_id, key, text)
     kind = tokens.schema["key"].dataType.simpleString()
-    stats = Statistics(tokens)
+    stats = Statistics(tokens, max(end_id + 1, Tokenizer.from_file(vocabulary).get_vocab_size()))
 
     def packed(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by("uid")
-        ids, at = wide(group.column("ids").combine_chunks())
+        ids, at = flat(group.column("ids").combine_chunks(), stats.kind)
         rows = [(d, s, n, int(at[d + 1] - at[d]), q, o) for q, seq in enumerate(windows(ids, at, stats, window)) for (d, s, n), o in zip(seq, np.cumsum([0] + [n for _, _, n in seq]).tolist(), strict=False)]
         doc, start, length, total, sequence, offset = (np.array(x, np.int64) for x in zip(*rows, strict=True))
         shard = group.column("shard")[0].as_py()
-        pieces = [ids[a : a + n].tobytes() for a, n in zip((at[doc] + start).tolist(), length.tolist(), strict=True)]
+        pieces = [ids[a : a + n].astype("<u4").tobytes() for a, n in zip((at[doc] + start).tolist(), length.tolist(), strict=True)]
         columns = [group.column("key").combine_chunks().take(pa.array(doc)), start, length, total, (shard << 32) + sequence, offset, pa.array(pieces, pa.binary())]
         return pa.table([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["key", "start", "length", "doc_tokens", "sequence_id", "offset", "piece_ids"])
 
