@@ -68,6 +68,36 @@ def test_topk_leaves_out_unusable_vectors(spark):
     assert topk.search(df.limit(0), df.limit(0), "vec_id", "v").count() == 0
 
 
+@pytest.mark.parametrize("scale", [10**5, 2**40, 2**62])
+def test_topk_of_large_components(spark, scale):
+    """Scores near and beyond a long; what lies beyond is the nearest long, so ties there go to the smaller id."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.integers(-scale, scale, 8).tolist()) for i in range(90)] + [(200, [scale] * 8), (220, [2 * scale if scale < 2**61 else scale] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = topk.search(df, df.filter("vec_id % 20 = 0"), "vec_id", "v", k=7, shard=16, block=2).collect()
+    whole = lambda x: max(-(2**63), min(2**63 - 1, x))
+    want = []
+    for q, v in rows:
+        if q % 20 == 0:
+            hits = sorted((-whole(sum(a * b for a, b in zip(v, w, strict=True))), i) for i, w in rows if i != q)[:7]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(hits)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_shards_by_space_are_left_out_by_their_bounds(spark, monkeypatch):
+    """Eight clusters far apart: most pairs of blocks and shards never meet."""
+    rng = np.random.default_rng(5)
+    centres = np.eye(8) * 1000
+    rows = [(i, (centres[i % 8] + rng.normal(size=8) * 10).astype(int).tolist()) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(4)
+    asked, whole = [], topk.visited
+    monkeypatch.setattr(topk, "visited", lambda pairs, *a: (asked.append(pairs.count()), whole(pairs, *a))[1])
+    got = topk.search(df, df.filter("vec_id % 20 = 0"), "vec_id", "v", k=5, shard=100, block=4).collect()
+    assert sorted(map(tuple, got)) == brute_topk(rows, 5)
+    blocks = asked[0]
+    assert sum(asked) < 0.5 * blocks * 16  # at least sixteen shards
+
+
 # --- language -------------------------------------------------------------------------------------------------------
 def test_language_words_then_shorter_grams(spark):
     rows = [(i, EN if i % 2 else FR, "en" if i % 2 else "fr", "s") for i in range(40)]

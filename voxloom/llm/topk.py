@@ -1,7 +1,8 @@
 """Exact top-k inner-product search with ball trees, shard by shard.
 
-Candidates are dealt into shards of bounded size; each shard builds a ball tree (equal vectors are one point there) and
-is stored as one row. Queries travel in blocks. A node with centre c and radius r can't score above q.c + |q| r: nodes
+Candidates are dealt into shards of bounded size by space: each goes to the nearest of a bounded sample of them, and a
+place that draws more than a shard holds is split. Each shard builds a ball tree (equal vectors are one point there) and is
+stored as one row. Queries travel in blocks. A node with centre c and radius r can't score above q.c + |q| r: nodes
 are visited by falling bound and dropped once the bound can't beat the query's current k-th score.
 
 The current k-th scores are shared between shards in three waves. Every block first searches one shard. Then the bounds
@@ -9,7 +10,7 @@ of all shards' roots are held against the block's k-th scores, blocks of queries
 that may still add something go on: first those with the highest bounds, and the rest after another look at the
 scores that these gave. A tree travels to a task once, before up to ``TOGETHER`` blocks that ask it.
 
-Scores are integers: vectors are arrays of long. Defined results: a vector that is null or holds a null takes no part;
+Scores are integers: vectors are arrays of long, of any size; a score beyond a long is the nearest long. Defined results: a vector that is null or holds a null takes no part;
 vectors of different lengths never meet; ties go to the smaller id; a candidate with the query's id is its own row and is
 left out; no candidates, no rows; repeated ids count once for each different vector.
 """
@@ -26,11 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxloom.llm.common import written
+from voxloom.llm.exact import products
 
 SHARD, LEAF, BLOCK = 8192, 64, 512
 #: Blocks that ask one copy of a tree; shards of the second wave; roots that are held against a block at once.
 TOGETHER, NEAREST, ROOTS = 64, 4, 1024
-EXACT = 2.0**52
+#: Rows that places are taken from, at most; and places.
+SAMPLE, PLACES = 4096, 256
+LEAST, MOST = -(2**63), 2**63 - 1
 HITS = "query long, rank int, id long, score long"
 
 
@@ -45,7 +49,8 @@ class BallTree:
         start = np.flatnonzero(new)
         # of equal vectors only the k + 1 smallest ids can be in any answer (one may be the query's own)
         self.ids = [np.unique(g)[: k + 1] for g in np.split(ids, start[1:])]
-        self.points = vectors[start].astype(np.float64)
+        self.vectors = vectors[start]
+        self.points = self.vectors.astype(np.float64)
         n = len(self.points)
         self.depth = max(0, math.ceil(math.log2(max(1, n / LEAF))))
         size = 2 ** (self.depth + 1) - 1
@@ -74,14 +79,14 @@ class BallTree:
         q = queries.astype(np.float64)
         norm = np.sqrt((q**2).sum(1)) * (1 + 1e-9)
         best: list[list[tuple[int, int]]] = [[] for _ in ids]
-        floor = floor.astype(np.float64).copy()
+        floor = floor.copy()
         # down the tree, level by level: (query, node) survives while its bound reaches the query's floor
         rows, nodes = np.arange(len(ids)), np.zeros(len(ids), int)
         bound = np.full(len(ids), np.inf)
         for _ in range(self.depth):
             rows, nodes = np.repeat(rows, 2), (2 * nodes[:, None] + np.array([1, 2])).ravel()
             bound = np.einsum("ij,ij->i", q[rows], self.centre[nodes]) + norm[rows] * self.radius[nodes]
-            bound += np.abs(bound) * 1e-9
+            bound = np.maximum(bound + np.abs(bound) * 1e-9, LEAST)
             live = (bound >= floor[rows]) & (self.hi[nodes] > self.lo[nodes])
             rows, nodes, bound = rows[live], nodes[live], bound[live]
         # leaves in rounds: each query takes its next best one, queries at one leaf are scored together
@@ -98,7 +103,7 @@ class BallTree:
             for leaf in np.unique(nodes[at]):
                 here = active[nodes[at] == leaf]
                 own = self.order[self.lo[leaf] : self.hi[leaf]]
-                scores = q[here] @ self.points[own].T
+                scores = products(queries[here], self.vectors[own])
                 for r, s in zip(here, scores, strict=True):
                     good = np.flatnonzero(s >= floor[r])
                     if len(good):
@@ -122,14 +127,12 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
 def search(candidates: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 20, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """(query, rank, id, score): each query's ``k`` highest inner products among ``candidates``, ties to the smaller id."""
     points, asked = usable(candidates, key, vector), usable(queries, key, vector)
-    sizes = points.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: F.greatest(a, F.abs(x)))).alias("top")).collect()
-    if any(r["dim"] and float(r["top"]) ** 2 * r["dim"] >= EXACT for r in sizes):
-        raise ValueError("components are too large for exact scores")
-    shards = {r["dim"]: -(-r["n"] // shard) for r in sizes if r["dim"]}
+    sized = points.withColumn("dim", F.size("v")).filter(F.col("dim") > 0)
+    places = places_of(sized, shard)
+    cut, shards = dealt(sized, places, shard, "shard")
     if not shards:
         return candidates.sparkSession.createDataFrame([], HITS)
     of = F.create_map(*[F.lit(x) for pair in shards.items() for x in pair])
-    cut = points.withColumn("dim", F.size("v")).filter(F.col("dim") > 0).withColumn("shard", F.pmod(F.xxhash64("id"), of[F.col("dim")]).cast("int"))
 
     def build(group: pa.Table) -> pa.Table:
         dim = group.column("dim")[0].as_py()
@@ -144,9 +147,10 @@ def search(candidates: DataFrame, queries: DataFrame, key: str, vector: str, k:
 
     trees = written(cut.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, tree binary, centre array<double>, radius double"))
 
-    blocks = asked.withColumn("dim", F.size("v")).join(F.broadcast(trees.select("dim").distinct()), "dim")
-    n = asked.count()
-    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(-(-n // block) or 1)).cast("int"))
+    told = asked.withColumn("dim", F.size("v")).join(F.broadcast(trees.select("dim").distinct()), "dim")
+    blocks, asking = dealt(told, places, block, "block")  # queries near each other ask together
+    if not asking:
+        return candidates.sparkSession.createDataFrame([], HITS)
     # a block is bounded by construction; its vectors stay together
     blocks = written(blocks.groupBy("dim", "block").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("q")))
     home = blocks.select("dim", "block", F.pmod("block", of[F.col("dim")]).cast("int").alias("shard"))
@@ -156,7 +160,7 @@ def search(candidates: DataFrame, queries: DataFrame, key: str, vector: str, k:
         done = home
         for most in (NEAREST, None):
             floors = with_floors(blocks, hits, k)
-            pairs = written(promising(floors, trees).join(done, ["dim", "block", "shard"], "left_anti"))
+            pairs = written(promising(floors, trees, asking, shards).join(done, ["dim", "block", "shard"], "left_anti"))
             if most is not None:  # the shards of one block
                 turn = F.row_number().over(Window.partitionBy("dim", "block").orderBy(F.col("bound").desc(), "shard"))
                 pairs = written(pairs.withColumn("_turn", turn).filter(F.col("_turn") <= most).drop("_turn"))
@@ -165,6 +169,59 @@ def search(candidates: DataFrame, queries: DataFrame, key: str, vector: str, k:
     return best_of(hits, k).select("query", "rank", "id", "score")
 
 
+def places_of(points: DataFrame, shard: int) -> dict[int, np.ndarray]:
+    """For each length of vectors, places: vectors far apart by turns out of a bounded sample (``SAMPLE`` rows a length at most).
+    They only decide who lies with whom. The driver gets the sample and a count a length."""
+    sizes = {r["dim"]: r["n"] for r in points.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    if not sizes or max(sizes.values()) <= shard:
+        return {}
+    rate = F.create_map(*[F.lit(x) for d, n in sizes.items() for x in (d, 2 * SAMPLE / n * 1_000_000)])
+    some = points.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < rate[F.col("dim")])
+    turn = Window.partitionBy("dim").orderBy(F.xxhash64("id", "v"), "id")
+    sample: dict[int, list] = {}
+    for r in some.withColumn("_n", F.row_number().over(turn)).filter(F.col("_n") <= SAMPLE).select("dim", "v").collect():
+        sample.setdefault(r["dim"], []).append(r["v"])
+    return {d: spread(np.array(v, float), min(PLACES, -(-sizes[d] // shard))) for d, v in sample.items()}
+
+
+def dealt(points: DataFrame, places: dict[int, np.ndarray], most: int, to: str) -> tuple[DataFrame, dict[int, int]]:
+    """``points`` with the number of their part in ``to``, and the number of parts of each length of vectors. A place with
+    more than ``most`` rows is split by hash, small ones next to each other in the list share a part. The driver gets a
+    count a place."""
+
+    def nearest(batches):
+        for b in batches:
+            dims, out = b.column("dim").to_numpy(), np.zeros(b.num_rows, np.int32)
+            for d in np.unique(dims).tolist():
+                if d in places and len(places[d]) > 1:
+                    at = np.flatnonzero(dims == d)
+                    v, c = _vectors(b.column("v").take(pa.array(at)), d).astype(float), places[d]
+                    out[at] = ((c**2).sum(1)[None, :] - 2 * v @ c.T).argmin(1)
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("id", "v", "dim")), pa.array(out)], ["id", "v", "dim", "place"])
+
+    placed = written(points.select("id", "v", "dim").mapInArrow(nearest, "id long, v array<long>, dim int, place int"))
+    rows, ends = [], {}
+    for d, place, n in sorted(placed.groupBy("dim", "place").agg(F.count("*").alias("n")).collect()):
+        at, filled = ends.get(d, (0, 0))
+        if filled and filled + n > most:
+            at, filled = at + 1, 0
+        parts = max(1, -(-n // most))
+        rows.append((d, place, at, parts))
+        ends[d] = (at + parts, 0) if n > most else (at, filled + n)
+    table = points.sparkSession.createDataFrame(rows, "dim int, place int, first int, parts int")
+    own = (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int")  # a row a place at most in the table
+    return placed.join(F.broadcast(table), ["dim", "place"]).select("id", "v", "dim", own.alias(to)), {d: at + (filled > 0) for d, (at, filled) in ends.items()}
+
+
+def spread(sample: np.ndarray, most: int) -> np.ndarray:
+    """Up to ``most`` rows of the sample: each next one is the farthest from those before it."""
+    chosen, away = [0], ((sample - sample[0]) ** 2).sum(1)
+    while len(chosen) < most and away.max() > 0:
+        chosen.append(int(away.argmax()))
+        away = np.minimum(away, ((sample - sample[chosen[-1]]) ** 2).sum(1))
+    return sample[chosen]
+
+
 def _vectors(v: pa.ListArray, dim: int) -> np.ndarray:
     return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), dim)
 
@@ -186,18 +243,23 @@ def _asked(q: pa.Array, floor: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nda
     ids = q.field("id").to_numpy(zero_copy_only=False)
     v = q.field("v")
     known = dict(zip(floor.field("query").to_pylist(), floor.field("score").to_pylist(), strict=True)) if floor is not None else {}
-    return ids, _vectors(v, len(v[0])), np.array([known.get(i, -math.inf) for i in ids.tolist()], float)
+    return ids, _vectors(v, len(v[0])), np.array([known.get(i, LEAST) for i in ids.tolist()], np.int64)
 
 
 def _block(column: pa.Array, at: int) -> pa.Array | None:
     return column[at].values if column[at].is_valid else None
 
 
-def promising(blocks: DataFrame, trees: DataFrame) -> DataFrame:
+def promising(blocks: DataFrame, trees: DataFrame, asking: dict[int, int], shards: dict[int, int]) -> DataFrame:
     """(dim, block, shard, bound): pairs where the bound of the shard's root reaches the floor of one of the block's queries;
     ``bound``: the greatest excess over a floor. Roots come in groups of bounded size, which meet every block."""
     root = F.struct("shard", "centre", "radius")
-    roots = trees.groupBy("dim", F.floor(F.col("shard") / ROOTS).alias("group")).agg(F.collect_list(root).alias("roots"))
+    roots = trees.groupBy("dim", F.floor(F.col("shard") / ROOTS).cast("int").alias("group")).agg(F.collect_list(root).alias("roots"))
+    # every group of roots has a copy for each ``TOGETHER`` blocks, so no key has all blocks
+    of = lambda n: F.create_map(*[F.lit(x) for pair in n.items() for x in pair])[F.col("dim")]
+    copies, groups = {d: -(-n // TOGETHER) for d, n in asking.items()}, {d: -(-n // ROOTS) for d, n in shards.items() if d in asking}
+    roots = roots.filter(F.col("dim").isin(*asking)).withColumn("copy", F.explode(F.sequence(F.lit(0), of(copies) - 1)))
+    asked = blocks.withColumn("copy", F.floor(F.col("block") / TOGETHER).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), of(groups) - 1)))
 
     def bounds(batches):
         for b in (whole.slice(at, 1) for whole in batches for at in range(whole.num_rows)):
@@ -207,13 +269,13 @@ def promising(blocks: DataFrame, trees: DataFrame) -> DataFrame:
             centre, radius, shard = _vectors(r.field("centre"), dim), r.field("radius").to_numpy(), r.field("shard").to_numpy()
             q = q.astype(float)
             bound = q @ centre.T + np.sqrt((q**2).sum(1))[:, None] * (1 + 1e-9) * radius[None, :]
-            over = (bound + np.abs(bound) * 1e-9 - floor[:, None]).max(0)
+            over = (np.maximum(bound + np.abs(bound) * 1e-9, LEAST) - floor[:, None].astype(float)).max(0)
             good = over >= 0
             n = int(good.sum())
             same = lambda name, b=b, n=n: pa.array([b.column(name)[0].as_py()] * n, pa.int32())
             yield pa.RecordBatch.from_arrays([same("dim"), same("block"), pa.array(shard[good], pa.int32()), pa.array(over[good], pa.float64())], ["dim", "block", "shard", "bound"])
 
-    return blocks.join(roots, "dim").select("dim", "block", "q", "floor", "roots").mapInArrow(bounds, "dim int, block int, shard int, bound double")
+    return asked.join(roots, ["dim", "group", "copy"]).select("dim", "block", "q", "floor", "roots").mapInArrow(bounds, "dim int, block int, shard int, bound double")
 
 
 def visited(pairs: DataFrame, blocks: DataFrame, trees: DataFrame, k: int) -> DataFrame:
