@@ -31,7 +31,7 @@ from voxloom.llm.common import quoted, trimmed, written
 WINDOW, SHARD_TOKENS = 4096, 2**20
 K1, B = 1.2, 0.75
 #: Characters that are tokenised together, and words that a worker remembers the ids of.
-TOGETHER, REMEMBERED = 8_000_000, 800_000
+TOGETHER, REMEMBERED = 12_000_000, 700_000
 #: Postings of tokens that more than this share of a shard's documents hold lie as dense rows.
 DENSE = 1 / 8
 PIECE = "`start` long, `length` long, doc_tokens long, sequence_id long, `offset` long, piece_ids binary"
@@ -56,21 +56,38 @@ class Words:
         self.model = self.whole.model
         self.kind = id_kind(self.whole.get_vocab_size())
         self.letters = {ord(c): "".join(p for p, _ in self.whole.pre_tokenizer.pre_tokenize_str(c)) for c in LATIN + "ß"}
-        self.known: dict[str, bytes] = {}
+        # remembered words, and where their ids lie in the store
+        self.words, self.first, self.size, self.store = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: pa.StringArray) -> None:
         """Remembers words that aren't known."""
-        if not words:
-            return
-        lower = [w.lower() if ANY_CASE.fullmatch(w) else None for w in words]
+        import pyarrow.compute as pc
+
+        # a word without the stops at its end, and those
+        stopped = pc.match_substring_regex(words, r"[\p{L}\p{N}][.,]+$")
+        base = pc.if_else(stopped, pc.utf8_rtrim(words, ".,"), words)
+        extra = np.flatnonzero(stopped.to_numpy(zero_copy_only=False))
+        tails = [w[len(b) :] for w, b in zip(words.take(pa.array(extra)).to_pylist(), base.take(pa.array(extra)).to_pylist(), strict=True)]
+        coded, stops = base.dictionary_encode(), ["", *sorted(set(tails))]
+        names = coded.dictionary.to_pylist() + stops
+        tail = np.full(len(words), len(coded.dictionary))
+        tail[extra] += np.array([stops.index(t) for t in tails], np.int64)
+        lower = [w.lower() if ANY_CASE.fullmatch(w) else None for w in names]
         tokenize, letters = self.model.tokenize, self.letters
         ids = [None if x is None else [t.id for t in tokenize(x if x.isascii() else x.translate(letters))] for x in lower]
         rest = [k for k, x in enumerate(lower) if x is None]
-        for k, e in zip(rest, self.whole.encode_batch_fast([words[k] for k in rest], add_special_tokens=False), strict=True):
+        for k, e in zip(rest, self.whole.encode_batch_fast([names[k] for k in rest], add_special_tokens=False), strict=True):
             ids[k] = e.ids
-        raw = np.array([i for x in ids for i in x], self.kind).tobytes()
-        ends = (np.cumsum([len(x) for x in ids]) * self.kind.itemsize).tolist()
-        self.known.update(zip(words, (raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        part = np.stack([coded.indices.to_numpy(zero_copy_only=False), tail], 1).ravel()
+        store, ends = gathered(np.array([i for x in ids for i in x], self.kind), (np.cumsum(size) - size)[part], size[part])
+        self.words, self.first, self.size = pa.concat_arrays([self.words, words]), np.concatenate([self.first, len(self.store) + ends[:-1:2]]), np.concatenate([self.size, ends[2::2] - ends[:-1:2]])
+        self.store = np.concatenate([self.store, store])
+
+    def forget(self, kept: np.ndarray) -> None:
+        """Only the words at the places ``kept`` stay."""
+        self.store, ends = gathered(self.store, self.first[kept], self.size[kept])
+        self.words, self.first, self.size = self.words.take(pa.array(kept)), ends[:-1], np.diff(ends)
 
     def ids(self, texts: pa.StringArray, end_id: int | None = None) -> pa.BinaryArray:
         """The stored ids of each text, with ``end_id`` behind them; a null text counts as empty."""
@@ -83,24 +100,17 @@ class Words:
             split = pc.utf8_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         words, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
-        # a word without the stops at its end, and those
-        stopped = pc.match_substring_regex(words, r"[\p{L}\p{N}][.,]+$")
-        base = pc.if_else(stopped, pc.utf8_rtrim(words, ".,"), words)
-        tail = pc.if_else(stopped, pc.replace_substring_regex(words, r"^.*[^.,]", ""), "")
-        both = pa.concat_arrays([base, tail]).dictionary_encode()
-        names = both.dictionary.to_pylist()
-        new = [w for w in names if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, names
-        self.learn(new)
-        found = [self.known[w] for w in names]
-        size = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
-        store, first = np.frombuffer(b"".join(found), self.kind), np.cumsum(size) - size
-        # words from their two parts, then texts from their words
-        part = both.indices.to_numpy(zero_copy_only=False).reshape(2, -1).T.ravel()
-        store, ends = gathered(store, first[part], size[part])
-        first, size = ends[:-1:2], ends[2::2] - ends[:-1:2]
-        values, ends = gathered(store, first[codes], size[codes])
+        known = pc.index_in(words, value_set=self.words)
+        new = words.filter(known.is_null())
+        if len(self.words) + len(new) > REMEMBERED:  # what these texts share with earlier ones stays
+            kept = known.drop_null().to_numpy()
+            self.forget(kept)
+            known = pc.index_in(words, value_set=self.words)
+        place = known.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[place < 0] = len(self.words) + np.arange(len(new))
+        if len(new):
+            self.learn(new)
+        values, ends = gathered(self.store, self.first[place][codes], self.size[place][codes])
         at = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
         if end_id is not None:
             rows = np.arange(len(texts))
