@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -118,16 +119,17 @@ def f_statistic(rows: DataFrame, x: np.ndarray, hypothesis: np.ndarray, series:
     middle = np.linalg.pinv(hypothesis @ pinv @ pinv.T @ hypothesis.T)
     k = int(np.linalg.matrix_rank(hypothesis))
 
-    @F.pandas_udf("double")
-    def f(values):
-        import pandas as pd
+    names = rows.columns
 
-        y = np.stack(values.to_numpy()).astype(float)
-        beta = y @ pinv.T
-        h = beta @ hypothesis.T
-        return pd.Series(np.einsum("ij,jk,ik->i", h, middle, h) / k / np.maximum(((y - beta @ x.T) ** 2).sum(1) / df, 1e-12))
+    def run(batches):
+        for b in batches:
+            y = matrix(b.column(series)).reshape(b.num_rows, len(x))
+            beta = y @ pinv.T
+            h = beta @ hypothesis.T
+            f = np.einsum("ij,jk,ik->i", h, middle, h) / k / np.maximum(((y - beta @ x.T) ** 2).sum(1) / df, 1e-12)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(f)], names=[*names, "f"])
 
-    return rows.withColumn("f", f(F.col(series)))
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names), "f double"]))
 
 
 def whitener(v: np.ndarray) -> np.ndarray:
@@ -148,6 +150,145 @@ def wls(rows: DataFrame, x: np.ndarray, v: np.ndarray, contrasts: dict[str, Sequ
     return ols(map_arrays(rows, series, lambda y: y @ w.T), w @ x, contrasts, series=series, tails=tails)
 
 
+def scatter(rows: DataFrame, series: str = "series") -> tuple[np.ndarray, int]:
+    """The sum of y y^T over all series, and their number. Every task adds up its own rows; the driver gets one matrix of
+    scans x scans, however many voxels there are. Series that are null, hold a null or aren't finite are left out; series of
+    different lengths fail."""
+    held = rows.filter(F.col(series).isNotNull() & F.forall(series, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
+
+    def sums(batches):
+        total, n = None, 0
+        for b in batches:
+            if b.num_rows:
+                if len({*b.column("y").value_lengths().to_pylist(), *([] if total is None else [len(total)])}) > 1:
+                    raise ValueError("series of different lengths")
+                y = matrix(b.column("y"))
+                total, n = y.T @ y + (0 if total is None else total), n + len(y)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), lists(total), pa.array([n] + [0] * (len(total) - 1), pa.int64())], ["row", "cells", "n"])
+
+    parts = held.select(F.col(series).cast("array<double>").alias("y")).mapInArrow(sums, "row int, cells array<double>, n long")
+    counts = parts.select("row", "n", F.posexplode("cells").alias("col", "v")).groupBy("row", "col").agg(F.sum("v").alias("v"), F.sum(F.when(F.col("col") == 0, F.col("n"))).alias("n"))
+    got = counts.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("col", "v"))), lambda c: c["v"]).alias("cells"), F.sum("n").alias("n")).collect()
+    out = np.zeros((len(got), len(got)))
+    for r in got:
+        if r["row"] >= len(got) or len(r["cells"]) != len(got):
+            raise ValueError("series of different lengths")
+        out[r["row"]] = r["cells"]
+    return out, sum(r["n"] for r in got)
+
+
+def autoregressive(scans: int, rho: float = 0.2, sessions: Sequence[int] = ()) -> list[np.ndarray]:
+    """Covariance components of first-order autocorrelation about ``rho``: for each session independent noise and the slope
+    of the covariance along rho, so a sum of both follows noise whose rho isn't far off."""
+    out, at = [], 0
+    for n in sessions or (scans,):
+        lag = np.abs(np.subtract.outer(np.arange(n), np.arange(n))).astype(float)
+        for block in (np.eye(n), np.where(lag > 0, lag * rho ** np.maximum(lag - 1, 0), 0.0)):
+            q = np.zeros((scans, scans))
+            q[at : at + n, at : at + n] = block
+            out.append(q)
+        at += n
+    return out
+
+
+def covariance(yy: np.ndarray, n: int, x: np.ndarray, components: Sequence[np.ndarray], iterations: int = 64, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """Restricted maximum likelihood of V = sum of h_i Q_i from the scatter of ``n`` series that share it: (h, V).
+
+    Fisher scoring. A step that makes V indefinite or the likelihood smaller is halved. V has the scale of one series."""
+    components = [np.asarray(q, float) for q in components]
+    size = len(yy)
+    mean = yy / max(1, n)
+
+    def likelihood(h):
+        """Log likelihood a series, and what its slopes need; nothing where V isn't positive."""
+        v = sum(a * q for a, q in zip(h, components, strict=True))
+        w = np.linalg.eigvalsh(v)
+        if w[0] <= 1e-12 * max(w[-1], 0) or w[-1] <= 0:
+            return -np.inf, None
+        inverse = np.linalg.inv(v)
+        inner = x.T @ inverse @ x
+        p = inverse - inverse @ x @ np.linalg.pinv(inner) @ x.T @ inverse
+        logs = np.linalg.eigvalsh((inner + inner.T) / 2)
+        return -0.5 * (np.log(w).sum() + np.log(logs[logs > 1e-12 * logs[-1]]).sum() + np.sum(p * mean)), p
+
+    rank = np.linalg.matrix_rank(x)
+    resid = np.eye(size) - x @ np.linalg.pinv(x)
+    h = np.zeros(len(components))
+    definite = [k for k, q in enumerate(components) if np.linalg.eigvalsh(q)[0] >= -1e-12 and np.trace(q) > 0]
+    for k in definite or range(len(components)):
+        h[k] = np.trace(resid @ mean @ resid) / max(1, size - rank) * size / np.trace(components[k]) / len(definite)
+    best, p = likelihood(h)
+    if p is None:
+        raise ValueError("the components' sum isn't positive")
+    for _ in range(iterations):
+        pq = [p @ q for q in components]
+        slope = np.array([0.5 * (np.sum(a * (mean @ p)) - np.trace(a)) for a in pq])
+        information = 0.5 * np.array([[np.sum(a * b.T) for b in pq] for a in pq])
+        step, share = np.linalg.pinv(information) @ slope, 1.0
+        while share > 1e-6:
+            found, q = likelihood(h + share * step)
+            if found >= best - 1e-12 * abs(best):
+                break
+            share /= 2
+        else:
+            break
+        h, gained, best, p = h + share * step, found - best, found, q
+        if gained < tolerance * (1 + abs(best)) and np.abs(share * step).max() <= 1e-8 * np.abs(h).max():
+            break
+    return h, sum(a * q for a, q in zip(h, components, strict=True))
+
+
+def reml(rows: DataFrame, x: np.ndarray, components: Sequence[np.ndarray], contrasts: dict[str, Sequence[float]], series: str = "series", tails: int = 2, responding: float | None = None) -> DataFrame:
+    """``ols`` under the noise covariance that all series share, estimated from themselves: one pass for the scatter, one
+    for the fit. The scale of V stays with each series.
+
+    ``responding``: only series whose F of all columns of ``x`` reaches this are used for V."""
+    used = rows if responding is None else f_statistic(rows, x, np.eye(x.shape[1]), series).filter(F.col("f") >= responding)
+    yy, n = scatter(used, series)
+    if not n:
+        raise ValueError("no series to estimate the covariance from")
+    h, v = covariance(yy, n, x, components)
+    return wls(rows, x, v * len(v) / np.trace(v), contrasts, series, tails)
+
+
+def smoothness(residuals: DataFrame, by: Sequence[str], scans: int, df: float, value: str = "series") -> DataFrame:
+    """(by, axis, pairs, slope2, fwhm): the smoothness of residuals along x, y and z, from the squared steps between
+    neighbouring voxels' standardised series.
+
+    ``residuals``: (by, z, y, x, series). Series without variance are left out. Steps of standardised residuals have a variance
+    of 4 log 2 / FWHM^2 a voxel. Neighbours meet by an equi-join on shifted places."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+    scale = F.sqrt(dot(F.col(value), F.col(value)) / df)
+    u = residuals.withColumn("_scale", scale).filter(F.col("_scale") > 1e-12).select(*by, "z", "y", "x", F.transform(value, lambda v: v / F.col("_scale")).alias("u"))
+    shifts = F.array(*[F.struct(F.lit(a).alias("axis"), *[(F.col(c) - (1 if c == a else 0)).alias(c) for c in ("z", "y", "x")]) for a in ("x", "y", "z")])
+    moved = u.select(*by, F.col("u").alias("other"), F.explode(shifts).alias("s")).select(*by, "s.*", "other")
+    step = F.zip_with("other", "u", lambda p, q: p - q)
+    steps = u.join(moved, [*by, "z", "y", "x"]).select(*by, "axis", (dot(step, step) / df).alias("d2"))
+    got = steps.groupBy(*by, "axis").agg(F.count("*").alias("pairs"), F.avg("d2").alias("slope2"))
+    return got.withColumn("fwhm", F.when(F.col("slope2") > 0, F.sqrt(4 * math.log(2) / F.col("slope2"))))
+
+
+def resels(smooth: DataFrame, by: Sequence[str], sizes: DataFrame) -> DataFrame:
+    """(by, voxels, resels): the number of voxels over the product of the widths in voxels; an axis without pairs of
+    voxels or without steps counts as one voxel wide. ``sizes``: (by, voxels)."""
+    wide = smooth.groupBy(*by).agg(F.product(F.coalesce("fwhm", F.lit(1.0))).alias("_wide"))
+    return sizes.join(wide, list(by), "left").select(*by, "voxels", (F.col("voxels") / F.coalesce("_wide", F.lit(1.0))).alias("resels"))
+
+
+def euler_p(t: float, resels: Sequence[float], df: float) -> float:
+    """Chance of a maximum over ``t`` somewhere in a smooth t field: expected Euler characteristic, with ``resels`` counts of
+    dimensions 0 to 3, at most 1."""
+    base = (1 + t * t / df) ** (-(df - 1) / 2)
+    four = 4 * math.log(2)
+    gammas = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df / 2)
+    density = (
+        float(t_p(np.array([t]), df, 1)[0]), math.sqrt(four) / (2 * math.pi) * base, four / (2 * math.pi) ** 1.5 * base * t * gammas,
+        four**1.5 / (2 * math.pi) ** 2 * base * ((df - 1) / df * t * t - 1),
+    )
+    return min(1.0, max(0.0, sum(r * d for r, d in zip(resels, density, strict=False))))
+
+
 def leverage(x: np.ndarray) -> np.ndarray:
     """How much each row of a design informs its fit: the diagonal of the hat matrix."""
     return np.einsum("ij,jk,ik->i", x, np.linalg.pinv(x.T @ x), x)

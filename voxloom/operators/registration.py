@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.operators import splines
+from voxloom.operators.glm import informative
 from voxloom.operators.layout import Shape, lists, matrix
 from voxloom.operators.spatial import grid, rigid, trilinear
 from voxloom.session import settled
 
+#: No motion goes beyond these, in voxels and radians.
 LIMITS = np.array([20, 20, 20, 0.35, 0.35, 0.35])
-STEP = np.array([0.5, 0.5, 0.5, 0.01, 0.01, 0.01])
 
 
 def moved_points(p: np.ndarray, points: np.ndarray, centre: np.ndarray) -> np.ndarray:
@@ -24,42 +26,71 @@ def moved_points(p: np.ndarray, points: np.ndarray, centre: np.ndarray) -> np.nd
     return (points - centre) @ m[:3, :3].T + centre + m[:3, 3]
 
 
-def estimate(reference: np.ndarray, volume: np.ndarray, start: np.ndarray, sep: int = 1, iterations: int = 24, tolerance: float = 1e-8) -> np.ndarray:
-    """Parameters p (voxels, radians) at which volume(p(x)) matches reference(x), by damped Gauss-Newton steps.
+def turned(p: np.ndarray, arms: np.ndarray) -> np.ndarray:
+    """Derivatives of the moved points (m x 3 x 6) in the six parameters; ``arms``: the points from the centre of rotation."""
+    one = [rigid([0, 0, 0, *(a if k == n else 0 for k in range(3))])[:3, :3] for n, a in enumerate(p[3:])]
+    out = np.zeros((len(arms), 3, 6))
+    out[:, :, :3] = np.eye(3)
+    for n, (i, j) in enumerate(((1, 2), (2, 0), (0, 1))):  # the plane that turns
+        spin = np.zeros((3, 3))
+        spin[j, i], spin[i, j] = 1, -1
+        parts = [spin @ r if k == n else r for k, r in enumerate(one)]
+        out[:, :, 3 + n] = arms @ (parts[2] @ parts[1] @ parts[0]).T
+    return out
+
+
+def sample_points(size: tuple[int, int, int], sep: int) -> np.ndarray:
+    """Every ``sep``-th voxel (xyz) of a volume of ``size`` (nz, ny, nx)."""
+    return np.stack(np.meshgrid(*[np.arange(0, n, sep, dtype=float) for n in size[::-1]], indexing="ij"), -1).reshape(-1, 3)
 
-    Steps and totals are limited; the best parameters so far are returned when too few samples stay inside."""
-    nz, ny, nx = reference.shape
-    points = np.stack([a.ravel() for a in np.meshgrid(np.arange(0, nx, sep), np.arange(0, ny, sep), np.arange(0, nz, sep), indexing="ij")], 1).astype(float)
-    centre = (np.array([nx, ny, nz]) - 1) / 2
+
+def estimate(reference: np.ndarray, volume: np.ndarray, start: np.ndarray, sep: int = 1, iterations: int = 48, tolerance: float = 1e-8, overlap: float = 0.25) -> np.ndarray:
+    """Parameters p (voxels, radians) at which volume(p(x)) matches reference(x): least mean square of the difference.
+
+    Levenberg-Marquardt: a step is taken only if it lowers the cost, and the damping follows the ratio of the gain to what
+    the linear model promised. A place where less than ``overlap`` of the samples lie inside counts as infinitely bad, so
+    the result is never worse than the start; without overlap there, it is the start."""
+    points = sample_points(reference.shape, sep)
+    centre, last = (np.array(reference.shape[::-1]) - 1) / 2, np.array(volume.shape[::-1]) - 1
     fixed = trilinear(reference[None], points)[0]
-    slopes = np.stack([np.gradient(volume, axis=2), np.gradient(volume, axis=1), np.gradient(volume, axis=0)])
-    p, best, stale = start.astype(float).copy(), (np.inf, start.astype(float).copy()), 0
-    for _ in range(iterations):
+    images = np.stack([volume, *(np.gradient(volume, axis=a) if n > 1 else np.zeros(volume.shape) for a, n in zip((2, 1, 0), volume.shape[::-1], strict=True))])
+
+    def look(p):
+        """Cost, and what the next step needs."""
         q = moved_points(p, points, centre)
-        inside = ((q >= 0) & (q <= np.array([nx, ny, nz]) - 1)).all(1)
-        if inside.sum() < min(256, len(points) // 2):
+        inside = ((q >= 0) & (q <= last)).all(1)
+        if inside.sum() < max(6, overlap * len(points)):
+            return np.inf, None
+        value, *slopes = trilinear(images, q[inside])
+        r = value - fixed[inside]
+        return float(r @ r) / len(r), (r, np.stack(slopes, 1), points[inside] - centre)
+
+    p = np.clip(np.asarray(start, float), -LIMITS, LIMITS)
+    cost, seen = look(p)
+    damping, raise_by = 1e-3, 2.0
+    for _ in range(iterations):
+        if seen is None or not np.isfinite(cost):
+            break
+        r, slopes, arms = seen
+        j = np.einsum("mi,mik->mk", slopes, turned(p, arms))
+        normal, down = j.T @ j / len(r), -(j.T @ r) / len(r)
+        if cost <= 1e-24 * max(1.0, float(fixed @ fixed) / len(fixed)):
             break
-        r = fixed[inside] - trilinear(volume[None], q[inside])[0]
-        error = float((r**2).mean())
-        if error < best[0] - 1e-12 * abs(best[0]) if np.isfinite(best[0]) else True:
-            best, stale = (error, p.copy()), 0
+        scale = np.diag(normal) + 1e-12 * (np.trace(normal) or 1.0)
+        step = np.clip(p + np.linalg.solve(normal + damping * np.diag(scale), down), -LIMITS, LIMITS) - p
+        promised = float(2 * step @ down - step @ normal @ step)
+        if np.abs(step).max() < tolerance or promised <= 0:
+            break
+        new, then = look(p + step)
+        gain = (cost - new) / promised
+        if gain > 0:
+            p, cost, seen = p + step, new, then
+            damping, raise_by = max(1e-9, damping * max(1 / 3, 1 - (2 * gain - 1) ** 3)), 2.0
         else:
-            stale += 1
-            if stale >= 4:
+            damping, raise_by = damping * raise_by, raise_by * 2
+            if damping > 1e9:
                 break
-        g = trilinear(slopes, q[inside])
-        j = np.empty((inside.sum(), 6))
-        for k in range(6):  # derivative of the moved point in each parameter
-            d = np.zeros(6)
-            d[k] = 1e-4
-            j[:, k] = ((moved_points(p + d, points[inside], centre) - q[inside]) / 1e-4 * g.T).sum(1)
-        a = j.T @ j
-        a += np.eye(6) * (1e-4 * np.trace(a) / 6 + 1e-12)
-        step = np.clip(np.linalg.solve(a, j.T @ r), -STEP, STEP)
-        p = np.clip(p + step, -LIMITS, LIMITS)
-        if np.linalg.norm(step) < tolerance:
-            break
-    return best[1]
+    return p
 
 
 def reslice(volume: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -73,7 +104,7 @@ def realign(blocks: DataFrame, shape: Shape, by: str, scan: str = "t", voxel: tu
     realigned scans, and the resliced volume.
 
     Scans are rows of their own in every pass, so a run spreads over as many tasks as it has scans; only the run's target,
-    one volume, is joined to them. A later pass starts from the estimates of the one before it."""
+    one volume, is joined to them (``beside``). A later pass starts from the estimates of the one before it."""
     nx, ny, nz = shape
     kinds = {c: blocks.schema[c].dataType.simpleString() for c in (by, scan)}
     rows = blocks.select(by, scan, "data").filter(F.col("data").isNotNull()).withColumn("p", F.array(*[F.lit(0.0)] * 6))
@@ -89,7 +120,7 @@ def realign(blocks: DataFrame, shape: Shape, by: str, scan: str = "t", voxel: tu
             yield pa.RecordBatch.from_arrays([b.column(by), b.column(scan), b.column("data"), lists(p), lists(out)], [by, scan, "data", "p", "moved"])
 
     for turn in range(passes):
-        rows = settled(rows.join(target, by).select(by, scan, "data", "p", "target").mapInArrow(fitted, f"`{by}` {kinds[by]}, `{scan}` {kinds[scan]}, data array<double>, p array<double>, moved array<double>"))
+        rows = settled(beside(rows, target, by, scan).select(by, scan, "data", "p", "target").mapInArrow(fitted, f"`{by}` {kinds[by]}, `{scan}` {kinds[scan]}, data array<double>, p array<double>, moved array<double>"))
         if turn + 1 < passes:
             target = mean_volume(rows, by, "moved", kinds[by]).withColumnRenamed("mean", "target")
             rows = rows.drop("moved")
@@ -97,6 +128,15 @@ def realign(blocks: DataFrame, shape: Shape, by: str, scan: str = "t", voxel: tu
     return rows.select(by, scan, *[(F.col("p")[k] * float(size[k])).alias(n) for k, n in enumerate(("tx", "ty", "tz", "rx", "ry", "rz"))], F.col("moved").alias("data"))
 
 
+def beside(rows: DataFrame, one: DataFrame, by: str, scan: str, together: int = 64) -> DataFrame:
+    """``rows`` with the columns of ``one``, a row for each ``by``. A group of many scans gets a copy of its row for every
+    ``together`` of them, so no group is one task."""
+    many = rows.groupBy(by).agg(F.ceil(F.count("*") / together).cast("int").alias("_copies"))
+    copies = one.join(many, by).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+    cut = rows.join(many, by).withColumn("_copy", F.pmod(F.xxhash64(scan), F.col("_copies")).cast("int")).drop("_copies")
+    return cut.join(copies.drop("_copies"), [by, "_copy"]).drop("_copy")
+
+
 def mean_volume(rows: DataFrame, by: str, data: str, kind: str) -> DataFrame:
     """(by, mean): the mean volume of every group. Tasks add up what they have of a group first, so one volume for each
     task and group moves, and not its scans."""
@@ -149,6 +189,187 @@ def mutual_information(a: np.ndarray, b: np.ndarray, bins: int = 32) -> float:
     return float((p[ok] * np.log(p[ok] / (pa_ @ pb)[ok])).sum())
 
 
+def realign_splines(blocks: DataFrame, shape: Shape, by: str, scan: str = "t", voxel: tuple[float, float, float] = (1, 1, 1), passes: int = 2, sep: int = 1, quality: float = 0.9, seed: int = 0, iterations: int = 64) -> DataFrame:
+    """``realign`` through cubic splines, with the Jacobian of the target alone.
+
+    For each run the target's slopes at jittered samples give one Jacobian, and the samples that carry least are dropped
+    while its determinant keeps ``quality`` of its size (``glm.informative``). Samples, values and Jacobian are one row, which
+    goes to the run's scans (``beside``); a scan's steps then need its own spline only. Motion is composed, never added."""
+    nx, ny, nz = shape
+    kinds = {c: blocks.schema[c].dataType.simpleString() for c in (by, scan)}
+    rows = blocks.select(by, scan, "data").filter(F.col("data").isNotNull())
+    first = rows.groupBy(by).agg(F.min(scan).alias(scan))
+    target = rows.join(first, [by, scan]).dropDuplicates([by]).select(by, F.col("data").alias("target"))
+    start = F.array(*[F.lit(float(k % 5 == 0)) for k in range(16)])  # a matrix without motion
+
+    def prepared(batches):
+        for b in batches:
+            for k, v in enumerate(matrix(b.column("target")).reshape(-1, nz, ny, nx)):
+                points, fixed, jacobian = samples(v, sep, quality, seed)
+                yield pa.RecordBatch.from_arrays([b.column(by).slice(k, 1), lists(points.reshape(1, -1)), lists(fixed[None, :]), lists(jacobian.reshape(1, -1))], [by, "points", "fixed", "jacobian"])
+
+    def fitted(batches):
+        for b in batches:
+            ms, out = [], []
+            for k, (v, m) in enumerate(zip(matrix(b.column("data")).reshape(-1, nz, ny, nx), matrix(b.column("m")).reshape(-1, 4, 4), strict=True)):
+                points, fixed, jacobian = (b.column(c)[k].values.to_numpy() for c in ("points", "fixed", "jacobian"))
+                c = splines.coefficients(v)
+                m = composed(c, points.reshape(-1, 3), fixed, jacobian.reshape(-1, 6), m, iterations)
+                ms.append(m.ravel())
+                at = grid(shape) @ m[:3, :3].T + m[:3, 3]
+                out.append(splines.sample(c, at) * ((at >= 0) & (at <= np.array(shape) - 1)).all(1))
+            if ms:
+                yield pa.RecordBatch.from_arrays([b.column(by), b.column(scan), b.column("data"), lists(np.array(ms)), lists(np.array(out))], [by, scan, "data", "m", "moved"])
+
+    rows = rows.withColumn("m", start)
+    for turn in range(passes):
+        ready = settled(target.mapInArrow(prepared, f"`{by}` {kinds[by]}, points array<double>, fixed array<double>, jacobian array<double>"))
+        rows = settled(beside(rows, ready, by, scan).select(by, scan, "data", "m", "points", "fixed", "jacobian").mapInArrow(fitted, f"`{by}` {kinds[by]}, `{scan}` {kinds[scan]}, data array<double>, m array<double>, moved array<double>"))
+        if turn + 1 < passes:
+            target = mean_volume(rows, by, "moved", kinds[by]).withColumnRenamed("mean", "target")
+            rows = rows.drop("moved")
+    size = [*voxel, 1.0, 1.0, 1.0]
+    centre = (np.array(shape) - 1) / 2
+    m = lambda i, j: F.col("m")[4 * i + j]
+    shift = [m(i, 3) - float(centre[i]) + sum((m(i, j) * float(centre[j]) for j in range(3)), F.lit(0.0)) for i in range(3)]
+    angles = [F.atan2(m(2, 1), m(2, 2)), F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -m(2, 0)))), F.atan2(m(1, 0), m(0, 0))]
+    return rows.select(by, scan, *[(c * float(size[k])).alias(n) for k, (n, c) in enumerate(zip(("tx", "ty", "tz", "rx", "ry", "rz"), [*shift, *angles], strict=True))], F.col("moved").alias("data"))
+
+
+def samples(target: np.ndarray, sep: int, quality: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points of a target (jittered within half a step, kept inside), its values there, and the Jacobian of small motions about
+    the middle; only the informative ones. One volume decides on them, however many scans a run has."""
+    last = np.array(target.shape[::-1]) - 1
+    points = sample_points(target.shape, sep)
+    points = points + np.random.default_rng(seed).uniform(-0.5, 0.5, points.shape) * sep
+    points = points[((points >= rim(last)) & (points <= last - rim(last))).all(1)]
+    value, slope = splines.sample(splines.coefficients(target), points, slopes=True)
+    jacobian = np.einsum("mi,mik->mk", slope, turned(np.zeros(6), points - last / 2))
+    keep = informative(jacobian, quality) if np.linalg.matrix_rank(jacobian) == 6 else np.arange(len(points))
+    return points[keep], value[keep], jacobian[keep]
+
+
+def rim(last: np.ndarray) -> np.ndarray:
+    """How far from the edge samples stay, as the mirror beyond it bends a spline there."""
+    return np.minimum(2.0, last / 4)
+
+
+def composed(c: np.ndarray, points: np.ndarray, fixed: np.ndarray, jacobian: np.ndarray, m: np.ndarray, iterations: int, tolerance: float = 1e-7) -> np.ndarray:
+    """The matrix that carries the target's points to where the spline ``c`` has the target's values. Each step asks which small
+    motion of the target explains the difference, and takes it back; steps that don't help are halved."""
+    last = np.array(c.shape[::-1]) - 1
+    centre = np.eye(4)
+    centre[:3, 3] = last / 2
+
+    def look(m):
+        q = points @ m[:3, :3].T + m[:3, 3]
+        inside = ((q >= rim(last) / 2) & (q <= last - rim(last) / 2)).all(1)
+        if inside.sum() < max(6, len(points) // 4):
+            return np.inf, None, inside
+        r = splines.sample(c, q[inside]) - fixed[inside]
+        return float(r @ r) / len(r), r, inside
+
+    cost, r, inside = look(m)
+    for _ in range(iterations):
+        if r is None or cost == 0:
+            break
+        j = jacobian[inside]
+        normal = j.T @ j
+        step = np.linalg.lstsq(normal + 1e-9 * np.trace(normal) * np.eye(6) / 6, j.T @ r, rcond=None)[0]
+        share = 1.0
+        while share > 1e-3:
+            back = centre @ np.linalg.inv(rigid(share * step)) @ np.linalg.inv(centre)
+            found = look(m @ back)
+            if found[0] < cost:
+                break
+            share /= 2
+        else:
+            break
+        m, (cost, r, inside) = m @ back, found
+        if np.abs(share * step).max() < tolerance:
+            break
+    return m
+
+
+def middle(v: np.ndarray, share: float = 0.005) -> np.ndarray:
+    """A volume with its rarest values, at both ends, brought to where they begin; so bins aren't spent on them."""
+    return np.clip(v, *np.quantile(v, (share, 1 - share)))
+
+
+def smoothed_histogram(a: np.ndarray, b: np.ndarray, bins: int = 64, width: float = 1.0) -> np.ndarray:
+    """Joint histogram of two lists over their ranges, with values spread over ``width`` bins (standard deviation)."""
+    h, _, _ = np.histogram2d(a, b, bins)
+    k = np.exp(-0.5 * (np.subtract.outer(np.arange(bins), np.arange(bins)) / width) ** 2)
+    k /= k.sum(0)
+    return k @ h @ k.T
+
+
+def normalised_information(h: np.ndarray) -> float:
+    """(H(a) + H(b)) / H(a, b) of a joint histogram: 1 without any relation, 2 at most."""
+    p = h / max(h.sum(), 1e-300)
+    entropy = lambda q: -float((q[q > 0] * np.log(q[q > 0])).sum())
+    return (entropy(p.sum(0)) + entropy(p.sum(1))) / max(entropy(p.ravel()), 1e-12)
+
+
+def along(value, p: np.ndarray, direction: np.ndarray, best: float, reach: float = 1.0, tolerance: float = 0.02) -> tuple[np.ndarray, float]:
+    """A step along a direction that doesn't lower ``value``: from the best of a few places on the line to the top by golden
+    sections."""
+    spots = [-2.0, -1.0, -0.4, 0.4, 1.0, 2.0]
+    seen = {0.0: best} | {s * reach: value(p + s * reach * direction) for s in spots}
+    order = sorted(seen)
+    at = order.index(max(order, key=lambda s: seen[s]))
+    low, high = order[max(0, at - 1)], order[min(len(order) - 1, at + 1)]
+    ratio = (5**0.5 - 1) / 2
+    while high - low > tolerance:
+        a, b = high - ratio * (high - low), low + ratio * (high - low)
+        for s in (a, b):
+            if s not in seen:
+                seen[s] = value(p + s * direction)
+        low, high = (low, b) if seen[a] >= seen[b] else (a, high)
+    top = max(seen, key=lambda s: seen[s])
+    return p + top * direction, seen[top]
+
+
+def coregister_levels(moving: np.ndarray, fixed: np.ndarray, voxel: tuple[float, float, float] = (1, 1, 1), sep: tuple[float, ...] = (4.0, 2.0), rounds: int = 8, bins: int = 64, seed: int = 0) -> np.ndarray:
+    """Rigid parameters (mm, radians) that carry fixed's coordinates into moving by normalised mutual information, from coarse
+    to fine samples (``sep`` in mm, jittered).
+
+    Powell's method: line searches along a set of directions, in which the way of a whole round takes the place of the
+    direction that gained most. A round that gains little ends a level."""
+    size = np.array(voxel, float)
+    centre, last = (np.array(fixed.shape[::-1]) - 1) / 2 * size, np.array(moving.shape[::-1]) - 1
+    rng, p = np.random.default_rng(seed), np.zeros(6)
+    moving, fixed = middle(moving), middle(fixed)
+    for step in sep:
+        steps = [np.arange(0, n * s, step) for n, s in zip(fixed.shape[::-1], size, strict=True)]
+        points = np.stack(np.meshgrid(*steps, indexing="ij"), -1).reshape(-1, 3)
+        points = np.clip(points + rng.uniform(-0.5, 0.5, points.shape) * step, 0, (np.array(fixed.shape[::-1]) - 1) * size)
+        known = trilinear(fixed[None], points / size)[0]
+
+        def value(q, points=points, known=known):
+            at = moved_points(q, points, centre) / size
+            inside = ((at >= 0) & (at <= last)).all(1)
+            if inside.sum() < len(points) // 4:
+                return -np.inf
+            return normalised_information(smoothed_histogram(known[inside], trilinear(moving[None], at[inside])[0], bins))
+
+        directions = list(np.diag([step, step, step, 0.03, 0.03, 0.03]))
+        best = value(p)
+        for _ in range(rounds):
+            start, was, gains = p, best, []
+            for d in directions:
+                p, now = along(value, p, d, best)
+                gains.append(now - best)
+                best = now
+            if np.any(p != start):
+                way, most = p - start, int(np.argmax(gains))
+                p, best = along(value, p, way, best)
+                directions[most] = way
+            if best - was < 1e-5 * (1 + abs(was)):
+                break
+    return p
+
+
 def coregister(moving: np.ndarray, fixed: np.ndarray, iterations: int = 64, step: float = 0.25, tolerance: float = 1e-4, mode: str = "mi") -> np.ndarray:
     """Rigid parameters (voxels, radians) that carry fixed's coordinates into moving, by ascent on mutual information.
     ``identity`` leaves the images as they are."""

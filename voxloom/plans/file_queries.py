@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from voxloom.operators import glm, headers, layout, registration, segment, spatial
 from voxloom.plans.image_queries import AT, kernel_voxels
 from voxloom.plans.header_queries import _affine_rows, _entries_sql
-from voxloom.plans.series_queries import TASK_SQL, _onsets
-from voxloom.plans.views import BOLD_SQL, IMAGE_SQL, SHAPE, image, table
+from voxloom.plans.views import BOLD_SQL, IMAGE_SQL, SHAPE, bold, image, table
 from voxloom.session import scratch
 from voxloom.sources import dicom, motion, nifti
 
@@ -141,22 +140,29 @@ def pulled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernel_voxels(spark, sf_dir, lambda flat: registration.pull(flat.reshape(-1, 4, 4, 4), u).reshape(len(flat), -1))
 
 
-_SHRUNK = "(power(1 - 0.3 / 64, 64) - 1)"
+_SHRUNK = "(power(1 - s / 64, 64) - 1)"
 
 
-@query(f"""WITH g AS (SELECT CAST(i % 4 AS INTEGER) AS x, CAST(i // 4 % 4 AS INTEGER) AS y, CAST(i // 16 AS INTEGER) AS z FROM (SELECT unnest(range(0, 64)) AS i))
-SELECT z, y, x, round({_SHRUNK} * x, 8) + 0 AS ux, round({_SHRUNK} * x + (1 + {_SHRUNK}) * -0.1 * x, 8) + 0 AS both FROM g""")
+@query(f"""WITH {IMAGE_SQL}, g AS (SELECT t, z, y, x, least(0.4, abs(avg(v) OVER (PARTITION BY t)) * 8) AS s FROM vox)
+SELECT t, z, y, x, round({_SHRUNK} * x, 6) + 0 AS ux, round({_SHRUNK} * x + (1 + {_SHRUNK}) * -0.1 * x, 6) + 0 AS both FROM g""")
 def integrated_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The displacement of a velocity that shrinks x, by squaring, and after another displacement; both have a closed form."""
-    g = spatial.grid(SHAPE)
-    v = np.zeros((3, 64))
-    v[0] = -0.3 * g[:, 0]
-    u = registration.integrate(v.reshape(3, 4, 4, 4), 6)
-    second = np.zeros((3, 4, 4, 4))
-    second[0] = -0.1 * g[:, 0].reshape(4, 4, 4)
-    both = registration.compose(u, second)
-    rows = [(int(z), int(y), int(x), float(a), float(b)) for (x, y, z), a, b in zip(g, u[0].ravel(), both[0].ravel(), strict=True)]
-    return spark.createDataFrame(rows, "z int, y int, x int, ux double, both double").select("z", "y", "x", (F.round("ux", 8) + 0).alias("ux"), (F.round("both", 8) + 0).alias("both"))
+    """The displacement of a velocity that shrinks x as much as each volume's mean says, by squaring, and after another
+    displacement; both have a closed form."""
+    x = spatial.grid(SHAPE)[:, 0].reshape(4, 4, 4)
+
+    def kernel(flat):
+        out, second = [], np.zeros((3, 4, 4, 4))
+        second[0] = -0.1 * x
+        for share in np.minimum(0.4, np.abs(flat.mean(1)) * 8):
+            v = np.zeros((3, 4, 4, 4))
+            v[0] = -share * x
+            u = registration.integrate(v, 6)
+            out.append(np.concatenate([u[0].ravel(), registration.compose(u, second)[0].ravel()]))
+        return np.array(out).reshape(len(flat), 128)
+
+    moved = layout.map_arrays(image(spark, sf_dir), "data", kernel)
+    halves = F.arrays_zip(F.slice("data", 1, 64).alias("ux"), F.slice("data", 65, 64).alias("both"))
+    return layout.voxels(moved.select("t", halves.alias("data")), SHAPE).select(*AT, (F.round("v.ux", 6) + 0).alias("ux"), (F.round("v.both", 6) + 0).alias("both"))
 
 
 _RIGID = [
@@ -189,40 +195,36 @@ def class_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(rank.alias("rank"), F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"), F.round(F.col("n") / total, 8).alias("share"))
 
 
-_TASKS = f"""o AS (SELECT floor(epoch(ts) / 60) / 60 - (SELECT floor(min(epoch(ts)) / 3600) FROM events) AS s FROM events WHERE {TASK_SQL}),
-box AS MATERIALIZED (SELECT scan, count(*) AS hits FROM (SELECT unnest(range(CAST(ceil(s) AS BIGINT), CAST(ceil(s + 1.5) AS BIGINT))) AS scan FROM o) GROUP BY scan),
-d AS MATERIALIZED (SELECT scans.scan, CAST(coalesce(hits, 0) AS DOUBLE) AS task FROM scans LEFT JOIN box ON box.scan = scans.scan)"""
-
-
-def _task(spark: SparkSession, sf_dir: str) -> np.ndarray:
-    events, n = _onsets(spark, sf_dir)
-    hits = {r["scan"]: r["hits"] for r in glm.boxcar(spark.range(n).withColumnRenamed("id", "scan"), events).collect()}  # a value per scan
-    return np.array([hits.get(k, 0) for k in range(n)], float)
-
-
-@query(f"""WITH {BOLD_SQL}, {_TASKS}, p AS (SELECT scan, task, CAST(scan AS DOUBLE) AS q FROM d), c AS (SELECT sum(task * q) / sum(task * task) AS b FROM p)
-SELECT scan, task, round(q - b * task, 6) + 0 AS orthogonal FROM p CROSS JOIN c""")
+@query(f"""WITH {BOLD_SQL}, c AS (SELECT voxel, sum(y * scan) / sum(y * y) AS b FROM bold GROUP BY voxel HAVING sum(y * y) > 0)
+SELECT voxel, scan, round(scan - b * y, 5) + 0 AS orthogonal FROM bold JOIN c USING (voxel)""")
 def orthogonal_regressors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A regressor less what another one before it explains."""
-    task = _task(spark, sf_dir)
-    x = glm.orthogonalised(np.stack([task, np.arange(len(task), dtype=float)], 1))
-    return spark.createDataFrame([(k, float(a), round(float(b), 6) + 0.0) for k, (a, b) in enumerate(x)], "scan long, task double, orthogonal double")
+    """A drift less what each user's own course explains, in the tasks that hold the courses."""
+    rows, n = bold(spark, sf_dir)
+    kernel = lambda flat: np.array([glm.orthogonalised(np.stack([y, np.arange(n, dtype=float)], 1))[:, 1] for y in flat]).reshape(len(flat), n)
+    found = layout.map_arrays(rows.filter(F.exists("series", lambda v: v != 0)), "series", kernel)
+    return found.select("voxel", F.posexplode("series").alias("scan", "v")).select("voxel", F.col("scan").cast("long").alias("scan"), (F.round("v", 5) + 0).alias("orthogonal"))
 
 
-@query(f"""WITH {BOLD_SQL}, {_TASKS}, h AS (SELECT count(*) // 2 AS h FROM scans), m AS (SELECT CASE WHEN scan < h THEN 0 ELSE 1 END AS session, scan, task FROM d CROSS JOIN h), c(session, name, col) AS (VALUES (0, 's1:task', 0), (0, 's1:constant', 1), (1, 's2:task', 2), (1, 's2:constant', 3))
-SELECT m.scan, name, CASE WHEN m.session <> c.session THEN 0 WHEN col % 2 = 1 THEN 1 ELSE task END AS value FROM m CROSS JOIN c""")
+@query(f"""WITH {BOLD_SQL}, h AS (SELECT count(*) // 2 AS h FROM scans), m AS (SELECT voxel, CASE WHEN scan < h THEN 0 ELSE 1 END AS session, scan, y FROM bold CROSS JOIN h), c(session, name, col) AS (VALUES (0, 's1:task', 0), (0, 's1:constant', 1), (1, 's2:task', 2), (1, 's2:constant', 3))
+SELECT voxel, m.scan, name, round(CASE WHEN m.session <> c.session THEN 0 WHEN col % 2 = 1 THEN 1 ELSE y END, 4) + 0 AS value FROM m CROSS JOIN c""")
 def session_design(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sessions side by side in one design."""
-    task = _task(spark, sf_dir)
-    halves = [task[: len(task) // 2], task[len(task) // 2 :]]
-    x, names = glm.sessions([(np.stack([t, np.ones(len(t))], 1), ["task", "constant"]) for t in halves])
-    return spark.createDataFrame([(s, n, float(x[s, k])) for s in range(len(x)) for k, n in enumerate(names)], "scan long, name string, value double")
+    """Two sessions of each user's course side by side in one design."""
+    rows, n = bold(spark, sf_dir)
+    names = ["s1:task", "s1:constant", "s2:task", "s2:constant"]
+
+    def kernel(flat):
+        halves = lambda y: [(np.stack([part, np.ones(len(part))], 1), ["task", "constant"]) for part in (y[: n // 2], y[n // 2 :])]
+        return np.array([glm.sessions(halves(y))[0].ravel() for y in flat]).reshape(len(flat), 4 * n)
+
+    found = layout.map_arrays(rows, "series", kernel).select("voxel", F.posexplode("series").alias("k", "v"))
+    return found.select("voxel", F.floor(F.col("k") / 4).cast("long").alias("scan"), F.array(*map(F.lit, names))[F.col("k") % 4].alias("name"), (F.round("v", 4) + 0).alias("value"))
 
 
-@query(f"""WITH {BOLD_SQL}, {_TASKS}, n AS (SELECT sum(task) AS st, sum(task * task) AS tt, count(*) AS n FROM d), b AS (SELECT d.*, (tt - 2 * task * st + n * task * task) / (n * tt - st * st) AS leverage FROM d CROSS JOIN n)
-SELECT scan, round(leverage, 8) AS leverage FROM b""")
+@query(f"""WITH {BOLD_SQL}, n AS (SELECT voxel, sum(y) AS st, sum(y * y) AS tt, count(*) AS n FROM bold GROUP BY voxel)
+SELECT voxel, scan, round((tt - 2 * y * st + n * y * y) / (n * tt - st * st), 8) + 0 AS leverage FROM bold JOIN n USING (voxel) WHERE n * tt - st * st > 1e-9 * n * tt""")
 def sample_leverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much each scan informs a fit of a task and a constant."""
-    task = _task(spark, sf_dir)
-    got = glm.leverage(np.stack([task, np.ones(len(task))], 1))
-    return spark.createDataFrame([(k, round(float(v), 8)) for k, v in enumerate(got)], "scan long, leverage double")
+    """How much each scan informs a fit of a user's course and a constant."""
+    rows, n = bold(spark, sf_dir)
+    varied = F.size(F.array_distinct("series")) > 1
+    found = layout.map_arrays(rows.filter(varied), "series", lambda flat: np.array([glm.leverage(np.stack([y, np.ones(n)], 1)) for y in flat]).reshape(len(flat), n))
+    return found.select("voxel", F.posexplode("series").alias("scan", "v")).select("voxel", F.col("scan").cast("long").alias("scan"), (F.round("v", 8) + 0).alias("leverage"))

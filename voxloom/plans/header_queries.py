@@ -151,9 +151,10 @@ def shallowest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dicom.shallowest(table(spark, sf_dir, "part").select("p_partkey", F.expr(_PATH).alias("path")))
 
 
-@query(f"WITH {IMAGE_SQL}, n AS (SELECT t AS old, row_number() OVER (ORDER BY t DESC) - 1 AS t FROM (SELECT DISTINCT t FROM vox)) SELECT n.t, z, y, x, round(round(v * 8000) / 100 - 5, 2) AS v FROM vox JOIN n ON n.old = vox.t")
+@query(f"WITH {IMAGE_SQL}, n AS (SELECT t AS old, t // 40 AS series, row_number() OVER (PARTITION BY t // 40 ORDER BY t DESC) - 1 AS t FROM (SELECT DISTINCT t FROM vox)) SELECT n.series, n.t, z, y, x, round(round(v * 8000) / 100 - 5, 2) AS v FROM vox JOIN n ON n.old = vox.t")
 def dicom_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every mosaic written as a file (instance numbers backwards) and read again: the whole way from bytes to voxels."""
+    """Mosaics of several series written as files (instance numbers backwards) and read again: the whole way from bytes to
+    voxels."""
     rows = table(spark, sf_dir, "embeddings").filter(F.size("embedding") == 64).select("vec_id", "embedding")
 
     def files(batches):
@@ -161,12 +162,13 @@ def dicom_series(spark: SparkSession, sf_dir: str) -> DataFrame:
             pixels = np.round(layout.matrix(b.column("embedding")).astype(np.float32).astype(float) * 8000).reshape(-1, 8, 8)
             out = []
             for k, p in zip(b.column("vec_id").to_pylist(), pixels, strict=True):
-                tags = {0x00080008: (b"CS", b"ORIGINAL\\PRIMARY\\MOSAIC"), 0x0020000E: (b"UI", b"1.2.3"), 0x00200013: (b"IS", str(1_000_000 - k).encode()), 0x00281052: (b"DS", b"-5"), 0x00281053: (b"DS", b"0.01")}
+                tags = {0x00080008: (b"CS", b"ORIGINAL\\PRIMARY\\MOSAIC"), 0x0020000E: (b"UI", b"1.2.%d" % (k // 40)), 0x00200013: (b"IS", str(1_000_000 - k).encode()), 0x00281052: (b"DS", b"-5"), 0x00281053: (b"DS", b"0.01")}
                 out.append(dicom.encode(p, tags))
             yield pa.RecordBatch.from_arrays([pa.array([f"/scan/{k}.dcm" for k in b.column("vec_id").to_pylist()]), pa.array(out, pa.binary())], ["path", "content"])
 
     found = dicom.mosaic_series(dicom.headers(rows.mapInArrow(files, "path string, content binary")), 4, 4)
-    return layout.voxels(found.select(F.col("t").cast("long").alias("t"), "data"), SHAPE).select("t", "z", "y", "x", F.round("v", 2).alias("v"))
+    rows = found.select(F.substring("series", 5, 20).cast("long").alias("series"), F.col("t").cast("long").alias("t"), "data")
+    return layout.voxels(rows, SHAPE).select("series", "t", "z", "y", "x", F.round("v", 2).alias("v"))
 
 
 @query("""WITH f AS (SELECT p_brand, p_partkey, p_size % 2 AS stack, p_retailprice / 97.0 AS pos FROM part), l AS (SELECT *, CASE WHEN lag(stack) OVER w IS NOT NULL AND stack <> lag(stack) OVER w THEN 1 ELSE 0 END AS new FROM f WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)),

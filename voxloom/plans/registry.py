@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.plans import file_queries, header_queries, image_queries, mask_queries, model_queries, series_queries, table_queries
+from voxloom.plans import file_queries, header_queries, image_queries, mask_queries, model_queries, series_queries, table_queries, volume_queries
 
-PARTS = (image_queries, series_queries, model_queries, table_queries, mask_queries, header_queries, file_queries)
+PARTS = (image_queries, series_queries, model_queries, table_queries, mask_queries, header_queries, file_queries, volume_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -48,9 +48,10 @@ def dct_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.select("scan", "k", F.round(math.sqrt(2 / n) * F.cos(math.pi * (2 * F.col("scan") + 1) * F.col("k") / (2 * n)), 6).alias("b"))
 
 
-@query(f"""WITH {BOLD_SQL}, {BASIS_SQL}, c AS MATERIALIZED (SELECT voxel, k, sum(y * b) AS c FROM bold JOIN b USING (scan) GROUP BY voxel, k),
-f AS (SELECT c.voxel, b.scan, sum(c.c * b.b) AS f FROM c JOIN b USING (k) GROUP BY c.voxel, b.scan)
-SELECT bold.voxel, bold.scan, round(y - f, 4) + 0 AS y FROM bold JOIN f ON bold.voxel = f.voxel AND bold.scan = f.scan""")
+@query(f"""WITH {BOLD_SQL}, {BASIS_SQL}, y AS MATERIALIZED (SELECT voxel, list(y ORDER BY scan) AS y FROM bold GROUP BY voxel),
+w AS MATERIALIZED (SELECT k, list(b ORDER BY scan) AS w FROM b GROUP BY k), r AS MATERIALIZED (SELECT scan, list(b ORDER BY k) AS r FROM b GROUP BY scan),
+c AS MATERIALIZED (SELECT voxel, list(list_dot_product(y, w) ORDER BY k) AS c, any_value(y) AS y FROM y CROSS JOIN w GROUP BY voxel)
+SELECT voxel, scan, round(y[scan + 1] - list_dot_product(c, r), 4) + 0 AS y FROM c CROSS JOIN r""")
 def highpass(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, n = bold(spark, sf_dir)
     return long(layout.map_arrays(rows, "series", temporal.high_pass(n, TR, CUTOFF)), ["voxel"])

@@ -180,7 +180,9 @@ def mosaic_series(rows: DataFrame, tile: int, slices: int) -> DataFrame:
     side = math.ceil(math.sqrt(slices))
     scan = F.row_number().over(Window.partitionBy("series").orderBy(F.col("instance").asc_nulls_last(), "path")) - 1
     ok = rows.filter((F.col("class") == "mosaic") & (F.size("data") == (tile * side) ** 2))
-    return ok.select("series", scan.alias("t"), "path", demosaic(F.col("data"), tile, side, slices).alias("data"))
+    # keys are ranked, and the pixels joined to their place: a long series is one window of keys
+    places = ok.select("series", "instance", "path").withColumn("t", scan).select("path", "t")
+    return ok.join(places, "path").select("series", "t", "path", demosaic(F.col("data"), tile, side, slices).alias("data"))
 
 
 def slice_position(position: Column, orientation: Column) -> Column:
