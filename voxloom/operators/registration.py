@@ -19,6 +19,8 @@ from voxloom.session import settled
 
 #: No motion goes beyond these, in voxels and radians.
 LIMITS = np.array([20, 20, 20, 0.35, 0.35, 0.35])
+#: Ways along which an image changes by less than this share of the most aren't told from noise.
+CURVE = 2e-3
 
 
 def moved_points(p: np.ndarray, points: np.ndarray, centre: np.ndarray) -> np.ndarray:
@@ -49,8 +51,14 @@ def estimate(reference: np.ndarray, volume: np.ndarray, start: np.ndarray, sep:
 
     Levenberg-Marquardt: a step is taken only if it lowers the cost, and the damping follows the ratio of the gain to what
     the linear model promised. A place where less than ``overlap`` of the samples lie inside counts as infinitely bad, so
-    the result is never worse than the start; without overlap there, it is the start."""
+    the result is never worse than the start; without overlap there, it is the start. Samples are jittered: on the grid itself
+    the reference is sharp, and motion would pay merely because it blurs the volume less or more. Along axes of over eight
+    voxels they stay off the edge, where a mean of moved scans has holes."""
     points = sample_points(reference.shape, sep)
+    end = np.array(reference.shape[::-1]) - 1
+    points = np.clip(points + np.random.default_rng(0).uniform(-0.5, 0.5, points.shape), 0, end)
+    edge = np.where(end >= 8, rim(end), 0)
+    points = points[((points >= edge) & (points <= end - edge)).all(1)]
     centre, last = (np.array(reference.shape[::-1]) - 1) / 2, np.array(volume.shape[::-1]) - 1
     fixed = trilinear(reference[None], points)[0]
     images = np.stack([volume, *(np.gradient(volume, axis=a) if n > 1 else np.zeros(volume.shape) for a, n in zip((2, 1, 0), volume.shape[::-1], strict=True))])
@@ -76,8 +84,13 @@ def estimate(reference: np.ndarray, volume: np.ndarray, start: np.ndarray, sep:
         normal, down = j.T @ j / len(r), -(j.T @ r) / len(r)
         if cost <= 1e-24 * max(1.0, float(fixed @ fixed) / len(fixed)):
             break
-        scale = np.diag(normal) + 1e-12 * (np.trace(normal) or 1.0)
-        step = np.clip(p + np.linalg.solve(normal + damping * np.diag(scale), down), -LIMITS, LIMITS) - p
+        # turns count by how far they carry a sample; ways that hardly change the image, as turns of a ball, aren't gone
+        unit = np.append(np.ones(3), np.ones(3) / max(1.0, np.sqrt((arms**2).sum(1).mean())))
+        curve, ways = np.linalg.eigh(normal * np.outer(unit, unit))
+        seen_ways = ways[:, curve > CURVE * max(curve[-1], 1e-300)]
+        curve = curve[curve > CURVE * max(curve[-1], 1e-300)]
+        step = unit * (seen_ways @ ((seen_ways.T @ (unit * down)) / (curve * (1 + damping))))
+        step = np.clip(p + step, -LIMITS, LIMITS) - p
         promised = float(2 * step @ down - step @ normal @ step)
         if np.abs(step).max() < tolerance or promised <= 0:
             break
