@@ -31,7 +31,7 @@ from voxloom.llm.common import quoted, trimmed, written
 WINDOW, SHARD_TOKENS = 4096, 2**20
 K1, B = 1.2, 0.75
 #: Characters that are tokenised together, and words that a worker remembers the ids of.
-TOGETHER, REMEMBERED = 12_000_000, 700_000
+TOGETHER, REMEMBERED = 24_000_000, 1_000_000
 #: Postings of tokens that more than this share of a shard's documents hold lie as dense rows.
 DENSE = 1 / 8
 PIECE = "`start` long, `length` long, doc_tokens long, sequence_id long, `offset` long, piece_ids binary"
@@ -123,7 +123,10 @@ class Words:
 def gathered(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The stretches of ``values`` that begin at ``first``, one after the other, and where each ends, with 0 before."""
     ends = np.concatenate([[0], np.cumsum(size)])
-    return values[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])], ends
+    kind = np.int32 if max(len(values), ends[-1]) < 2**31 else np.int64
+    at = np.repeat((first - ends[:-1]).astype(kind), size)
+    at += np.arange(ends[-1], dtype=kind)
+    return values[at], ends
 
 
 def id_kind(size: int) -> np.dtype:
@@ -252,17 +255,20 @@ class Index:
         self.weights = stats.idf[terms] * counts * (K1 + 1) / scale
         self.terms, self.first = np.unique(terms, return_index=True)
         self.size = np.diff(np.append(self.first, len(terms)))
+        # the tokens of each document, as places in ``terms``
+        place = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.size)
+        self.held, self.begins = place[np.argsort(self.docs, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(self.docs, minlength=n))])
         often = np.flatnonzero(self.size > n * DENSE)
         self.row = np.full(len(self.terms), -1)
         self.row[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), n))
+        self.dense = np.zeros((len(often), n), np.float32)
         for k, t in enumerate(often):
             own = slice(self.first[t], self.first[t] + self.size[t])
             self.dense[k, self.docs[own]] = self.weights[own]
 
-    def scores(self, query: np.ndarray) -> np.ndarray:
-        """BM25 of every document against the distinct tokens of ``query``, which is one of the shard's documents."""
-        asked = np.searchsorted(self.terms, np.unique(query))
+    def scores(self, doc: int) -> np.ndarray:
+        """BM25 of every document against the distinct tokens of one of them."""
+        asked = self.held[self.begins[doc] : self.begins[doc + 1]]
         rows = self.row[asked]
         rare = asked[rows < 0]
         size = self.size[rare]
@@ -306,7 +312,7 @@ def windows(ids: np.ndarray, at: np.ndarray, stats: Statistics, window: int = WI
         left = np.flatnonzero(unused)
         if not len(left):
             break
-        score = index.scores(ids[at[doc] : at[doc + 1]])[left]
+        score = index.scores(doc)[left]
         sized = index.lengths[left]
         most = min(len(left), 1 + room)  # a document has one id at least
         near = np.argpartition(-score, most - 1)[:most] if most < len(left) else np.arange(len(left))
