@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from voxloom.operators import glm, layout, matching, registration, spatial, splines, surface
+from voxloom.operators import glm, layout, matching, registration, scaling, spatial, splines, surface
 from voxloom.plans import volume_queries
 from voxloom.sources import dicom, dicom_frames
 
@@ -291,6 +291,21 @@ def test_surfaces_of_odd_volumes(spark):
     assert surface.triangles(one, ["t"], 5.0).count() == 0
 
 
+# --- one scale for all slices -------------------------------------------------------------------------------------------
+def test_dithering_keeps_the_mean_and_single_scales_stay(spark):
+    raw = np.linspace(0, 50, 4000).astype(int).tolist()
+    rows = spark.createDataFrame([(1, 0, raw, 0.1, 0.0), (1, 1, raw, 0.3, 5.0), (2, 0, raw, 2.0, 1.0), (2, 1, [None, 3], 2.0, 1.0), (3, 0, [1, None, 9], None, None), (3, 1, [1, 1], 2.0, 0.0), (4, 0, [5], 0.0, 1.0), (4, 1, [7], 1.0, -6.0)], "v long, z int, raw array<int>, slope double, intercept double")
+    got = {(r.v, r.z): r for r in scaling.one_scale(rows, ["v"], "z", bits=8).collect()}
+    assert got[2, 0].stored == raw and got[2, 1].stored == [None, 3] and (got[2, 0].scale, got[2, 0].offset) == (2, 1)
+    for z, (slope, shift) in enumerate(((0.1, 0.0), (0.3, 5.0))):
+        r = got[1, z]
+        error = np.array(r.stored) * r.scale + r.offset - (np.array(raw) * slope + shift)
+        assert abs(error).max() <= r.scale * (1 + 1e-9) and abs(error.mean()) < 0.02 * r.scale and -128 <= min(r.stored) <= max(r.stored) <= 127
+    assert got[1, 0].scale == got[1, 1].scale and got[3, 0].stored[1] is None
+    assert [got[4, z].stored[0] * got[4, z].scale + got[4, z].offset for z in (0, 1)] == [1, 1]
+    assert scaling.one_scale(rows.limit(0), ["v"], "z").count() == 0
+
+
 # --- queries --------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("name", sorted(volume_queries.QUERIES))
 def test_query(spark, name):

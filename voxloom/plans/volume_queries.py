@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.operators import glm, layout, matching, registration, spatial, surface
+from voxloom.operators import glm, layout, matching, registration, scaling, spatial, surface
 from voxloom.plans.series_queries import _short
-from voxloom.plans.views import IMAGE_SQL, SHAPE, image_voxels, table
+from voxloom.plans.views import IMAGE_SQL, SHAPE, image, image_voxels, table
 from voxloom.session import settled
 from voxloom.sources import dicom, dicom_frames
 
@@ -138,6 +138,20 @@ def first_match_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_partkey", F.col("leader.p_partkey").alias("leader"))
 
 
+@query(f"""WITH {IMAGE_SQL}, r AS (SELECT t, z, y * 4 + x AS k, round(v * 8000) AS raw, CASE WHEN t % 4 = 0 THEN 0.5 ELSE 0.5 * (1 + z % 3) END AS slope, CASE WHEN t % 4 = 0 THEN 3 ELSE z * 2.5 END AS shift FROM vox),
+q AS (SELECT *, raw * slope + shift AS real, min(raw * slope + shift) OVER (PARTITION BY t) AS low, (max(raw * slope + shift) OVER (PARTITION BY t) - min(raw * slope + shift) OVER (PARTITION BY t)) / 255 AS scale FROM r)
+SELECT t, CAST(z AS INTEGER) AS z, CAST(k AS INTEGER) AS k, CAST(CASE WHEN t % 4 = 0 THEN raw ELSE greatest(0, least(255, floor((real - low) / scale + (k * 0.6180339887498949 + z * 0.7548776662466927) % 1))) - 128 END AS BIGINT) AS stored,
+  round(CASE WHEN t % 4 = 0 THEN 0.5 ELSE scale END, 6) AS scale, round(CASE WHEN t % 4 = 0 THEN 3 ELSE low + 128 * scale END, 6) + 0 AS offset FROM q""")
+def one_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes whose slices have slopes of their own, stored in eight bits with one scale each."""
+    same, z = F.col("t") % 4 == 0, F.col("z")
+    cut = F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.struct(k.alias("z"), F.transform(F.slice("data", k * 16 + 1, 16), lambda v: F.round(v * 8000)).alias("raw"))))
+    slices = image(spark, sf_dir).select("t", cut.alias("s")).select("t", "s.*")
+    slices = slices.withColumns({"slope": F.when(same, 0.5).otherwise(0.5 * (1 + z % 3)), "intercept": F.when(same, 3.0).otherwise(z * 2.5)})
+    got = scaling.one_scale(slices, ["t"], "z", bits=8)
+    return got.select("t", "z", F.posexplode("stored").alias("k", "stored"), F.round("scale", 6).alias("scale"), (F.round("offset", 6) + 0).alias("offset"))
+
+
 # --- known motion ---------------------------------------------------------------------------------------------------------
 EDGE, CUT = 16, 12
 #: Where the four cuts of each volume begin.
