@@ -33,6 +33,6 @@ def one_scale(slices: DataFrame, by: Sequence[str], at: str, raw: str = "raw", s
     offset = F.when(F.col("_same"), F.col("_zero")).otherwise(F.col("_low") + lowest * F.col("scale"))
     scaled = both.withColumn("scale", scale).withColumn("offset", offset)
     share = lambda k: (k * STEP + F.col(at) * SLICE_STEP) % 1 if dither else F.lit(0.5)
-    fresh = F.transform(raw, lambda v, k: F.greatest(F.lit(0.0), F.least(F.lit(steps), F.floor((v.cast("double") * F.col("_slope") + F.col("_shift") - F.col("_low")) / F.col("scale") + share(k)))) - lowest)
+    fresh = F.transform(raw, lambda v, k: F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(steps), F.floor((v.cast("double") * F.col("_slope") + F.col("_shift") - F.col("_low")) / F.col("scale") + share(k)))) - lowest))
     stored = F.when(F.col("_same"), F.transform(raw, lambda v: v.cast("long"))).otherwise(F.transform(fresh, lambda v: v.cast("long")))
     return scaled.select(*by, at, stored.alias("stored"), "scale", "offset")
