@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from voxloom.operators import glm, layout, matching, registration, scaling, spatial, splines, surface
+from voxloom.operators import bias, glm, layout, matching, registration, scaling, spatial, splines, surface
 from voxloom.plans import volume_queries
 from voxloom.sources import dicom, dicom_frames
 
@@ -291,6 +291,28 @@ def test_surfaces_of_odd_volumes(spark):
     assert surface.triangles(one, ["t"], 5.0).count() == 0
 
 
+# --- brightness fields ------------------------------------------------------------------------------------------------
+def test_a_made_field_is_found_beside_two_classes(spark):
+    shape, rng = (18, 16, 10), np.random.default_rng(8)
+    g = spatial.grid(shape)
+    tissue = (rng.random((5, 4, 3)) < 0.5)[g[:, 0].astype(int) // 4, g[:, 1].astype(int) // 4, g[:, 2].astype(int) // 4]
+    waves = rng.normal(size=len(bias.terms(3))) * 0.12
+    true = bias.basis(shape, 3, *g.T) @ waves
+    u = 1.0 * tissue + true + rng.normal(size=len(g)) * 0.08
+    rows = [(1, *map(int, p), float(np.exp(a))) for p, a in zip(g, u, strict=True)]
+    odd = [(1, 0, 0, 0, v) for v in (None, 0.0, -1.0, float("nan"), float("inf"))] + [(2, 0, 0, 0, -1.0)]
+    df = spark.createDataFrame(rows + odd, "t long, x int, y int, z int, v double").repartition(5)
+    found = bias.bias_field(df, "t", shape, classes=2, order=3, rounds=15)
+    got = found.collect()
+    assert [r.t for r in got] == [1] and abs(got[0].means[1] - got[0].means[0] - 1) < 0.1
+    fitted = bias.basis(shape, 3, *g.T) @ np.array(got[0].waves)
+    assert np.sqrt(((fitted - true) ** 2).mean()) < 0.03 < true.std()
+    flat = {(r.x, r.y, r.z): r.v for r in bias.corrected(df.filter("v > 0 and v < 1e300"), "t", shape, found).collect()}
+    left = np.log([flat[tuple(map(int, p))] for p in g])
+    assert left[tissue].std() < 0.12 < u[tissue].std()
+    assert bias.bias_field(df.limit(0), "t", shape).count() == 0
+
+
 # --- one scale for all slices -------------------------------------------------------------------------------------------
 def test_dithering_keeps_the_mean_and_single_scales_stay(spark):
     raw = np.linspace(0, 50, 4000).astype(int).tolist()

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.operators import glm, layout, matching, registration, scaling, spatial, surface
+from voxloom.operators import bias, glm, layout, matching, registration, scaling, spatial, surface
 from voxloom.plans.series_queries import _short
 from voxloom.plans.views import IMAGE_SQL, SHAPE, image, image_voxels, table
 from voxloom.session import settled
@@ -80,6 +80,16 @@ def field_resels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glm.resels(_smooth(spark, sf_dir), ["run"], sizes).select("run", "voxels", F.round("resels", 6).alias("resels"))
 
 
+@query(f"""WITH {IMAGE_SQL}, w(i, j, k, norm) AS (VALUES (0, 0, 1, 32), (0, 1, 0, 32), (0, 1, 1, 16), (1, 0, 0, 32), (1, 0, 1, 16), (1, 1, 0, 16), (1, 1, 1, 8)),
+c AS (SELECT t, i, j, k, sum(v * cos(pi() * (2 * x + 1) * i / 8) * cos(pi() * (2 * y + 1) * j / 8) * cos(pi() * (2 * z + 1) * k / 8)) / any_value(norm + 0.001 * 152 / 7) AS c FROM vox CROSS JOIN w GROUP BY t, i, j, k)
+SELECT vox.t, z, y, x, round(v - sum(c * cos(pi() * (2 * x + 1) * i / 8) * cos(pi() * (2 * y + 1) * j / 8) * cos(pi() * (2 * z + 1) * k / 8)), 6) + 0 AS v FROM vox JOIN c ON c.t = vox.t GROUP BY vox.t, z, y, x, v""")
+def bias_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes (as logarithms) without their smooth field; with one class the fit has a closed form."""
+    rows = image_voxels(spark, sf_dir).withColumn("v", F.exp("v"))
+    got = bias.corrected(rows, "t", SHAPE, bias.bias_field(rows, "t", SHAPE, classes=1, order=2, rounds=1), order=2)
+    return got.select("t", "z", "y", "x", (F.round(F.log("v"), 6) + 0).alias("v"))
+
+
 # --- files ----------------------------------------------------------------------------------------------------------------
 def _files(spark: SparkSession, sf_dir: str, encode) -> DataFrame:
     """(path, content): ``encode(id, values)`` for each embedding of 64 values."""
