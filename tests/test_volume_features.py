@@ -6,16 +6,12 @@ import random
 import struct
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from voxloom.operators import bias, glm, layout, matching, registration, scaling, spatial, splines, surface
-from voxloom.plans import volume_queries
 from voxloom.sources import dicom, dicom_frames
 
-SF = "/root/testdata/sf0.001"
-
 
 def put(spark, arrays, **keys):
     """Rows (keys, series or data) from arrays."""
@@ -326,18 +322,3 @@ def test_dithering_keeps_the_mean_and_single_scales_stay(spark):
     assert got[1, 0].scale == got[1, 1].scale and got[3, 0].stored[1] is None
     assert [got[4, z].stored[0] * got[4, z].scale + got[4, z].offset for z in (0, 1)] == [1, 1]
     assert scaling.one_scale(rows.limit(0), ["v"], "z").count() == 0
-
-
-# --- queries --------------------------------------------------------------------------------------------------------------
-@pytest.mark.parametrize("name", sorted(volume_queries.QUERIES))
-def test_query(spark, name):
-    import duckdb
-
-    db = duckdb.connect()
-    for t in ("embeddings", "part", "events"):
-        db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    got, want = volume_queries.QUERIES[name](spark, SF).toPandas(), db.execute(volume_queries.SQL[name]).df()
-    columns = sorted(want.columns)
-    assert sorted(got.columns) == columns and len(got)
-    sort = lambda d: d[columns].sort_values(columns).reset_index(drop=True).astype(str)
-    assert sort(got).equals(sort(want))
