@@ -6,6 +6,8 @@ mean, moves between passes by joins and aggregations. All coordinates count from
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from voxloom.operators import splines
 from voxloom.operators.glm import informative
 from voxloom.operators.layout import Shape, lists, matrix
-from voxloom.operators.spatial import grid, rigid, trilinear
+from voxloom.operators.spatial import grid, rigid, trilinear, trilinear_each
 from voxloom.session import settled
 
 #: No motion goes beyond these, in voxels and radians.
@@ -385,35 +387,87 @@ def coregister_levels(moving: np.ndarray, fixed: np.ndarray, voxel: tuple[float,
 
 def coregister(moving: np.ndarray, fixed: np.ndarray, iterations: int = 64, step: float = 0.25, tolerance: float = 1e-4, mode: str = "mi") -> np.ndarray:
     """Rigid parameters (voxels, radians) that carry fixed's coordinates into moving, by ascent on mutual information.
-    ``identity`` leaves the images as they are."""
-    p = np.zeros(6)
-    if mode == "identity":
+    ``identity`` leaves the images as they are. ``moving`` may be many volumes (n x nz x ny x nx), which take their steps together."""
+    if moving.ndim == 3:
+        return coregister(moving[None], fixed, iterations, step, tolerance, mode)[0]
+    p = np.zeros((len(moving), 6))
+    if mode == "identity" or not len(p):
         return p
     nz, ny, nx = fixed.shape
     points, centre = grid((nx, ny, nz)), (np.array([nx, ny, nz]) - 1) / 2
+    last = np.array(moving.shape[:0:-1]) - 1
+    sides = np.kron(np.eye(6), [[1.0], [-1.0]])
     scale = np.array([1, 1, 1, 0.05, 0.05, 0.05])
 
-    def value(q):
-        at = moved_points(q, points, centre)
-        inside = ((at >= 0) & (at <= np.array(moving.shape[::-1]) - 1)).all(1)
-        return mutual_information(fixed.ravel()[inside], trilinear(moving[None], at[inside])[0]) if inside.sum() > len(points) // 4 else -np.inf
-
-    best = value(p)
+    def values(volumes, q):
+        """Of n x k places, n x k."""
+        n, k, _ = q.shape
+        m = rigid_each(q.reshape(-1, 6))
+        at = (points - centre) @ m[:, :3, :3].transpose(0, 2, 1) + centre + m[:, None, :3, 3]
+        inside = ((at >= 0) & (at <= last)).all(2)
+        there = trilinear_each(volumes[:, None], at.reshape(n, -1, 3)).reshape(n * k, -1)
+        out, enough = np.full(n * k, -np.inf), inside.sum(1) > len(points) // 4
+        if enough.any():
+            out[enough] = informations(np.broadcast_to(fixed.ravel(), there.shape)[enough], there[enough], inside[enough])
+        return out.reshape(n, k)
+
+    best, reach, left = values(moving, p[:, None])[:, 0], np.full(len(p), float(step)), np.arange(len(p))
     for _ in range(iterations):
-        trials = [p + s * step * scale * np.eye(6)[k] for k in range(6) for s in (1, -1)]
-        values = [value(q) for q in trials]
-        k = int(np.argmax(values))
-        if values[k] > best + tolerance:
-            p, best = trials[k], values[k]
-        else:
-            step /= 2
-            if step < 0.01:
-                break
+        trials = p[left, None] + reach[left, None, None] * sides * scale
+        found = values(moving[left], trials)
+        top = found.argmax(1)
+        high = found[np.arange(len(left)), top]
+        gained = high > best[left] + tolerance
+        p[left[gained]], best[left[gained]] = trials[gained, top[gained]], high[gained]
+        reach[left[~gained]] /= 2
+        left = left[reach[left] >= 0.01]
+        if not len(left):
+            break
     return p
 
 
+def rigid_each(p: np.ndarray) -> np.ndarray:
+    """``rigid`` of every row: n x 4 x 4."""
+    angles, which = np.unique(p[:, 3:], return_inverse=True)
+    c, s = (np.array([f(a) for a in angles])[which.reshape(-1, 3)] for f in (math.cos, math.sin))
+    x, y, z = (np.tile(np.eye(3), (len(p), 1, 1)) for _ in range(3))
+    for m, k, (i, j) in ((x, 0, (1, 2)), (y, 1, (2, 0)), (z, 2, (0, 1))):
+        m[:, i, i], m[:, j, j], m[:, i, j], m[:, j, i] = c[:, k], c[:, k], -s[:, k], s[:, k]
+    out = np.tile(np.eye(4), (len(p), 1, 1))
+    out[:, :3, :3], out[:, :3, 3] = z @ y @ x, p[:, :3]
+    return out
+
+
+def informations(a: np.ndarray, b: np.ndarray, inside: np.ndarray, bins: int = 32) -> np.ndarray:
+    """``mutual_information`` of every row of two n x m lists, of the samples that lie ``inside``."""
+
+    def places(v):
+        low, high = np.where(inside, v, np.inf).min(1), np.where(inside, v, -np.inf).max(1)
+        if not (np.isfinite(low).all() and np.isfinite(high).all()):
+            raise ValueError("a volume isn't finite")
+        low, high = np.where(low == high, low - 0.5, low)[:, None], np.where(low == high, high + 0.5, high)[:, None]
+        edges = np.arange(bins + 1) * ((high - low) / bins) + low
+        edges[:, -1:] = high
+        k = np.clip(np.where(inside, (v - low) / (high - low) * bins, 0).astype(int), 0, bins - 1)
+        k = np.maximum(k - (v < np.take_along_axis(edges, k, 1)), 0)
+        return np.minimum(k + (v >= np.take_along_axis(edges, k + 1, 1)), bins - 1)
+
+    n = len(a)
+    cell = ((np.arange(n) * bins)[:, None] + places(a)) * bins + places(b)
+    h = np.bincount(cell[inside], minlength=n * bins * bins).reshape(n, bins, bins) / inside.sum(1)[:, None, None]
+    pa_, pb = h.sum(2), h.sum(1)
+    row, i, j = np.nonzero(h)
+    p = h[row, i, j]
+    terms = p * np.log(p / (pa_[row, i] * pb[row, j]))
+    many = np.bincount(row, minlength=n)
+    first, out = np.cumsum(many) - many, np.zeros(n)
+    for m in np.unique(many):  # rows of one length are added up as one row would be
+        out[many == m] = terms[first[many == m][:, None] + np.arange(m)].sum(1)
+    return out
+
+
 def integrate(v: np.ndarray, steps: int = 6) -> np.ndarray:
-    """Displacement of a stationary velocity field (3 x nz x ny x nx) by scaling and squaring."""
+    """Displacement of a stationary velocity field (3 x nz x ny x nx, or many along an axis before) by scaling and squaring."""
     u = v / 2**steps
     for _ in range(steps):
         u = compose(u, u)
@@ -426,10 +480,12 @@ def compose(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def pull(volumes: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Volumes (n x nz x ny x nx) at x + u(x); positions are kept inside."""
-    nz, ny, nx = u.shape[1:]
-    points = np.clip(grid((nx, ny, nz)) + u.reshape(3, -1).T, 0, np.array([nx, ny, nz]) - 1)
-    return trilinear(volumes, points).reshape(len(volumes), nz, ny, nx)
+    """Volumes (n x nz x ny x nx) at x + u(x); positions are kept inside. Both may be many, along an axis before."""
+    if u.ndim == 4:
+        return pull(volumes[None], u[None])[0]
+    nz, ny, nx = u.shape[2:]
+    points = np.clip(grid((nx, ny, nz)) + u.reshape(len(u), 3, -1).transpose(0, 2, 1), 0, np.array([nx, ny, nz]) - 1)
+    return trilinear_each(volumes, points).reshape(*volumes.shape[:2], nz, ny, nx)
 
 
 def pooled(volumes: np.ndarray, k: int) -> np.ndarray:
@@ -450,41 +506,58 @@ def warp(moving: np.ndarray, fixed: np.ndarray, iterations: int = 40, rate: floa
     """Displacement that carries ``moving`` onto ``fixed``: descent on squared differences with a smoothing term.
 
     From coarse to fine: ``coarse`` are the iterations on grids of 1/8, 1/4, 1/2 (if three), ``iterations`` those on the
-    full one. Grids of less than two voxels along an axis are left out, as they have no slopes."""
-    v = np.zeros((3, *fixed.shape))
+    full one. Grids of less than two voxels along an axis are left out, as they have no slopes. ``moving`` may be many volumes
+    (n x nz x ny x nx), whose fields descend side by side."""
+    if moving.ndim == 3:
+        return warp(moving[None], fixed, iterations, rate, regular, coarse)[0]
+    v = np.zeros((len(moving), 3, *fixed.shape))
+    whole = lambda c: c.reshape(-1, *c.shape[2:])
     for level, count in enumerate(coarse):
         k = 2 ** (len(coarse) - level)
         if min(fixed.shape) // k >= 2:
-            start = pooled(v, k) / k
-            v = v + k * refined(_descend(start.copy(), pooled(moving[None], k)[0], pooled(fixed[None], k)[0], count, rate, regular) - start, k, fixed.shape)
+            start = pooled(whole(v), k).reshape(len(v), 3, *(n // k for n in fixed.shape)) / k
+            gone = _descend(start.copy(), pooled(moving, k), pooled(fixed[None], k)[0], count, rate, regular) - start
+            v = v + k * refined(whole(gone), k, fixed.shape).reshape(v.shape)
     return integrate(_descend(v, moving, fixed, iterations, rate, regular), 6)
 
 
 def _descend(v: np.ndarray, moving: np.ndarray, fixed: np.ndarray, iterations: int, rate: float, regular: float) -> np.ndarray:
-    scale = max(1e-12, float(np.abs(np.gradient(moving)).max()) ** 2)
+    steepest = np.abs(np.stack(np.gradient(moving, axis=(1, 2, 3)), 1)).max((1, 2, 3, 4))
+    scale = np.maximum(1e-12, steepest**2)[:, None, None, None, None]
     for _ in range(iterations):
         u = integrate(v, 4)
-        warped = pull(moving[None], u)[0]
-        slope = np.stack([np.gradient(warped, axis=a) for a in (2, 1, 0)])
-        smooth = np.stack([_laplace(c) for c in v])
-        v -= rate * ((warped - fixed) * slope / scale - regular * smooth)
+        warped = pull(moving[:, None], u)[:, 0]
+        slope = np.stack([np.gradient(warped, axis=a) for a in (3, 2, 1)], 1)
+        v -= rate * ((warped - fixed)[:, None] * slope / scale - regular * _laplace(v))
     return v
 
 
 def _laplace(c: np.ndarray) -> np.ndarray:
+    """Along the last three axes."""
     out = np.zeros_like(c)
-    for a in range(3):
+    for a in range(c.ndim - 3, c.ndim):
         d = np.diff(c, axis=a)
-        out += np.pad(d, [(0, 1) if k == a else (0, 0) for k in range(3)]) - np.pad(d, [(1, 0) if k == a else (0, 0) for k in range(3)])
+        out += np.pad(d, [(0, 1) if k == a else (0, 0) for k in range(c.ndim)]) - np.pad(d, [(1, 0) if k == a else (0, 0) for k in range(c.ndim)])
     return out
 
 
-def per_volume(blocks: DataFrame, shape: Shape, fixed: np.ndarray, method, columns: str) -> DataFrame:
-    """``method(volume, fixed)`` for every block row; its numbers become the array column ``columns``."""
+def per_volume(blocks: DataFrame, shape: Shape, fixed: np.ndarray, method, columns: str, together: int = 64) -> DataFrame:
+    """``method(volumes, fixed)`` for ``together`` block rows at a time; its numbers become the array column ``columns``. The rows
+    are dealt out anew, as files of small volumes would be few tasks."""
     from voxloom.operators.layout import map_arrays
 
     nx, ny, nz = shape
-    return map_arrays(blocks, "data", lambda flat: np.stack([np.ravel(method(v, fixed)) for v in flat.reshape(-1, nz, ny, nx)]), columns)
+
+    def kernel(flat):
+        v = flat.reshape(-1, nz, ny, nx)
+        return np.concatenate([method(v[k : k + together], fixed).reshape(len(v[k : k + together]), -1) for k in range(0, len(v), together)])
+
+    return map_arrays(dealt(blocks), "data", kernel, columns)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` over four tasks a core, for work that is long for its bytes."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
 
 
 def standard_grid(low, high, voxel: float) -> tuple[Shape, np.ndarray]:

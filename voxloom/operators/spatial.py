@@ -100,6 +100,23 @@ def trilinear(v: np.ndarray, points: np.ndarray, legacy_edge: bool = False) -> n
     return out
 
 
+def trilinear_each(v: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Values of images (n x images x nz x ny x nx) at points of their own (n x m x 3): n x images x m; 0 outside the grid."""
+    n, images = v.shape[:2]
+    size = np.array(v.shape[:1:-1])
+    inside = ((points >= 0) & (points <= size - 1)).all(2)
+    low = np.clip(np.floor(points).astype(int), 0, np.maximum(size - 2, 0))
+    frac = np.clip(points - low, 0, 1)
+    flat, first = np.ascontiguousarray(v).reshape(-1), (np.arange(n * images) * size.prod()).reshape(n, images, 1)
+    out = np.zeros((n, images, points.shape[1]))
+    for corner in range(8):
+        step = np.array([corner & 1, corner >> 1 & 1, corner >> 2 & 1])
+        x, y, z = np.moveaxis(np.minimum(low + step, size - 1), 2, 0)
+        wx, wy, wz = (frac[:, :, a] if step[a] else 1 - frac[:, :, a] for a in range(3))
+        out += (wx * wy * wz * inside)[:, None] * flat[first + (x + size[0] * (y + size[1] * z))[:, None]]
+    return out
+
+
 def grid(shape: Shape) -> np.ndarray:
     """Voxel coordinates (xyz) in the order of block values."""
     nx, ny, nz = shape
