@@ -20,3 +20,10 @@ def test_many_volumes_are_coregistered_together_as_each_alone():
         there = registration.trilinear(one[None], moved)
         want = registration.mutual_information(v[0].ravel()[inside], there[0, inside])
         assert abs(registration.informations(v[:1].reshape(1, -1), there, inside[None])[0] - want) < 1e-12
+
+
+def test_many_volumes_are_warped_together_as_each_alone():
+    v = _volumes(6, 8)
+    got = registration.warp(v, v[0])
+    assert got.shape == (6, 3, 8, 8, 8) and np.abs(got[1:]).max() > 0.01
+    assert np.allclose(got, [registration.warp(one, v[0]) for one in v], atol=1e-12)
