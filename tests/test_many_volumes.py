@@ -27,3 +27,19 @@ def test_many_volumes_are_warped_together_as_each_alone():
     got = registration.warp(v, v[0])
     assert got.shape == (6, 3, 8, 8, 8) and np.abs(got[1:]).max() > 0.01
     assert np.allclose(got, [registration.warp(one, v[0]) for one in v], atol=1e-12)
+
+
+def test_spline_motion_isnt_bent_by_the_edge():
+    from voxloom.operators import spatial
+    from voxloom.plans.volume_queries import OFFSETS
+
+    smooth = spatial.smooth((16, 16, 16), 5.0, (1.0, 1.0, 1.0))
+    worst = 0.0
+    for seed in range(40):
+        v = smooth(np.random.default_rng(seed).normal(size=(1, 4096))).reshape(16, 16, 16)
+        cuts = [v[z : z + 12, y : y + 12, x : x + 12] / v.std() for x, y, z in OFFSETS]
+        known = registration.samples(cuts[0], 1, 0.9, 0)
+        for cut, offset in zip(cuts[1:], OFFSETS[1:], strict=True):
+            m = registration.composed(registration.splines.coefficients(cut), *known, np.eye(4), 64)
+            worst = max(worst, np.abs(m[:3] @ [5.5, 5.5, 5.5, 1] - 5.5 + offset).max())
+    assert worst < 0.015  # 0.05 is rounded to another tenth

@@ -257,7 +257,7 @@ def samples(target: np.ndarray, sep: int, quality: float, seed: int) -> tuple[np
     last = np.array(target.shape[::-1]) - 1
     points = sample_points(target.shape, sep)
     points = points + np.random.default_rng(seed).uniform(-0.5, 0.5, points.shape) * sep
-    points = points[((points >= rim(last)) & (points <= last - rim(last))).all(1)]
+    points = points[((points >= margin(last)) & (points <= last - margin(last))).all(1)]
     value, slope = splines.sample(splines.coefficients(target), points, slopes=True)
     jacobian = np.einsum("mi,mik->mk", slope, turned(np.zeros(6), points - last / 2))
     keep = informative(jacobian, quality) if np.linalg.matrix_rank(jacobian) == 6 else np.arange(len(points))
@@ -265,10 +265,15 @@ def samples(target: np.ndarray, sep: int, quality: float, seed: int) -> tuple[np
 
 
 def rim(last: np.ndarray) -> np.ndarray:
-    """How far from the edge samples stay, as the mirror beyond it bends a spline there."""
+    """How far from the edge samples stay."""
     return np.minimum(2.0, last / 4)
 
 
+def margin(last: np.ndarray) -> np.ndarray:
+    """The same for splines, which the mirror beyond the edge bends: by a quarter of that a voxel on."""
+    return np.minimum(3.0, 0.3 * last)
+
+
 def composed(c: np.ndarray, points: np.ndarray, fixed: np.ndarray, jacobian: np.ndarray, m: np.ndarray, iterations: int, tolerance: float = 1e-7) -> np.ndarray:
     """The matrix that carries the target's points to where the spline ``c`` has the target's values. Each step asks which small
     motion of the target explains the difference, and takes it back; steps that don't help are halved."""
@@ -278,7 +283,7 @@ def composed(c: np.ndarray, points: np.ndarray, fixed: np.ndarray, jacobian: np.
 
     def look(m):
         q = points @ m[:3, :3].T + m[:3, 3]
-        inside = ((q >= rim(last) / 2) & (q <= last - rim(last) / 2)).all(1)
+        inside = ((q >= 0.9 * margin(last)) & (q <= last - 0.9 * margin(last))).all(1)
         if inside.sum() < max(6, len(points) // 4):
             return np.inf, None, inside
         r = splines.sample(c, q[inside]) - fixed[inside]
