@@ -43,3 +43,31 @@ def test_spline_motion_isnt_bent_by_the_edge():
             m = registration.composed(registration.splines.coefficients(cut), *known, np.eye(4), 64)
             worst = max(worst, np.abs(m[:3] @ [5.5, 5.5, 5.5, 1] - 5.5 + offset).max())
     assert worst < 0.015  # 0.05 is rounded to another tenth
+
+
+def test_sets_are_made_before_they_meet(spark):
+    from voxloom.plans import table_queries
+
+    plan = table_queries.set_operations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_clusters_meet_without_the_driver(spark):
+    from voxloom.operators import relational
+
+    rows = spark.range(64).selectExpr("id % 2 t", "cast(id div 16 as int) z", "cast(id div 4 % 4 as int) y", "cast(id % 4 as int) x")
+    found = relational.extent(relational.clusters(rows, ["t"]), ["t"], 4)
+    assert found.count() == 64 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_rows_go_to_a_kernel_in_parts(spark):
+    from voxloom.operators import layout
+
+    def kernel(flat):
+        assert flat.size <= 1 << 17
+        return flat[:, :3] + 1
+
+    rows = spark.range(0, 500, 1, 1).selectExpr("id", "transform(sequence(1, 1000), k -> cast(id * k as double)) a")
+    got = {r["id"]: r["a"] for r in layout.map_arrays(rows, "a", kernel).collect()}
+    assert got == {k: [k + 1.0, 2 * k + 1.0, 3 * k + 1.0] for k in range(500)}
+    assert layout.map_arrays(rows.limit(0), "a", kernel).count() == 0

@@ -83,9 +83,11 @@ def saturating_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL (SELECT o_orderstatus, 'except' FROM orders EXCEPT SELECT l_linestatus, 'except' FROM lineitem)""")
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    status, line = orders.select(F.col("o_orderstatus").alias("flag")), lines.select(F.col("l_linestatus").alias("flag"))
-    tag = lambda d, k: d.withColumn("kind", F.lit(k))
-    return tag(lines.select(F.col("l_returnflag").alias("flag")).distinct(), "union").union(tag(status.intersect(line), "intersect")).union(tag(status.subtract(line), "except"))
+    # flags of both tables are counted as one list, as in a join all rows of a flag would meet in one task
+    listed = orders.select(F.col("o_orderstatus").alias("flag"), F.lit(True).alias("order")).union(lines.select("l_linestatus", F.lit(False)))
+    status = listed.groupBy("flag").agg(F.bool_or("order").alias("order"), F.bool_and("order").alias("only")).filter("order")
+    returned = lines.select(F.col("l_returnflag").alias("flag")).distinct().withColumn("kind", F.lit("union"))
+    return returned.union(status.select("flag", F.when(F.col("only"), "except").otherwise("intersect").alias("kind")))
 
 
 @query("""SELECT o_orderkey, round(datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) * 10 / 365.25) / 10 AS age FROM orders""")
