@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Shape = tuple[int, int, int]  # nx, ny, nz
+#: So many input values at most go to a kernel at once, or one row.
+VALUES = 1 << 17
 
 
 def demosaic(mosaic: Column, tile: int, tiles_per_side: int, slices: int) -> Column:
@@ -83,13 +85,21 @@ def lists(values: np.ndarray) -> pa.Array:
 def map_arrays(df: DataFrame, column: str, kernel: Callable[[np.ndarray], np.ndarray], to: str | None = None) -> DataFrame:
     """``kernel`` on an array column, many rows at once: it gets rows x values and returns as many rows.
 
-    Rows of different lengths go to the kernel apart. A null array or one with a null stays null."""
+    Rows of different lengths go to the kernel apart. A null array or one with a null stays null. Long rows go to it in parts of
+    some ``VALUES`` values, so what it makes of a batch doesn't lie in memory as a whole."""
     to = to or column
     names = [c for c in df.columns if c != to]
     schema = T.StructType([*(df.schema[c] for c in names), T.StructField(to, T.ArrayType(T.DoubleType()))])
 
-    def run(batches):
+    def parts(batches):
         for b in batches:
+            width = len(b.column(column).flatten()) / max(1, b.num_rows)
+            some = int(max(1, VALUES // max(1, width)))
+            for k in range(0, max(1, b.num_rows), some):
+                yield b.slice(k, some)
+
+    def run(batches):
+        for b in parts(batches):
             c = b.column(column)
             size = c.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
             flat = c.flatten()
