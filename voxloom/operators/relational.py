@@ -102,30 +102,31 @@ def runs(rows: DataFrame, by: Sequence[str], order: Sequence[str], *values: str)
 def clusters(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """Adds ``cluster``: the connected component (six neighbours) of each voxel row, named by its least voxel number.
 
-    Labels fall to the least neighbouring label, then jump to their label's label, until nothing changes."""
+    Labels fall to the least neighbouring label, then jump to their label's label, until nothing changes. Voxels meet by
+    sorting: files of labels look small, and a broadcast of them in every round would pass through the driver."""
     at = [*by, "z", "y", "x"]
     code = (F.col("z").cast("long") * 1_000_000 + F.col("y")) * 1_000_000 + F.col("x")
     voxels = settled(rows.select(*at).distinct().withColumn("id", code))
     steps = F.array(*[F.lit((dz * 1_000_000 + dy) * 1_000_000 + dx) for dx, dy, dz in STEPS])
     edges = voxels.select(*by, "id", F.explode(F.transform(steps, lambda s: s + F.col("id"))).alias("to"))
-    edges = settled(edges.join(voxels.select(*by, F.col("id").alias("to")), [*by, "to"]).select(*by, "id", "to"))
+    edges = settled(edges.join(voxels.select(*by, F.col("id").alias("to")).hint("merge"), [*by, "to"]).select(*by, "id", "to"))
     labels = voxels.select(*by, "id", F.col("id").alias("label"))
     while True:
-        near = edges.join(labels.select(*by, F.col("id").alias("to"), "label"), [*by, "to"]).groupBy(*by, "id").agg(F.min("label").alias("_near"))
-        low = labels.join(near, [*by, "id"], "left").select(*by, "id", F.col("label").alias("_was"), F.least("label", "_near").alias("_low"))
+        near = edges.join(labels.select(*by, F.col("id").alias("to"), "label").hint("merge"), [*by, "to"]).groupBy(*by, "id").agg(F.min("label").alias("_near"))
+        low = labels.join(near.hint("merge"), [*by, "id"], "left").select(*by, "id", F.col("label").alias("_was"), F.least("label", "_near").alias("_low"))
         jump = labels.select(*by, F.col("id").alias("_low"), F.col("label").alias("_jump"))
-        after = settled(low.join(jump, [*by, "_low"]).select(*by, "id", "_was", F.least("_low", "_jump").alias("label")))
+        after = settled(low.join(jump.hint("merge"), [*by, "_low"]).select(*by, "id", "_was", F.least("_low", "_jump").alias("label")))
         labels = after.select(*by, "id", "label")
         if not after.filter(F.col("_was") != F.col("label")).limit(1).count():
             break
-    named = voxels.join(labels, [*by, "id"]).select(*at, F.col("label").alias("cluster"))
-    return rows.join(named, at)
+    named = voxels.join(labels.hint("merge"), [*by, "id"]).select(*at, F.col("label").alias("cluster"))
+    return rows.join(named.hint("merge"), at)
 
 
 def extent(clustered: DataFrame, by: Sequence[str], least: int) -> DataFrame:
     """Voxels of clusters with ``least`` voxels or more."""
     big = clustered.groupBy(*by, "cluster").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).drop("_n")
-    return clustered.join(big, [*by, "cluster"], "left_semi")
+    return clustered.join(big.hint("merge"), [*by, "cluster"], "left_semi")
 
 
 def levels(value: Column, low: float, high: float, n: int) -> Column:
