@@ -135,7 +135,7 @@ def realign(blocks: DataFrame, shape: Shape, by: str, scan: str = "t", voxel: tu
             yield pa.RecordBatch.from_arrays([b.column(by), b.column(scan), b.column("data"), lists(p), lists(out)], [by, scan, "data", "p", "moved"])
 
     for turn in range(passes):
-        rows = settled(beside(rows, target, by, scan).select(by, scan, "data", "p", "target").mapInArrow(fitted, f"`{by}` {kinds[by]}, `{scan}` {kinds[scan]}, data array<double>, p array<double>, moved array<double>"))
+        rows = settled(dealt(beside(rows, target, by, scan).select(by, scan, "data", "p", "target")).mapInArrow(fitted, f"`{by}` {kinds[by]}, `{scan}` {kinds[scan]}, data array<double>, p array<double>, moved array<double>"))
         if turn + 1 < passes:
             target = mean_volume(rows, by, "moved", kinds[by]).withColumnRenamed("mean", "target")
             rows = rows.drop("moved")
@@ -239,7 +239,7 @@ def realign_splines(blocks: DataFrame, shape: Shape, by: str, scan: str = "t", v
     rows = rows.withColumn("m", start)
     for turn in range(passes):
         ready = settled(target.mapInArrow(prepared, f"`{by}` {kinds[by]}, points array<double>, fixed array<double>, jacobian array<double>"))
-        rows = settled(beside(rows, ready, by, scan).select(by, scan, "data", "m", "points", "fixed", "jacobian").mapInArrow(fitted, f"`{by}` {kinds[by]}, `{scan}` {kinds[scan]}, data array<double>, m array<double>, moved array<double>"))
+        rows = settled(dealt(beside(rows, ready, by, scan).select(by, scan, "data", "m", "points", "fixed", "jacobian")).mapInArrow(fitted, f"`{by}` {kinds[by]}, `{scan}` {kinds[scan]}, data array<double>, m array<double>, moved array<double>"))
         if turn + 1 < passes:
             target = mean_volume(rows, by, "moved", kinds[by]).withColumnRenamed("mean", "target")
             rows = rows.drop("moved")
