@@ -45,6 +45,18 @@ def test_spline_motion_isnt_bent_by_the_edge():
     assert worst < 0.015  # 0.05 is rounded to another tenth
 
 
+def test_coregistration_isnt_paid_for_moving_its_bins():
+    from voxloom.operators import spatial
+    from voxloom.plans.volume_queries import OFFSETS
+
+    smooth = spatial.smooth((16, 16, 16), 5.0, (1.0, 1.0, 1.0))
+    for seed, t in ((55, 1), (47, 0), (5, 3)):
+        v = smooth(np.random.default_rng(seed).normal(size=(1, 4096))).reshape(16, 16, 16)
+        fixed, moving = (v[z : z + 12, y : y + 12, x : x + 12] / v.std() for x, y, z in OFFSETS[[0, t]])
+        p = registration.coregister_levels(np.exp(-0.5 * moving), fixed, sep=(2.0, 1.0), bins=32)
+        assert np.abs(p[:3] + OFFSETS[t]).max() < 0.15  # half a voxel is rounded to another one
+
+
 def test_sets_are_made_before_they_meet(spark):
     from voxloom.plans import table_queries
 

@@ -316,9 +316,17 @@ def middle(v: np.ndarray, share: float = 0.005) -> np.ndarray:
     return np.clip(v, *np.quantile(v, (share, 1 - share)))
 
 
-def smoothed_histogram(a: np.ndarray, b: np.ndarray, bins: int = 64, width: float = 1.0) -> np.ndarray:
-    """Joint histogram of two lists over their ranges, with values spread over ``width`` bins (standard deviation)."""
-    h, _, _ = np.histogram2d(a, b, bins)
+def smoothed_histogram(a: np.ndarray, b: np.ndarray, ranges: tuple[tuple[float, float], tuple[float, float]], bins: int = 64, width: float = 1.0) -> np.ndarray:
+    """Joint histogram of two lists over ``ranges``, which don't depend on what is in the lists. A value is shared by the two
+    bins next to it, so the histogram changes smoothly with it, and then spread over ``width`` bins (standard deviation)."""
+    k, share = [], []
+    for v, (low, high) in zip((a, b), ranges, strict=True):
+        u = np.clip((v - low) / max(high - low, 1e-300), 0, 1) * (bins - 1)
+        k.append(np.minimum(u.astype(int), bins - 2))
+        share.append(u - k[-1])
+    at, (p, q) = k[0] * bins + k[1], share
+    at = np.concatenate([at, at + 1, at + bins, at + bins + 1])
+    h = np.bincount(at, np.concatenate([(1 - p) * (1 - q), (1 - p) * q, p * (1 - q), p * q]), bins * bins).reshape(bins, bins)
     k = np.exp(-0.5 * (np.subtract.outer(np.arange(bins), np.arange(bins)) / width) ** 2)
     k /= k.sum(0)
     return k @ h @ k.T
@@ -352,7 +360,8 @@ def along(value, p: np.ndarray, direction: np.ndarray, best: float, reach: float
 
 def coregister_levels(moving: np.ndarray, fixed: np.ndarray, voxel: tuple[float, float, float] = (1, 1, 1), sep: tuple[float, ...] = (4.0, 2.0), rounds: int = 8, bins: int = 64, seed: int = 0) -> np.ndarray:
     """Rigid parameters (mm, radians) that carry fixed's coordinates into moving by normalised mutual information, from coarse
-    to fine samples (``sep`` in mm, jittered).
+    to fine samples (``sep`` in mm, jittered). Bins lie over the ranges of the whole images: over those of the overlap, motion would
+    pay merely because it moves the bins.
 
     Powell's method: line searches along a set of directions, in which the way of a whole round takes the place of the
     direction that gained most. A round that gains little ends a level."""
@@ -360,6 +369,7 @@ def coregister_levels(moving: np.ndarray, fixed: np.ndarray, voxel: tuple[float,
     centre, last = (np.array(fixed.shape[::-1]) - 1) / 2 * size, np.array(moving.shape[::-1]) - 1
     rng, p = np.random.default_rng(seed), np.zeros(6)
     moving, fixed = middle(moving), middle(fixed)
+    ranges = tuple((float(v.min()), float(v.max())) for v in (fixed, moving))
     for step in sep:
         steps = [np.arange(0, n * s, step) for n, s in zip(fixed.shape[::-1], size, strict=True)]
         points = np.stack(np.meshgrid(*steps, indexing="ij"), -1).reshape(-1, 3)
@@ -371,7 +381,7 @@ def coregister_levels(moving: np.ndarray, fixed: np.ndarray, voxel: tuple[float,
             inside = ((at >= 0) & (at <= last)).all(1)
             if inside.sum() < len(points) // 4:
                 return -np.inf
-            return normalised_information(smoothed_histogram(known[inside], trilinear(moving[None], at[inside])[0], bins))
+            return normalised_information(smoothed_histogram(known[inside], trilinear(moving[None], at[inside])[0], ranges, bins))
 
         directions = list(np.diag([step, step, step, 0.03, 0.03, 0.03]))
         best = value(p)
