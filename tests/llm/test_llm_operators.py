@@ -345,6 +345,12 @@ def test_added_spans_on_forms_that_training_does_not_make(spark):
     assert hits >= 6 and wrong <= 1, (hits, wrong, judge.threshold)
 
 
+def test_the_judge_learns_from_all_documents(spark):
+    text = "if(id % 600 = 0, concat('we ask 10.', id % 251, '.', id % 13, '.7 for more'), concat('plain words are here as number ', id))"
+    judge = pii.train(spark.range(60_000).selectExpr("id doc_id", f"{text} text", "null lang", "null source"))
+    assert judge.threshold["ip"] <= 1  # a third of the hundred addresses would be too few
+
+
 def test_overlaps_are_found_by_place():
     taken = pii.merged([(5, 9), (7, 12), (20, 22), (12, 14)])
     assert taken == [(5, 12), (12, 14), (20, 22)]

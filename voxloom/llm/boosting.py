@@ -1,7 +1,7 @@
-"""Histogram-based gradient boosting for a binary label, fitted on a bounded sample.
+"""Histogram-based gradient boosting for a binary label, fitted on counts of the different binned rows.
 
-The sample's feature matrix is small (tens of thousands of rows at most), so the fit runs in numpy on the driver;
-scoring runs inside Spark tasks on whole Arrow batches.
+Spark counts the rows, so the fit in numpy on the driver sees all of them and holds each different one once; scoring runs
+inside Spark tasks on whole Arrow batches.
 """
 
 from __future__ import annotations
@@ -9,10 +9,22 @@ from __future__ import annotations
 import numpy as np
 
 
-def bin_edges(x: np.ndarray, bins: int) -> np.ndarray:
-    """Inner cut points of one feature at its quantiles; values equal to a cut fall above it."""
-    q = np.unique(np.quantile(x, np.linspace(0, 1, bins + 1)[1:-1])) if len(x) else np.zeros(0)
-    return q
+BINS = 24
+
+
+def bin_edges(values: np.ndarray, counts: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """Inner cut points of one feature at its quantiles, from its different values in order and how often each occurs; values
+    equal to a cut fall above it."""
+    if not len(values):
+        return np.zeros(0)
+    upto = np.cumsum(counts)
+    at = np.linspace(0, 1, bins + 1)[1:-1] * (upto[-1] - 1)
+    low, high = (values[np.searchsorted(upto, k(at), side="right")] for k in (np.floor, np.ceil))
+    return np.unique(low + (at - np.floor(at)) * (high - low))
+
+
+def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(edges)], 1)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -22,24 +34,19 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 class BoostedTrees:
     """Depth-limited regression trees on binned features, logistic loss."""
 
-    def __init__(self, rounds: int = 40, depth: int = 3, rate: float = 0.2, bins: int = 24, ridge: float = 1.0):
-        self.rounds, self.depth, self.rate, self.bins, self.ridge = rounds, depth, rate, bins, ridge
-        self.edges: list[np.ndarray] = []
+    def __init__(self, edges: list[np.ndarray], rounds: int = 40, depth: int = 3, rate: float = 0.2, ridge: float = 1.0):
+        self.edges, self.rounds, self.depth, self.rate, self.ridge = edges, rounds, depth, rate, ridge
         self.base = 0.0
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def _binned(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(self.edges)], 1)
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
-        self.edges = [bin_edges(x[:, j], self.bins) for j in range(x.shape[1])]
-        b = self._binned(x)
-        p = (y.sum() + 0.5) / (len(y) + 1.0)
+    def fit(self, b: np.ndarray, y: np.ndarray, n: np.ndarray) -> BoostedTrees:
+        """``b``: binned rows, each of which occurs ``n`` times with label ``y``."""
+        p = ((n * y).sum() + 0.5) / (n.sum() + 1.0)
         self.base = float(np.log(p / (1 - p)))
         z = np.full(len(y), self.base)
         for _ in range(self.rounds):
             p = sigmoid(z)
-            tree, step = self._grow(b, y - p, p * (1 - p))
+            tree, step = self._grow(b, n * (y - p), n * p * (1 - p))
             self.trees.append(tree)
             z += step
         return self
@@ -75,15 +82,15 @@ class BoostedTrees:
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         """Probability of label 1 for every row."""
-        z = np.full(len(x), self.base)
-        if len(x):
-            b = self._binned(x)
-            rows = np.arange(len(x))
-            for feature, cut, value in self.trees:
-                at = np.zeros(len(x), int)
-                for _ in range(self.depth):
-                    f = feature[at]
-                    down = f >= 0
-                    at = np.where(down, 2 * at + 1 + (b[rows, np.maximum(f, 0)] > cut[at]), at)
-                z += value[at]
+        return self.predict_binned(binned(x, self.edges)) if len(x) else np.zeros(0)
+
+    def predict_binned(self, b: np.ndarray) -> np.ndarray:
+        z, rows = np.full(len(b), self.base), np.arange(len(b))
+        for feature, cut, value in self.trees:
+            at = np.zeros(len(b), int)
+            for _ in range(self.depth):
+                f = feature[at]
+                down = f >= 0
+                at = np.where(down, 2 * at + 1 + (b[rows, np.maximum(f, 0)] > cut[at]), at)
+            z += value[at]
         return sigmoid(z)

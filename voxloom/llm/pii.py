@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.llm.boosting import BoostedTrees
-from voxloom.llm.common import bounded_sample, quoted, trimmed, unused, written
+from voxloom.llm.boosting import BoostedTrees, bin_edges, binned
+from voxloom.llm.common import quoted, trimmed, unused, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -285,9 +285,9 @@ class Judge:
 FOLDS = 4
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: int = 20_000, max_candidates: int = 40_000, precision: float = 0.95, seed: int = 11) -> Judge:
-    """Fit on the ``examples`` of about ``max_docs`` documents at most, and about ``max_candidates`` of these, picked by a hash
-    of their text and place in it: the same ones however the table is partitioned, and equal features as often as they occur.
+def train(docs: DataFrame, text: str = "text", precision: float = 0.95, seed: int = 11) -> Judge:
+    """Fit on the ``examples`` of all documents, as often as they occur. Spark counts equal examples, cuts each feature at the
+    quantiles of its values and counts again after binning; only the different binned examples come to the driver.
 
     Documents are dealt into ``FOLDS`` by a hash of their text, and every example is scored by trees fitted on the other
     folds. A kind's threshold is the lowest score from which on at least ``precision`` of these examples are positive
@@ -297,40 +297,50 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: in
 
     def rows(batches):
         for b in batches:
-            x, y, place = [], [], []
+            x, y, fold = [], [], []
             for t in b.column(0).to_pylist():
                 got = examples(t) if t else []
                 x += [f for f, _ in got]
                 y += [label for _, label in got]
-                place += [(zlib.crc32(f"{seed}{t}".encode("utf-8", "replace")) << 24) + k for k in range(len(got))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.float64()), pa.array(place, pa.int64())], ["x", "y", "place"])
+                fold += [zlib.crc32(f"{seed}{t}".encode("utf-8", "replace")) % FOLDS] * len(got)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.float64()), pa.array(fold, pa.int32())], ["x", "y", "fold"])
 
-    sample = bounded_sample(docs.select(text, key), [key], max_docs, seed).select(text)
-    found = written(sample.mapInArrow(lambda b: trimmed(rows(b)), "x array<double>, y double, place long"))
-    got = bounded_sample(found, ["place"], max_candidates, seed).toPandas()
+    def in_bins(batches):
+        for b in batches:
+            if b.num_rows:
+                x = binned(b.column("x").flatten().to_numpy().reshape(b.num_rows, -1), edges)
+                yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.int32())), b.column("y"), b.column("fold"), b.column("n")], ["b", "y", "fold", "n"])
+
+    found = docs.select(quoted(text)).mapInArrow(lambda b: trimmed(rows(b)), "x array<double>, y double, fold int")
+    found = written(found.groupBy("x", "y", "fold").agg(F.count("*").alias("n")))
+    values = found.select(F.posexplode("x").alias("feature", "value"), "n").groupBy("feature", "value").agg(F.sum("n").alias("n")).toPandas().sort_values(["feature", "value"])
+    edges = [bin_edges(v.value.to_numpy(), v.n.to_numpy()) for _, v in values.groupby("feature")]
+    edges[:1] = [np.arange(1.0, len(KINDS))] * len(edges[:1])  # the kind itself is its bin
+    got = found.mapInArrow(lambda b: trimmed(in_bins(b)), "b array<int>, y double, fold int, n long").groupBy("b", "y", "fold").agg(F.sum("n").alias("n")).toPandas()
     if got.y.nunique() < 2:
         return Judge(None, {})
-    got = got.iloc[np.lexsort([got.x.map(tuple).map(str), got.y, got.place])]  # the same order whatever the partitions
-    return fit(np.stack(got.x.to_numpy()), got.y.to_numpy(), (got.place.to_numpy() >> 24) % FOLDS, precision)
+    b = np.stack(got.b.to_numpy())
+    order = np.lexsort([got.fold, got.y, *b.T])  # the same order whatever the partitions
+    return fit(b[order], got.y.to_numpy()[order], got.n.to_numpy(float)[order], got.fold.to_numpy()[order], edges, precision)
 
 
-def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray, precision: float) -> Judge:
-    """Trees on all examples, thresholds from the scores of each fold by trees on the others."""
+def fit(b: np.ndarray, y: np.ndarray, n: np.ndarray, fold: np.ndarray, edges: list[np.ndarray], precision: float) -> Judge:
+    """Trees on all examples (binned, each ``n`` times), thresholds from the scores of each fold by trees on the others."""
     p, threshold = np.full(len(y), -1.0), {}
     for k in range(FOLDS):
         own = fold == k
         if own.any() and len(np.unique(y[~own])) == 2:
-            p[own] = BoostedTrees().fit(x[~own], y[~own]).predict(x[own])
+            p[own] = BoostedTrees(edges).fit(b[~own], y[~own], n[~own]).predict_binned(b[own])
     for k, kind in enumerate(KINDS):
-        own = (x[:, 0] == k) & (p >= 0)
+        own = (b[:, 0] == k) & (p >= 0)
         order = np.argsort(-p[own], kind="stable")
-        ranked, n = p[own][order], np.arange(1, own.sum() + 1)
-        share = y[own][order].cumsum() / n
-        low = (share + 1.92 / n - 1.96 * np.sqrt(share * (1 - share) / n + 0.96 / n**2)) / (1 + 3.84 / n)
-        last = np.append(ranked[1:] < ranked[:-1], True)[: len(n)]  # equal scores are taken or left together
+        ranked, upto = p[own][order], n[own][order].cumsum()
+        share = (n * y)[own][order].cumsum() / upto
+        low = (share + 1.92 / upto - 1.96 * np.sqrt(share * (1 - share) / upto + 0.96 / upto**2)) / (1 + 3.84 / upto)
+        last = np.append(ranked[1:] < ranked[:-1], True)[: len(ranked)]  # equal scores are taken or left together
         good = np.flatnonzero((low >= precision) & last)
         threshold[kind] = float(max(0.5, ranked[good[-1]])) if len(good) else 2.0
-    return Judge(BoostedTrees().fit(x, y), threshold)
+    return Judge(BoostedTrees(edges).fit(b, y, n), threshold)
 
 
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
