@@ -29,6 +29,33 @@ def test_many_volumes_are_warped_together_as_each_alone():
     assert np.allclose(got, [registration.warp(one, v[0]) for one in v], atol=1e-12)
 
 
+def test_fields_are_pulled_with_one_list_of_places_for_all_axes():
+    from time import process_time
+
+    rng = np.random.default_rng(3)
+    v, u = rng.normal(size=(64, 3, 4, 4, 4)), rng.normal(size=(64, 3, 4, 4, 4))
+    points = np.clip(registration.grid((4, 4, 4)) + u.reshape(64, 3, -1).transpose(0, 2, 1), 0, 3)
+
+    def shortest(f):
+        spent = []
+        for _ in range(15):
+            began = process_time()
+            f()
+            spent.append(process_time() - began)
+        return min(spent)
+
+    assert np.allclose(registration.pull(v, u).reshape(64, 3, -1), registration.trilinear_each(v, points), atol=1e-12)
+    assert shortest(lambda: registration.pull(v, u)) < 0.7 * shortest(lambda: registration.trilinear_each(v, points))
+    flat = rng.normal(size=(2, 3, 1, 5, 6))  # one slice, and a volume that isn't finite leaves the others alone
+    at = np.clip(registration.grid((6, 5, 1)) + flat.reshape(2, 3, -1).transpose(0, 2, 1), 0, [5, 4, 0])
+    assert np.allclose(registration.pull(flat, flat).reshape(2, 3, -1), registration.trilinear_each(flat, at), atol=1e-12)
+    broken = v[:, 0].copy()
+    broken[1, 2, 2, 2] = np.nan
+    with np.errstate(invalid="ignore"):
+        got = registration.warp(broken[:3], v[5, 0])
+    assert np.isnan(got[1]).all() and np.allclose(got[[0, 2]], registration.warp(v[[0, 2], 0], v[5, 0]), atol=1e-12)
+
+
 def test_spline_motion_isnt_bent_by_the_edge():
     from voxloom.operators import spatial
     from voxloom.plans.volume_queries import OFFSETS

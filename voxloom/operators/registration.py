@@ -483,10 +483,9 @@ def informations(a: np.ndarray, b: np.ndarray, inside: np.ndarray, bins: int = 3
 
 def integrate(v: np.ndarray, steps: int = 6) -> np.ndarray:
     """Displacement of a stationary velocity field (3 x nz x ny x nx, or many along an axis before) by scaling and squaring."""
-    u = v / 2**steps
-    for _ in range(steps):
-        u = compose(u, u)
-    return u
+    if v.ndim == 4:
+        return integrate(v[None], steps)[0]
+    return np.moveaxis(_integrated(np.moveaxis(v, 1, 0), steps), 0, 1)
 
 
 def compose(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -498,9 +497,40 @@ def pull(volumes: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Volumes (n x nz x ny x nx) at x + u(x); positions are kept inside. Both may be many, along an axis before."""
     if u.ndim == 4:
         return pull(volumes[None], u[None])[0]
-    nz, ny, nx = u.shape[2:]
-    points = np.clip(grid((nx, ny, nz)) + u.reshape(len(u), 3, -1).transpose(0, 2, 1), 0, np.array([nx, ny, nz]) - 1)
-    return trilinear_each(volumes, points).reshape(*volumes.shape[:2], nz, ny, nx)
+    return np.moveaxis(_pulled(np.moveaxis(volumes, 1, 0), np.moveaxis(u, 1, 0)), 0, 1)
+
+
+def _integrated(v: np.ndarray, steps: int) -> np.ndarray:
+    """``integrate``, but the three components come first, as many volumes before one another."""
+    u = v / 2**steps
+    for _ in range(steps):
+        u = _pulled(u, u) + u
+    return u
+
+
+def _pulled(volumes: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """``pull`` of images x n x nz x ny x nx by 3 x n x nz x ny x nx: one list of places and shares serves all images."""
+    size = u.shape[:1:-1]
+    flat, voxels = volumes.reshape(len(volumes), -1).astype(float, copy=False), math.prod(size)
+    place, stride, shares, steps = np.repeat(np.arange(u.shape[1]) * voxels, voxels), 1, [], []
+    for a, n in enumerate(size):
+        at = np.clip(u[a] + np.arange(float(n)).reshape(-1, *[1] * a), 0, n - 1).ravel()
+        low = np.clip(at.astype(int), 0, max(n - 2, 0))
+        place += low * stride
+        shares.append(at - low)
+        steps.append(stride if n > 1 else 0)
+        stride *= n
+
+    def values(place, a=2):
+        if a < 0:
+            return flat.take(place, axis=1)
+        near, far = values(place, a - 1), values(place + steps[a], a - 1)
+        near *= 1 - shares[a]
+        far *= shares[a]
+        near += far
+        return near
+
+    return values(place).reshape(len(volumes), *u.shape[1:])
 
 
 def pooled(volumes: np.ndarray, k: int) -> np.ndarray:
@@ -525,25 +555,24 @@ def warp(moving: np.ndarray, fixed: np.ndarray, iterations: int = 40, rate: floa
     (n x nz x ny x nx), whose fields descend side by side."""
     if moving.ndim == 3:
         return warp(moving[None], fixed, iterations, rate, regular, coarse)[0]
-    v = np.zeros((len(moving), 3, *fixed.shape))
+    v = np.zeros((3, len(moving), *fixed.shape))
     whole = lambda c: c.reshape(-1, *c.shape[2:])
     for level, count in enumerate(coarse):
         k = 2 ** (len(coarse) - level)
         if min(fixed.shape) // k >= 2:
-            start = pooled(whole(v), k).reshape(len(v), 3, *(n // k for n in fixed.shape)) / k
+            start = pooled(whole(v), k).reshape(3, len(moving), *(n // k for n in fixed.shape)) / k
             gone = _descend(start.copy(), pooled(moving, k), pooled(fixed[None], k)[0], count, rate, regular) - start
             v = v + k * refined(whole(gone), k, fixed.shape).reshape(v.shape)
-    return integrate(_descend(v, moving, fixed, iterations, rate, regular), 6)
+    return np.moveaxis(_integrated(_descend(v, moving, fixed, iterations, rate, regular), 6), 0, 1)
 
 
 def _descend(v: np.ndarray, moving: np.ndarray, fixed: np.ndarray, iterations: int, rate: float, regular: float) -> np.ndarray:
     steepest = np.abs(np.stack(np.gradient(moving, axis=(1, 2, 3)), 1)).max((1, 2, 3, 4))
-    scale = np.maximum(1e-12, steepest**2)[:, None, None, None, None]
+    scale = np.maximum(1e-12, steepest**2)[:, None, None, None]
     for _ in range(iterations):
-        u = integrate(v, 4)
-        warped = pull(moving[:, None], u)[:, 0]
-        slope = np.stack([np.gradient(warped, axis=a) for a in (3, 2, 1)], 1)
-        v -= rate * ((warped - fixed)[:, None] * slope / scale - regular * _laplace(v))
+        warped = _pulled(moving[None], _integrated(v, 4))[0]
+        slope = np.stack(np.gradient(warped, axis=(3, 2, 1)))
+        v -= rate * ((warped - fixed) * slope / scale - regular * _laplace(v))
     return v
 
 
@@ -551,8 +580,9 @@ def _laplace(c: np.ndarray) -> np.ndarray:
     """Along the last three axes."""
     out = np.zeros_like(c)
     for a in range(c.ndim - 3, c.ndim):
-        d = np.diff(c, axis=a)
-        out += np.pad(d, [(0, 1) if k == a else (0, 0) for k in range(c.ndim)]) - np.pad(d, [(1, 0) if k == a else (0, 0) for k in range(c.ndim)])
+        d, to = np.diff(c, axis=a), np.moveaxis(out, a, 0)
+        to[:-1] += np.moveaxis(d, a, 0)
+        to[1:] -= np.moveaxis(d, a, 0)
     return out
 
 

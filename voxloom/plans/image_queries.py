@@ -255,7 +255,7 @@ def coreg_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def svf_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every volume onto one reference by a stationary velocity field: the mean displacement."""
-    got = registration.per_volume(image(spark, sf_dir), SHAPE, _reference(), registration.warp, "u")
+    got = registration.per_volume(image(spark, sf_dir), SHAPE, _reference(), registration.warp, "u", together=256)
     return got.select("t", F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + F.abs(x)) / F.size("u"), 6).alias("mean_shift"))
 
 
