@@ -99,6 +99,22 @@ def test_clusters_meet_without_the_driver(spark):
     assert found.count() == 64 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_no_round_of_clusters_passes_through_the_driver(spark, monkeypatch):
+    from voxloom.operators import relational
+    from voxloom.plans import mask_queries
+
+    plans, settled = [], relational.settled
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settled(df)
+
+    monkeypatch.setattr(relational, "settled", noted)
+    found = mask_queries.thresholded_points(spark, "/root/testdata/sf0.001")
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert found.count() and len(plans) >= 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_long_rows_go_to_a_kernel_in_parts(spark):
     from voxloom.operators import layout
 
