@@ -84,6 +84,56 @@ def test_coregistration_isnt_paid_for_moving_its_bins():
         assert np.abs(p[:3] + OFFSETS[t]).max() < 0.15  # half a voxel is rounded to another one
 
 
+def test_pairs_are_coregistered_together_as_each_alone():
+    from time import process_time
+
+    from voxloom.operators import spatial
+    from voxloom.plans.volume_queries import OFFSETS
+
+    def shortest(f, times):
+        spent = []
+        for _ in range(times):
+            began = process_time()
+            f()
+            spent.append(process_time() - began)
+        return min(spent)
+
+    smooth = spatial.smooth((16, 16, 16), 5.0, (1.0, 1.0, 1.0))
+    v = smooth(np.random.default_rng(2).normal(size=(8, 4096))).reshape(-1, 16, 16, 16)
+    cuts = np.stack([v[:, z : z + 12, y : y + 12, x : x + 12] for x, y, z in OFFSETS], 1) / v.std()
+    moving, fixed = np.exp(-0.5 * cuts).reshape(-1, 12, 12, 12), np.repeat(cuts[:, 0], 4, axis=0)
+    found = []
+    spent = shortest(lambda: found.append(registration.coregister_levels(moving, fixed, sep=(2.0, 1.0), bins=32)), 1)
+    assert np.abs(found[0][:, :3] + np.tile(OFFSETS, (8, 1))).max() < 0.35
+    alone = [registration.coregister_levels(a, b, sep=(2.0, 1.0), bins=32) for a, b in zip(moving[1:4], fixed[1:4], strict=True)]
+    assert np.allclose(found[0][1:4], alone, atol=1e-9)
+    points = registration.grid((12, 12, 12)) * 0.9 + 0.3  # one after another, a fit took as long as 1,700 of these
+    assert spent / 32 < 500 * shortest(lambda: registration.trilinear(moving[:1], points), 25)
+    assert registration.coregister_levels(moving[:0], fixed[:0]).shape == (0, 6)
+
+
+def test_the_information_of_many_pairs_is_that_of_plain_histograms():
+    rng, size = np.random.default_rng(4), np.array([1.0, 2.0, 1.5])
+    moving, fixed = registration.in_bins(rng.normal(size=(3, 4, 5, 6)), 8), registration.in_bins(rng.normal(size=(3, 5, 4, 6)), 8)
+    end = np.array([5, 3, 4]) * size
+    points = np.concatenate([rng.uniform(0, end, (60, 3)), [0 * end, end]])
+    which, p = np.array([0, 1, 2, 1, 0]), rng.normal(size=(5, 6)) * [0.7, 0.7, 0.7, 0.1, 0.1, 0.1]
+    p[0], p[4, 0] = 0, 50
+    got = registration.likeness(moving, fixed, points, size, 8, together=150)(which, p)
+    spread = np.exp(-0.5 * np.subtract.outer(np.arange(8), np.arange(8)) ** 2.0)
+    spread /= spread.sum(0)
+    for k, q, g in zip(which, p, got, strict=True):
+        at = registration.moved_points(q, points, end / 2) / size
+        inside = ((at >= 0) & (at <= [5, 4, 3])).all(1)
+        h = np.zeros((8, 8))
+        for a, b in zip(registration.trilinear(fixed[k][None], points / size)[0, inside], registration.trilinear(moving[k][None], at)[0, inside], strict=True):
+            h += np.outer(np.maximum(0, 1 - np.abs(np.arange(8) - a)), np.maximum(0, 1 - np.abs(np.arange(8) - b)))
+        h = spread @ h @ spread.T / max(1, inside.sum())
+        entropy = lambda q: -(q[q > 0] * np.log(q[q > 0])).sum()
+        want = (entropy(h.sum(0)) + entropy(h.sum(1))) / entropy(h) if inside.sum() >= 15 else -np.inf
+        assert g == want or abs(g - want) < 1e-12
+
+
 def test_sets_are_made_before_they_meet(spark):
     from voxloom.plans import table_queries
 

@@ -312,50 +312,119 @@ def composed(c: np.ndarray, points: np.ndarray, fixed: np.ndarray, jacobian: np.
 
 
 def middle(v: np.ndarray, share: float = 0.005) -> np.ndarray:
-    """A volume with its rarest values, at both ends, brought to where they begin; so bins aren't spent on them."""
-    return np.clip(v, *np.quantile(v, (share, 1 - share)))
-
-
-def smoothed_histogram(a: np.ndarray, b: np.ndarray, ranges: tuple[tuple[float, float], tuple[float, float]], bins: int = 64, width: float = 1.0) -> np.ndarray:
-    """Joint histogram of two lists over ``ranges``, which don't depend on what is in the lists. A value is shared by the two
-    bins next to it, so the histogram changes smoothly with it, and then spread over ``width`` bins (standard deviation)."""
-    k, share = [], []
-    for v, (low, high) in zip((a, b), ranges, strict=True):
-        u = np.clip((v - low) / max(high - low, 1e-300), 0, 1) * (bins - 1)
-        k.append(np.minimum(u.astype(int), bins - 2))
-        share.append(u - k[-1])
-    at, (p, q) = k[0] * bins + k[1], share
-    at = np.concatenate([at, at + 1, at + bins, at + bins + 1])
-    h = np.bincount(at, np.concatenate([(1 - p) * (1 - q), (1 - p) * q, p * (1 - q), p * q]), bins * bins).reshape(bins, bins)
-    k = np.exp(-0.5 * (np.subtract.outer(np.arange(bins), np.arange(bins)) / width) ** 2)
-    k /= k.sum(0)
-    return k @ h @ k.T
-
-
-def normalised_information(h: np.ndarray) -> float:
-    """(H(a) + H(b)) / H(a, b) of a joint histogram: 1 without any relation, 2 at most."""
-    p = h / max(h.sum(), 1e-300)
-    entropy = lambda q: -float((q[q > 0] * np.log(q[q > 0])).sum())
-    return (entropy(p.sum(0)) + entropy(p.sum(1))) / max(entropy(p.ravel()), 1e-12)
-
-
-def along(value, p: np.ndarray, direction: np.ndarray, best: float, reach: float = 1.0, tolerance: float = 0.02) -> tuple[np.ndarray, float]:
-    """A step along a direction that doesn't lower ``value``: from the best of a few places on the line to the top by golden
-    sections."""
-    spots = [-2.0, -1.0, -0.4, 0.4, 1.0, 2.0]
-    seen = {0.0: best} | {s * reach: value(p + s * reach * direction) for s in spots}
-    order = sorted(seen)
-    at = order.index(max(order, key=lambda s: seen[s]))
-    low, high = order[max(0, at - 1)], order[min(len(order) - 1, at + 1)]
-    ratio = (5**0.5 - 1) / 2
-    while high - low > tolerance:
-        a, b = high - ratio * (high - low), low + ratio * (high - low)
-        for s in (a, b):
-            if s not in seen:
-                seen[s] = value(p + s * direction)
-        low, high = (low, b) if seen[a] >= seen[b] else (a, high)
-    top = max(seen, key=lambda s: seen[s])
-    return p + top * direction, seen[top]
+    """Volumes with their rarest values, at both ends, brought to where they begin; so bins aren't spent on them."""
+    return np.clip(v, *np.quantile(v.reshape(len(v), -1), (share, 1 - share), axis=1)[..., None, None, None])
+
+
+def in_bins(v: np.ndarray, bins: int) -> np.ndarray:
+    """Volumes in units of ``bins`` over the range of each, from 0 to ``bins`` - 1."""
+    low, high = v.min((1, 2, 3), keepdims=True), v.max((1, 2, 3), keepdims=True)
+    return (v - low) / np.maximum(high - low, 1e-300) * (bins - 1)
+
+
+def normalised_information(h: np.ndarray) -> np.ndarray:
+    """(H(a) + H(b)) / H(a, b) of every joint histogram (n x bins x bins): 1 without any relation, 2 at most."""
+    total = np.maximum(h.sum((1, 2)), 1e-300)
+    entropy = lambda q: np.log(total) - np.einsum("nk,nk->n", q, np.log(np.maximum(q, 1e-300))) / total
+    return (entropy(h.sum(1)) + entropy(h.sum(2))) / np.maximum(entropy(h.reshape(len(h), -1)), 1e-12)
+
+
+def likeness(moving: np.ndarray, fixed: np.ndarray, points: np.ndarray, size: np.ndarray, bins: int, width: float = 1.0, together: int = 1 << 15):
+    """A function of pairs and places (numbers k, rigid parameters k x 6): the normalised information of ``fixed`` at ``points`` (mm)
+    and ``moving`` where they are moved to; -inf if less than a quarter lie inside. Volumes (n x nz x ny x nx) are ``in_bins``.
+
+    A value is shared by the two bins next to it, so the histogram changes smoothly with it, and then spread over ``width`` bins
+    (standard deviation). Some ``together`` samples are worked on at once, in the same few arrays."""
+    (nz, ny, nx), some = moving.shape[1:], max(1, together // max(len(points), bins * bins))
+    flat, strides = np.ascontiguousarray(moving, dtype=float).ravel(), (1, nx, nx * ny)
+    steps = [stride if n > 1 else 0 for stride, n in zip(strides, (nx, ny, nz), strict=True)]
+    centre, last = (np.array(fixed.shape[:0:-1]) - 1) / 2 * size, np.array([[nx - 1.0], [ny - 1.0], [nz - 1.0]])
+    arms = np.vstack([(points - centre).T, np.ones(len(points))])
+    known = trilinear(fixed, points / size)
+    row, share = np.floor(known) * bins, known - np.floor(known)
+    spread = np.exp(-0.5 * (np.subtract.outer(np.arange(bins), np.arange(bins)) / width) ** 2)
+    spread[spread < 1e-60] = 0  # no sum changes by them, but products of such numbers are slow
+    spread /= spread.sum(0)
+    room = [np.empty((some, *axes, len(points)), kind) for axes, kind in (((3,), float), ((3,), float), ((), int), *[((), float)] * 4)]
+
+    def part(which, m):
+        n = len(which)
+        at, low, place, *near, u = (r[:n] for r in room)
+        np.matmul(m.reshape(-1, 4), arms, out=at.reshape(3 * n, -1))
+        if (size != 1).any():
+            at /= size[:, None]
+        inside = at >= 0
+        inside &= at <= last
+        inside = inside[:, 0] & inside[:, 1] & inside[:, 2]
+        np.floor(at, out=low)
+        at -= low
+        np.matmul(np.array([strides], float), low, out=u[:, None])
+        u += (which * float(nx * ny * nz))[:, None]
+        place[:] = u
+
+        def values(axis, first, out):
+            """Between the voxels next to a place; what lies past the edge has no share in what is inside."""
+            if axis < 0:
+                flat[first:].take(place, out=out, mode="wrap")
+                return
+            values(axis - 1, first, out)
+            values(axis - 1, first + steps[axis], near[axis])
+            near[axis] -= out
+            near[axis] *= at[:, axis]
+            out += near[axis]
+
+        values(2, 0, u)
+        np.clip(u, 0, bins - 1, out=u)
+        upper, lower, other = near
+        np.floor(u, out=other)
+        u -= other
+        other += row[which]
+        other += (np.arange(n) * float(bins * bins))[:, None]
+        place[:] = other
+        lower[:] = inside
+        np.multiply(share[which], lower, out=upper)
+        lower -= upper
+        h = np.zeros(n * bins * bins + bins + 1)
+        for first, weight in ((0, lower), (bins, upper)):
+            np.multiply(weight, u, out=other)
+            weight -= other
+            for k, w in ((first, weight), (first + 1, other)):
+                h[k:] += np.bincount(place.ravel(), w.ravel(), len(h))[: len(h) - k]
+        found = normalised_information(spread @ h[: n * bins * bins].reshape(n, bins, bins) @ spread.T)
+        found[inside.sum(1) < max(1, len(points) // 4)] = -np.inf
+        return found
+
+    def value(which, p):
+        m = rigid_each(p)[:, :3].copy()
+        m[:, :, 3] += centre
+        return np.concatenate([part(which[k : k + some], m[k : k + some]) for k in range(0, len(p), some)])
+
+    return value
+
+
+def along(value, which: np.ndarray, p: np.ndarray, direction: np.ndarray, best: np.ndarray, tolerance: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
+    """Steps, each along its direction, that don't lower ``value``: from the best of a few places on the line to the top by
+    golden sections, on all lines side by side."""
+    rows, ratio = np.arange(len(p)), (5**0.5 - 1) / 2
+    spots = np.array([-2.0, -1.0, -0.4, 0.4, 1.0, 2.0])
+    look = lambda some, s: value(which[some], p[some] + s[:, None] * direction[some])
+    seen = np.insert(look(np.repeat(rows, 6), np.tile(spots, len(p))).reshape(-1, 6), 3, best, axis=1)
+    spots, at = np.insert(spots, 3, 0.0), seen.argmax(1)
+    top, best, low, high = spots[at], seen[rows, at], spots[np.maximum(at - 1, 0)], spots[np.minimum(at + 1, 6)]
+    a, b = high - ratio * (high - low), low + ratio * (high - low)
+    at_a, at_b = look(rows, a), look(rows, b)
+    while True:
+        for s, found in ((a, at_a), (b, at_b)):
+            top, best = np.where(found > best, s, top), np.maximum(found, best)
+        first = at_a >= at_b
+        low, high = np.where(first, low, a), np.where(first, b, high)
+        left = np.flatnonzero(high - low > tolerance)
+        if not len(left):
+            return p + top[:, None] * direction, best
+        new = np.where(first, high - ratio * (high - low), low + ratio * (high - low))
+        found = np.full(len(p), -np.inf)
+        found[left] = look(left, new[left])
+        a, b, at_a, at_b = np.where(first, new, b), np.where(first, a, new), np.where(first, found, at_b), np.where(first, at_a, found)
 
 
 def coregister_levels(moving: np.ndarray, fixed: np.ndarray, voxel: tuple[float, float, float] = (1, 1, 1), sep: tuple[float, ...] = (4.0, 2.0), rounds: int = 8, bins: int = 64, seed: int = 0) -> np.ndarray:
@@ -364,38 +433,38 @@ def coregister_levels(moving: np.ndarray, fixed: np.ndarray, voxel: tuple[float,
     pay merely because it moves the bins.
 
     Powell's method: line searches along a set of directions, in which the way of a whole round takes the place of the
-    direction that gained most. A round that gains little ends a level."""
-    size = np.array(voxel, float)
-    centre, last = (np.array(fixed.shape[::-1]) - 1) / 2 * size, np.array(moving.shape[::-1]) - 1
-    rng, p = np.random.default_rng(seed), np.zeros(6)
-    moving, fixed = middle(moving), middle(fixed)
-    ranges = tuple((float(v.min()), float(v.max())) for v in (fixed, moving))
+    direction that gained most. A round that gains little ends a level. Both may be many volumes (n x nz x ny x nx), pair by pair,
+    which are searched side by side."""
+    if moving.ndim == 3:
+        return coregister_levels(moving[None], fixed[None], voxel, sep, rounds, bins, seed)[0]
+    if not (np.isfinite(moving).all() and np.isfinite(fixed).all()):
+        raise ValueError("a volume isn't finite")
+    size, p = np.array(voxel, float), np.zeros((len(moving), 6))
+    if not len(p):
+        return p
+    rng, end = np.random.default_rng(seed), (np.array(fixed.shape[:0:-1]) - 1) * size
+    moving, fixed = in_bins(middle(moving), bins), in_bins(middle(fixed), bins)
     for step in sep:
-        steps = [np.arange(0, n * s, step) for n, s in zip(fixed.shape[::-1], size, strict=True)]
+        steps = [np.arange(0, n * s, step) for n, s in zip(fixed.shape[:0:-1], size, strict=True)]
         points = np.stack(np.meshgrid(*steps, indexing="ij"), -1).reshape(-1, 3)
-        points = np.clip(points + rng.uniform(-0.5, 0.5, points.shape) * step, 0, (np.array(fixed.shape[::-1]) - 1) * size)
-        known = trilinear(fixed[None], points / size)[0]
-
-        def value(q, points=points, known=known):
-            at = moved_points(q, points, centre) / size
-            inside = ((at >= 0) & (at <= last)).all(1)
-            if inside.sum() < len(points) // 4:
-                return -np.inf
-            return normalised_information(smoothed_histogram(known[inside], trilinear(moving[None], at[inside])[0], ranges, bins))
-
-        directions = list(np.diag([step, step, step, 0.03, 0.03, 0.03]))
-        best = value(p)
+        points = np.clip(points + rng.uniform(-0.5, 0.5, points.shape) * step, 0, end)
+        value = likeness(moving, fixed, points, size, bins)
+        directions, left = np.tile(np.diag([step, step, step, 0.03, 0.03, 0.03]), (len(p), 1, 1)), np.arange(len(p))
+        best = value(left, p)
         for _ in range(rounds):
-            start, was, gains = p, best, []
-            for d in directions:
-                p, now = along(value, p, d, best)
-                gains.append(now - best)
-                best = now
-            if np.any(p != start):
-                way, most = p - start, int(np.argmax(gains))
-                p, best = along(value, p, way, best)
-                directions[most] = way
-            if best - was < 1e-5 * (1 + abs(was)):
+            start, was, gains = p[left], best[left], np.zeros((6, len(left)))
+            for k in range(6):
+                before = best[left]
+                p[left], best[left] = along(value, left, p[left], directions[left, k], before)
+                gains[k] = best[left] - before
+            way = p[left] - start
+            gone = (way != 0).any(1)
+            if gone.any():
+                some = left[gone]
+                p[some], best[some] = along(value, some, p[some], way[gone], best[some])
+                directions[some, gains.argmax(0)[gone]] = way[gone]
+            left = left[~(best[left] - was < 1e-5 * (1 + np.abs(was)))]
+            if not len(left):
                 break
     return p
 

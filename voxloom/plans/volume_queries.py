@@ -214,8 +214,8 @@ def coreg_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = cuts.join(first, "volume").select("volume", "t", F.concat("fixed", "data").alias("data"))
 
     def fit(flat):
-        pairs = flat.reshape(-1, 2, CUT, CUT, CUT)
-        return np.stack([registration.coregister_levels(np.exp(-0.5 * moving), fixed, sep=(2.0, 1.0), bins=32) for fixed, moving in pairs])
+        fixed, moving = np.moveaxis(flat.reshape(-1, 2, CUT, CUT, CUT), 1, 0)
+        return registration.coregister_levels(np.exp(-0.5 * moving), fixed, sep=(2.0, 1.0), bins=32)
 
     got = layout.map_arrays(registration.dealt(both), "data", fit, "p")
     near = lambda k: F.round(F.col("p")[k], 0) + 0
