@@ -82,11 +82,11 @@ def lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(values, dtype=float).ravel()))
 
 
-def map_arrays(df: DataFrame, column: str, kernel: Callable[[np.ndarray], np.ndarray], to: str | None = None) -> DataFrame:
+def map_arrays(df: DataFrame, column: str, kernel: Callable[[np.ndarray], np.ndarray], to: str | None = None, values: int = VALUES) -> DataFrame:
     """``kernel`` on an array column, many rows at once: it gets rows x values and returns as many rows.
 
     Rows of different lengths go to the kernel apart. A null array or one with a null stays null. Long rows go to it in parts of
-    some ``VALUES`` values, so what it makes of a batch doesn't lie in memory as a whole."""
+    some ``values`` values, so what it makes of a batch doesn't lie in memory as a whole."""
     to = to or column
     names = [c for c in df.columns if c != to]
     schema = T.StructType([*(df.schema[c] for c in names), T.StructField(to, T.ArrayType(T.DoubleType()))])
@@ -94,7 +94,7 @@ def map_arrays(df: DataFrame, column: str, kernel: Callable[[np.ndarray], np.nda
     def parts(batches):
         for b in batches:
             width = len(b.column(column).flatten()) / max(1, b.num_rows)
-            some = int(max(1, VALUES // max(1, width)))
+            some = int(max(1, values // max(1, width)))
             for k in range(0, max(1, b.num_rows), some):
                 yield b.slice(k, some)
 
@@ -107,15 +107,15 @@ def map_arrays(df: DataFrame, column: str, kernel: Callable[[np.ndarray], np.nda
             if flat.null_count:
                 holes = np.concatenate([[0], np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))])
                 size = np.where(holes[ends] > holes[ends - np.maximum(size, 0)], -1, size)
-            values = flat.to_numpy(zero_copy_only=False).astype(float, copy=False)
+            held = flat.to_numpy(zero_copy_only=False).astype(float, copy=False)
             lengths = np.unique(size[size >= 0])
             if len(lengths) == 1 and (size >= 0).all():
-                out = lists(np.asarray(kernel(values.reshape(len(size), -1)), float))
+                out = lists(np.asarray(kernel(held.reshape(len(size), -1)), float))
             else:
                 found: list = [None] * len(size)
                 for n in lengths:
                     at = np.flatnonzero(size == n)
-                    part = values[(ends[at] - n)[:, None] + np.arange(n)]
+                    part = held[(ends[at] - n)[:, None] + np.arange(n)]
                     for k, r in zip(at, np.asarray(kernel(part), float), strict=True):
                         found[k] = r
                 out = pa.array(found, pa.list_(pa.float64()))

@@ -311,21 +311,25 @@ def composed(c: np.ndarray, points: np.ndarray, fixed: np.ndarray, jacobian: np.
     return m
 
 
-def middle(v: np.ndarray, share: float = 0.005) -> np.ndarray:
-    """Volumes with their rarest values, at both ends, brought to where they begin; so bins aren't spent on them."""
-    return np.clip(v, *np.quantile(v.reshape(len(v), -1), (share, 1 - share), axis=1)[..., None, None, None])
-
-
 def in_bins(v: np.ndarray, bins: int) -> np.ndarray:
-    """Volumes in units of ``bins`` over the range of each, from 0 to ``bins`` - 1."""
-    low, high = v.min((1, 2, 3), keepdims=True), v.max((1, 2, 3), keepdims=True)
-    return (v - low) / np.maximum(high - low, 1e-300) * (bins - 1)
+    """Every value's place among all values of its volume, from 0 to ``bins`` - 1; equal values share the middle of theirs. So bins
+    hold as many values each, and rare high ones don't press all others into a few."""
+    out = np.empty(v.shape)
+    for k, volume in enumerate(v):
+        _, which, many = np.unique(volume.ravel(), return_inverse=True, return_counts=True)
+        places = np.cumsum(many) - (many + 1) / 2
+        out[k] = (places / max(1, volume.size - 1) * (bins - 1))[which].reshape(volume.shape)
+    return out
 
 
 def normalised_information(h: np.ndarray) -> np.ndarray:
     """(H(a) + H(b)) / H(a, b) of every joint histogram (n x bins x bins): 1 without any relation, 2 at most."""
     total = np.maximum(h.sum((1, 2)), 1e-300)
-    entropy = lambda q: np.log(total) - np.einsum("nk,nk->n", q, np.log(np.maximum(q, 1e-300))) / total
+
+    def entropy(q):
+        logs = np.maximum(q, 1e-300)
+        return np.log(total) - np.einsum("nk,nk->n", q, np.log(logs, out=logs)) / total
+
     return (entropy(h.sum(1)) + entropy(h.sum(2))) / np.maximum(entropy(h.reshape(len(h), -1)), 1e-12)
 
 
@@ -378,11 +382,12 @@ def likeness(moving: np.ndarray, fixed: np.ndarray, points: np.ndarray, size: np
         upper, lower, other = near
         np.floor(u, out=other)
         u -= other
-        other += row[which]
+        other += row.take(which, axis=0, out=upper, mode="wrap")
         other += (np.arange(n) * float(bins * bins))[:, None]
         place[:] = other
         lower[:] = inside
-        np.multiply(share[which], lower, out=upper)
+        share.take(which, axis=0, out=upper, mode="wrap")
+        upper *= lower
         lower -= upper
         h = np.zeros(n * bins * bins + bins + 1)
         for first, weight in ((0, lower), (bins, upper)):
@@ -429,8 +434,8 @@ def along(value, which: np.ndarray, p: np.ndarray, direction: np.ndarray, best:
 
 def coregister_levels(moving: np.ndarray, fixed: np.ndarray, voxel: tuple[float, float, float] = (1, 1, 1), sep: tuple[float, ...] = (4.0, 2.0), rounds: int = 8, bins: int = 64, seed: int = 0) -> np.ndarray:
     """Rigid parameters (mm, radians) that carry fixed's coordinates into moving by normalised mutual information, from coarse
-    to fine samples (``sep`` in mm, jittered). Bins lie over the ranges of the whole images: over those of the overlap, motion would
-    pay merely because it moves the bins.
+    to fine samples (``sep`` in mm, jittered). Bins lie over the values of the whole images, with as many in each: over those of the overlap,
+    motion would pay merely because it moves the bins.
 
     Powell's method: line searches along a set of directions, in which the way of a whole round takes the place of the
     direction that gained most. A round that gains little ends a level. Both may be many volumes (n x nz x ny x nx), pair by pair,
@@ -443,7 +448,7 @@ def coregister_levels(moving: np.ndarray, fixed: np.ndarray, voxel: tuple[float,
     if not len(p):
         return p
     rng, end = np.random.default_rng(seed), (np.array(fixed.shape[:0:-1]) - 1) * size
-    moving, fixed = in_bins(middle(moving), bins), in_bins(middle(fixed), bins)
+    moving, fixed = in_bins(moving, bins), in_bins(fixed, bins)
     for step in sep:
         steps = [np.arange(0, n * s, step) for n, s in zip(fixed.shape[:0:-1], size, strict=True)]
         points = np.stack(np.meshgrid(*steps, indexing="ij"), -1).reshape(-1, 3)

@@ -217,7 +217,7 @@ def coreg_known(spark: SparkSession, sf_dir: str) -> DataFrame:
         fixed, moving = np.moveaxis(flat.reshape(-1, 2, CUT, CUT, CUT), 1, 0)
         return registration.coregister_levels(np.exp(-0.5 * moving), fixed, sep=(2.0, 1.0), bins=32)
 
-    got = layout.map_arrays(registration.dealt(both), "data", fit, "p")
+    got = layout.map_arrays(registration.dealt(both), "data", fit, "p", values=1 << 19)
     near = lambda k: F.round(F.col("p")[k], 0) + 0
     return got.select("volume", "t", near(0).alias("tx"), near(1).alias("ty"), near(2).alias("tz"), (F.round(F.abs(F.col("p")[3]) + F.abs(F.col("p")[4]) + F.abs(F.col("p")[5]), 0) + 0).alias("turn"))
 
